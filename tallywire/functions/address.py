@@ -14,58 +14,64 @@ DOTTED = rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}"
 HEX = "0123456789abcdef"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _v4(text: Column) -> Column:
-    octets = F.split(text, r"\.")
-    digits = [F.lpad(F.lower(F.hex(octets[i].cast("int"))), 2, "0") for i in range(4)]
-    return F.when(text.rlike(f"^{DOTTED}$"), F.concat(*digits))
+    def two_digits(octet: Column) -> Column:
+        return F.lpad(F.lower(F.hex(octet.cast("int"))), 2, "0")
+
+    digits = F.array_join(F.transform(F.split(text, r"\."), two_digits), "")
+    return F.when(text.rlike(f"^{DOTTED}$"), digits)
 
 
 def _v6(text: Column) -> Column:
     # A dotted tail stands for the last two groups.
-    tail = F.regexp_extract(text, rf"^.*:({DOTTED})$", 1)
-    tail_hex = _v4(tail)
-    plain = F.when(
-        tail != "",
-        F.concat(
-            F.substring(text, F.lit(1), F.length(text) - F.length(tail)),
-            F.substring(tail_hex, 1, 4),
-            F.lit(":"),
-            F.substring(tail_hex, 5, 4),
-        ),
-    ).otherwise(F.lower(text))
-    plain = F.lower(plain)
-    gaps = F.size(F.split(plain, "::", -1)) - 1
+    tail = F.regexp_extract(text, rf":({DOTTED})$", 1)
+
+    def undotted(dotted: Column) -> Column:
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(dotted))
+        groups = _let(_v4(dotted), lambda h: F.concat(F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))
+        return F.when(dotted == "", text).otherwise(F.concat(head, groups))
+
+    return F.when(text.contains(":"), _let(F.lower(_let(tail, undotted)), _v6_groups))
+
+
+def _v6_groups(text: Column) -> Column:
+    none = F.array().cast("array<string>")
 
     def groups(part: Column) -> Column:
-        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
-
-    left = groups(F.substring_index(plain, "::", 1))
-    right = F.when(gaps == 1, groups(F.substring_index(plain, "::", -1))).otherwise(
-        F.array().cast("array<string>")
-    )
-    given = F.size(left) + F.size(right)
-    filled = F.array_repeat(F.lit("0000"), 8 - given)
-    parts = F.concat(
-        F.transform(left, lambda g: F.lpad(g, 4, "0")),
-        F.when(gaps == 1, filled).otherwise(F.array().cast("array<string>")),
-        F.transform(right, lambda g: F.lpad(g, 4, "0")),
-    )
-    sound = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    full = F.when(gaps == 1, given <= 7).otherwise((gaps == 0) & (given == 8))
-    return F.when(plain.contains(":") & sound & full, F.array_join(parts, ""))
+        return F.when(part == "", none).otherwise(F.split(part, ":", -1))
+
+    def join(halves: Column) -> Column:
+        # One half: no "::" in the text. Two: the zeros between them are left out.
+        left, right = groups(halves[0]), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+        return _let(F.struct(left.alias("l"), right.alias("r"), F.size(halves).alias("n")), fill)
+
+    def fill(h: Column) -> Column:
+        given = F.size(h["l"]) + F.size(h["r"])
+        sound = F.forall(F.concat(h["l"], h["r"]), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        whole = ((h["n"] == 1) & (given == 8)) | ((h["n"] == 2) & (given < 8))
+        zeros = F.array_repeat(F.lit("0"), 8 - given)
+        parts = F.transform(F.concat(h["l"], zeros, h["r"]), lambda g: F.lpad(g, 4, "0"))
+        return F.when(sound & whole, F.array_join(parts, ""))
+
+    return _let(F.split(text, "::", -1), join)
 
 
 def ip_hex(text: Column) -> Column:
-    return F.coalesce(_v4(text), _v6(text))
+    return _let(text, lambda t: F.coalesce(_v4(t), _v6(t)))
 
 
 def peer_ip(addr: Column) -> Column:
     """``v4:port``, ``[v6]:port``, bare v4 and bare v6; NULL for onion, I2P and the empty text."""
     bracketed = F.regexp_extract(addr, r"^\[([^\]]*)", 1)
     host = F.regexp_extract(addr, r"^(.*):[0-9]*$", 1)
-    return F.when(addr.startswith("["), ip_hex(bracketed)).otherwise(
-        F.coalesce(ip_hex(host), ip_hex(addr))
-    )
+    forms = F.when(addr.startswith("["), F.array(bracketed)).otherwise(F.array(host, addr))
+    parsed = F.transform(forms, ip_hex)
+    return F.get(F.array_compact(parsed), F.lit(0))
 
 
 def mask(digits: Column, bits: Column) -> Column:

@@ -107,4 +107,4 @@ def is_lifecycle() -> Column:
 
 def row_size() -> Column:
     """The size an event row shows; byte totals use the full size."""
-    return F.when(is_message(), F.least("size", F.lit(MAX_ROW_SIZE))).otherwise(F.lit(0))
+    return F.when(is_message(), F.least(F.coalesce("size", F.lit(0)), F.lit(MAX_ROW_SIZE))).otherwise(F.lit(0))

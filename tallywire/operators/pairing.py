@@ -62,12 +62,14 @@ def _by_contest(rules: Sequence[Rule], pick) -> Column:
     return F.element_at(F.array(*values), F.col("contest") + 1)
 
 
-def conversation_rows(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def conversation_rows(
+    messages: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
+) -> DataFrame:
     """One row per message and part it plays, as request or as possible reply."""
     roles, commands = _roles(rules)
     return (
         messages.filter(is_message() & F.col("kind").isin(*commands))
-        .select("peer_id", "pos", "ts_ms", "inbound", F.explode(roles).alias("role"))
+        .select("peer_id", "pos", "ts_ms", "inbound", *keep, F.explode(roles).alias("role"))
         .select(
             "peer_id",
             F.col("role.contest").alias("contest"),
@@ -80,6 +82,7 @@ def conversation_rows(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             F.col("role.of_multi").alias("of_multi"),
             F.col("role.to_single").alias("to_single"),
             F.col("role.to_multi").alias("to_multi"),
+            *keep,
         )
     )
 

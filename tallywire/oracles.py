@@ -215,8 +215,8 @@ cw AS (
   WINDOW a AS (PARTITION BY peer_id, dir ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          b AS (PARTITION BY peer_id, dir ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 cl AS (
-  SELECT *, coalesce(kind = 'click' AND greatest(ts_ms - st, 0) <= 43200000, false) AS fs,
-         coalesce(greatest(ts_ms - mt, 0) <= 172800000, false) AS fm
+  SELECT *, kind = 'click' AND st IS NOT NULL AND greatest(ts_ms - st, 0) <= 43200000 AS fs,
+         mt IS NOT NULL AND greatest(ts_ms - mt, 0) <= 172800000 AS fm
   FROM cw WHERE NOT asks),
 cp AS (
   SELECT *, fs AND (NOT fm OR st <= mt) AS prefers FROM cl),
@@ -442,7 +442,7 @@ SELECT * FROM m WHERE (kind = 'view' OR event_group = 'connection')
     out["event_search_text"] = _with(m, p, body="""
 SELECT m.* FROM m JOIN p USING (peer_id) WHERE contains(lower(kind), '2.0.1') OR contains(lower(p.addr), '2.0.1')""")
     rows = """pos, ts_ms, category, event_group, kind, label, peer_id, inbound,
-       coalesce(least(size, 4294967295), 0) AS size, p.addr"""
+       CASE WHEN size IS NULL THEN 0 ELSE least(size, 4294967295) END AS size, p.addr"""
     out["event_rows"] = _with(m, p, body=f" SELECT {rows} FROM (SELECT * EXCLUDE (addr) FROM m) m JOIN p USING (peer_id)")
     out["event_page"] = _with(m, p, body=f"""
 , f AS (SELECT * EXCLUDE (addr), row_number() OVER (ORDER BY pos) - 1 AS row_index FROM m WHERE event_group = 'message')
@@ -597,6 +597,20 @@ FROM lines GROUP BY file_name""")
     out["archive_order"] = _with(LINES, body="""
 SELECT file_name, file_ts, (dense_rank() OVER (ORDER BY file_ts, file_name) - 1) * 68719476736 + event_id AS pos,
        ts_ms, event_type AS command FROM lines WHERE NOT damaged""")
+    out["stream_timeline"] = _with(m, body="""
+SELECT ts_ms // 21600000 * 21600000 AS bin_start_ms, event_group, kind, count(*) AS cnt FROM m GROUP BY ALL""")
+    out["stream_peers"] = _with(m, p, body="""
+SELECT peer_id, addr, conn_type, first_seen, last_seen, messages_in, messages_out, bytes_in, bytes_out,
+       n_inbound, n_outbound, n_closed, n_inbound_evicted, n_misbehaving FROM p""")
+    out["stream_pairing"] = out["exchange_pairs"]
+    # The stream has seen the time up to an hour before the last event.
+    out["stream_request_fate"] = _with(m, ACTIVITY_RULES, TIES, FATES, body="""
+SELECT CAST(f.rule AS INTEGER) AS rule, f.peer_id, f.dir AS inbound, f.pos AS request_pos, fate
+FROM fates f JOIN o ON o.asks AND o.rule = f.rule AND o.pos = f.pos
+WHERE fate = 'answered' OR nts IS NOT NULL
+  OR (SELECT max(ts_ms) FROM m) - 3600000 > o.ts_ms + window_ms""")
+    out["stream_race"] = _with(RACE, body=" SELECT * FROM race")
+    out["stream_known_items"] = "SELECT DISTINCT l_partkey AS item FROM lineitem"
     out["input_files"] = """
 SELECT 'events.parquet' AS file_name, count(*) AS rows, count(*) - 1 AS last_record FROM events"""
     return out

@@ -1,2 +1,65 @@
-def queries():
-    return {}
+"""The streaming operators run over the given tables as file streams."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallywire.sources import adapters as adapt
+from tallywire.streaming.aggregates import stream_peers, stream_timeline
+from tallywire.streaming.pairing import stream_pairing
+from tallywire.streaming.race import stream_known_items, stream_race
+from tallywire.streaming.run import run_appending, run_updating, stream_table, with_event_time
+
+HOUR = 3_600_000
+YEARS = 20 * 365 * 24 * HOUR
+
+
+def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    path = f"{folder}/{name}.parquet"
+    return stream_table(spark, path, spark.read.parquet(path).schema)
+
+
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    m = adapt.messages_from_activity(_stream(spark, folder, "events"))
+    return with_event_time(m, "1 hour")
+
+
+def _shipments(spark: SparkSession, folder: str) -> DataFrame:
+    # Shipments are in no order of time at all, so nothing may count as late.
+    rows = adapt.race_from_shipments(_stream(spark, folder, "lineitem"))
+    return with_event_time(rows, f"{20 * 365} days")
+
+
+def q_stream_timeline(spark, folder):
+    counts = stream_timeline(_messages(spark, folder), 6 * HOUR)
+    return run_updating(spark, counts, "timeline", ["bin_start_ms", "event_group", "kind"])
+
+
+def q_stream_peers(spark, folder):
+    return run_updating(spark, stream_peers(_messages(spark, folder)), "peers", ["peer_id"])
+
+
+def q_stream_pairing(spark, folder):
+    out = stream_pairing(_messages(spark, folder), adapt.ACTIVITY_RULES)
+    return run_appending(spark, out, "pairing").filter(F.col("event") == "tie").drop("event", "fate")
+
+
+def q_stream_request_fate(spark, folder):
+    out = stream_pairing(_messages(spark, folder), adapt.ACTIVITY_RULES)
+    fates = run_appending(spark, out, "fates").filter(F.col("event") == "fate")
+    return fates.select("rule", "peer_id", "inbound", "request_pos", "fate")
+
+
+def q_stream_race(spark, folder):
+    return run_appending(spark, stream_race(_shipments(spark, folder), YEARS), "race")
+
+
+def q_stream_known_items(spark, folder):
+    return run_appending(spark, stream_known_items(_shipments(spark, folder)), "items")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
