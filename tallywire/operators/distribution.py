@@ -23,24 +23,39 @@ def tally(ms: str) -> dict[str, Column]:
 
 
 def folded(where: Column | None = None, prefix: str = "") -> list[Column]:
-    """Aggregates that fold bucket tallies (bucket, n, total, low, high) into a distribution."""
-    def pick(name: str, also: Column | None = None) -> Column:
-        test = where if also is None else also if where is None else where & also
-        return F.col(name) if test is None else F.when(test, F.col(name))
+    """Aggregates that fold bucket tallies (bucket, n, total, low, high) into a distribution.
+
+    The input has one row per group and bucket, so at most BUCKETS entries are listed.
+    """
+    def pick(value: Column) -> Column:
+        return value if where is None else F.when(where, value)
 
     zero = F.lit(0)
-    counts = [
-        F.coalesce(F.sum(pick("n", F.col("bucket") == i)), zero) for i in range(BUCKETS)
-    ]
+    entry = F.struct(F.col("bucket"), F.col("n"))
     return [
-        F.coalesce(F.sum(pick("n")), zero).alias(f"{prefix}count"),
-        F.coalesce(F.sum(pick("total")), zero).alias(f"{prefix}total_ms"),
-        F.coalesce(F.min(pick("low")), zero).alias(f"{prefix}min_ms"),
-        F.coalesce(F.max(pick("high")), zero).alias(f"{prefix}max_ms"),
-        F.array(*counts).alias(f"{prefix}buckets"),
+        F.coalesce(F.sum(pick(F.col("n"))), zero).alias(f"{prefix}count"),
+        F.coalesce(F.sum(pick(F.col("total"))), zero).alias(f"{prefix}total_ms"),
+        F.coalesce(F.min(pick(F.col("low"))), zero).alias(f"{prefix}min_ms"),
+        F.coalesce(F.max(pick(F.col("high"))), zero).alias(f"{prefix}max_ms"),
+        F.map_from_entries(F.collect_list(pick(entry))).alias(f"{prefix}filled"),
     ]
 
 
+def unfolded(df: DataFrame, *prefixes: str) -> DataFrame:
+    """Replace the filled buckets ``folded`` found by all BUCKETS of them, and add the mean."""
+    def dense(prefix: str) -> Column:
+        filled, zero = F.col(f"{prefix}filled"), F.lit(0).cast("bigint")
+        numbers = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+        return F.transform(numbers, lambda i: F.coalesce(filled[i], zero))
+
+    out = df
+    for prefix in prefixes or ("",):
+        out = out.withColumns(
+            {f"{prefix}buckets": dense(prefix), f"{prefix}mean_ms": mean(prefix)}
+        ).drop(f"{prefix}filled")
+    return out
+
+
 def distribution(df: DataFrame, by: Sequence[str], ms: str) -> DataFrame:
     """One row per group; one row in all when ``by`` is empty. NULL durations are left out.
 
@@ -52,11 +67,12 @@ def distribution(df: DataFrame, by: Sequence[str], ms: str) -> DataFrame:
         .groupBy(*by, log2_bucket(F.col(ms)).alias("bucket"))
         .agg(*[c.alias(n) for n, c in tally(ms).items()])
     )
-    return per_bucket.groupBy(*by).agg(*folded()).withColumn("mean_ms", mean())
+    return unfolded(per_bucket.groupBy(*by).agg(*folded()))
 
 
-def mean() -> Column:
-    return F.when(F.col("count") > 0, F.col("total_ms") / F.col("count")).otherwise(F.lit(0.0))
+def mean(prefix: str = "") -> Column:
+    count, total = F.col(f"{prefix}count"), F.col(f"{prefix}total_ms")
+    return F.when(count > 0, total / count).otherwise(F.lit(0.0))
 
 
 def percentile(p: float, prefix: str = "") -> Column:
@@ -78,18 +94,31 @@ def exact_percentiles(
     )
 
 
+def merge_tallies(tallies: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bucket tallies of finer groups summed to one per coarser group and bucket."""
+    return tallies.groupBy(*by, "bucket").agg(
+        F.sum("n").alias("n"),
+        F.sum("total").alias("total"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+
+
 def merge_distributions(dists: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Fold distributions into one per group."""
-    filled = F.col("count") > 0
-    counts = [F.sum(F.col("buckets")[i]) for i in range(BUCKETS)]
-    return (
-        dists.groupBy(*by)
-        .agg(
-            F.coalesce(F.sum("count"), F.lit(0)).alias("count"),
-            F.coalesce(F.sum("total_ms"), F.lit(0)).alias("total_ms"),
-            F.coalesce(F.min(F.when(filled, F.col("min_ms"))), F.lit(0)).alias("min_ms"),
-            F.coalesce(F.max(F.when(filled, F.col("max_ms"))), F.lit(0)).alias("max_ms"),
-            F.array(*[F.coalesce(c, F.lit(0)) for c in counts]).alias("buckets"),
-        )
-        .withColumn("mean_ms", mean())
+    """Fold distributions into one per group; empty ones change nothing."""
+    sums = dists.filter(F.col("count") > 0)
+    # The figures of a distribution as a whole go in as a bucket of their own, without samples.
+    entries = sums.select(
+        *by, "total_ms", "min_ms", "max_ms", F.posexplode("buckets").alias("bucket", "n")
+    ).filter(F.col("n") > 0)
+    whole = sums.select(
+        *by, "total_ms", "min_ms", "max_ms",
+        F.lit(-1).alias("bucket"), F.lit(0).cast("bigint").alias("n"),
+    )
+    parts = entries.withColumns(
+        {c: F.lit(None).cast("bigint") for c in ("total_ms", "min_ms", "max_ms")}
+    ).unionByName(whole)
+    tallies = merge_tallies(
+        parts.withColumnsRenamed({"total_ms": "total", "min_ms": "low", "max_ms": "high"}), by
     )
+    return unfolded(tallies.groupBy(*by).agg(*folded()))

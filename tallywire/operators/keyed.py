@@ -20,6 +20,7 @@ from tallywire.operators.search import event_rows, page
 # Requests of one kind followed at once on a page; past this the oldest is forgotten.
 LOCAL_OPEN = 32
 PAGE_ROWS = 500
+PAGES_PER_CALL = 8
 
 TIES = "page bigint, request_pos bigint, reply_pos bigint, rule int, by_key boolean, elapsed_ms bigint"
 
@@ -49,19 +50,23 @@ def _best(candidates, keys: frozenset):
     return min(ranked, key=lambda r: r[:2]) if ranked else None
 
 
-def _pair_page(rows: pd.DataFrame, rules: Sequence[Rule], local_open: int) -> pd.DataFrame:
-    """Ties among one peer's messages on one page."""
+def _pair_pages(rows: pd.DataFrame, rules: Sequence[Rule], local_open: int) -> pd.DataFrame:
+    """Ties on a few pages; every peer of a page is a conversation of its own."""
     asks = {r.request: n for n, r in enumerate(rules)}
-    open_requests: dict[tuple[int, bool], list[_Request]] = {}
+    answers: dict[str, list[int]] = {}
+    for n, r in enumerate(rules):
+        for command in r.replies:
+            answers.setdefault(command, []).append(n)
+    open_requests: dict[tuple, list[_Request]] = {}
     ties = []
     for m in rows.sort_values("pos").itertuples():
         keys = frozenset(m.keys)
+        talk = (m.page, m.peer_id)
         candidates = [
             (n, q)
-            for n, r in enumerate(rules)
-            if m.kind in r.replies
-            for q in open_requests.get((n, not m.inbound), ())
-            if m.ts_ms - q.ts <= r.window_ms
+            for n in answers.get(m.kind, ())
+            for q in open_requests.get((talk, n, not m.inbound), ())
+            if m.ts_ms - q.ts <= rules[n].window_ms
         ]
         hit = _best(candidates, keys)
         if hit is not None:
@@ -71,9 +76,9 @@ def _pair_page(rows: pd.DataFrame, rules: Sequence[Rule], local_open: int) -> pd
                 request.missing -= keys
             done = request.missing is not None and not request.missing
             if done or not rules[n].multi:
-                open_requests[n, not m.inbound].remove(request)
+                open_requests[talk, n, not m.inbound].remove(request)
         if m.kind in asks:
-            waiting = open_requests.setdefault((asks[m.kind], m.inbound), [])
+            waiting = open_requests.setdefault((talk, asks[m.kind], m.inbound), [])
             if len(waiting) >= local_open:
                 del waiting[0]
             waiting.append(_Request(m.pos, m.ts_ms, keys))
@@ -90,7 +95,8 @@ def pair_by_key(
     """Tie replies to the requests that asked for what they name, within each page.
 
     ``messages`` has a ``keys`` column. ``page_of`` numbers the pages and must keep them
-    small; by default a page is a run of PAGE_ROWS archive positions.
+    small; by default a page is a run of PAGE_ROWS archive positions. A call to Python gets
+    PAGES_PER_CALL whole pages, so what it holds is bounded whoever is busy on them.
     """
     rules = tuple(rules)
     page_no = F.expr(f"pos div {PAGE_ROWS}") if page_of is None else page_of
@@ -98,8 +104,8 @@ def pair_by_key(
     turns = messages.filter(is_message() & F.col("kind").isin(*commands)).select(
         page_no.cast("bigint").alias("page"), "peer_id", "pos", "ts_ms", "kind", "inbound", "keys"
     )
-    return turns.groupBy("page", "peer_id").applyInPandas(
-        lambda rows: _pair_page(rows, rules, local_open), TIES
+    return turns.groupBy(F.expr(f"page div {PAGES_PER_CALL}")).applyInPandas(
+        lambda rows: _pair_pages(rows, rules, local_open), TIES
     )
 
 

@@ -17,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywire.functions.buckets import log2_bucket
 from tallywire.functions.taxonomy import is_message
-from tallywire.operators.distribution import distribution, percentile
+from tallywire.operators.distribution import folded, percentile, tally, unfolded
 from tallywire.operators.rules import WIRE_RULES, Rule, contests, rules_frame
 from tallywire.plans import skew
 
@@ -125,69 +126,85 @@ def with_open_requests(
     )
 
 
-def _claims(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Replies with the requests they could answer, and whether they prefer the single one."""
+def _with_claims(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Mark the requests a reply could answer, and whether it prefers the single one."""
     window = {
         "s": _by_contest(rules, lambda c: -1 if c.single is None else rules[c.single].window_ms),
         "m": _by_contest(rules, lambda c: -1 if c.multi is None else rules[c.multi].window_ms),
     }
-    first = _by_contest(
-        rules,
-        lambda c: c.single is not None and (c.multi is None or c.single < c.multi),
+    ahead = _by_contest(
+        rules, lambda c: c.single is not None and (c.multi is None or c.single < c.multi)
     )
-    waited = {x: F.greatest(F.col("ts_ms") - F.col(f"{x}_ts"), F.lit(0)) for x in "sm"}
-    fits = {
-        "s": F.col("to_single") & F.col("s_pos").isNotNull() & (waited["s"] <= window["s"]),
-        "m": F.col("to_multi") & F.col("m_pos").isNotNull() & (waited["m"] <= window["m"]),
-    }
-    older = (F.col("s_ts") < F.col("m_ts")) | ((F.col("s_ts") == F.col("m_ts")) & first)
+
+    def fits(x: str, answers: str) -> Column:
+        waited = F.greatest(F.col("ts_ms") - F.col(f"{x}_ts"), F.lit(0))
+        fit = F.col(answers) & F.col(f"{x}_pos").isNotNull() & (waited <= window[x])
+        return F.coalesce(~F.col("asks") & fit, F.lit(False))
+
+    older = (F.col("s_ts") < F.col("m_ts")) | ((F.col("s_ts") == F.col("m_ts")) & ahead)
+    return rows.withColumns(
+        {"fits_s": fits("s", "to_single"), "fits_m": fits("m", "to_multi")}
+    ).withColumn("prefers_s", F.col("fits_s") & (~F.col("fits_m") | older))
+
+
+def _with_earlier(rows: DataFrame, claim: str, at: str, name: str, bits: int) -> DataFrame:
+    """Add whether an earlier row has ``claim`` set for the same request ``at``.
+
+    Inside a split this is a window. A claim on a request from before the split may also
+    have come in a split between, which matters to hot keys only.
+    """
+    request = [*KEYS, at]
+    so_far = (
+        Window.partitionBy(*KEYS, "split", at)
+        .orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried_over = F.col(at) < F.shiftleft(F.col("split"), bits)
+    carried = skew.carry_states(
+        rows.filter(F.col(claim) & carried_over),
+        request,
+        [F.count(F.lit(1)).alias("n")],
+        {"_claimed": F.sum("n").over(skew.before(request))},
+    )
+    here = F.coalesce(F.bool_or(claim).over(so_far), F.lit(False))
     return (
-        rows.filter(~F.col("asks"))
-        .withColumns({"fits_s": F.coalesce(fits["s"], F.lit(False)), "fits_m": F.coalesce(fits["m"], F.lit(False))})
-        .filter(F.col("fits_s") | F.col("fits_m"))
-        .withColumn("prefers_s", F.col("fits_s") & (~F.col("fits_m") | older))
+        rows.withColumn(name, here)
+        .join(carried, [*request, "split"], "left")
+        .withColumn(name, F.col(name) | F.col("_claimed").isNotNull())
+        .drop("_claimed")
     )
 
 
-def _ties(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(keys, of_multi, request_pos, request_ts, reply_pos, reply_ts), one row per tied reply."""
-    claims = _claims(rows, rules)
-    groups = contests(rules)
-    parts = []
-    if any(c.single is not None for c in groups):
-        # The first reply to prefer a single-reply request closes it.
-        single = (
-            claims.filter("prefers_s")
-            .groupBy(*KEYS, F.col("s_pos").alias("request_pos"))
-            .agg(
-                F.min("s_ts").alias("request_ts"),
-                F.min("pos").alias("reply_pos"),
-                F.min_by("ts_ms", "pos").alias("reply_ts"),
-            )
-            .withColumn("of_multi", F.lit(False))
-        )
-        parts.append(single)
-    if any(c.multi is not None for c in groups):
-        def to_multi(df: DataFrame) -> DataFrame:
-            return df.select(
-                *KEYS,
-                F.col("m_pos").alias("request_pos"),
-                F.col("m_ts").alias("request_ts"),
-                F.col("pos").alias("reply_pos"),
-                F.col("ts_ms").alias("reply_ts"),
-                F.lit(True).alias("of_multi"),
-            )
-
-        parts.append(to_multi(claims.filter("fits_m and not prefers_s")))
-        if any(c.single is not None and c.multi is not None for c in groups):
-            # A reply that came too late for the single-reply request falls to the other.
-            taken = single.select(*KEYS, F.col("reply_pos").alias("pos"))
-            late = claims.filter("fits_m and prefers_s").join(taken, [*KEYS, "pos"], "left_anti")
-            parts.append(to_multi(late))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def paired_rows(
+    messages: DataFrame, rules: Sequence[Rule], hot_rows: int, bits: int
+) -> DataFrame:
+    """Every request and possible reply in one table, with the request a reply is tied to.
+
+    ``of_multi`` tells the sort of the request meant, ``request_pos`` and ``request_ts``
+    which one it is: a request's own place, a tied reply's request, NULL for other replies.
+    """
+    rows = with_open_requests(conversation_rows(messages, rules), hot_rows, bits)
+    rows = _with_claims(rows, rules)
+    takes = F.lit(False)
+    if any(c.single is not None for c in contests(rules)):
+        # The first reply to prefer a single-reply request closes it for the others.
+        rows = _with_earlier(rows, "prefers_s", "s_pos", "closed", bits)
+        takes = F.col("prefers_s") & ~F.col("closed")
+    multi = F.when(F.col("asks"), F.col("of_multi")).otherwise(~takes)
+    pos = F.when(takes, F.col("s_pos")).when(F.col("fits_m"), F.col("m_pos"))
+    ts = F.when(takes, F.col("s_ts")).when(F.col("fits_m"), F.col("m_ts"))
+    next_ts = F.when(F.col("of_multi"), F.col("m_next_ts")).otherwise(F.col("s_next_ts"))
+    return rows.select(
+        *KEYS,
+        "split",
+        "asks",
+        multi.alias("of_multi"),
+        F.when(F.col("asks"), F.col("pos")).otherwise(pos).alias("request_pos"),
+        F.when(F.col("asks"), F.col("ts_ms")).otherwise(ts).alias("request_ts"),
+        F.when(F.col("asks"), next_ts).alias("next_ts"),
+        "pos",
+        F.when(~F.col("asks"), F.greatest(F.col("ts_ms") - ts, F.lit(0))).alias("elapsed_ms"),
+    ).filter(F.col("request_pos").isNotNull())
 
 
 def _rule_no(rules: Sequence[Rule]) -> Column:
@@ -207,32 +224,27 @@ def pair_by_timing(
     ``inbound`` is the reply's direction. ``first_reply`` marks the reply that made the
     request an answered one.
     """
-    rows = with_open_requests(conversation_rows(messages, rules), hot_rows, bits)
-    ties = _ties(rows, rules)
-    firsts = (
-        ties.filter("of_multi")
-        .groupBy(*KEYS, "request_pos")
-        .agg(F.min("reply_pos").alias("reply_pos"))
-        .withColumn("of_multi", F.lit(True))
-        .withColumn("_first", F.lit(True))
-    )
-    # Joined on the reply's own position, so one much-answered request is no hot key.
-    return ties.join(firsts, [*KEYS, "request_pos", "reply_pos", "of_multi"], "left").select(
+    rows = paired_rows(messages, rules, hot_rows, bits).withColumn("reply", ~F.col("asks"))
+    # Requests of the two sorts never share a position, so the position alone tells them apart.
+    marked = _with_earlier(rows, "reply", "request_pos", "again", bits)
+    return marked.filter("reply").select(
         _rule_no(rules).alias("rule"),
         "peer_id",
         (~F.col("asked_inbound")).alias("inbound"),
         "request_pos",
-        "reply_pos",
-        F.greatest(F.col("reply_ts") - F.col("request_ts"), F.lit(0)).alias("elapsed_ms"),
-        (~F.col("of_multi") | F.coalesce("_first", F.lit(False))).alias("first_reply"),
+        F.col("pos").alias("reply_pos"),
+        "elapsed_ms",
+        (~F.col("again")).alias("first_reply"),
     )
 
 
-def _fates(
-    rows: DataFrame, ties: DataFrame, rules: Sequence[Rule], end: Column
-) -> DataFrame:
-    answered = ties.groupBy(*KEYS, "of_multi", F.col("request_pos").alias("pos")).agg(
-        F.count(F.lit(1)).alias("replies")
+def _fates(rows: DataFrame, rules: Sequence[Rule], end: Column) -> DataFrame:
+    """One row per request out of the paired rows, with what became of it."""
+    asked = F.col("asks")
+    requests = rows.groupBy(*KEYS, "of_multi", "request_pos").agg(
+        F.max(F.when(asked, F.col("request_ts"))).alias("ts_ms"),
+        F.max(F.when(asked, F.col("next_ts"))).alias("next_ts"),
+        F.count_if(~asked).alias("replies"),
     )
     optional = F.element_at(F.array(*[F.lit(r.optional) for r in rules]), F.col("rule") + 1)
     window = F.element_at(F.array(*[F.lit(r.window_ms) for r in rules]), F.col("rule") + 1)
@@ -244,25 +256,19 @@ def _fates(
         .otherwise(F.lit(True))
     )
     fate = (
-        F.when(F.col("replies").isNotNull(), "answered")
+        F.when(F.col("replies") > 0, "answered")
         .when(~optional & silent & F.col("asked_inbound"), "unanswered_by_us")
         .when(~optional & silent, "unanswered_by_peers")
         .otherwise("undetermined")
     )
-    return (
-        rows.filter("asks")
-        .withColumn("next_ts", F.when(F.col("of_multi"), F.col("m_next_ts")).otherwise(F.col("s_next_ts")))
-        .join(answered, [*KEYS, "of_multi", "pos"], "left")
-        .withColumn("rule", _rule_no(rules))
-        .select(
-            "rule",
-            "peer_id",
-            F.col("asked_inbound").alias("inbound"),
-            F.col("pos").alias("request_pos"),
-            "ts_ms",
-            F.coalesce("replies", F.lit(0)).alias("replies"),
-            fate.alias("fate"),
-        )
+    return requests.withColumn("rule", _rule_no(rules)).select(
+        "rule",
+        "peer_id",
+        F.col("asked_inbound").alias("inbound"),
+        "request_pos",
+        "ts_ms",
+        "replies",
+        fate.alias("fate"),
     )
 
 
@@ -281,8 +287,8 @@ def request_fate(
     A request still inside its window when the archive ends, or replaced inside it where
     several replies are allowed, is undetermined, and so is an ignored announcement.
     """
-    rows = with_open_requests(conversation_rows(events, rules), hot_rows, bits)
-    return _fates(rows, _ties(rows, rules), rules, archive_end(events))
+    rows = paired_rows(events, rules, hot_rows, bits)
+    return _fates(rows, rules, archive_end(events))
 
 
 FATES = ["answered", "unanswered_by_peers", "unanswered_by_us", "undetermined"]
@@ -298,29 +304,36 @@ def exchange_report(
 
     ``peer_*`` times replies that came in, ``our_*`` replies this node sent.
     """
-    rows = with_open_requests(conversation_rows(events, rules), hot_rows, bits)
-    ties = _ties(rows, rules)
-    fates = _fates(rows, ties, rules, archive_end(events))
-    counts = fates.groupBy("rule").agg(
-        F.count(F.lit(1)).alias("opened"),
-        *[F.count_if(F.col("fate") == f).alias(f) for f in FATES],
+    rows = paired_rows(events, rules, hot_rows, bits)
+    counted = (
+        _fates(rows, rules, archive_end(events)).groupBy("rule", "fate").agg(F.count(F.lit(1)).alias("requests"))
     )
-    timed = ties.select(
-        _rule_no(rules).alias("rule"),
-        F.col("asked_inbound"),
-        F.greatest(F.col("reply_ts") - F.col("request_ts"), F.lit(0)).alias("elapsed_ms"),
+    timed = (
+        rows.filter(~F.col("asks"))
+        .groupBy(
+            _rule_no(rules).alias("rule"),
+            F.when(F.col("asked_inbound"), "our").otherwise("peer").alias("side"),
+            log2_bucket(F.col("elapsed_ms")).alias("bucket"),
+        )
+        .agg(*[c.alias(n) for n, c in tally("elapsed_ms").items()])
+    )
+    both = counted.unionByName(timed, allowMissingColumns=True)
+    out = both.groupBy("rule").agg(
+        F.sum("requests").alias("opened"),
+        *[
+            F.coalesce(F.sum(F.when(F.col("fate") == f, F.col("requests"))), F.lit(0)).alias(f)
+            for f in FATES
+        ],
+        *folded(F.col("side") == "peer", "peer_"),
+        *folded(F.col("side") == "our", "our_"),
+    )
+    out = unfolded(out, "peer_", "our_").withColumns(
+        {
+            f"{side}_p{q}_ms": percentile(q / 100, f"{side}_")
+            for side in ("peer", "our")
+            for q in (50, 90, 99)
+        }
     )
-    times = distribution(timed, ["rule", "asked_inbound"], "elapsed_ms")
-    out = counts
-    for side, ours in (("peer", False), ("our", True)):
-        mine = times.filter(F.col("asked_inbound") == ours)
-        cols = [c for c in mine.columns if c not in ("rule", "asked_inbound")]
-        out = out.join(mine.select("rule", *[F.col(c).alias(f"{side}_{c}") for c in cols]), "rule", "left")
-    for side in ("peer", "our"):
-        p = f"{side}_"
-        out = out.withColumns(
-            {f"{p}p{q}_ms": percentile(q / 100, p) for q in (50, 90, 99)}
-        ).withColumn(f"{p}count", F.coalesce(f"{p}count", F.lit(0)))
     names = rules_frame(events.sparkSession, rules).select("rule", "request", "replies", "optional")
     return (
         out.withColumn("unanswered", F.col("unanswered_by_peers") + F.col("unanswered_by_us"))

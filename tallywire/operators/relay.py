@@ -13,7 +13,14 @@ from tallywire.functions.buckets import log2_bucket
 from tallywire.functions.labels import ratio
 from tallywire.functions.payload import MIN_HASH, TRANSACTION_ITEMS
 from tallywire.functions.taxonomy import is_message
-from tallywire.operators.distribution import folded, mean, percentile, tally, with_percentiles
+from tallywire.operators.distribution import (
+    folded,
+    merge_tallies,
+    percentile,
+    tally,
+    unfolded,
+    with_percentiles,
+)
 from tallywire.plans import skew
 
 ORDER = ["pos", "item_no"]
@@ -197,7 +204,7 @@ def relay_scorecard(tallies: DataFrame) -> DataFrame:
         *folded(F.col("measure") == "lag", "lag_"),
         *folded(F.col("measure") == "held", "held_"),
     )
-    return out.select(
+    return unfolded(out, "lag_", "held_").select(
         "peer_id",
         "first",
         "late",
@@ -266,5 +273,6 @@ def relay_totals(tallies: DataFrame) -> DataFrame:
 def relay_distributions(tallies: DataFrame) -> DataFrame:
     """The lags and the heard-to-held times of the whole archive, one row each."""
     name = F.when(F.col("measure") == "held", "heard_to_held").otherwise(F.col("measure"))
-    dist = tallies.filter(F.col("measure").isNotNull()).groupBy(name.alias("measure")).agg(*folded())
-    return with_percentiles(dist.withColumn("mean_ms", mean()))
+    named = tallies.filter(F.col("measure").isNotNull()).withColumn("measure", name)
+    merged = merge_tallies(named, ["measure"]).groupBy("measure").agg(*folded())
+    return with_percentiles(unfolded(merged))

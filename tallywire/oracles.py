@@ -500,7 +500,7 @@ FROM asked a LEFT JOIN got ON got.rule = a.rule AND got.peer_id = a.peer_id AND
 SELECT CAST(c.rule AS INTEGER) AS rule, request, reply AS replies, optional, opened, answered, unanswered,
        unanswered_by_peers, unanswered_by_us, undetermined,
        coalesce(td.count, 0) AS peer_count, coalesce(od.count, 0) AS our_count,
-       td.mean_ms AS peer_mean_ms, od.mean_ms AS our_mean_ms,
+       coalesce(td.mean_ms, 0) AS peer_mean_ms, coalesce(od.mean_ms, 0) AS our_mean_ms,
        td.p50_ms AS peer_p50_ms, td.p90_ms AS peer_p90_ms, od.p50_ms AS our_p50_ms, od.p90_ms AS our_p90_ms
 FROM counts c JOIN rules USING (rule) LEFT JOIN td ON td.rule = c.rule LEFT JOIN od ON od.rule = c.rule""")
     out["replies_captured"] = _with(m, ACTIVITY_RULES, body="""

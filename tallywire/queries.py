@@ -365,7 +365,7 @@ def _keyed_messages(spark, folder) -> DataFrame:
 
 def q_keyed_pairs(spark, folder):
     return pair_by_key(
-        _keyed_messages(spark, folder), adapt.ACTIVITY_RULES, page_of=F.expr("pos div 5000")
+        _keyed_messages(spark, folder), adapt.ACTIVITY_RULES, page_of=F.expr("pos div 2000")
     )
 
 
