@@ -88,42 +88,39 @@ def conversation_rows(
     )
 
 
-def with_open_requests(
-    rows: DataFrame, hot_rows: int = skew.HOT_ROWS, bits: int = skew.SPLIT_BITS
-) -> DataFrame:
+def with_open_requests(rows: DataFrame, split: bool) -> DataFrame:
     """Add the latest request of each sort before a row, and the next one after it."""
-    rows = skew.with_split(rows, KEYS, hot_rows=hot_rows, bits=bits)
     in_split = Window.partitionBy(*KEYS, "split").orderBy("pos")
     earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
     later = in_split.rowsBetween(1, Window.unboundedFollowing)
     sorts = {"s": F.col("asks") & ~F.col("of_multi"), "m": F.col("asks") & F.col("of_multi")}
-    summary, running, local, final = [], {}, {}, {}
+    summary, running, local = [], {}, {}
     for x, asked in sorts.items():
         at = F.when(asked, F.col("pos"))
         request = F.when(asked, F.struct("pos", "ts_ms"))
-        local[f"{x}_local"] = F.last(request, ignorenulls=True).over(earlier)
-        local[f"{x}_next_local"] = F.first(F.when(asked, F.col("ts_ms")), ignorenulls=True).over(later)
+        local[f"{x}_open"] = F.last(request, ignorenulls=True).over(earlier)
+        local[f"{x}_next"] = F.first(F.when(asked, F.col("ts_ms")), ignorenulls=True).over(later)
         summary += [
             F.max(at).alias(f"{x}_last_pos"),
             F.max_by("ts_ms", at).alias(f"{x}_last_ts"),
             F.min_by("ts_ms", at).alias(f"{x}_first_ts"),
         ]
-        held = F.when(F.col(f"{x}_last_pos").isNotNull(), F.struct(
-            F.col(f"{x}_last_pos").alias("pos"), F.col(f"{x}_last_ts").alias("ts_ms")
-        ))
-        running[f"{x}_carried"] = F.last(held, ignorenulls=True).over(skew.before(KEYS))
-        running[f"{x}_next_carried"] = F.first(f"{x}_first_ts", ignorenulls=True).over(skew.after(KEYS))
-        open_request = F.coalesce(f"{x}_local", f"{x}_carried")
-        final[f"{x}_pos"] = open_request["pos"]
-        final[f"{x}_ts"] = open_request["ts_ms"]
-        final[f"{x}_next_ts"] = F.coalesce(f"{x}_next_local", f"{x}_next_carried")
-    # The summary reads the split rows as they are, before any window.
-    carried = skew.carry_states(rows, KEYS, summary, running)
-    return (
-        rows.withColumns(local)
-        .join(carried, [*KEYS, "split"], "left")
-        .select(*rows.columns, *[c.alias(n) for n, c in final.items()])
-    )
+        held = F.struct(F.col(f"{x}_last_pos").alias("pos"), F.col(f"{x}_last_ts").alias("ts_ms"))
+        held = F.when(F.col(f"{x}_last_pos").isNotNull(), held)
+        running[f"{x}_open_before"] = F.last(held, ignorenulls=True).over(skew.before(KEYS))
+        running[f"{x}_next_after"] = F.first(f"{x}_first_ts", ignorenulls=True).over(skew.after(KEYS))
+    out = rows.withColumns(local)
+    if split:
+        states = skew.carry_states(rows, KEYS, summary, running)
+        out = out.join(states, [*KEYS, "split"], "left").withColumns(
+            {f"{x}_open": F.coalesce(f"{x}_open", f"{x}_open_before") for x in sorts}
+            | {f"{x}_next": F.coalesce(f"{x}_next", f"{x}_next_after") for x in sorts}
+        )
+    final = {}
+    for x in sorts:
+        final |= {f"{x}_pos": F.col(f"{x}_open.pos"), f"{x}_ts": F.col(f"{x}_open.ts_ms")}
+        final |= {f"{x}_next_ts": F.col(f"{x}_next")}
+    return out.select(*rows.columns, *[c.alias(n) for n, c in final.items()])
 
 
 def _with_claims(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -147,7 +144,9 @@ def _with_claims(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ).withColumn("prefers_s", F.col("fits_s") & (~F.col("fits_m") | older))
 
 
-def _with_earlier(rows: DataFrame, claim: str, at: str, name: str, bits: int) -> DataFrame:
+def _with_earlier(
+    rows: DataFrame, claim: str, at: str, name: str, split: bool, bits: int
+) -> DataFrame:
     """Add whether an earlier row has ``claim`` set for the same request ``at``.
 
     Inside a split this is a window. A claim on a request from before the split may also
@@ -159,42 +158,45 @@ def _with_earlier(rows: DataFrame, claim: str, at: str, name: str, bits: int) ->
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    out = rows.withColumn(name, F.coalesce(F.bool_or(claim).over(so_far), F.lit(False)))
+    if not split:
+        return out
     carried_over = F.col(at) < F.shiftleft(F.col("split"), bits)
-    carried = skew.carry_states(
+    states = skew.carry_states(
         rows.filter(F.col(claim) & carried_over),
         request,
         [F.count(F.lit(1)).alias("n")],
-        {"_claimed": F.sum("n").over(skew.before(request))},
+        {"_claims": F.sum("n").over(skew.before(request))},
     )
-    here = F.coalesce(F.bool_or(claim).over(so_far), F.lit(False))
     return (
-        rows.withColumn(name, here)
-        .join(carried, [*request, "split"], "left")
-        .withColumn(name, F.col(name) | F.col("_claimed").isNotNull())
-        .drop("_claimed")
+        out.join(states, [*request, "split"], "left")
+        .withColumn(name, F.col(name) | F.col("_claims").isNotNull())
+        .drop("_claims")
     )
 
 
 def paired_rows(
     messages: DataFrame, rules: Sequence[Rule], hot_rows: int, bits: int
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
     """Every request and possible reply in one table, with the request a reply is tied to.
 
     ``of_multi`` tells the sort of the request meant, ``request_pos`` and ``request_ts``
-    which one it is: a request's own place, a tied reply's request, NULL for other replies.
+    which one it is: a request's own place, or the request a reply is tied to. Replies tied
+    to none are left out. Also tells whether any key was split.
     """
-    rows = with_open_requests(conversation_rows(messages, rules), hot_rows, bits)
-    rows = _with_claims(rows, rules)
+    rows = conversation_rows(messages, rules)
+    rows, split = skew.with_split(rows, KEYS, hot_rows=hot_rows, bits=bits)
+    rows = _with_claims(with_open_requests(rows, split), rules)
     takes = F.lit(False)
     if any(c.single is not None for c in contests(rules)):
         # The first reply to prefer a single-reply request closes it for the others.
-        rows = _with_earlier(rows, "prefers_s", "s_pos", "closed", bits)
+        rows = _with_earlier(rows, "prefers_s", "s_pos", "closed", split, bits)
         takes = F.col("prefers_s") & ~F.col("closed")
     multi = F.when(F.col("asks"), F.col("of_multi")).otherwise(~takes)
     pos = F.when(takes, F.col("s_pos")).when(F.col("fits_m"), F.col("m_pos"))
     ts = F.when(takes, F.col("s_ts")).when(F.col("fits_m"), F.col("m_ts"))
     next_ts = F.when(F.col("of_multi"), F.col("m_next_ts")).otherwise(F.col("s_next_ts"))
-    return rows.select(
+    paired = rows.select(
         *KEYS,
         "split",
         "asks",
@@ -204,7 +206,8 @@ def paired_rows(
         F.when(F.col("asks"), next_ts).alias("next_ts"),
         "pos",
         F.when(~F.col("asks"), F.greatest(F.col("ts_ms") - ts, F.lit(0))).alias("elapsed_ms"),
-    ).filter(F.col("request_pos").isNotNull())
+    )
+    return paired.filter(F.col("request_pos").isNotNull()), split
 
 
 def _rule_no(rules: Sequence[Rule]) -> Column:
@@ -224,9 +227,10 @@ def pair_by_timing(
     ``inbound`` is the reply's direction. ``first_reply`` marks the reply that made the
     request an answered one.
     """
-    rows = paired_rows(messages, rules, hot_rows, bits).withColumn("reply", ~F.col("asks"))
+    rows, split = paired_rows(messages, rules, hot_rows, bits)
+    rows = rows.withColumn("reply", ~F.col("asks"))
     # Requests of the two sorts never share a position, so the position alone tells them apart.
-    marked = _with_earlier(rows, "reply", "request_pos", "again", bits)
+    marked = _with_earlier(rows, "reply", "request_pos", "again", split, bits)
     return marked.filter("reply").select(
         _rule_no(rules).alias("rule"),
         "peer_id",
@@ -287,7 +291,7 @@ def request_fate(
     A request still inside its window when the archive ends, or replaced inside it where
     several replies are allowed, is undetermined, and so is an ignored announcement.
     """
-    rows = paired_rows(events, rules, hot_rows, bits)
+    rows, _ = paired_rows(events, rules, hot_rows, bits)
     return _fates(rows, rules, archive_end(events))
 
 
@@ -304,7 +308,7 @@ def exchange_report(
 
     ``peer_*`` times replies that came in, ``our_*`` replies this node sent.
     """
-    rows = paired_rows(events, rules, hot_rows, bits)
+    rows, _ = paired_rows(events, rules, hot_rows, bits)
     counted = (
         _fates(rows, rules, archive_end(events)).groupBy("rule", "fate").agg(F.count(F.lit(1)).alias("requests"))
     )

@@ -111,37 +111,44 @@ def relay_race(
     ``lag_ms`` behind the item's first row. ``duplicate``: a delivery after another one.
     ``held_ms``: for the first delivery of an announced item, how long after its first row.
     """
-    rows = skew.with_split(rows, ["item"], hot_rows=hot_rows, bits=bits)
+    rows, split = skew.with_split(rows, ["item"], hot_rows=hot_rows, bits=bits)
     in_split = Window.partitionBy("item", "split").orderBy(*ORDER)
     so_far = in_split.rowsBetween(Window.unboundedPreceding, -1)
     delivery = F.col("delivery")
-    before = skew.before(["item"])
-    # Only split items get here, so ordering by a struct is no burden.
-    carried = skew.carry_states(
-        rows,
-        ["item"],
-        [
-            F.min_by("ts_ms", F.struct(*ORDER)).alias("ts"),
-            F.count_if(delivery).alias("d"),
-            F.count_if(~delivery).alias("a"),
-        ],
-        {
-            "ts_before": F.first("ts").over(before),
-            "d_before": F.sum("d").over(before),
-            "a_before": F.sum("a").over(before),
-        },
-    )
     zero = F.lit(0).cast("bigint")
     counted = rows.withColumns(
         {
-            "ts_split": F.first("ts_ms").over(in_split),
-            "d_split": F.coalesce(F.count_if(delivery).over(so_far), zero),
-            "a_split": F.coalesce(F.count_if(~delivery).over(so_far), zero),
+            "first_ts": F.first("ts_ms").over(in_split),
+            "d": F.coalesce(F.count_if(delivery).over(so_far), zero),
+            "a": F.coalesce(F.count_if(~delivery).over(so_far), zero),
         }
-    ).join(carried, ["item", "split"], "left")
-    deliveries = F.col("d_split") + F.coalesce("d_before", zero)
-    announced = F.col("a_split") + F.coalesce("a_before", zero)
-    since = F.greatest(F.col("ts_ms") - F.coalesce("ts_before", "ts_split"), zero)
+    )
+    if split:
+        before = skew.before(["item"])
+        # Only split items get here, so ordering by a struct is no burden.
+        states = skew.carry_states(
+            rows,
+            ["item"],
+            [
+                F.min_by("ts_ms", F.struct(*ORDER)).alias("ts"),
+                F.count_if(delivery).alias("n_d"),
+                F.count_if(~delivery).alias("n_a"),
+            ],
+            {
+                "ts_before": F.first("ts").over(before),
+                "d_before": F.sum("n_d").over(before),
+                "a_before": F.sum("n_a").over(before),
+            },
+        )
+        counted = counted.join(states, ["item", "split"], "left").withColumns(
+            {
+                "first_ts": F.coalesce("ts_before", "first_ts"),
+                "d": F.col("d") + F.coalesce("d_before", zero),
+                "a": F.col("a") + F.coalesce("a_before", zero),
+            }
+        )
+    deliveries, announced = F.col("d"), F.col("a")
+    since = F.greatest(F.col("ts_ms") - F.col("first_ts"), zero)
     opens = (deliveries + announced) == 0
     return counted.select(
         "item",

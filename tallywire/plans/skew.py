@@ -1,7 +1,7 @@
 """Plan shapes that keep one very busy key from landing in one task.
 
 Most keys are small and one hash shuffle handles them. A key that holds a large share of the
-rows is found with a frequent-items sketch and its rows are split by archive position: rows
+rows is found with a frequent-items sketch, and its rows are split by archive position: rows
 of one split are consecutive in the archive, so an ordered computation can run inside each
 split and carry its state over from the splits before it. Results never depend on which keys
 the sketch reports, only the spread of the work does.
@@ -29,26 +29,24 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_hashes(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Column:
-    """The hashes of all keys with more than ``hot_rows`` rows, as a scalar array.
+def hot_hashes(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """The hashes of all keys with more than ``hot_rows`` rows.
 
-    Evaluated once, lazily, as a subquery. The array has at most GROUPS * TRACKED entries.
+    This runs a job over the key columns when the operator is called, so that the plan for
+    ordinary data needs none of what hot keys need. At most GROUPS * TRACKED numbers come back.
     """
     sketches = (
         rows.select(key_hash(keys).alias("h"))
         .groupBy(F.pmod("h", F.lit(GROUPS)).alias("g"))
         .agg(F.expr(f"approx_top_k(h, {TRACKED // 2}, {TRACKED})").alias("top"))
-        .select(
-            F.transform(
-                F.filter("top", lambda t: t["count"] > hot_rows), lambda t: t["item"]
-            ).alias("hot")
-        )
+        .select(F.explode("top").alias("t"))
+        .filter(F.col("t.count") > hot_rows)
     )
-    return sketches.agg(F.flatten(F.collect_list("hot")).alias("hot")).scalar()
+    return sorted(r[0] for r in sketches.select("t.item").collect())
 
 
-def is_hot(hot: Column, keys: Sequence[str]) -> Column:
-    return F.coalesce(F.array_contains(hot, key_hash(keys)), F.lit(False))
+def is_hot(hot: Sequence[int], keys: Sequence[str]) -> Column:
+    return key_hash(keys).isin(*hot) if hot else F.lit(False)
 
 
 def with_split(
@@ -57,15 +55,15 @@ def with_split(
     pos: str = "pos",
     hot_rows: int = HOT_ROWS,
     bits: int = SPLIT_BITS,
-) -> DataFrame:
-    """Add ``split``: WHOLE for ordinary keys, a run of archive positions for hot ones."""
+) -> tuple[DataFrame, bool]:
+    """Add ``split``: WHOLE for ordinary keys, a run of archive positions for hot ones.
+
+    Also tells whether there are hot keys at all.
+    """
     hot = hot_hashes(rows, keys, hot_rows)
-    return rows.withColumn(
-        "split",
-        F.when(is_hot(hot, keys), F.shiftright(F.col(pos), bits)).otherwise(
-            F.lit(WHOLE).cast("bigint")
-        ),
-    )
+    whole = F.lit(WHOLE).cast("bigint")
+    split = F.when(is_hot(hot, keys), F.shiftright(F.col(pos), bits)).otherwise(whole)
+    return rows.withColumn("split", split if hot else whole), bool(hot)
 
 
 def carry_states(
@@ -77,8 +75,7 @@ def carry_states(
     """What the other splits of a key add up to, one row per (key, split).
 
     ``summary`` aggregates one split; ``running`` names window expressions over those
-    aggregates, to be evaluated with ``before()`` or ``after()``. Only split keys are in it,
-    so for ordinary data it is empty and the join with it costs nothing.
+    aggregates, to be evaluated with ``before()`` or ``after()``. Only split keys are in it.
     """
     split_rows = rows.filter(F.col("split") != WHOLE)
     per_split = split_rows.groupBy(*keys, "split").agg(*summary)
@@ -110,6 +107,8 @@ def salted_join(
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` (few rows per key), spreading hot keys over ``salts`` tasks."""
     hot = hot_hashes(rows, keys, hot_rows)
+    if not hot:
+        return rows.join(lookup, list(keys), how)
     salt = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", F.when(is_hot(hot, keys), salt).otherwise(F.lit(0)))
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
