@@ -39,18 +39,17 @@ def read_raw(
 ) -> DataFrame:
     """All files of an archive as one table, with the file each row came from.
 
-    JSON rows that cannot be read arrive with their text in ``_corrupt_record``; a Parquet
-    file that cannot be read is skipped and shows up in the file summary.
+    JSON lines may be compressed (``.zst``, ``.gz``); rows that cannot be read arrive with
+    their text in ``_corrupt_record``. A file that cannot be read at all gives the rows
+    before the damage, if any, and shows up in the file summary.
     """
-    reader = spark.read
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    name = F.col("_metadata.file_name").alias("file_name")
     if fmt == "json":
-        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        raw = reader.schema(with_corrupt(schema)).json(path)
-    else:
-        reader = reader.option("ignoreCorruptFiles", "true")
-        raw = reader.schema(schema).format(fmt).load(path)
-        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
-    return raw.withColumn("file_name", F.col("_metadata.file_name"))
+        lines = reader.text(path).select("value", name).filter(F.trim("value") != "")
+        return parse_lines(lines, schema)
+    raw = reader.schema(schema).format(fmt).load(path).select("*", name)
+    return raw.withColumn(CORRUPT, F.lit(None).cast("string"))
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
@@ -98,10 +97,11 @@ def with_archive_order(df: DataFrame, files: DataFrame | None = None) -> DataFra
 
 
 def with_record_no(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """A Parquet table without record numbers, numbered by the row's place in its file."""
+    """A Parquet table numbered by the row's place in its file, for one without numbers."""
     df = spark.read.options(**options).parquet(path)
+    own = [c for c in df.columns if c not in ("file_name", "record_no")]
     return df.select(
-        "*",
+        *own,
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.row_index").alias("record_no"),
     )
