@@ -59,7 +59,7 @@ class Archive:
 
     @cached_property
     def _tallies(self) -> DataFrame:
-        return relay.relay_tallies(relay.relay_race(relay.relay_events(self.events)))
+        return relay.relay_tallies(relay.race_of_events(self.events))
 
     def file_summary(self) -> DataFrame:
         if self.files is None or self.bad is None:

@@ -92,14 +92,17 @@ def with_open_requests(rows: DataFrame, split: bool) -> DataFrame:
     """Add the latest request of each sort before a row, and the next one after it."""
     in_split = Window.partitionBy(*KEYS, "split").orderBy("pos")
     earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    later = in_split.rowsBetween(1, Window.unboundedFollowing)
     sorts = {"s": F.col("asks") & ~F.col("of_multi"), "m": F.col("asks") & F.col("of_multi")}
+    tests = {"s": "asks AND NOT of_multi", "m": "asks AND of_multi"}
     summary, running, local = [], {}, {}
     for x, asked in sorts.items():
         at = F.when(asked, F.col("pos"))
         request = F.when(asked, F.struct("pos", "ts_ms"))
         local[f"{x}_open"] = F.last(request, ignorenulls=True).over(earlier)
-        local[f"{x}_next"] = F.first(F.when(asked, F.col("ts_ms")), ignorenulls=True).over(later)
+        local[f"{x}_next"] = F.expr(
+            f"lead(CASE WHEN {tests[x]} THEN ts_ms END) IGNORE NULLS "
+            f"OVER (PARTITION BY {', '.join(KEYS)}, split ORDER BY pos)"
+        )
         summary += [
             F.max(at).alias(f"{x}_last_pos"),
             F.max_by("ts_ms", at).alias(f"{x}_last_ts"),
@@ -108,7 +111,7 @@ def with_open_requests(rows: DataFrame, split: bool) -> DataFrame:
         held = F.struct(F.col(f"{x}_last_pos").alias("pos"), F.col(f"{x}_last_ts").alias("ts_ms"))
         held = F.when(F.col(f"{x}_last_pos").isNotNull(), held)
         running[f"{x}_open_before"] = F.last(held, ignorenulls=True).over(skew.before(KEYS))
-        running[f"{x}_next_after"] = F.first(f"{x}_first_ts", ignorenulls=True).over(skew.after(KEYS))
+        running[f"{x}_next_after"] = F.last(f"{x}_first_ts", ignorenulls=True).over(skew.after(KEYS))
     out = rows.withColumns(local)
     if split:
         states = skew.carry_states(rows, KEYS, summary, running)
@@ -145,14 +148,14 @@ def _with_claims(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _with_earlier(
-    rows: DataFrame, claim: str, at: str, name: str, split: bool, bits: int
+    rows: DataFrame, claim: str, at: str, name: str, split: bool
 ) -> DataFrame:
     """Add whether an earlier row has ``claim`` set for the same request ``at``.
 
-    Inside a split this is a window. A claim on a request from before the split may also
-    have come in a split between, which matters to hot keys only.
+    Inside a split this is a window. Of the requests from before a split only the last one
+    can still be open, and requests are claimed in the order they were sent, so all that a
+    split needs to know is the latest request claimed in front of it.
     """
-    request = [*KEYS, at]
     so_far = (
         Window.partitionBy(*KEYS, "split", at)
         .orderBy("pos")
@@ -161,17 +164,16 @@ def _with_earlier(
     out = rows.withColumn(name, F.coalesce(F.bool_or(claim).over(so_far), F.lit(False)))
     if not split:
         return out
-    carried_over = F.col(at) < F.shiftleft(F.col("split"), bits)
     states = skew.carry_states(
-        rows.filter(F.col(claim) & carried_over),
-        request,
-        [F.count(F.lit(1)).alias("n")],
-        {"_claims": F.sum("n").over(skew.before(request))},
+        rows.filter(F.col(claim)),
+        KEYS,
+        [F.max(at).alias("latest")],
+        {"_claimed": F.max("latest").over(skew.before(KEYS))},
     )
     return (
-        out.join(states, [*request, "split"], "left")
-        .withColumn(name, F.col(name) | F.col("_claims").isNotNull())
-        .drop("_claims")
+        out.join(states, [*KEYS, "split"], "left")
+        .withColumn(name, F.col(name) | F.coalesce(F.col("_claimed") == F.col(at), F.lit(False)))
+        .drop("_claimed")
     )
 
 
@@ -190,7 +192,7 @@ def paired_rows(
     takes = F.lit(False)
     if any(c.single is not None for c in contests(rules)):
         # The first reply to prefer a single-reply request closes it for the others.
-        rows = _with_earlier(rows, "prefers_s", "s_pos", "closed", split, bits)
+        rows = _with_earlier(rows, "prefers_s", "s_pos", "closed", split)
         takes = F.col("prefers_s") & ~F.col("closed")
     multi = F.when(F.col("asks"), F.col("of_multi")).otherwise(~takes)
     pos = F.when(takes, F.col("s_pos")).when(F.col("fits_m"), F.col("m_pos"))
@@ -228,10 +230,10 @@ def pair_by_timing(
     request an answered one.
     """
     rows, split = paired_rows(messages, rules, hot_rows, bits)
-    rows = rows.withColumn("reply", ~F.col("asks"))
-    # Requests of the two sorts never share a position, so the position alone tells them apart.
-    marked = _with_earlier(rows, "reply", "request_pos", "again", split, bits)
-    return marked.filter("reply").select(
+    # A single-reply request has one reply, which is its first.
+    rows = rows.withColumn("one_of_many", ~F.col("asks") & F.col("of_multi"))
+    marked = _with_earlier(rows, "one_of_many", "request_pos", "again", split)
+    return marked.filter(~F.col("asks")).select(
         _rule_no(rules).alias("rule"),
         "peer_id",
         (~F.col("asked_inbound")).alias("inbound"),

@@ -102,16 +102,36 @@ def relay_events(df: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     return relay_rows(announced, with_item(transaction_deliveries(df), announced, hot_rows))
 
 
+def race_of_events(
+    df: DataFrame, hot_rows: int = skew.HOT_ROWS, bits: int = skew.SPLIT_BITS
+) -> DataFrame:
+    """The race of a table of wire events.
+
+    Busy items are looked for among the hashes as they stand in the messages, which saves
+    settling the deliveries' hashes twice.
+    """
+    delivered = transaction_deliveries(df)
+    hashes = announcements(df).select("item")
+    for name in ("txid", "wtxid"):
+        hashes = hashes.union(delivered.select(name))
+    return relay_race(relay_events(df, hot_rows), hot_rows, bits, sketched=hashes)
+
+
 def relay_race(
-    rows: DataFrame, hot_rows: int = skew.HOT_ROWS, bits: int = skew.SPLIT_BITS
+    rows: DataFrame,
+    hot_rows: int = skew.HOT_ROWS,
+    bits: int = skew.SPLIT_BITS,
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
-    """Every relay row with its outcome.
+    """Every relay row with its outcome; ``sketched`` holds items to find busy ones among.
 
     ``first``: the announcement that made the item known. ``late``: any other announcement,
     ``lag_ms`` behind the item's first row. ``duplicate``: a delivery after another one.
     ``held_ms``: for the first delivery of an announced item, how long after its first row.
     """
-    rows, split = skew.with_split(rows, ["item"], hot_rows=hot_rows, bits=bits)
+    rows, split = skew.with_split(
+        rows, ["item"], hot_rows=hot_rows, bits=bits, sketched=sketched
+    )
     in_split = Window.partitionBy("item", "split").orderBy(*ORDER)
     so_far = in_split.rowsBetween(Window.unboundedPreceding, -1)
     delivery = F.col("delivery")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.taxonomy import is_lifecycle, is_message, row_size
 from tallywire.plans import skew
+from tallywire.plans.sizes import small_enough
 
 # Rows are counted per run of 2**RUN_BITS archive positions to find a page.
 RUN_BITS = 20
@@ -61,7 +62,10 @@ def _matching(df: DataFrame, needle: str, peers: DataFrame) -> DataFrame:
     by_address = peers.filter(F.contains(F.lower("addr"), F.lit(needle))).select(
         "peer_id", F.lit(True).alias("_at_address")
     )
-    marked = skew.salted_join(df, by_address, ["peer_id"], "left")
+    if small_enough(by_address):
+        marked = df.join(F.broadcast(by_address), "peer_id", "left")
+    else:
+        marked = skew.salted_join(df, by_address, ["peer_id"], "left")
     in_kind = F.contains(F.lower("kind"), F.lit(needle))
     at_address = F.coalesce("_at_address", F.lit(False)) & _attributed()
     return marked.filter(in_kind | at_address).drop("_at_address").select(*df.columns)
@@ -115,5 +119,8 @@ def event_rows(df: DataFrame, peers: DataFrame) -> DataFrame:
         row_size().alias("size"),
         *extra,
     )
-    rows = skew.salted_join(base, known, ["peer_id"], "left")
+    if "row_index" in extra:
+        rows = base.join(known, "peer_id", "left")  # a page is short
+    else:
+        rows = skew.salted_join(base, known, ["peer_id"], "left")
     return rows.withColumnRenamed("last_addr", "addr")

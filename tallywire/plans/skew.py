@@ -55,12 +55,14 @@ def with_split(
     pos: str = "pos",
     hot_rows: int = HOT_ROWS,
     bits: int = SPLIT_BITS,
+    sketched: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add ``split``: WHOLE for ordinary keys, a run of archive positions for hot ones.
 
-    Also tells whether there are hot keys at all.
+    Also tells whether there are hot keys at all. They are looked for in ``sketched`` where
+    the keys can be had more cheaply than from ``rows``.
     """
-    hot = hot_hashes(rows, keys, hot_rows)
+    hot = hot_hashes(rows if sketched is None else sketched, keys, hot_rows)
     whole = F.lit(WHOLE).cast("bigint")
     split = F.when(is_hot(hot, keys), F.shiftright(F.col(pos), bits)).otherwise(whole)
     return rows.withColumn("split", split if hot else whole), bool(hot)
@@ -92,8 +94,16 @@ def before(keys: Sequence[str]):
 
 
 def after(keys: Sequence[str]):
-    """All splits of the key behind this one."""
-    return Window.partitionBy(*keys).orderBy("split").rowsBetween(1, Window.unboundedFollowing)
+    """All splits of the key behind this one, the nearest last.
+
+    Walking backwards keeps the frame a growing one; a frame that shrinks from the front is
+    worked out anew for every row.
+    """
+    return (
+        Window.partitionBy(*keys)
+        .orderBy(F.col("split").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
 
 
 def salted_join(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywire.functions.taxonomy import classify
+from tallywire.plans.sizes import broadcast_if_small
 from tallywire.schema import WIRE_EVENTS
 
 CORRUPT = "_corrupt_record"
@@ -93,6 +94,8 @@ def with_archive_order(df: DataFrame, files: DataFrame | None = None) -> DataFra
         files = df.select("file_name").distinct()
     numbered = number_files(files.select("file_name")).select("file_name", "file_ts", "file_no")
     base = F.shiftleft(F.col("file_no"), POSITION_BITS)
+    # One row per file; the events stay where they are unless there are very many files.
+    numbered = broadcast_if_small(numbered)
     return df.join(numbered, "file_name").withColumn("pos", base + F.col("record_no"))
 
 

@@ -16,6 +16,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+# How much a batch reads. It bounds what one key's rows of a batch can come to in a
+# stateful operator, however busy the key is.
+BYTES_PER_TRIGGER = 1 << 30
+
+
 def stream_table(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
@@ -23,6 +28,8 @@ def stream_table(
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
     # The star lets a single file stand where a folder is expected.
     return reader.parquet(path if path.endswith("/") else f"{path}*")
 

@@ -9,7 +9,7 @@ from . import brute, wire
 
 
 def judged(spark, rows, **options):
-    return relay.relay_race(relay.relay_events(wire.archive(spark, rows)), **options)
+    return relay.race_of_events(wire.archive(spark, rows), **options)
 
 
 def test_first_announcer_wins_and_the_rest_are_timed(spark):
