@@ -93,17 +93,16 @@ class Archive:
 
     def query(self, offset: int = 0, limit: int = 100, **conditions) -> DataFrame:
         cut = search.page(self.search(**conditions), offset, limit)
-        return search.event_rows(cut, self.peer_table)
+        return search.page_rows(self.events, cut, limit)
 
     def search(self, **conditions) -> DataFrame:
-        return search.search_events(self.events, peers=self.peer_table, **conditions)
+        return search.search_events(self.events, **conditions)
 
     def query_total(self, **conditions) -> DataFrame:
         return search.total(self.search(**conditions))
 
     def sequence(self, offset: int = 0, limit: int = 100, **conditions) -> DataFrame:
-        found = self.search(**conditions)
-        return conversation(found, self.peer_table, offset, limit, self.rules)
+        return conversation(self.events, self.search(**conditions), offset, limit, self.rules)
 
     def user_agents(self, limit: int | None = None) -> DataFrame:
         return peers.agent_census(peers.with_agents(self.peer_table, self.agents), limit)

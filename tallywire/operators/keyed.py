@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallywire.functions.payload import detail_text, named_keys
 from tallywire.functions.taxonomy import is_message
 from tallywire.operators.rules import WIRE_RULES, Rule
-from tallywire.operators.search import event_rows, page
+from tallywire.operators.search import page, page_rows
 
 # Requests of one kind followed at once on a page; past this the oldest is forgotten.
 LOCAL_OPEN = 32
@@ -110,26 +110,26 @@ def pair_by_key(
 
 
 def conversation(
+    df: DataFrame,
     found: DataFrame,
-    peers: DataFrame,
     offset: int,
     limit: int,
     rules: Sequence[Rule] = WIRE_RULES,
 ) -> DataFrame:
-    """A page of a search with what each message carried, and which row it answers.
+    """A page of ``found``, a search in ``df``, with what each message carried and answers.
 
     ``request_row`` is the place on the page, from 0, of the request a row answers. An
     exchange that crosses the edge of the page is not tied.
     """
     cut = page(found, offset, limit)
     if "keys" not in cut.columns:
-        cut = cut.withColumns({"keys": named_keys(), "detail": detail_text()})
+        cut = cut.withColumn("keys", named_keys())
     if "detail" not in cut.columns:
         cut = cut.withColumn("detail", detail_text())
-    rows = event_rows(cut, peers).withColumn("row", F.col("row_index") - offset).drop("row_index")
-    ties = pair_by_key(cut, rules, page_of=F.lit(0))
-    place = cut.select(F.col("pos").alias("request_pos"), (F.col("row_index") - offset).alias("request_row"))
+    rows = page_rows(df, cut, limit).withColumn("row", F.col("row_index") - offset)
+    ties = pair_by_key(rows, rules, page_of=F.lit(0))
+    place = rows.select(F.col("pos").alias("request_pos"), F.col("row").alias("request_row"))
     answers = ties.join(place, "request_pos").select(
         F.col("reply_pos").alias("pos"), "request_row", "elapsed_ms"
     )
-    return rows.join(answers, "pos", "left")
+    return rows.drop("row_index").join(answers, "pos", "left")

@@ -9,6 +9,7 @@ from tallywire.functions.address import ip_hex, mask, peer_ip
 from tallywire.functions.labels import ratio
 from tallywire.functions.taxonomy import LIFECYCLE
 from tallywire.plans import skew
+from tallywire.plans.sizes import settled
 
 # Labels of the networks that are no autonomous system, in listing order.
 UNMAPPED, ANONYMISING, UNKNOWN = "unmapped IP", "Tor / I2P / CJDNS", "address not seen"
@@ -58,6 +59,7 @@ def with_network(
     peers: DataFrame, prefixes: DataFrame, hot_rows: int = skew.HOT_ROWS
 ) -> DataFrame:
     """Add ``asn`` and ``network_label`` (empty for an autonomous system) to a peer table."""
+    peers = settled(peers, "peers")
     found = longest_prefix(peers.select("addr").distinct(), prefixes)
     mapped = skew.salted_join(
         peers, found, ["addr"], "left", salt_by="peer_id", hot_rows=hot_rows

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywire.functions.labels import CONN_TYPES, conn_type_name, share
+from tallywire.functions.buckets import log2_bucket
+from tallywire.functions.labels import CONN_TYPES, share
 from tallywire.functions.taxonomy import LIFECYCLE, is_lifecycle, is_message
-from tallywire.operators.distribution import distribution, merge_distributions, with_percentiles
+from tallywire.operators.distribution import folded, tally, unfolded, with_percentiles
 from tallywire.plans import skew
 
 RECENT = 8
@@ -31,20 +32,36 @@ def of_peers(df: DataFrame) -> DataFrame:
     return df.filter(is_message() | is_lifecycle())
 
 
+def _identity() -> Column:
+    """Whether an event tells a peer's address and connection type; misbehaving does not."""
+    return F.col("kind") != "misbehaving"
+
+
+def last_addresses(df: DataFrame) -> DataFrame:
+    """(peer_id, addr) with the last known address of every peer that has one."""
+    return (
+        of_peers(df)
+        .filter(_identity() & F.col("addr").isNotNull())
+        .groupBy("peer_id", "addr")
+        .agg(F.max("pos").alias("last_pos"))
+        .groupBy("peer_id")
+        .agg(F.max_by("addr", "last_pos").alias("addr"))
+    )
+
+
 def peer_table(df: DataFrame) -> DataFrame:
     """One row per peer.
 
-    The last address, connection type and network are looked up among the distinct values a
-    peer was seen with, of which there are few; so the pass over the events only keeps
-    fixed-width counters, and a busy peer is reduced before the shuffle.
+    A peer is seen with few addresses, so events are reduced per (peer, address) first. That
+    pass keeps fixed-width numbers only, which lets it aggregate in place, without sorting,
+    and shrinks a busy peer before the shuffle. The last address is picked from what is left.
     """
-    shown = F.col("kind") != "misbehaving"
-    identity = [
-        "peer_id",
-        F.when(is_message() | shown, F.col("addr")).alias("addr"),
-        F.when(is_message() | shown, F.col("conn_type")).alias("conn_type"),
-        F.when(is_lifecycle() & shown, F.col("network")).alias("network"),
-    ]
+    pos = F.col("pos")
+    codes = F.create_map(*[F.lit(x) for n, c in enumerate(CONN_TYPES) for x in (c, n)])
+    unknown = CONN_TYPES.index("unknown")
+    conn_code = F.coalesce(codes[F.col("conn_type")], F.lit(unknown))
+    typed = _identity() & F.col("conn_type").isNotNull()
+    placed = is_lifecycle() & _identity() & F.col("network").isNotNull()
     inbound = is_message() & F.col("inbound")
     outbound = is_message() & ~F.col("inbound")
     counters = {
@@ -57,26 +74,27 @@ def peer_table(df: DataFrame) -> DataFrame:
         counters[f"n_{kind}"] = F.count_if(is_lifecycle() & (F.col("kind") == kind))
     seen = (
         of_peers(df)
-        .groupBy(*identity)
+        .groupBy("peer_id", F.when(_identity(), F.col("addr")).alias("addr"))
         .agg(
             F.min("ts_ms").alias("first_seen"),
             F.max("ts_ms").alias("last_seen"),
             F.min("pos").alias("first_pos"),
             F.max("pos").alias("last_pos"),
+            F.max(F.when(typed, pos)).alias("conn_pos"),
+            F.max_by(conn_code, F.when(typed, pos)).alias("conn_code"),
+            F.max(F.when(placed, pos)).alias("network_pos"),
+            F.max_by("network", F.when(placed, pos)).alias("network"),
             *[c.alias(n) for n, c in counters.items()],
         )
     )
-
-    def last(name: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("last_pos"))).alias(name)
-
+    labels = F.array(*[F.lit(c) for c in CONN_TYPES])
     lifecycle = sum((F.col(f"n_{k}") for k in LIFECYCLE[1:]), F.col(f"n_{LIFECYCLE[0]}"))
     return (
         seen.groupBy("peer_id")
         .agg(
-            last("addr"),
-            last("conn_type"),
-            last("network"),
+            F.max_by("addr", F.when(F.col("addr").isNotNull(), F.col("last_pos"))).alias("addr"),
+            F.max_by("conn_code", "conn_pos").alias("conn_code"),
+            F.max_by("network", "network_pos").alias("network"),
             F.min("first_seen").alias("first_seen"),
             F.max("last_seen").alias("last_seen"),
             F.min("first_pos").alias("first_pos"),
@@ -84,12 +102,13 @@ def peer_table(df: DataFrame) -> DataFrame:
         )
         .withColumns(
             {
+                "conn_type": F.get(labels, F.col("conn_code")),
                 "duration_ms": F.col("last_seen") - F.col("first_seen"),
                 "lifecycle_events": lifecycle,
                 "events": F.col("messages_in") + F.col("messages_out") + lifecycle,
-                "conn_type": conn_type_name(F.col("conn_type")),
             }
         )
+        .drop("conn_code")
     )
 
 
@@ -247,15 +266,23 @@ def connection_durations(df: DataFrame, ending: str = "all") -> DataFrame:
             "lifetime_ms",
         )
     )
-    per_ending = distribution(ended, ["conn_type", "was_evicted"], "lifetime_ms")
-    counts = per_ending.groupBy("conn_type").agg(
-        F.coalesce(F.sum(F.when(~F.col("was_evicted"), F.col("count"))), F.lit(0)).alias("closed"),
-        F.coalesce(F.sum(F.when(F.col("was_evicted"), F.col("count"))), F.lit(0)).alias("evicted"),
+    chosen = {"closed": ~F.col("was_evicted"), "evicted": F.col("was_evicted")}.get(
+        ending, F.lit(True)
+    )
+    per_bucket = (
+        ended.withColumn("ms", F.when(chosen, F.col("lifetime_ms")))
+        .groupBy("conn_type", log2_bucket(F.col("lifetime_ms")).alias("bucket"))
+        .agg(
+            *[c.alias(n) for n, c in tally("ms").items()],
+            F.count_if(~F.col("was_evicted")).alias("closed"),
+            F.count_if("was_evicted").alias("evicted"),
+        )
+    )
+    folds = per_bucket.groupBy("conn_type").agg(
+        *folded(), F.sum("closed").alias("closed"), F.sum("evicted").alias("evicted")
     )
-    wanted = {"closed": ~F.col("was_evicted"), "evicted": F.col("was_evicted")}
-    chosen = per_ending.filter(wanted.get(ending, F.lit(True)))
-    merged = with_percentiles(merge_distributions(chosen, ["conn_type"]))
-    return merged.join(counts, "conn_type")
+    # A type with none of the chosen ending is left out.
+    return with_percentiles(unfolded(folds.filter(F.col("count") > 0)))
 
 
 def peer_detail(

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.taxonomy import is_lifecycle, is_message, row_size
+from tallywire.operators.peers import last_addresses
 from tallywire.plans import skew
-from tallywire.plans.sizes import small_enough
+from tallywire.plans.sizes import settled, small_enough
 
 # Rows are counted per run of 2**RUN_BITS archive positions to find a page.
 RUN_BITS = 20
+# Up to this many rows a page, its runs and its peers are sent to every task.
+MAX_BROADCAST_PAGE = 100_000
 
 
 def search_events(
@@ -30,7 +33,7 @@ def search_events(
 
     An event's kind may be in ``kinds`` or its group in ``groups``; both time limits are
     inclusive. ``text`` is looked for in the kind and in the peer's last known address, which
-    ``peers`` (a peer table) supplies.
+    ``peers`` (peer_id, addr) supplies; without it the addresses come from ``df``.
     """
     out = df
     if kinds or groups:
@@ -42,7 +45,7 @@ def search_events(
     if time_to is not None:
         out = out.filter(F.col("ts_ms") <= time_to)
     if text:
-        out = _matching(out, text.lower(), _peers(df, peers))
+        out = _matching(out, text.lower(), last_addresses(df) if peers is None else peers)
     return out
 
 
@@ -50,17 +53,12 @@ def _attributed() -> Column:
     return is_message() | is_lifecycle()
 
 
-def _peers(df: DataFrame, peers: DataFrame | None) -> DataFrame:
-    if peers is not None:
-        return peers
-    from tallywire.operators.peers import peer_table
-
-    return peer_table(df)
-
-
 def _matching(df: DataFrame, needle: str, peers: DataFrame) -> DataFrame:
-    by_address = peers.filter(F.contains(F.lower("addr"), F.lit(needle))).select(
-        "peer_id", F.lit(True).alias("_at_address")
+    by_address = settled(
+        peers.filter(F.contains(F.lower("addr"), F.lit(needle))).select(
+            "peer_id", F.lit(True).alias("_at_address")
+        ),
+        "matching-peers",
     )
     if small_enough(by_address):
         marked = df.join(F.broadcast(by_address), "peer_id", "left")
@@ -88,7 +86,7 @@ def page(df: DataFrame, offset: int, limit: int, bits: int = RUN_BITS) -> DataFr
         .select("run", "start")
     )
     # Every run left holds a row of the page, so there are at most ``limit`` of them.
-    small = F.broadcast(runs) if limit <= 100_000 else runs
+    small = F.broadcast(runs) if limit <= MAX_BROADCAST_PAGE else runs
     place = F.row_number().over(Window.partitionBy("run").orderBy("pos")) - 1
     return (
         df.withColumn("run", run)
@@ -103,11 +101,9 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
 
-def event_rows(df: DataFrame, peers: DataFrame) -> DataFrame:
-    """Events as rows to show, with the peer's last known address."""
-    known = peers.select("peer_id", F.col("addr").alias("last_addr"))
+def _shown(df: DataFrame) -> DataFrame:
     extra = [c for c in ("row_index", "detail", "keys") if c in df.columns]
-    base = df.select(
+    return df.select(
         "pos",
         "ts_ms",
         "category",
@@ -119,8 +115,21 @@ def event_rows(df: DataFrame, peers: DataFrame) -> DataFrame:
         row_size().alias("size"),
         *extra,
     )
-    if "row_index" in extra:
-        rows = base.join(known, "peer_id", "left")  # a page is short
-    else:
-        rows = skew.salted_join(base, known, ["peer_id"], "left")
-    return rows.withColumnRenamed("last_addr", "addr")
+
+
+def event_rows(df: DataFrame, peers: DataFrame) -> DataFrame:
+    """Events as rows to show, with the peer's last known address."""
+    known = peers.select("peer_id", "addr")
+    return skew.salted_join(_shown(df), known, ["peer_id"], "left")
+
+
+def page_rows(df: DataFrame, cut: DataFrame, limit: int) -> DataFrame:
+    """A page ``cut`` out of the events ``df``, as rows to show.
+
+    Addresses are looked up for the page's own peers only.
+    """
+    shown = settled(_shown(cut), "page")
+    mine = shown.select("peer_id").distinct()
+    small = F.broadcast(mine) if limit <= MAX_BROADCAST_PAGE else mine
+    known = last_addresses(df.join(small, "peer_id", "left_semi"))
+    return shown.join(known, "peer_id", "left")

@@ -253,13 +253,13 @@ def q_event_search_text(spark, folder):
 
 def q_event_rows(spark, folder):
     m = messages(spark, folder)
-    return search.event_rows(m, peers.peer_table(m))
+    return search.event_rows(m, peers.last_addresses(m))
 
 
 def q_event_page(spark, folder):
     m = messages(spark, folder)
     found = search.search_events(m, groups=["message"])
-    return search.event_rows(search.page(found, 300, 100, bits=8), peers.peer_table(m))
+    return search.page_rows(m, search.page(found, 300, 100, bits=8), 100)
 
 
 def q_event_json(spark, folder):
@@ -372,7 +372,7 @@ def q_keyed_pairs(spark, folder):
 def q_conversation(spark, folder):
     m = _keyed_messages(spark, folder)
     found = search.search_events(m, groups=["message"])
-    rows = conversation(found, peers.peer_table(m), 0, 400, adapt.ACTIVITY_RULES)
+    rows = conversation(m, found, 0, 400, adapt.ACTIVITY_RULES)
     return rows.drop("keys")
 
 

@@ -80,7 +80,8 @@ def messages_from_activity(events: DataFrame) -> DataFrame:
         F.when(known, F.col("address")).alias("addr"),
         F.when(known, F.element_at(labels, (F.col("k") % 5 + 1).cast("int"))).alias("conn_type"),
         F.when(~is_message & known, F.lit(1)).alias("network"),
-        F.when(is_message, F.col("k") % 2 == 0).alias("inbound"),
+        # Never NULL for a message, so asking whether there is a direction needs no k.
+        F.when(is_message, F.coalesce(F.col("k") % 2 == 0, F.lit(False))).alias("inbound"),
         F.when(is_message, F.col("cents")).alias("size"),
         F.when(lasting, F.expr("ts_ms div 1000") - F.col("k") * 60).alias("established_s"),
         F.when(F.col("kind").isin("inbound", "outbound"), F.col("k")).alias("existing_connections"),

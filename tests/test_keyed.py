@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tallywire.functions.payload import named_keys
 from tallywire.operators.keyed import LOCAL_OPEN, conversation, pair_by_key
-from tallywire.operators.peers import peer_table
 from tallywire.operators.rules import WIRE_RULES
 
 from . import brute, wire
@@ -72,7 +71,7 @@ def test_equals_looking_at_every_open_request(spark, seed):
 
 def talk(spark, rows):
     events = wire.archive(spark, rows)
-    found = conversation(events, peer_table(events), 0, 100)
+    found = conversation(events, events, 0, 100)
     return found.orderBy("row").collect()
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from tallywire.operators.peers import peer_table
-from tallywire.operators.search import event_rows, page, search_events, total
+from tallywire.operators.search import event_rows, page, page_rows, search_events, total
 
 from . import wire
 from .test_timeline import loaded
@@ -58,8 +58,11 @@ def test_pages_cover_everything_once(df, bits):
     assert page(found, 500, 10, bits=bits).count() == 0
 
 
-def test_rows(df):
-    rows = event_rows(page(df, 99, 2), peer_table(df)).orderBy("pos").collect()
+@pytest.mark.parametrize("whole", [True, False])
+def test_rows(df, whole):
+    cut = page(df, 99, 2)
+    found = event_rows(cut, peer_table(df)) if whole else page_rows(df, cut, 2)
+    rows = found.orderBy("pos").collect()
     assert [(r.kind, r.label, r.peer_id, r.addr, r.inbound, r.size) for r in rows] == [
         ("inv", "inv", 4, "10.0.0.4:8333", False, 40),
         ("inbound", "connection inbound", 0, "10.0.0.0:8333", None, 0),
