@@ -62,7 +62,7 @@ def with_network(
     peers = settled(peers, "peers")
     found = longest_prefix(peers.select("addr").distinct(), prefixes)
     mapped = skew.salted_join(
-        peers, found, ["addr"], "left", salt_by="peer_id", hot_rows=hot_rows
+        peers, found, ["addr"], "left", "peer_id", hot_rows, at_most=peers.count()
     )
     asn = F.when(F.col("asn") != 0, F.col("asn"))
     label = (

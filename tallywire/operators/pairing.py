@@ -244,38 +244,45 @@ def pair_by_timing(
     )
 
 
-def _fates(rows: DataFrame, rules: Sequence[Rule], end: Column) -> DataFrame:
-    """One row per request out of the paired rows, with what became of it."""
-    asked = F.col("asks")
-    requests = rows.groupBy(*KEYS, "of_multi", "request_pos").agg(
-        F.max(F.when(asked, F.col("request_ts"))).alias("ts_ms"),
-        F.max(F.when(asked, F.col("next_ts"))).alias("next_ts"),
-        F.count_if(~asked).alias("replies"),
+def _with_replies(rows: DataFrame, split: bool, bits: int) -> DataFrame:
+    """Add to the paired rows how many replies their request has.
+
+    A request and its replies are in one split, or the replies are in later ones; then they
+    are counted there, at most one carried request of each sort per split.
+    """
+    request = [*KEYS, "of_multi", "request_pos"]
+    here = Window.partitionBy(*KEYS, "split", "of_multi", "request_pos")
+    out = rows.withColumn("replies", F.count_if(~F.col("asks")).over(here))
+    if not split:
+        return out
+    carried_over = F.col("request_pos") < F.shiftleft(F.col("split"), bits)
+    later = (
+        rows.filter((F.col("split") != skew.WHOLE) & ~F.col("asks") & carried_over)
+        .groupBy(*request)
+        .agg(F.count(F.lit(1)).alias("_later"))
     )
+    total = F.col("replies") + F.coalesce("_later", F.lit(0))
+    return out.join(later, request, "left").withColumn("replies", total).drop("_later")
+
+
+def _fate(rules: Sequence[Rule], end: Column) -> Column:
+    """What became of a request, from a paired row that is one."""
     optional = F.element_at(F.array(*[F.lit(r.optional) for r in rules]), F.col("rule") + 1)
     window = F.element_at(F.array(*[F.lit(r.window_ms) for r in rules]), F.col("rule") + 1)
-    waited_out = F.greatest(end - F.col("ts_ms"), F.lit(0)) > window
-    replaced_after = F.greatest(F.col("next_ts") - F.col("ts_ms"), F.lit(0)) > window
+    asked = F.col("request_ts")
+    waited_out = F.greatest(end - asked, F.lit(0)) > window
+    replaced_after = F.greatest(F.col("next_ts") - asked, F.lit(0)) > window
     silent = (
         F.when(F.col("next_ts").isNull(), waited_out)
         .when(F.col("of_multi"), replaced_after)
         .otherwise(F.lit(True))
     )
-    fate = (
+    return (
         F.when(F.col("replies") > 0, "answered")
         .when(~optional & silent & F.col("asked_inbound"), "unanswered_by_us")
         .when(~optional & silent, "unanswered_by_peers")
         .otherwise("undetermined")
     )
-    return requests.withColumn("rule", _rule_no(rules)).select(
-        "rule",
-        "peer_id",
-        F.col("asked_inbound").alias("inbound"),
-        "request_pos",
-        "ts_ms",
-        "replies",
-        fate.alias("fate"),
-    )
 
 
 def archive_end(events: DataFrame) -> Column:
@@ -293,8 +300,21 @@ def request_fate(
     A request still inside its window when the archive ends, or replaced inside it where
     several replies are allowed, is undetermined, and so is an ignored announcement.
     """
-    rows, _ = paired_rows(events, rules, hot_rows, bits)
-    return _fates(rows, rules, archive_end(events))
+    rows, split = paired_rows(events, rules, hot_rows, bits)
+    return (
+        _with_replies(rows, split, bits)
+        .filter("asks")
+        .withColumn("rule", _rule_no(rules))
+        .select(
+            "rule",
+            "peer_id",
+            F.col("asked_inbound").alias("inbound"),
+            "request_pos",
+            F.col("request_ts").alias("ts_ms"),
+            "replies",
+            _fate(rules, archive_end(events)).alias("fate"),
+        )
+    )
 
 
 FATES = ["answered", "unanswered_by_peers", "unanswered_by_us", "undetermined"]
@@ -310,20 +330,20 @@ def exchange_report(
 
     ``peer_*`` times replies that came in, ``our_*`` replies this node sent.
     """
-    rows, _ = paired_rows(events, rules, hot_rows, bits)
-    counted = (
-        _fates(rows, rules, archive_end(events)).groupBy("rule", "fate").agg(F.count(F.lit(1)).alias("requests"))
-    )
-    timed = (
-        rows.filter(~F.col("asks"))
-        .groupBy(
-            _rule_no(rules).alias("rule"),
-            F.when(F.col("asked_inbound"), "our").otherwise("peer").alias("side"),
-            log2_bucket(F.col("elapsed_ms")).alias("bucket"),
-        )
-        .agg(*[c.alias(n) for n, c in tally("elapsed_ms").items()])
+    rows, split = paired_rows(events, rules, hot_rows, bits)
+    rows = _with_replies(rows, split, bits).withColumn("rule", _rule_no(rules))
+    asks = F.col("asks")
+    side = F.when(F.col("asked_inbound"), "our").otherwise("peer")
+    # Requests are counted by fate and replies by side and bucket, in one pass.
+    both = rows.groupBy(
+        "rule",
+        F.when(asks, _fate(rules, archive_end(events))).alias("fate"),
+        F.when(~asks, side).alias("side"),
+        log2_bucket(F.col("elapsed_ms")).alias("bucket"),
+    ).agg(
+        F.count_if(asks).alias("requests"),
+        *[c.alias(n) for n, c in tally("elapsed_ms").items()],
     )
-    both = counted.unionByName(timed, allowMissingColumns=True)
     out = both.groupBy("rule").agg(
         F.sum("requests").alias("opened"),
         *[

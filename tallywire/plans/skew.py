@@ -114,9 +114,14 @@ def salted_join(
     salt_by: str = "pos",
     hot_rows: int = HOT_ROWS,
     salts: int = 256,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``lookup`` (few rows per key), spreading hot keys over ``salts`` tasks."""
-    hot = hot_hashes(rows, keys, hot_rows)
+    """Join ``rows`` to ``lookup`` (few rows per key), spreading hot keys over ``salts`` tasks.
+
+    ``at_most`` is how many rows there are, where that is known; few rows have no hot key.
+    """
+    few = at_most is not None and at_most <= hot_rows
+    hot = [] if few else hot_hashes(rows, keys, hot_rows)
     if not hot:
         return rows.join(lookup, list(keys), how)
     salt = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
