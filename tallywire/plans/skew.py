@@ -33,7 +33,7 @@ def hot_hashes(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -
     """The hashes of all keys with more than ``hot_rows`` rows.
 
     This runs a job over the key columns when the operator is called, so that the plan for
-    ordinary data needs none of what hot keys need. At most GROUPS * TRACKED numbers come back.
+    ordinary data needs none of what hot keys need. At most GROUPS * TRACKED / 2 numbers come back.
     """
     sketches = (
         rows.select(key_hash(keys).alias("h"))

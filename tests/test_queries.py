@@ -1,6 +1,8 @@
 """All registered queries against their SQL at the smallest scale."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -34,3 +36,20 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """Python workers start in a folder from which the package cannot be imported."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from tallywire.session import local_session\n"
+        "s = local_session(2, 2)\n"
+        "for n in ('keyed_pairs', 'stream_pairing', 'stream_race'):\n"
+        f"    assert e.queries()[n](s, {FOLDER!r}).count() > 0, n\n"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
