@@ -38,15 +38,14 @@ class Archive:
         spark: SparkSession,
         path: str | list[str],
         fmt: str = "parquet",
-        header: DataFrame | None = None,
         rules: Sequence[Rule] = WIRE_RULES,
     ) -> Archive:
-        """Read the files below ``path``; ``header`` may add created_s and low_data per file."""
-        good, bad = source.quarantine(source.read_raw(spark, path, fmt))
+        """Read the files below ``path`` as one archive."""
+        raw = source.read_raw(spark, path, fmt)
+        good, bad = source.quarantine(raw)
         files = source.list_files(spark, path)
         events = source.classify(source.with_archive_order(good, files))
-        if header is not None:
-            files = files.join(header.drop("size_bytes"), "file_name", "left")
+        files = files.join(source.file_headers(raw), "file_name", "left")
         return cls(events, bad, files, rules)
 
     @cached_property

@@ -51,6 +51,9 @@ WIRE_EVENTS = T.StructType(
         T.StructField("raw", T.BinaryType()),
         T.StructField("txs", T.ArrayType(TRANSACTION)),
         T.StructField("payload", T.BinaryType()),
+        # Set in the header record of a file only.
+        T.StructField("created_s", T.LongType()),
+        T.StructField("low_data", T.BooleanType()),
     ]
 )
 

@@ -66,9 +66,17 @@ def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A header record says when the file was begun; it is neither an event nor an error.
     """
-    good = raw.filter(F.col(CORRUPT).isNull() & F.col("ts_ms").isNotNull()).drop(CORRUPT)
+    good = raw.filter(F.col(CORRUPT).isNull() & F.col("ts_ms").isNotNull())
     bad = raw.filter(F.col(CORRUPT).isNotNull())
-    return good, bad
+    return good.drop(CORRUPT, "created_s", "low_data"), bad
+
+
+def file_headers(raw: DataFrame) -> DataFrame:
+    """What the header records say: when each file was begun, and whether payloads were left out."""
+    headers = raw.filter(F.col("ts_ms").isNull() & F.col("created_s").isNotNull())
+    return headers.groupBy("file_name").agg(
+        F.min("created_s").alias("created_s"), F.bool_or("low_data").alias("low_data")
+    )
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -29,7 +29,8 @@ def folder(tmp_path):
     lines = [as_json(r, i) for i, r in enumerate(two)]
     lines.insert(1, '{"ts_ms": 17, "arm"')
     (tmp_path / SECOND).write_text("\n".join(lines) + "\n")
-    text = "\n".join(as_json(r, i) for i, r in enumerate(one)) + "\n"
+    header = json.dumps({"created_s": 1704067200, "low_data": True})
+    text = "\n".join([header, *(as_json(r, i) for i, r in enumerate(one))]) + "\n"
     (tmp_path / FIRST).write_bytes(zstandard.compress(text.encode()))
     (tmp_path / "node.a.b.20240101-020000-000.json").write_text("{broken\n")
     # Not compressed at all, whatever its name says.
@@ -66,6 +67,8 @@ def test_summary_counts_damage_per_file(spark, folder):
     assert [(files[f].events, files[f].decode_errors, files[f].error) for f in (FIRST, SECOND)] == [
         (2, 0, None), (2, 1, None),
     ]
+    assert (files[FIRST].created_s, files[FIRST].low_data) == (1704067200, True)
+    assert (files[SECOND].created_s, files[SECOND].low_data) == (None, None)
     third = next(r for f, r in files.items() if "020000" in f)
     assert (third.events, third.decode_errors, third.error) == (0, 1, "no readable event")
     assert third.size_bytes == 8
