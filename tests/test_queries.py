@@ -11,7 +11,8 @@ from check import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# Those of the optional part are tested beside it.
+QUERIES, ORACLES = entry.catalogue.queries(), entry.oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def test_every_sql_has_its_query():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = QUERIES[name](spark, FOLDER)
+    df = entry.queries()[name](spark, FOLDER)
     if name in ORACLES:
         assert difference(df, con, ORACLES[name]) is None
     else:
