@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywire.llm.tables import join_groups
-from tallywire.plans.sizes import settled
+from tallywire.plans.sizes import broadcast_if_small, settled
 
 SLOTS = 4
 MOVES = 200  # moves after which the filter counts as full
@@ -194,3 +194,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_dedup keeps, with all their columns.
+
+    Where rows repeat a doc_id, one row of each of their kept texts stays.
+    """
+    found = exact_dedup(docs, id_col, text_col)
+    kept = found.groupBy("doc_id", "text_sha256").agg(
+        F.count("*").alias("n"), F.max("kept").alias("kept")
+    )
+    kept = kept.groupBy("doc_id").agg(
+        F.sum("n").alias("n"), F.expr("collect_list(text_sha256) FILTER (WHERE kept)").alias("shas")
+    )
+    kept = settled(kept.filter("size(shas) > 0"), "kept")
+    once = kept.filter("n = 1").select(F.col("doc_id").alias("_id"))
+    often = kept.filter("n > 1").select(F.col("doc_id").alias("_id"), F.explode("shas").alias("_sha"))
+    same_id = docs[id_col].eqNullSafe(F.col("_id"))
+    single = docs.join(broadcast_if_small(once), same_id, "left_semi")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), upper, upper.lower())
+    rest = docs.join(broadcast_if_small(often), same_id).filter(F.sha2(text, 256) == F.col("_sha"))
+    rest = rest.dropDuplicates(["_id", "_sha"]).select(*[docs[c] for c in docs.columns])
+    return single.union(rest)

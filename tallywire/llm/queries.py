@@ -5,15 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallywire.llm.exact_dedup import exact_dedup
+from tallywire.llm.mixing import mix_sources
+from tallywire.llm.packing import pack
 from tallywire.llm.signature_join import near_duplicates
+from tallywire.llm.toxicity import held_out, toxicity, toxicity_model
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity_model(docs, table(spark, folder, "labels"))
+    return toxicity(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"
+    )
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_digest(pack(table(spark, folder, "documents"), tokenizer_path()))
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op6_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=3, share=90)
 
@@ -22,8 +56,13 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_signature_join, op7_exact_dedup)}
+    found = [op1_toxicity, op2_packing, op6_signature_join, op7_exact_dedup, op10_mixing]
+    return {f.__name__: f for f in found}
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -491,3 +491,14 @@ def near_duplicates(
             "component_id"
         ),
     )
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """Of every component of near duplicates the row with the smallest doc_id, whole.
+
+    Rows without doc_id stay. Rows that share a doc_id stay or go together.
+    """
+    found = near_duplicates(docs, **how).filter("doc_id IS NULL OR doc_id = component_id")
+    kept = settled(found.select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    id_col = docs[how.get("id_col", "doc_id")]
+    return docs.join(broadcast_if_small(kept), id_col.eqNullSafe(F.col("_id")), "left_semi")

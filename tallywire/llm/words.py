@@ -38,6 +38,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# Everything in ASCII but letters and digits parts words here.
+SIGNS = np.ones(256, dtype=bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
@@ -61,10 +64,10 @@ class Words:
 
 
 class Reader:
-    """Cuts batches of texts into words; keeps tables of powers between batches."""
+    """Cuts batches of texts into words at ``blank`` bytes; keeps tables between batches."""
 
-    def __init__(self) -> None:
-        self.size = 0
+    def __init__(self, blank: np.ndarray = BLANK) -> None:
+        self.size, self.blank = 0, blank
 
     def _grow(self, n: int) -> None:
         if n > self.size:
@@ -80,7 +83,7 @@ class Reader:
     def words(self, data: np.ndarray, offsets: np.ndarray, lo: int) -> Words:
         n = len(data)
         bounds = offsets - offsets[0]
-        inside = ~BLANK[data]
+        inside = ~self.blank[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[bounds] = True
         before = np.empty(n, dtype=bool)
