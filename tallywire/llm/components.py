@@ -11,7 +11,8 @@ from tallywire.plans.sizes import settled
 
 def _lowest(arcs: DataFrame) -> DataFrame:
     """Per node ``u`` its lowest neighbour, or itself, and how many arcs it has."""
-    return arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    low = F.least(F.min("v"), F.first("u"))
+    return arcs.groupBy("u").agg(low.alias("m"), F.count("*").alias("n"))
 
 
 def _star(arcs: DataFrame) -> DataFrame:

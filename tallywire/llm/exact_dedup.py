@@ -210,7 +210,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     kept = settled(kept.filter("size(shas) > 0"), "kept")
     once = kept.filter("n = 1").select(F.col("doc_id").alias("_id"))
-    often = kept.filter("n > 1").select(F.col("doc_id").alias("_id"), F.explode("shas").alias("_sha"))
+    often = kept.filter("n > 1")
+    often = often.select(F.col("doc_id").alias("_id"), F.explode("shas").alias("_sha"))
     same_id = docs[id_col].eqNullSafe(F.col("_id"))
     single = docs.join(broadcast_if_small(once), same_id, "left_semi")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

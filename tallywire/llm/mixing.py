@@ -125,14 +125,17 @@ def mix_sources(
     keys = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.when(F.col(id_col).isNull(), F.lit("z")).otherwise(F.substring(md5, 1, RUN_DIGITS)).alias("run"),
+        F.when(F.col(id_col).isNull(), F.lit("z"))
+        .otherwise(F.substring(md5, 1, RUN_DIGITS))
+        .alias("run"),
         md5.alias("md5"),
     )
     keys = settled(keys, "mix-keys")
     # One number for both: each run's rows, and the rows in the source's runs before it.
     runs = keys.groupBy("source", "run").agg(F.count("*").alias("n"))
     runs = settled(runs, "mix-runs")
-    sizes = {r["source"]: r["n"] for r in runs.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    per_source = runs.groupBy("source").agg(F.sum("n").alias("n"))
+    sizes = {r["source"]: r["n"] for r in per_source.collect()}
     if weights is None:
         weights = {s: n**power for s, n in sizes.items()}
     least = min(weights.values(), default=1)
@@ -142,7 +145,9 @@ def mix_sources(
 
     upto = "sum(n) OVER (PARTITION BY source ORDER BY run) - n"
     before = runs.select(
-        F.col("source").alias("in_source"), F.col("run").alias("in_run"), F.expr(upto).alias("before")
+        F.col("source").alias("in_source"),
+        F.col("run").alias("in_run"),
+        F.expr(upto).alias("before"),
     )
     place = "row_number() OVER (PARTITION BY source, run ORDER BY md5, doc_id) - 1"
     rows = keys.select("doc_id", "source", "run", F.expr(place).cast("bigint").alias("place"))

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywire.llm.exact_dedup import exact_dedup
+from tallywire.llm.gear_dedup import repeated_spans
+from tallywire.llm.hash_forest import nearest
+from tallywire.llm.html_layout import page_texts
 from tallywire.llm.mixing import mix_sources
 from tallywire.llm.packing import pack
+from tallywire.llm.pitman_yor import language_scores
 from tallywire.llm.signature_join import near_duplicates
 from tallywire.llm.toxicity import held_out, toxicity, toxicity_model
+from tallywire.llm.url_rules import url_verdicts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +53,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_html_layout(spark: SparkSession, folder: str) -> DataFrame:
+    return page_texts(table(spark, folder, "pages"))
+
+
+def op5_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    def part(column):
+        return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(7))
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(part("doc_id") == 2, F.lit(False))
+    scores = language_scores(docs, part("doc_id") != 2)
+    return scores.withColumn("held_out", held_out)
+
+
 def op6_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=3, share=90)
 
@@ -56,12 +79,41 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op8_gear_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans(table(spark, folder, "documents"))
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = url_verdicts(table(spark, folder, "pages"), URL_RULES)
+    return found.withColumn("tokens", F.array_join("tokens", " "))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_packing, op6_signature_join, op7_exact_dedup, op10_mixing]
+    found = [
+        op1_toxicity,
+        op2_packing,
+        op3_hash_forest,
+        op4_html_layout,
+        op5_pitman_yor,
+        op6_signature_join,
+        op7_exact_dedup,
+        op8_gear_dedup,
+        op9_url_rules,
+        op10_mixing,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -70,12 +122,14 @@ LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 OP6 = f"""
 WITH RECURSIVE words AS (
-    SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    SELECT doc_id, list_filter(
+        string_split_regex({LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
     FROM documents),
 shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[]
         WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        ELSE list_transform(range(1, len(w) - 1),
+            lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
         END) AS s
     FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),

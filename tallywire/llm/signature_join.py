@@ -3,21 +3,21 @@
 Documents with the same set of shingles form a class; links are sought between classes.
 
 *Blocks.* If two sets link, their sizes are within the threshold of each other and at most
-``d`` shingles are in one of them only. Sizes fall into levels; a level serves pairs whose
+`d` shingles are in one of them only. Sizes fall into levels; a level serves pairs whose
 smaller set is in it. For each level that a set belongs to, its shingles are dealt into
-``d + 1`` parts by hash, and every part has a key made of all its shingles. Sets that link
+`d + 1` parts by hash, and every part has a key made of all its shingles. Sets that link
 agree on at least one part, so they meet in a block of that key, and sets that only share a
 passage hardly ever do.
 
-*Signature trees.* The sets of a block, or of two parts of a large one, are the leaves of
-trees. A node holds the OR of its sets' bitmaps, the range of their sizes and the most
+*Signature trees.* The sets of a task are the leaves of a tree, or of two that meet. A node holds the OR of its sets' bitmaps, the range of their sizes and the most
 shingles that share a bit with another in one set. Two nodes are descended together; a pair of
 nodes is left alone when their sizes do not fit, when even the bits they have in common would
 not make the overlap that a link needs, or when all their sets are already in one component.
 
-Large groups: copies are one class; a large block is cut into chunks at random, so that the
-many blocks of a group of near copies join its chunks up; blocks that lie in one component
-are then dropped, and of what remains only pairs of chunks that can add a link are compared.
+Sets that share blocks, directly or through others, are a family. A small family is compared
+in one task. Of a large one two blocks of each set are cut into chunks at random first, which
+joins groups of near copies up, chunk by chunk; then the sets outside the family's largest
+component are compared with all others, in pairs of chunks. Copies are one class all along.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallywire.llm.components import components
 from tallywire.llm.tables import groups_in_order, join_groups
-from tallywire.llm.words import Reader, Words, lists, mix, signed
+from tallywire.llm.words import Reader, Words, mix, signed
 from tallywire.plans.sizes import broadcast_if_small, settled
 
 U = np.uint64
@@ -126,28 +126,21 @@ def part_keys(
     return keys, counts
 
 
-def profiles(docs: DataFrame, width: int, share: int) -> DataFrame:
-    """Per row: doc_id, n, a 128-bit digest (d1, d2) of its set, keys, and the first of them.
-
-    ``heads`` has the key of one part of each level, ``keys`` those of all parts.
-    """
-    schema = (
-        "doc_id bigint, n bigint, d1 bigint, d2 bigint, heads array<bigint>, keys array<bigint>"
-    )
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """Per row: doc_id, n, and a 128-bit digest (d1, d2) of its set of n shingles."""
 
     def read(batches):
-        reader, levels = Reader(), Levels(share)
+        reader = Reader()
         for batch in batches:
             for run in reader.runs(batch.column(1)):
                 sets, sizes = shingle_sets(run, width)
                 ids = batch.column(0).slice(run.lo, run.hi - run.lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes.astype(np.int64)), *_digest(sets, sizes)]
-                    + _key_lists(*part_keys(sets, sizes, levels)),
-                    ["doc_id", "n", "d1", "d2", "heads", "keys"],
+                    [ids, pa.array(sizes.astype(np.int64)), *_digest(sets, sizes)],
+                    ["doc_id", "n", "d1", "d2"],
                 )
 
-    return docs.mapInArrow(read, schema)
+    return docs.mapInArrow(read, "doc_id bigint, n bigint, d1 bigint, d2 bigint")
 
 
 def _digest(sets: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
@@ -162,19 +155,6 @@ def _digest(sets: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
     return out
 
 
-def _key_lists(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[pa.Array]:
-    owner = np.concatenate([np.repeat(np.arange(len(c)), c) for c in counts])
-    order = np.argsort(owner, kind="stable")
-    flat = signed(np.concatenate(keys)[order])
-    total = counts[0] + counts[1]
-    begins = [np.cumsum(c) - c for c in counts]
-    heads = np.zeros((len(total), 2), dtype=np.int64)
-    has = np.stack([c > 0 for c in counts], axis=1)
-    for j in (0, 1):
-        heads[has[:, j], j] = signed(keys[j][begins[j][has[:, j]]])
-    return [lists(heads[has], has.sum(axis=1)), lists(flat, total)]
-
-
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id and its sorted shingles as 64-bit numbers, one after the other."""
 
@@ -348,55 +328,187 @@ def _links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 # --- blocks ---
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """Of (id, block) rows those whose block has several ids."""
-    several = settled(keys.groupBy("block").agg(F.count("*").alias("held")).filter("held > 1"), "blocks")
-    return keys.join(broadcast_if_small(several), "block")
+class Dealer:
+    """Deals (key, id) rows of a task to shards by key, packed into a few bytes each.
+
+    A block is named by its shard and 47 bits of its key. Of rows of the same block in one
+    task only the first goes to the shard, marked; the others are members already and pass by.
+    So a shard gets a row per block and task at most, however large the block is.
+    """
+
+    HELD = 2_000_000  # rows a task gathers before it deals them
+
+    def __init__(self, shards: int) -> None:
+        self.shards, self.keys, self.ids, self.n = shards, [], [], 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.ids.append(ids)
+        self.n += len(keys)
+        if self.n >= self.HELD:
+            yield from self.deal()
+
+    def deal(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        keys, ids = np.concatenate(self.keys), np.concatenate(self.ids)
+        self.keys, self.ids, self.n = [], [], 0
+        block = ((keys % U(self.shards)) << U(47)) | (keys >> U(17))
+        order = np.argsort(block, kind="stable")
+        block, ids = block[order], ids[order]
+        new = np.ones(len(block), dtype=bool)
+        new[1:] = block[1:] != block[:-1]
+        begins = np.flatnonzero(new)
+        several = np.diff(np.append(begins, len(block))) > 1
+        first, first_id = block[begins], ids[begins]
+        shard = (first >> U(47)).astype(np.int64)
+        order = np.lexsort((first_id, shard))
+        first, first_id, several, shard = (x[order] for x in (first, first_id, several, shard))
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        rows = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+            part, held = first[lo:hi], first_id[lo:hi]
+            steps = np.diff(held, prepend=held[:1])
+            narrow = steps.max() < 1 << 16
+            rows.append(
+                (
+                    int(shard[lo]),
+                    int(held[0]),
+                    (part & U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+                    ((part >> U(32)) & U(0x7FFF) | several[lo:hi].astype(U) << U(15))
+                    .astype(np.uint16)
+                    .tobytes(),
+                    (steps.astype(np.uint16) if narrow else steps).tobytes(),
+                )
+            )
+        again = np.flatnonzero(~new)
+        for lo in range(0, len(again), 100_000):
+            at = again[lo : lo + 100_000]
+            spread = -1 - int(block[at[0]] % U(1 << 30))
+            rows.append((spread, 0, block[at].tobytes(), b"", ids[at].tobytes()))
+        names = ["shard", "base", "low", "high", "steps"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names
+        )
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (block, id) of blocks with several, from what was dealt to this task."""
+
+    def out(blocks, ids):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(blocks)), pa.array(ids)], ["block", "id"]
+        )
+
+    blocks, ids, marks = [], [], []
+    for batch in batches:
+        for shard, base, low, high, steps in zip(
+            *[batch.column(i).to_pylist() for i in range(5)], strict=True
+        ):
+            if shard < 0:
+                yield out(np.frombuffer(low, dtype=U), np.frombuffer(steps, dtype=np.int64))
+                continue
+            high = np.frombuffer(high, dtype=np.uint16).astype(U)
+            steps = np.frombuffer(steps, np.uint16 if len(steps) == 2 * len(high) else np.int64)
+            blocks.append(
+                (U(shard) << U(47))
+                | ((high & U(0x7FFF)) << U(32))
+                | np.frombuffer(low, dtype=np.uint32).astype(U)
+            )
+            ids.append(base + np.cumsum(steps.astype(np.int64)))
+            marks.append(high >> U(15) > 0)
+    if blocks:
+        block, id_, mark = (np.concatenate(x) for x in (blocks, ids, marks))
+        order = np.argsort(block, kind="stable")
+        block, id_, mark = block[order], id_[order], mark[order]
+        use = mark.copy()
+        same = block[1:] == block[:-1]
+        use[1:] |= same
+        use[:-1] |= same
+        for lo in range(0, int(use.sum()), 100_000):
+            at = np.flatnonzero(use)[lo : lo + 100_000]
+            yield out(block[at], id_[at])
+
+
+def shared_blocks(docs: DataFrame, width: int, share: int) -> DataFrame:
+    """Members (block, id) of the blocks that several of the documents are in."""
+    shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def read(batches):
+        reader, levels, dealer = Reader(), Levels(share), Dealer(min(shards, 1 << 16))
+        for batch in batches:
+            for run in reader.runs(batch.column(1)):
+                ids = batch.column(0).slice(run.lo, run.hi - run.lo).to_numpy()
+                for keys, counts in zip(
+                    *part_keys(*shingle_sets(run, width), levels), strict=True
+                ):
+                    yield from dealer.add(keys, np.repeat(ids, counts))
+        yield from dealer.deal()
+
+    dealt = docs.mapInArrow(
+        read, "shard bigint, base bigint, low binary, high binary, steps binary"
+    )
+    return dealt.repartition("shard").mapInArrow(_gather, "block bigint, id bigint")
 
 
-def _random_chunk(parts: Column) -> Column:
-    return F.pmod(F.xxhash64("block", "id"), F.greatest(parts, F.lit(1)).cast("bigint"))
+def _chunk(parts: Column, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.greatest(parts, F.lit(1)).cast("bigint"))
 
 
-def _chunked(members: DataFrame) -> DataFrame:
-    """Members of large blocks dealt into chunks at random."""
-    task = _random_chunk(F.ceil(F.col("held") / CHUNK))
+def _whole_families(members: DataFrame) -> DataFrame:
+    """Small families, each one task."""
     return members.select(
-        "block", "id", task.alias("task"), F.lit(0).alias("side"), F.col("id").alias("part")
+        F.col("family").alias("block"),
+        F.lit(0).cast("bigint").alias("task"),
+        F.lit(0).alias("side"),
+        "id",
+        F.col("id").alias("part"),
     )
 
 
-def _open_blocks(members: DataFrame) -> DataFrame:
-    """Of members (block, id, part) those of blocks with several parts, each block once.
+def _mixed_chunks(blocks: DataFrame, large: DataFrame) -> DataFrame:
+    """Two blocks of each member of a large family, cut into chunks at random.
 
-    ``main`` tells whether the member's part is the largest of the block; only members of
-    other parts can add links, with each other and with the main part.
+    Near copies share most of their keys, so they share the lowest and the highest; chunks of
+    one are mixed anew in the other.
     """
-    name = F.xxhash64("id")
-    tally = members.groupBy("block", "part").agg(
-        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(name % 1_000_003).alias("s")
+    rows = blocks.join(large.select("id"), "id")
+    ends = rows.groupBy("id").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    rows = ends.select("id", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("held"))
+    rows = join_groups(rows, sizes, ["block"], "held", "id")
+    return rows.filter("held > 1").select(
+        "block",
+        _chunk(F.ceil(F.col("held") / CHUNK), "block", "id").alias("task"),
+        F.lit(0).alias("side"),
+        "id",
+        F.col("id").alias("part"),
     )
-    blocks = tally.groupBy("block").agg(
+
+
+def _open_families(members: DataFrame) -> DataFrame:
+    """Of members (family, id, part) those of families with several parts.
+
+    ``main`` tells whether the member's part is the largest of the family; only members of
+    other parts can add links, with each other and with the main part.
+    """
+    tally = members.groupBy("family", "part").agg(F.count("*").alias("n"))
+    families = tally.groupBy("family").agg(
         F.count("*").alias("parts"),
         F.sum("n").alias("held"),
         F.max(F.struct("n", "part")).alias("top"),
-        F.expr("bit_xor(x)").alias("x"),
-        F.sum("s").alias("s"),
     )
-    # Blocks with the same members are compared once.
-    blocks = blocks.filter("parts > 1").groupBy("held", "x", "s").agg(
-        F.min("block").alias("block"), F.first("top").alias("top")
-    )
-    blocks = settled(
-        blocks.select(
-            "block",
-            F.col("top.part").alias("top"),
-            F.ceil(F.col("top.n") / CHUNK).alias("mains"),
-            F.ceil((F.col("held") - F.col("top.n")) / CHUNK).alias("rests"),
-        ),
-        "open-blocks",
+    families = families.filter("parts > 1").select(
+        "family",
+        "held",
+        F.col("top.part").alias("top"),
+        F.ceil(F.col("top.n") / CHUNK).alias("mains"),
+        F.ceil((F.col("held") - F.col("top.n")) / CHUNK).alias("rests"),
     )
-    rows = members.join(broadcast_if_small(blocks), "block")
+    rows = join_groups(members, settled(families, "open-families"), ["family"], "held", "id")
+    rows = rows.filter("held IS NOT NULL")
     return rows.withColumn("main", F.col("part") == F.col("top"))
 
 
@@ -404,34 +516,32 @@ def _pair_tasks(rows: DataFrame) -> DataFrame:
     """Members dealt to the pairs of chunks that can add a link.
 
     Chunk r of the rest meets chunk m of the main part, every other chunk of the rest, and
-    itself. A block in which rest and main make one chunk is one task.
+    itself.
     """
-    small = (F.col("mains") <= 1) & (F.col("rests") <= 1)
-    rest = _random_chunk(F.col("rests"))
-    main = _random_chunk(F.col("mains"))
+    rest, main = _chunk(F.col("rests"), "id"), _chunk(F.col("mains"), "id")
     m, r = F.col("mains"), F.col("rests")
-    one = F.array(F.struct(F.lit(0).cast("bigint").alias("task"), F.lit(0).alias("side")))
 
-    def pairs(i, j):
+    def upto(n):
+        return F.sequence(F.lit(0).cast("bigint"), n - 1)
+
+    def pair(i, j):
         return m * r + F.least(i, j) * r + F.greatest(i, j)
 
-    to_main = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), r - 1),
-        lambda i: F.struct((i * m + main).alias("task"), F.lit(1).alias("side")),
-    )
-    to_mains = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), m - 1),
-        lambda i: F.struct((rest * m + i).alias("task"), F.lit(0).alias("side")),
-    )
-    to_rest = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), r - 1),
-        lambda i: F.struct(
-            pairs(rest, i).alias("task"), F.when(rest <= i, 0).otherwise(1).alias("side")
-        ),
+    def task(number, side):
+        return F.struct(number.alias("task"), side.alias("side"))
+
+    to_rests = F.transform(upto(r), lambda i: task(i * m + main, F.lit(1)))
+    to_mains = F.transform(upto(m), lambda i: task(rest * m + i, F.lit(0)))
+    to_others = F.transform(
+        upto(r), lambda i: task(pair(rest, i), F.when(rest <= i, 0).otherwise(1))
     )
-    tasks = F.when(small, one).when(F.col("main"), to_main).otherwise(F.concat(to_mains, to_rest))
+    tasks = F.when(F.col("main"), to_rests).otherwise(F.concat(to_mains, to_others))
     return rows.withColumn("t", F.explode(tasks)).select(
-        "block", "id", "part", F.col("t.task").alias("task"), F.col("t.side").alias("side")
+        F.col("family").alias("block"),
+        F.col("t.task").alias("task"),
+        F.col("t.side").alias("side"),
+        "id",
+        "part",
     )
 
 
@@ -453,32 +563,41 @@ def near_duplicates(
     nothing. A row without doc_id has no component. Rows that repeat a doc_id each get the
     component of their own text. No rows give no rows.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = settled(profiles(rows, width, share), "profiles")
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    )
+    seen = settled(profiles(rows, width), "profiles")
     digest = ["n", "d1", "d2"]
     classes = settled(
-        seen.filter("n > 0 and doc_id is not null")
+        seen.filter("n > 0 AND doc_id IS NOT NULL")
         .groupBy(*digest)
         .agg(F.min("doc_id").alias("id"), F.count("*").alias("size")),
         "classes",
     )
-    ids = broadcast_if_small(classes.select(F.col("id").alias("doc_id"), *digest))
-    kept = seen.join(ids, ["doc_id", *digest], "left_semi")
-
-    heads = kept.select(F.col("doc_id").alias("id"), F.explode("heads").alias("block"))
-    parts = kept.select(F.col("doc_id").alias("id"), F.explode("keys").alias("block"))
-    shared = settled(_shared(parts), "members")
-    wanted = broadcast_if_small(shared.select(F.col("id").alias("doc_id")).distinct())
-    sets = settled(set_rows(rows.join(wanted, "doc_id", "left_semi"), width), "sets")
-
-    near = shared.join(heads, ["block", "id"], "left_semi")
-    first = settled(_links(_chunked(near), sets, share), "first-links")
-    parts_so_far = components(first).withColumnRenamed("node", "id")
-    parts_so_far = settled(parts_so_far, "first-components")
-    members = shared.join(broadcast_if_small(parts_so_far), "id", "left").select(
-        "block", "id", F.coalesce("component", "id").alias("part")
+
+    def only(ids: DataFrame) -> DataFrame:
+        ids = broadcast_if_small(ids.select(F.col("id").alias("doc_id")))
+        return rows.join(ids, "doc_id", "left_semi")
+
+    blocks = settled(shared_blocks(only(classes), width, share), "blocks")
+    least = blocks.groupBy("block").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    stars = join_groups(blocks, settled(least, "least"), ["block"], "n", "id")
+    family = components(stars, "a", "id").toDF("id", "family")
+    family = settled(family, "families")
+    held = settled(family.groupBy("family").agg(F.count("*").alias("held")), "family-sizes")
+    members = join_groups(family, held, ["family"], "held", "id")
+    small, large = (
+        settled(members.filter(f"held {c} {CHUNK}").select("id", "family"), "members")
+        for c in ("<=", ">")
+    )
+    sets = settled(set_rows(only(family), width), "sets")
+    first = _whole_families(small).union(_mixed_chunks(blocks, large))
+    first = settled(_links(first, sets, share), "first-links")
+    part = settled(components(first).withColumnRenamed("node", "id"), "first-components")
+    large = large.join(broadcast_if_small(part), "id", "left").select(
+        "family", "id", F.coalesce("component", "id").alias("part")
     )
-    more = settled(_links(_pair_tasks(_open_blocks(members)), sets, share), "more-links")
+    more = settled(_links(_pair_tasks(_open_families(large)), sets, share), "more-links")
     whole = settled(components(first.union(more)), "components")
     named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(
         *digest, "size", F.coalesce("component", "id").alias("component_id")

@@ -80,6 +80,15 @@ class Reader:
         for lo, hi in spans(offsets):
             yield self.words(LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1], lo)
 
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes, wherever they lie."""
+        n = len(data)
+        self._grow(n)
+        sums = np.zeros(n + 1, dtype=U)
+        np.cumsum(_BYTE[data] * self.up[:n], out=sums[1:])
+        hashes = (sums[ends] - sums[starts]) * self.down[starts]
+        return mix(hashes + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+
     def words(self, data: np.ndarray, offsets: np.ndarray, lo: int) -> Words:
         n = len(data)
         bounds = offsets - offsets[0]
@@ -93,11 +102,7 @@ class Reader:
             after[-1], after[:-1] = False, inside[1:]
         starts = np.flatnonzero(inside & (~before | edge[:n]))
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        self._grow(n)
-        sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(_BYTE[data] * self.up[:n], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * self.down[starts]
-        hashes = mix(hashes + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+        hashes = self.hashes(data, starts, ends)
         first = np.searchsorted(starts, bounds)
         return Words(data, starts, ends, hashes, first, lo, lo + len(offsets) - 1)
 
