@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywire.llm.tables import join_groups
-from tallywire.plans.sizes import broadcast_if_small, settled
+from tallywire.llm.tables import broadcast_if_small, join_groups
+from tallywire.plans.sizes import settled
 
 SLOTS = 4
 MOVES = 200  # moves after which the filter counts as full

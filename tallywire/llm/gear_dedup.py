@@ -19,8 +19,8 @@ from tallywire.plans.sizes import settled
 
 WINDOW_STEPS = 5  # the rolling window has 2**5 bytes
 CUT_BITS = 4  # a cut every 2**4 bytes, on average
-SHORTEST, LONGEST = 16, 72  # bytes of a chunk
-SPAN_BYTES = 80  # of a span, at least
+SHORTEST, LONGEST = 16, 64  # bytes of a chunk
+SPAN_BYTES = 64  # of a span, at least
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 

@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywire.llm.components import components
-from tallywire.llm.tables import groups_in_order, join_groups
+from tallywire.llm.tables import broadcast_if_small, groups_in_order, join_groups
 from tallywire.llm.words import Reader, Words, mix, signed
-from tallywire.plans.sizes import broadcast_if_small, settled
+from tallywire.plans.sizes import settled
 
 U = np.uint64
 CHUNK = 256  # sets in one tree
@@ -308,8 +308,21 @@ def tree_links(group: pa.Table, share: int) -> list[tuple[int, int]]:
     return found
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components, as links of each id with the lowest of its component."""
+    ids = sorted({i for link in links for i in link})
+    at = {i: k for k, i in enumerate(ids)}
+    union = Union(list(range(len(ids))))
+    for a, b in links:
+        union.join(at[a], at[b])
+    return [(i, ids[union.root(k)]) for k, i in enumerate(ids) if union.root(k) != k]
+
+
 def _links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links among members (block, task, side, id, part) of one (block, task) each."""
+    """Links among members (block, task, side, id, part) of one (block, task) each.
+
+    The links of a task join its sets up in all ways that they can be, but not by all links.
+    """
     names = ["block", "task", "side", "id", "part"]
     rows = members.select(*names).join(sets, "id")
     rows = rows.repartition("block", "task").sortWithinPartitions("block", "task", "side", "id")
@@ -317,7 +330,8 @@ def _links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in_order(batches, ["block", "task"]):
             if links := tree_links(group, share):
-                a, b = zip(*links, strict=True)
+                # Each at the lowest of its component, as it will be if the task has it whole.
+                a, b = zip(*stars(links), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
                 )
@@ -478,8 +492,7 @@ def _mixed_chunks(blocks: DataFrame, large: DataFrame) -> DataFrame:
     ends = rows.groupBy("id").agg(F.min("block").alias("low"), F.max("block").alias("high"))
     rows = ends.select("id", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     sizes = rows.groupBy("block").agg(F.count("*").alias("held"))
-    rows = join_groups(rows, sizes, ["block"], "held", "id")
-    return rows.filter("held > 1").select(
+    return rows.join(sizes.filter("held > 1"), "block").select(
         "block",
         _chunk(F.ceil(F.col("held") / CHUNK), "block", "id").alias("task"),
         F.lit(0).alias("side"),
@@ -502,13 +515,11 @@ def _open_families(members: DataFrame) -> DataFrame:
     )
     families = families.filter("parts > 1").select(
         "family",
-        "held",
         F.col("top.part").alias("top"),
         F.ceil(F.col("top.n") / CHUNK).alias("mains"),
         F.ceil((F.col("held") - F.col("top.n")) / CHUNK).alias("rests"),
     )
-    rows = join_groups(members, settled(families, "open-families"), ["family"], "held", "id")
-    rows = rows.filter("held IS NOT NULL")
+    rows = members.join(families, "family")
     return rows.withColumn("main", F.col("part") == F.col("top"))
 
 
@@ -580,27 +591,27 @@ def near_duplicates(
         return rows.join(ids, "doc_id", "left_semi")
 
     blocks = settled(shared_blocks(only(classes), width, share), "blocks")
-    least = blocks.groupBy("block").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-    stars = join_groups(blocks, settled(least, "least"), ["block"], "n", "id")
-    family = components(stars, "a", "id").toDF("id", "family")
+    lowest = blocks.groupBy("block").agg(F.min("id").alias("low"))
+    family = components(blocks.join(lowest, "block"), "id", "low").toDF("id", "family")
     family = settled(family, "families")
-    held = settled(family.groupBy("family").agg(F.count("*").alias("held")), "family-sizes")
-    members = join_groups(family, held, ["family"], "held", "id")
-    small, large = (
-        settled(members.filter(f"held {c} {CHUNK}").select("id", "family"), "members")
-        for c in ("<=", ">")
-    )
+    held = family.groupBy("family").agg(F.count("*").alias("held"))
+    held = settled(held.filter(F.col("held") > CHUNK).coalesce(1), "large-families")
+    small = family.join(held, "family", "left_anti")
+    large = family.join(held, "family", "left_semi")
     sets = settled(set_rows(only(family), width), "sets")
-    first = _whole_families(small).union(_mixed_chunks(blocks, large))
-    first = settled(_links(first, sets, share), "first-links")
-    part = settled(components(first).withColumnRenamed("node", "id"), "first-components")
-    large = large.join(broadcast_if_small(part), "id", "left").select(
-        "family", "id", F.coalesce("component", "id").alias("part")
-    )
-    more = settled(_links(_pair_tasks(_open_families(large)), sets, share), "more-links")
-    whole = settled(components(first.union(more)), "components")
-    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(
-        *digest, "size", F.coalesce("component", "id").alias("component_id")
+    # A small family's task has its components whole: (id, lowest) as links.
+    whole = _links(_whole_families(small), sets, share).toDF("id", "component_id")
+    if not held.isEmpty():
+        first = settled(_links(_mixed_chunks(blocks, large), sets, share), "first-links")
+        part = settled(components(first).toDF("id", "part"), "first-components")
+        rows = large.join(broadcast_if_small(part), "id", "left").select(
+            "family", "id", F.coalesce("part", "id").alias("part")
+        )
+        more = settled(_links(_pair_tasks(_open_families(rows)), sets, share), "more-links")
+        whole = whole.union(components(first.union(more)))
+    whole = settled(whole, "components")
+    named = classes.join(whole, "id", "left").select(
+        *digest, "size", F.coalesce("component_id", "id").alias("component_id")
     )
     found = join_groups(seen.select("doc_id", *digest), named, digest, "size", "doc_id")
     return found.select(

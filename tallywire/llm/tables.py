@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
+# A side of at most this many short rows is sent to every executor whole.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(side: DataFrame) -> DataFrame:
+    """Mark a written side for broadcast if it is small; else leave the join to be shuffled."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def join_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread: str
 ) -> DataFrame:

@@ -68,10 +68,11 @@ class Reader:
 
     def __init__(self, blank: np.ndarray = BLANK) -> None:
         self.size, self.blank = 0, blank
+        self.up = self.down = np.empty(0, dtype=U)
 
     def _grow(self, n: int) -> None:
         if n > self.size:
-            self.size = max(n, 2 * RUN_BYTES)
+            self.size = max(n, RUN_BYTES)
             self.up, self.down = _powers(_BASE, self.size), _powers(_INVERSE, self.size)
 
     def runs(self, texts: pa.Array) -> Iterator[Words]:
