@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,10 @@ class Archive:
         bad: DataFrame | None = None,
         files: DataFrame | None = None,
         rules: Sequence[Rule] = WIRE_RULES,
+        damaged: Callable[[], DataFrame] | None = None,
     ):
         self.events, self.bad, self.files, self.rules = events, bad, files, tuple(rules)
+        self._find_damaged = damaged
         self.prefixes: DataFrame | None = None
 
     @classmethod
@@ -45,8 +47,9 @@ class Archive:
         good, bad = source.quarantine(raw)
         files = source.list_files(spark, path)
         events = source.classify(source.with_archive_order(good, files))
-        files = files.join(source.file_headers(raw), "file_name", "left")
-        return cls(events, bad, files, rules)
+        listed = files.join(source.file_headers(raw), "file_path", "left")
+        damaged = lambda: source.damaged_files(spark, path, fmt, files)
+        return cls(events, bad, listed, rules, damaged)
 
     @cached_property
     def peer_table(self) -> DataFrame:
@@ -63,7 +66,8 @@ class Archive:
     def file_summary(self) -> DataFrame:
         if self.files is None or self.bad is None:
             raise ValueError("only an archive opened from files knows them")
-        return source.file_summary(self.events, self.bad, self.files)
+        damaged = self._find_damaged() if self._find_damaged else None
+        return source.file_summary(self.events, self.bad, self.files, damaged)
 
     def totals(self) -> DataFrame:
         return timeline.totals(self.events, self.bad)

@@ -44,9 +44,6 @@ KNOWN_SUBS = {
 # The connection lifecycle kinds, in the order counters are reported.
 LIFECYCLE = ("inbound", "outbound", "closed", "inbound_evicted", "misbehaving")
 
-# A stored event row holds its size in 32 bits.
-MAX_ROW_SIZE = 2**32 - 1
-
 
 def category_of(group: Column) -> Column:
     pairs = [F.lit(x) for pair in GROUP_CATEGORY.items() for x in pair]
@@ -106,5 +103,5 @@ def is_lifecycle() -> Column:
 
 
 def row_size() -> Column:
-    """The size an event row shows; byte totals use the full size."""
-    return F.when(is_message(), F.least(F.coalesce("size", F.lit(0)), F.lit(MAX_ROW_SIZE))).otherwise(F.lit(0))
+    """The size an event row shows."""
+    return F.when(is_message(), F.coalesce("size", F.lit(0))).otherwise(F.lit(0))

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywire.functions.taxonomy import is_message, row_size
-from tallywire.operators.peers import RECENT, recent_lifecycle
+from tallywire.functions.taxonomy import is_lifecycle, is_message, row_size
+from tallywire.operators.peers import lifecycle_counts, recent_lifecycle
 
-MAX_COLUMNS = 4096
-MAX_COMMAND_ROWS = 64
-# Up to this many candidate peers are sent to every task as they are.
+# Up to this many chosen rows are sent to every task as they are.
 SMALL = 10_000
 
 
-def clamp_columns(columns: int) -> int:
-    return min(max(columns, 1), MAX_COLUMNS)
+def checked(number: int, what: str) -> int:
+    if number < 1:
+        raise ValueError(f"{what} must be at least 1, not {number}")
+    return number
 
 
 def column_of(ts: Column, start: Column, span: Column, columns: int) -> Column:
@@ -73,7 +73,7 @@ def peer_activity(
     time_to: int | None = None,
 ) -> DataFrame:
     """Non-empty cells (peer_id, col, inbound, value); value counts messages or their bytes."""
-    columns = clamp_columns(columns)
+    checked(columns, "columns")
     window = activity_window(df, time_from, time_to)
     rows = activity_rows(peers, window, max_rows, min_duration_ms, sort).select("peer_id")
     if max_rows <= SMALL:
@@ -96,7 +96,7 @@ def activity_summary(
     min_duration_ms: int = 0, time_from: int | None = None, time_to: int | None = None,
 ) -> DataFrame:
     """One row: the window, the column width, candidates, rows shown and the highest cell."""
-    columns = clamp_columns(columns)
+    checked(columns, "columns")
     window = activity_window(df, time_from, time_to)
     candidates = worth_a_row(peers, window, min_duration_ms).agg(F.count(F.lit(1)).alias("peers"))
     peak = cells.agg(F.coalesce(F.max("value"), F.lit(0)).alias("peak")).scalar()
@@ -123,7 +123,7 @@ def _own_span(mine: DataFrame) -> Column:
 
 def peer_raster(df: DataFrame, peer_id: int, columns: int, rows: int) -> DataFrame:
     """Cells of one peer: its busiest commands by columns of its own time."""
-    columns = clamp_columns(columns)
+    checked(columns, "columns")
     mine = df.filter(F.col("peer_id") == peer_id)
     messages = mine.filter(is_message())
     w = _own_span(mine)
@@ -131,20 +131,21 @@ def peer_raster(df: DataFrame, peer_id: int, columns: int, rows: int) -> DataFra
         messages.groupBy("kind")
         .agg(F.count(F.lit(1)).alias("total"))
         .orderBy(F.desc("total"), "kind")
-        .limit(min(max(rows, 1), MAX_COMMAND_ROWS))
+        .limit(checked(rows, "rows"))
     )
+    busiest = F.broadcast(busiest) if rows <= SMALL else busiest
     col = column_of(F.col("ts_ms"), w["start"], w["span"], columns)
     return (
         messages.groupBy("kind", col.alias("col"), "inbound")
         .agg(F.count(F.lit(1)).alias("value"))
-        .join(F.broadcast(busiest), "kind")  # MAX_COMMAND_ROWS rows at most
+        .join(busiest, "kind")
         .select("kind", "total", "col", "inbound", "value")
     )
 
 
 def peer_raster_summary(df: DataFrame, peer_id: int, columns: int, cells: DataFrame) -> DataFrame:
     """One row: the span, the column width, the commands before the cap and the highest cell."""
-    columns = clamp_columns(columns)
+    checked(columns, "columns")
     mine = df.filter(F.col("peer_id") == peer_id)
     w = _own_span(mine)
     peak = cells.agg(F.coalesce(F.max("value"), F.lit(0)).alias("peak")).scalar()
@@ -175,45 +176,108 @@ def peer_raster_summary(df: DataFrame, peer_id: int, columns: int, cells: DataFr
 
 
 def raster_marks(
-    df: DataFrame, columns: int, *, time_from: int | None = None, time_to: int | None = None
+    df: DataFrame,
+    columns: int,
+    *,
+    time_from: int | None = None,
+    time_to: int | None = None,
+    last: int | None = None,
 ) -> DataFrame:
-    """The kept lifecycle events of every peer on the columns of the activity raster.
+    """The lifecycle events of every peer on the columns of the activity raster.
 
-    ``complete`` says whether all lifecycle events of the peer were kept.
+    All inside the window, or with ``last`` those among each peer's last so many; ``complete``
+    says whether that keeps all lifecycle events of the peer.
     """
     window = activity_window(df, time_from, time_to)
-    return _marks(df, window["start"], window["end"], window["end"] - window["start"], columns)
+    start, end = window["start"], window["end"]
+    return _marks(df, start, end, end - start, columns, last)
 
 
-def peer_marks(df: DataFrame, peer_id: int, columns: int) -> DataFrame:
-    """The kept lifecycle events of one peer on the columns of its own raster."""
+def peer_marks(df: DataFrame, peer_id: int, columns: int, last: int | None = None) -> DataFrame:
+    """The lifecycle events of one peer, all or the last ones, on the columns of its raster."""
     mine = df.filter(F.col("peer_id") == peer_id)
     w = _own_span(mine)
-    return _marks(mine, w["start"], w["start"] + w["span"], w["span"], columns)
+    return _marks(mine, w["start"], w["start"] + w["span"], w["span"], columns, last)
 
 
-def _marks(df: DataFrame, start: Column, end: Column, span: Column, columns: int) -> DataFrame:
-    from tallywire.operators.peers import lifecycle_counts
+def _marks(
+    df: DataFrame, start: Column, end: Column, span: Column, columns: int, last: int | None
+) -> DataFrame:
 
-    columns = clamp_columns(columns)
-    totals = lifecycle_counts(df).select("peer_id", "lifecycle_events")
+    checked(columns, "columns")
     inside = (F.col("ts_ms") >= start) & (F.col("ts_ms") <= end) & (span > 0)
-    return (
-        recent_lifecycle(df)
-        .filter(inside)
-        .join(totals, "peer_id")
-        .select(
-            "peer_id",
-            "pos",
-            column_of(F.col("ts_ms"), start, span, columns).alias("col"),
-            "kind",
-            "ts_ms",
-            (F.col("lifecycle_events") <= RECENT).alias("complete"),
-        )
+    if last is None:
+        marks, complete = df.filter(is_lifecycle()), F.lit(True)
+    else:
+        totals = lifecycle_counts(df).select("peer_id", "lifecycle_events")
+        marks = recent_lifecycle(df, last).join(totals, "peer_id")
+        complete = F.col("lifecycle_events") <= last
+    return marks.filter(inside).select(
+        "peer_id",
+        "pos",
+        column_of(F.col("ts_ms"), start, span, columns).alias("col"),
+        "kind",
+        "ts_ms",
+        complete.alias("complete"),
+    )
+
+
+IDENTITY = [
+    "addr", "conn_type", "first_seen", "last_seen", "events", "messages_in", "messages_out",
+    "bytes_in", "bytes_out",
+]
+
+
+def peer_activity_rows(
+    df: DataFrame,
+    peers: DataFrame,
+    *,
+    columns: int,
+    max_rows: int,
+    min_duration_ms: int = 0,
+    sort: str = "firstSeen",
+    weight: str = "count",
+    time_from: int | None = None,
+    time_to: int | None = None,
+) -> DataFrame:
+    """The raster's rows in order: rank, who the peer is, its cells and its marks.
+
+    ``cells_in`` and ``cells_out`` are lists ``[col, value, ...]`` of the two directions and
+    ``marks`` one of (col, kind); all are empty for a peer that shows nothing in the window.
+    """
+    window = activity_window(df, time_from, time_to)
+    chosen = activity_rows(peers, window, max_rows, min_duration_ms, sort)
+    first = F.col("events").desc() if sort == "events" else F.col("first_seen").asc()
+    order = Window.orderBy(first, F.col("peer_id").asc())  # over max_rows rows
+    chosen = chosen.select("peer_id", *IDENTITY, F.row_number().over(order).alias("rank"))
+    few = F.broadcast(chosen.select("peer_id")) if max_rows <= SMALL else chosen.select("peer_id")
+    options = {"time_from": time_from, "time_to": time_to}
+    cells = peer_activity(
+        df, peers, columns=columns, max_rows=max_rows, min_duration_ms=min_duration_ms,
+        sort=sort, weight=weight, **options,
+    )
+    lists = sparse_rows(cells, ["peer_id", "inbound"]).groupBy("peer_id").agg(
+        F.any_value(F.when(F.col("inbound"), F.col("cells")), True).alias("cells_in"),
+        F.any_value(F.when(~F.col("inbound"), F.col("cells")), True).alias("cells_out"),
+    )
+    marks = raster_marks(df, columns, **options).join(few, "peer_id", "left_semi")
+    marks = marks.groupBy("peer_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "col", "kind"))).alias("marks")
+    )
+    rows = chosen.join(lists, "peer_id", "left").join(marks, "peer_id", "left")
+    none = F.array().cast("array<bigint>")
+    unplaced = F.transform("marks", lambda m: F.struct(m["col"].alias("col"), m["kind"].alias("kind")))
+    return rows.select(
+        "rank",
+        "peer_id",
+        *IDENTITY,
+        F.coalesce("cells_in", none).alias("cells_in"),
+        F.coalesce("cells_out", none).alias("cells_out"),
+        F.coalesce(unplaced, F.array().cast("array<struct<col:int,kind:string>>")).alias("marks"),
     )
 
 
 def sparse_rows(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cells as one list ``[col, value, col, value, ...]`` per row; MAX_COLUMNS pairs at most."""
+    """Cells as one list ``[col, value, col, value, ...]`` per row, a pair per column at most."""
     pair = F.array(F.col("col").cast("bigint"), F.col("value"))
     return cells.groupBy(*by).agg(F.flatten(F.array_sort(F.collect_list(pair))).alias("cells"))

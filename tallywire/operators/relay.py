@@ -68,7 +68,11 @@ def with_item(
         delivered.groupBy("txid", "wtxid")
         .agg(F.min("pos").alias("delivered_at"))
         .join(by_txid, "txid", "left")
-        .join(by_wtxid, "wtxid", "left")
+    )
+    # Transactions without a second hash go around its join, where they would be one key.
+    with_second = transactions.filter(F.col("wtxid").isNotNull()).join(by_wtxid, "wtxid", "left")
+    transactions = transactions.filter(F.col("wtxid").isNull()).unionByName(
+        with_second, allowMissingColumns=True
     )
     # The first delivery opened an entry under the txid unless a hash was known before it.
     unknown = ~(
@@ -114,23 +118,23 @@ def race_of_events(
     hashes = announcements(df).select("item")
     for name in ("txid", "wtxid"):
         hashes = hashes.union(delivered.select(name))
-    return relay_race(relay_events(df, hot_rows), hot_rows, bits, sketched=hashes)
+    return relay_race(relay_events(df, hot_rows), hot_rows, bits, counted=hashes)
 
 
 def relay_race(
     rows: DataFrame,
     hot_rows: int = skew.HOT_ROWS,
     bits: int = skew.SPLIT_BITS,
-    sketched: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Every relay row with its outcome; ``sketched`` holds items to find busy ones among.
+    """Every relay row with its outcome; ``counted`` holds items to find busy ones among.
 
     ``first``: the announcement that made the item known. ``late``: any other announcement,
     ``lag_ms`` behind the item's first row. ``duplicate``: a delivery after another one.
     ``held_ms``: for the first delivery of an announced item, how long after its first row.
     """
     rows, split = skew.with_split(
-        rows, ["item"], hot_rows=hot_rows, bits=bits, sketched=sketched
+        rows, ["item"], hot_rows=hot_rows, bits=bits, counted=counted
     )
     in_split = Window.partitionBy("item", "split").orderBy(*ORDER)
     so_far = in_split.rowsBetween(Window.unboundedPreceding, -1)

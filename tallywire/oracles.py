@@ -442,7 +442,7 @@ SELECT * FROM m WHERE (kind = 'view' OR event_group = 'connection')
     out["event_search_text"] = _with(m, p, body="""
 SELECT m.* FROM m JOIN p USING (peer_id) WHERE contains(lower(kind), '2.0.1') OR contains(lower(p.addr), '2.0.1')""")
     rows = """pos, ts_ms, category, event_group, kind, label, peer_id, inbound,
-       CASE WHEN size IS NULL THEN 0 ELSE least(size, 4294967295) END AS size, p.addr"""
+       coalesce(size, 0) AS size, p.addr"""
     out["event_rows"] = _with(m, p, body=f" SELECT {rows} FROM (SELECT * EXCLUDE (addr) FROM m) m JOIN p USING (peer_id)")
     out["event_page"] = _with(m, p, body=f"""
 , f AS (SELECT * EXCLUDE (addr), row_number() OVER (ORDER BY pos) - 1 AS row_index FROM m WHERE event_group = 'message')
@@ -552,7 +552,7 @@ SELECT pos, item_no, peer_id, CASE WHEN has_tx OR NOT has_w THEN item ELSE item
         body=" SELECT * FROM cells")
     window = (f"min({FIRST_DAY + 2 * DAY}::BIGINT)", f"max({FIRST_DAY + 12 * DAY}::BIGINT)")
     out["peer_activity_bytes"] = _with(
-        m, p, _cells(*window, 60, "ORDER BY first_seen, peer_id LIMIT 40", "sum(least(size, 4294967295))"),
+        m, p, _cells(*window, 60, "ORDER BY first_seen, peer_id LIMIT 40", "sum(size)"),
         body="""
 SELECT peer_id, inbound, string_agg(col || ',' || value, ',' ORDER BY col) AS cells FROM cells GROUP BY ALL""")
     out["activity_summary"] = _with(
@@ -569,15 +569,32 @@ SELECT a AS start_ms, z AS end_ms, CAST(40 AS INTEGER) AS columns, span::DOUBLE
   (SELECT count(*) FROM m WHERE peer_id = {PEER} AND inbound) AS messages_in,
   (SELECT count(*) FROM m WHERE peer_id = {PEER} AND NOT inbound) AS messages_out,
   (SELECT max(value) FROM cells) AS peak FROM own""")
-    out["raster_marks"] = _with(m, p, RECENT, body=f"""
+    out["raster_marks"] = _with(m, body=f"""
 SELECT peer_id, pos, CAST(least((ts_ms - {FIRST_DAY}) * 100 // {20 * DAY}, 99) AS INTEGER) AS col, kind, ts_ms,
-       lifecycle_events <= 8 AS complete
-FROM recent JOIN p USING (peer_id) WHERE ts_ms BETWEEN {FIRST_DAY} AND {FIRST_DAY + 20 * DAY}""")
-    out["peer_marks"] = _with(m, p, RECENT, OWN, body=f"""
+       true AS complete
+FROM m WHERE event_group = 'connection' AND ts_ms BETWEEN {FIRST_DAY} AND {FIRST_DAY + 20 * DAY}""")
+    out["peer_activity_rows"] = _with(
+        m, p, _cells(*window, 60, "ORDER BY first_seen, peer_id LIMIT 40", "count(*)"),
+        body=f"""
+SELECT CAST(row_number() OVER (ORDER BY first_seen, peer_id) AS INTEGER) AS rank, peer_id, addr, conn_type,
+  first_seen, last_seen, events, messages_in, messages_out, bytes_in, bytes_out,
+  coalesce((SELECT string_agg(col || ',' || value, ',' ORDER BY col) FROM cells c
+            WHERE c.peer_id = p.peer_id AND c.inbound), '') AS cells_in,
+  coalesce((SELECT string_agg(col || ',' || value, ',' ORDER BY col) FROM cells c
+            WHERE c.peer_id = p.peer_id AND NOT c.inbound), '') AS cells_out,
+  coalesce((SELECT string_agg(least((ts_ms - a) * 60 // (z - a), 59) || ' ' || kind, ',' ORDER BY pos)
+            FROM m, win WHERE m.peer_id = p.peer_id AND event_group = 'connection'
+              AND ts_ms BETWEEN a AND z), '') AS marks
+FROM p WHERE peer_id IN (SELECT peer_id FROM chosen)""")
+    out["peer_marks_last"] = _with(m, p, RECENT, OWN, body=f"""
 SELECT peer_id, pos, CAST(least((ts_ms - a) * 40 // span, 39) AS INTEGER) AS col, kind, ts_ms,
        lifecycle_events <= 8 AS complete
 FROM recent JOIN p USING (peer_id), own WHERE peer_id = {PEER}""")
 
+    out["peer_marks"] = _with(m, OWN, body=f"""
+SELECT peer_id, pos, CAST(least((ts_ms - a) * 40 // span, 39) AS INTEGER) AS col, kind, ts_ms, true AS complete
+FROM m, own WHERE peer_id = {PEER} AND event_group = 'connection'""")
+
     out["peer_networks"] = _with(m, p, NETS, body=" SELECT peer_id, addr, asn, network_label FROM placed")
     out["networks"] = _with(m, p, NETS, body=" SELECT * FROM nets")
     out["networks_total"] = _with(m, p, NETS, body="""
@@ -611,6 +628,10 @@ WHERE fate = 'answered' OR nts IS NOT NULL
   OR (SELECT max(ts_ms) FROM m) - 3600000 > o.ts_ms + window_ms""")
     out["stream_race"] = _with(RACE, body=" SELECT * FROM race")
     out["stream_known_items"] = "SELECT DISTINCT l_partkey AS item FROM lineitem"
+    out["files_read"] = """
+SELECT count(*) AS events, CAST(0 AS BIGINT) AS decode_errors, CAST(0 AS BIGINT) AS broken_files,
+       CAST(0 AS BIGINT) AS first_pos, arg_max(epoch_us(ts) // 1000, event_id) AS last_ts_ms,
+       count(*) * (count(*) - 1) // 2 AS record_sum FROM events"""
     out["input_files"] = """
 SELECT 'events.parquet' AS file_name, count(*) AS rows, count(*) - 1 AS last_record FROM events"""
     return out

@@ -1,10 +1,10 @@
 """Plan shapes that keep one very busy key from landing in one task.
 
 Most keys are small and one hash shuffle handles them. A key that holds a large share of the
-rows is found with a frequent-items sketch, and its rows are split by archive position: rows
+rows is found by counting, and its rows are split by archive position: rows
 of one split are consecutive in the archive, so an ordered computation can run inside each
 split and carry its state over from the splits before it. Results never depend on which keys
-the sketch reports, only the spread of the work does.
+are split, only the spread of the work does.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 HOT_ROWS = 4_000_000
 # A split of a hot key covers 2**SPLIT_BITS consecutive archive positions.
 SPLIT_BITS = 20
-# Sketch layout: the keys are spread over GROUPS sketches of TRACKED counters each.
-GROUPS = 64
-TRACKED = 256
 
 WHOLE = -1  # the split number of a key that is not split
 
@@ -32,17 +29,12 @@ def key_hash(keys: Sequence[str]) -> Column:
 def hot_hashes(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
     """The hashes of all keys with more than ``hot_rows`` rows.
 
-    This runs a job over the key columns when the operator is called, so that the plan for
-    ordinary data needs none of what hot keys need. At most GROUPS * TRACKED / 2 numbers come back.
+    Rows are counted exactly, combined before the shuffle. This runs a job over the key columns
+    when the operator is called, so that the plan for ordinary data needs none of what hot keys
+    need. At most one number per ``hot_rows`` rows comes back.
     """
-    sketches = (
-        rows.select(key_hash(keys).alias("h"))
-        .groupBy(F.pmod("h", F.lit(GROUPS)).alias("g"))
-        .agg(F.expr(f"approx_top_k(h, {TRACKED // 2}, {TRACKED})").alias("top"))
-        .select(F.explode("top").alias("t"))
-        .filter(F.col("t.count") > hot_rows)
-    )
-    return sorted(r[0] for r in sketches.select("t.item").collect())
+    counts = rows.groupBy(key_hash(keys).alias("h")).count()
+    return sorted(r[0] for r in counts.filter(F.col("count") > hot_rows).select("h").collect())
 
 
 def is_hot(hot: Sequence[int], keys: Sequence[str]) -> Column:
@@ -55,14 +47,14 @@ def with_split(
     pos: str = "pos",
     hot_rows: int = HOT_ROWS,
     bits: int = SPLIT_BITS,
-    sketched: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add ``split``: WHOLE for ordinary keys, a run of archive positions for hot ones.
 
-    Also tells whether there are hot keys at all. They are looked for in ``sketched`` where
+    Also tells whether there are hot keys at all. They are looked for in ``counted`` where
     the keys can be had more cheaply than from ``rows``.
     """
-    hot = hot_hashes(rows if sketched is None else sketched, keys, hot_rows)
+    hot = hot_hashes(rows if counted is None else counted, keys, hot_rows)
     whole = F.lit(WHOLE).cast("bigint")
     split = F.when(is_hot(hot, keys), F.shiftright(F.col(pos), bits)).otherwise(whole)
     return rows.withColumn("split", split if hot else whole), bool(hot)

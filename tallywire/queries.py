@@ -477,6 +477,20 @@ def q_peer_marks(spark, folder):
     return raster.peer_marks(messages(spark, folder), PEER, 40)
 
 
+def q_peer_marks_last(spark, folder):
+    return raster.peer_marks(messages(spark, folder), PEER, 40, last=8)
+
+
+def q_peer_activity_rows(spark, folder):
+    m = messages(spark, folder)
+    rows = raster.peer_activity_rows(
+        m, peers.peer_table(m), columns=60, max_rows=40,
+        time_from=FIRST_DAY + 2 * DAY, time_to=FIRST_DAY + 12 * DAY,
+    )
+    marks = F.transform("marks", lambda x: F.concat_ws(" ", x["col"].cast("string"), x["kind"]))
+    return _with_text(rows.withColumn("marks", marks), "cells_in", "cells_out", "marks")
+
+
 # --- networks ---
 
 
@@ -527,7 +541,7 @@ def _raw_lines(spark, folder) -> DataFrame:
     )
     damaged = F.col("event_id") % 97 == 0
     return e.select(
-        F.concat(F.lit("node.main."), hour, F.lit("-000.events.zst")).alias("file_name"),
+        F.concat(F.lit("file:/archive/node.main."), hour, F.lit("-000.events.zst")).alias("file_path"),
         F.when(damaged, F.substring(row, 1, 20)).otherwise(row).alias("value"),
     )
 
@@ -543,14 +557,16 @@ LINE = T.StructType(
 
 def q_quarantine(spark, folder):
     _, bad = source.quarantine(source.parse_lines(_raw_lines(spark, folder), LINE))
-    return bad.select("file_name", F.col(source.CORRUPT).alias("text"))
+    name = source.file_name_of(F.col("file_path")).alias("file_name")
+    return bad.select(name, F.col(source.CORRUPT).alias("text"))
 
 
 def q_file_summary(spark, folder):
     lines = _raw_lines(spark, folder)
     good, bad = source.quarantine(source.parse_lines(lines, LINE))
-    sizes = lines.groupBy("file_name").agg(F.sum(F.octet_length("value")).alias("size_bytes"))
-    return source.file_summary(good, bad, sizes)
+    sizes = lines.groupBy("file_path").agg(F.sum(F.octet_length("value")).alias("size_bytes"))
+    name = source.file_name_of(F.col("file_path"))
+    return source.file_summary(good, bad, sizes).withColumn("file_name", name).drop("file_path")
 
 
 def q_archive_order(spark, folder):
@@ -558,6 +574,33 @@ def q_archive_order(spark, folder):
     return source.with_archive_order(good).select("file_name", "file_ts", "pos", "ts_ms", "command")
 
 
+def q_files_read(spark, folder):
+    """A given Parquet file as an archive of its own: read, numbered, split and summed up."""
+    named = T.StructType(
+        [T.StructField("record_no", T.LongType()), T.StructField("ts", T.TimestampNTZType())]
+        + [T.StructField(n, T.StringType()) for n in ("event_type", "props")]
+    )
+    path = f"{folder}/events.parquet"
+    raw = source.read_raw(spark, path, "parquet", named)
+    raw = raw.withColumn("ts_ms", adapt.epoch_ms(F.col("ts")))
+    good, bad = source.quarantine(raw)
+    files = source.list_files(spark, path)
+    damaged = source.damaged_files(spark, path, "parquet", files)
+    ordered = source.with_archive_order(good, files)
+    span = ordered.agg(
+        F.min("pos").alias("first_pos"),
+        F.max_by("ts_ms", "pos").alias("last_ts_ms"),
+        F.sum("record_no").alias("record_sum"),
+    )
+    summary = source.file_summary(good, bad, files, damaged)
+    totals = summary.agg(
+        F.sum("events").alias("events"),
+        F.sum("decode_errors").alias("decode_errors"),
+        F.count("error").alias("broken_files"),
+    )
+    return totals.crossJoin(span)  # one row each
+
+
 def q_input_files(spark, folder):
     e = source.with_record_no(spark, f"{folder}/events.parquet")
     return e.groupBy("file_name").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,17 @@ def file_time_ms(name: Column) -> Column:
     return F.unix_date(day).cast("bigint") * 86_400_000 + of_day
 
 
+def file_path() -> Column:
+    """What every file is known by. Spark encodes special characters in it, everywhere alike."""
+    return F.col("_metadata.file_path").alias("file_path")
+
+
+def file_name_of(path: Column) -> Column:
+    """The name of a file as people know it."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+
+
 def with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
@@ -38,82 +51,139 @@ def read_raw(
     fmt: str = "parquet",
     schema: T.StructType = WIRE_EVENTS,
 ) -> DataFrame:
-    """All files of an archive as one table, with the file each row came from.
+    """All files of an archive as one table, with the path of the file each row came from.
 
-    JSON lines may be compressed (``.zst``, ``.gz``); rows that cannot be read arrive with
-    their text in ``_corrupt_record``. A file that cannot be read at all gives the rows
-    before the damage, if any, and shows up in the file summary.
+    JSON lines may be compressed (``.zst``, ``.gz``); rows that are neither an event nor a
+    header arrive with their text in ``_corrupt_record``. A file that cannot be read to its
+    end gives the rows before the damage; ``damaged_files`` finds it and the file summary
+    says so. Parquet rows without a record number get their place in the file.
     """
     reader = spark.read.option("ignoreCorruptFiles", "true")
-    name = F.col("_metadata.file_name").alias("file_name")
     if fmt == "json":
-        lines = reader.text(path).select("value", name).filter(F.trim("value") != "")
+        lines = reader.text(path).select("value", file_path()).filter(F.trim("value") != "")
         return parse_lines(lines, schema)
-    raw = reader.schema(schema).format(fmt).load(path).select("*", name)
-    return raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+    raw = reader.schema(schema).format(fmt).load(path).select("*", file_path(), F.col("_metadata"))
+    if fmt == "parquet" and "record_no" in schema.names:
+        own = F.coalesce("record_no", "_metadata.row_index")
+        raw = raw.withColumn("record_no", own)
+    return raw.drop("_metadata").withColumn(CORRUPT, F.lit(None).cast("string"))
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """JSON text rows into columns, keeping the text of rows that cannot be read."""
+    """JSON text rows into columns, keeping the text of rows that are no whole record."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json(value, with_corrupt(schema), options)
     keep = [c for c in lines.columns if c != value]
-    return lines.select(*keep, parsed.alias("r")).select(*keep, "r.*")
+    rows = lines.select(*keep, value, parsed.alias("r")).select(*keep, value, "r.*")
+    whole = is_event(rows) | is_header(rows)
+    text = F.when(~whole, F.coalesce(CORRUPT, value))
+    return rows.withColumn(CORRUPT, text).drop(value)
 
 
-def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into readable events and unreadable records.
+def is_event(raw: DataFrame) -> Column:
+    """Whether a record has what every event has: a time, and its number in the file."""
+    return raw[CORRUPT].isNull() & raw["ts_ms"].isNotNull() & raw["record_no"].isNotNull()
 
-    A header record says when the file was begun; it is neither an event nor an error.
-    """
-    good = raw.filter(F.col(CORRUPT).isNull() & F.col("ts_ms").isNotNull())
-    bad = raw.filter(F.col(CORRUPT).isNotNull())
-    return good.drop(CORRUPT, "created_s", "low_data"), bad
+
+def is_header(raw: DataFrame) -> Column:
+    """Whether a record says when its file was begun."""
+    if "created_s" not in raw.columns:
+        return F.lit(False)
+    return raw[CORRUPT].isNull() & raw["ts_ms"].isNull() & raw["created_s"].isNotNull()
+
+
+def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split into events and bad records: all that are neither an event nor a header."""
+    good = raw.filter(is_event(raw)).drop(CORRUPT, "created_s", "low_data")
+    return good, raw.filter(~(is_event(raw) | is_header(raw)))
 
 
 def file_headers(raw: DataFrame) -> DataFrame:
     """What the header records say: when each file was begun, and whether payloads were left out."""
-    headers = raw.filter(F.col("ts_ms").isNull() & F.col("created_s").isNotNull())
-    return headers.groupBy("file_name").agg(
+    return raw.filter(is_header(raw)).groupBy("file_path").agg(
         F.min("created_s").alias("created_s"), F.bool_or("low_data").alias("low_data")
     )
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Names and sizes of the files of an archive; their content is not read."""
+    """Paths, names and sizes of the files of an archive; their content is not read."""
     listed = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return listed.select(name.alias("file_name"), F.col("length").alias("size_bytes"))
+    return listed.select(
+        file_path(),
+        file_name_of(F.col("_metadata.file_path")).alias("file_name"),
+        F.col("_metadata.file_size").alias("size_bytes"),
+    )
+
+
+def damaged_files(
+    spark: SparkSession, path: str | list[str], fmt: str, files: DataFrame
+) -> DataFrame:
+    """The paths of the files that cannot be read to their end.
+
+    All files are read once without leniency. Only if that fails, halves of the list are,
+    down to the files that fail by themselves; the driver holds the list of paths.
+    """
+    read = spark.read.option("ignoreCorruptFiles", "false")
+
+    def fails(paths: list[str] | None) -> bool:
+        rows = read.text(path) if fmt == "json" else read.format(fmt).load(path)
+        if paths is not None:
+            rows = rows.filter(F.col("_metadata.file_path").isin(paths))
+        try:
+            # Every value is read; nothing but one number per task comes back.
+            rows.agg(F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}))")).collect()
+        except (PySparkException, Py4JJavaError):
+            return True
+        return False
+
+    def among(paths: list[str]) -> list[str]:
+        if not paths or not fails(paths):
+            return []
+        if len(paths) == 1:
+            return paths
+        half = len(paths) // 2
+        return among(paths[:half]) + among(paths[half:])
+
+    found = among([r[0] for r in files.select("file_path").collect()]) if fails(None) else []
+    return spark.createDataFrame([(f,) for f in found], "file_path string")
 
 
 def number_files(files: DataFrame) -> DataFrame:
-    """Files in archive order: by the time in the name, then by name.
+    """Files in archive order: by the time in the name, then by name, then by path.
 
     The window runs over the file list alone, one short row per rotated file.
     """
     timed = files.withColumn("file_ts", file_time_ms(F.col("file_name")))
-    order = Window.orderBy(F.col("file_ts").asc_nulls_first(), "file_name")
+    order = Window.orderBy(F.col("file_ts").asc_nulls_first(), "file_name", "file_path")
     return timed.withColumn("file_no", F.row_number().over(order).cast("bigint") - 1)
 
 
 def with_archive_order(df: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Add ``file_ts`` and ``pos``, the position of an event in the whole archive."""
+    """Add ``file_name``, ``file_ts`` and ``pos``, the position of an event in the archive.
+
+    Files are known by their path, so folders may hold files of the same name. An event of a
+    file that is not in ``files`` is an error when it is read.
+    """
     if files is None:
-        files = df.select("file_name").distinct()
-    numbered = number_files(files.select("file_name")).select("file_name", "file_ts", "file_no")
-    base = F.shiftleft(F.col("file_no"), POSITION_BITS)
+        files = df.select("file_path").distinct()
+        files = files.withColumn("file_name", file_name_of(F.col("file_path")))
+    numbered = number_files(files.select("file_path", "file_name"))
+    lost = F.raise_error(F.concat(F.lit("not in the list of files: "), "file_path"))
+    base = F.shiftleft(F.coalesce("file_no", lost.cast("bigint")), POSITION_BITS)
     # One row per file; the events stay where they are unless there are very many files.
     numbered = broadcast_if_small(numbered)
-    return df.join(numbered, "file_name").withColumn("pos", base + F.col("record_no"))
+    joined = df.join(numbered, "file_path", "left").withColumn("pos", base + F.col("record_no"))
+    return joined.drop("file_no")
 
 
 def with_record_no(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """A Parquet table numbered by the row's place in its file, for one without numbers."""
     df = spark.read.options(**options).parquet(path)
-    own = [c for c in df.columns if c not in ("file_name", "record_no")]
+    own = [c for c in df.columns if c not in ("file_path", "file_name", "record_no")]
     return df.select(
         *own,
-        F.col("_metadata.file_name").alias("file_name"),
+        file_path(),
+        file_name_of(F.col("_metadata.file_path")).alias("file_name"),
         F.col("_metadata.row_index").alias("record_no"),
     )
 
@@ -129,22 +199,34 @@ def read_events(
     return classify(with_archive_order(good, list_files(spark, path)))
 
 
-def file_summary(good: DataFrame, bad: DataFrame, files: DataFrame) -> DataFrame:
-    """Events and unreadable records per file; a file with no readable row is in it too."""
+def file_summary(
+    good: DataFrame, bad: DataFrame, files: DataFrame, damaged: DataFrame | None = None
+) -> DataFrame:
+    """Events and bad records per file; a file with no readable row is in it too.
+
+    ``damaged`` has the paths of files that were not read to their end.
+    """
     counted = (
-        good.select("file_name", F.lit(0).alias("bad"))
-        .unionByName(bad.select("file_name", F.lit(1).alias("bad")))
-        .groupBy("file_name")
+        good.select("file_path", F.lit(0).alias("bad"))
+        .unionByName(bad.select("file_path", F.lit(1).alias("bad")))
+        .groupBy("file_path")
         .agg(
             F.count_if(F.col("bad") == 0).alias("events"),
             F.count_if(F.col("bad") == 1).alias("decode_errors"),
         )
     )
-    return files.join(counted, "file_name", "left").select(
+    rows = files.join(counted, "file_path", "left")
+    cut = F.lit(False)
+    if damaged is not None:
+        rows = rows.join(damaged.withColumn("cut", F.lit(True)), "file_path", "left")
+        cut = F.col("cut")
+    return rows.select(
         *files.columns,
         F.coalesce("events", F.lit(0)).alias("events"),
         F.coalesce("decode_errors", F.lit(0)).alias("decode_errors"),
-        F.when(F.coalesce("events", F.lit(0)) == 0, "no readable event").alias("error"),
+        F.when(cut, "not readable to its end")
+        .when(F.coalesce("events", F.lit(0)) == 0, "no readable event")
+        .alias("error"),
     )
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from tallywire.operators import raster
 from tallywire.operators.peers import peer_table
 
@@ -59,7 +61,30 @@ def test_peer_raster(spark):
     assert (about.start_ms, about.end_ms, about.commands) == (1000, 2900, 3)
     assert (about.messages_in, about.messages_out, about.bin_ms) == (25, 10, 190.0)
     marks = raster.peer_marks(events, 1, 10).collect()
+    assert len(marks) == 9 and all(m.complete for m in marks)
+    marks = raster.peer_marks(events, 1, 10, last=8).collect()
     assert len(marks) == 8 and not any(m.complete for m in marks)
+    with pytest.raises(ValueError):
+        raster.peer_raster(events, 1, 0, 2)
+    with pytest.raises(ValueError):
+        raster.peer_raster(events, 1, 10, 0)
+    assert raster.peer_raster(events, 1, 100_000, 100_000).count() == 35
     # A single instant still has a column.
     assert [(r.col, r.value) for r in raster.peer_raster(events, 2, 10, 5).collect()] == [(0, 8)]
     assert raster.peer_raster(events, 99, 10, 5).count() == 0
+
+
+def test_activity_rows(spark):
+    events = busy(spark)
+    found = raster.peer_activity_rows(
+        events, peer_table(events), columns=50, max_rows=10, time_from=4800, time_to=5800
+    ).orderBy("rank")
+    one = wire.one(found)
+    assert (one.rank, one.peer_id, one.addr, one.events, one.messages_in) == (1, 1, "10.0.0.1:8333", 40, 20)
+    assert (list(one.cells_in), list(one.cells_out), list(one.marks)) == ([0, 1], [5, 1], [])
+    # Seen in the window, but without a message or a mark in it.
+    quiet = wire.archive(spark, [wire.message(10, 7, "inv", True), wire.message(90, 7, "inv", True), wire.opened(50, 8)])
+    found = raster.peer_activity_rows(quiet, peer_table(quiet), columns=4, max_rows=10, time_from=20, time_to=60)
+    rows = found.orderBy("rank").collect()
+    assert [(r.rank, r.peer_id, r.cells_in, r.cells_out) for r in rows] == [(1, 7, [], []), (2, 8, [], [])]
+    assert [[tuple(m) for m in r.marks] for r in rows] == [[], [(3, "inbound")]]

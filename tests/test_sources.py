@@ -1,3 +1,4 @@
+import gzip
 import json
 from types import SimpleNamespace
 
@@ -73,7 +74,7 @@ def test_summary_counts_damage_per_file(spark, folder):
     assert (third.events, third.decode_errors, third.error) == (0, 1, "no readable event")
     assert third.size_bytes == 8
     fourth = next(r for f, r in files.items() if "030000" in f)
-    assert (fourth.events, fourth.decode_errors, fourth.error) == (0, 0, "no readable event")
+    assert (fourth.events, fourth.decode_errors, fourth.error) == (0, 0, "not readable to its end")
     totals = wire.one(archive.totals())
     assert (totals.events, totals.decode_errors, totals.peers) == (4, 2, 2)
 
@@ -98,7 +99,78 @@ def test_unreadable_parquet_file_does_not_spoil_the_rest(spark, tmp_path):
     archive = Archive.open(spark, path)
     assert wire.one(archive.totals()).events == 1
     broken = [r for r in archive.file_summary().collect() if r.file_name == "zzz.parquet"]
-    assert [(r.events, r.error) for r in broken] == [(0, "no readable event")]
+    assert [(r.events, r.error) for r in broken] == [(0, "not readable to its end")]
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for folder, n in (("a", 2), ("b", 3)):
+        (tmp_path / folder).mkdir()
+        lines = [as_json(wire.message(100 * i, 1, "ping", True), i) for i in range(n)]
+        (tmp_path / folder / "events.json").write_text("\n".join(lines) + "\n")
+    archive = Archive.open(spark, [str(tmp_path / f) for f in "ab"], "json")
+    rows = archive.events.collect()
+    assert len({r.pos for r in rows}) == len(rows) == 5
+    assert sorted((r.file_name, r.events) for r in archive.file_summary().collect()) == [
+        ("events.json", 2), ("events.json", 3),
+    ]
+
+
+@pytest.mark.parametrize("name", ["my file.json", "a+b.json", "100%.json", "ü [1] {x}.json"])
+def test_odd_file_names(spark, tmp_path, name):
+    lines = [as_json(wire.message(100 * i, 1, "ping", True), i) for i in range(2)]
+    (tmp_path / name).write_text("\n".join(lines) + "\n")
+    archive = Archive.open(spark, str(tmp_path), "json")
+    assert [r.file_name for r in archive.events.collect()] == [name] * 2
+    assert [(r.file_name, r.events, r.error) for r in archive.file_summary().collect()] == [(name, 2, None)]
+
+
+def test_every_line_is_an_event_a_header_or_bad(spark, tmp_path):
+    lines = [
+        as_json(wire.message(5, 1, "ping", True), 0), "{}", '{"foo":1}', '{"record_no":3,"arm":"rpc"}',
+        '{"ts_ms":7,"arm":"rpc"}', "garbage", "17", "[1]", '"text"', "null", '{"created_s":1}', '{"ts_ms":"x"}',
+        '{"ts_ms":9,"record_no":10,"arm":null}',
+    ]
+    (tmp_path / "f.json").write_text("\n".join(lines) + "\n\n  \n")
+    raw = source.read_raw(spark, str(tmp_path), "json")
+    good, bad = source.quarantine(raw)
+    headers = raw.filter(source.is_header(raw)).count()
+    assert (good.count(), headers, bad.count()) == (2, 1, len(lines) - 3)
+    assert sorted(r[source.CORRUPT] for r in bad.collect()) == sorted(lines[1:10] + [lines[11]])
+    archive = Archive.open(spark, str(tmp_path), "json")
+    assert wire.one(archive.totals()).decode_errors == len(lines) - 3
+
+
+def test_files_cut_in_the_middle(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [as_json(wire.message(i, i % 50, "ping", True), i) for i in range(60_000)]
+    whole = gzip.compress("\n".join(lines).encode())
+    (folder / "a.json.gz").write_bytes(whole)
+    (folder / "b c.json.gz").write_bytes(whole[: len(whole) // 2])
+    archive = Archive.open(spark, str(folder), "json")
+    found = {r.file_name: r for r in archive.file_summary().collect()}
+    assert (found["a.json.gz"].events, found["a.json.gz"].error) == (60_000, None)
+    cut = found["b c.json.gz"]
+    assert 0 < cut.events < 60_000 and cut.error == "not readable to its end"
+
+
+def test_cut_parquet_and_missing_numbers(spark, tmp_path):
+    path = tmp_path / "p"
+    rows = wire.archive(spark, [wire.message(i, 1, "ping", True) for i in range(50)])
+    source.write_result(rows.drop("pos", "record_no").coalesce(1), str(path))
+    part = next(path.glob("part-*.parquet"))
+    (path / "zcut.parquet").write_bytes(part.read_bytes()[:-100])
+    archive = Archive.open(spark, str(path))
+    assert sorted(r.pos for r in archive.events.collect()) == list(range(50))
+    found = {r.file_name: (r.events, r.error) for r in archive.file_summary().collect()}
+    assert found == {part.name: (50, None), "zcut.parquet": (0, "not readable to its end")}
+
+
+def test_an_event_of_an_unlisted_file_is_an_error(spark, folder):
+    good, _ = source.quarantine(source.read_raw(spark, folder, "json"))
+    some = source.list_files(spark, folder).limit(1)
+    with pytest.raises(Exception, match="not in the list of files"):
+        source.with_archive_order(good, some).collect()
 
 
 def test_strip(spark):
