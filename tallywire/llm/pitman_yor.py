@@ -34,7 +34,7 @@ TOP_DISCOUNT, TOP_STRENGTH = 0.8, 1.0  # of the parent
 BURN_IN, SAMPLES = 2, 3
 CONTEXT_SHARE = 1e-5  # of training tokens that makes a word a context: 100,000 at most
 HOT_SHARE = 1e-3  # of training tokens from which a word is dealt on by context
-EXACT = 1024  # customers of a dish up to which the conditional is drawn exactly
+EXACT = 1024  # customers of a dish up to which Stirling numbers are used as they are
 HELD = 2_000_000  # tokens a task gathers before it deals them
 END = int(mix(np.array([0x454E44], dtype=U))[0])  # the end of a text, as a word
 KEY_BITS = 48
@@ -157,7 +157,7 @@ class Dealer:
             yield from self.deal()
 
     def deal(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
+        if not self.n:
             return
         word, context, text = (np.concatenate(x) for x in zip(*self.held, strict=True))
         shards = U(self.vocab.shards)
@@ -266,34 +266,31 @@ def draw_tables(
     """Tables of each dish: ``customers`` of it, given that the other dishes' tables and the
     strength make ``mass``, and its probability ``base`` in the parent.
 
-    Above EXACT customers the first so many are drawn exactly; the rest sit down one group
-    after the other, each a sixteenth of those before it.
+    Up to EXACT customers the conditional is used as it is. With more, the Stirling numbers
+    take the form they have for many customers, which makes it a negative binomial.
     """
     out = np.minimum(customers, 1)
     exact = len(table) - 1
+    base = np.clip(base, 1e-300, 1 - 1e-9)
     order = np.argsort(customers, kind="stable")
-    size = np.minimum(customers[order], exact)
-    cuts = np.flatnonzero(np.diff(size, prepend=-1))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(size)), strict=True):
+    order = order[: np.searchsorted(customers[order], exact, side="right")]
+    size = customers[order]
+    cuts = np.concatenate([np.flatnonzero(np.diff(size, prepend=-1)), [len(size)]])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         c = int(size[lo])
         if c < 2:
             continue
-        for a in range(lo, hi, max(1, 1_000_000 // c)):
-            at = order[a : min(hi, a + max(1, 1_000_000 // c))]
+        step = max(1, 1_000_000 // c)
+        for begin in range(lo, hi, step):
+            at = order[begin : min(hi, begin + step)]
             open_ = np.log(mass[at, None] + discount * np.arange(c)) + np.log(base[at, None])
             weight = table[c, 1 : c + 1] + np.cumsum(open_, axis=1)
             weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
             pick = rng.random(len(at)) * weight[:, -1]
             out[at] = 1 + (weight < pick[:, None]).sum(axis=1)
     large = np.flatnonzero(customers > exact)
-    seated = np.full(len(large), exact)
-    while len(large):
-        group = np.minimum(np.maximum(seated // 16, 1), customers[large] - seated)
-        fresh = (mass[large] + discount * out[large]) * base[large]
-        out[large] += rng.binomial(group, fresh / (fresh + seated - discount * out[large]))
-        seated = seated + group
-        rest = seated < customers[large]
-        large, seated = large[rest], seated[rest]
+    more = rng.negative_binomial(mass[large] / discount + 1, 1 - base[large])
+    out[large] = np.minimum(1 + more, customers[large])
     return out
 
 
@@ -420,16 +417,17 @@ def predictive(vocab: Vocabulary, s: Seating, word: np.ndarray, context: np.ndar
     pair = found_in(s.word_of * width + s.context, np.where(seen, at, 0) * width + context)
     pair = np.where(seen & (context >= 0), pair, -1)
     total = np.zeros(len(word))
-    hot = s.hot >= 0
+    hot_at = found_in(vocab.hot >> U(64 - KEY_BITS), word)
     for i in range(SAMPLES):
-        customers, tables = s.customers[i].astype(float), s.top[i].astype(float)
-        if hot.any():
-            customers[hot] = vocab.hot_customers[i][s.hot[hot]]
-            tables[hot] = vocab.hot_top[i][s.hot[hot]]
+        customers, tables = s.customers[i], s.top[i]
         rest = (TOP_STRENGTH + TOP_DISCOUNT * vocab.top_tables[i]) * base
         all_ = TOP_STRENGTH + vocab.top_customers[i]
         top = (np.append(customers - TOP_DISCOUNT * tables, 0) + rest) / all_
         chance = top[at]  # -1, a word without customers, is the last entry
+        if len(vocab.hot):
+            # A hot word's customers are in many shards, and may not be in this one.
+            own = vocab.hot_customers[i] - TOP_DISCOUNT * vocab.hot_top[i]
+            chance = np.where(hot_at >= 0, (own[hot_at] + rest) / all_, chance)
         if len(vocab.contexts):
             mass = STRENGTH + DISCOUNT * vocab.tables[i][context]
             own = np.append(s.count - DISCOUNT * s.tables[i], 0)[pair]
@@ -503,8 +501,6 @@ def _scores(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             chance = predictive(vocab, s, word, context)
             at = found_in(s.words, word)
             n = np.append(np.bincount(found_in(s.words, word[learnt]), minlength=len(s.words)), 0)
-            hot = s.hot >= 0
-            n[:-1][hot] = vocab.hot_n[s.hot[hot]]
             count = n[at]
             hot_at = found_in(vocab.hot >> U(64 - KEY_BITS), word)
             if len(vocab.hot):

@@ -9,11 +9,14 @@ from tallywire.llm import hash_forest as hf
 from tallywire.llm.hash_forest import nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, rank int, class int"
-QUERY = F.col("vec_id") % 50 == 0
+def query():
+    return F.col("vec_id") % 50 == 0
+
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, v, 1, 0.5, 3, 9) for i, v in rows], SCHEMA)
+    rows = [(i, v and [x if x is None else float(x) for x in v], 1, 0.5, 3, 9) for i, v in rows]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def usable(v):
@@ -52,7 +55,7 @@ def test_recall_and_scores(spark, monkeypatch):
     monkeypatch.setattr(hf, "QUERIES", 20)
     rng = np.random.default_rng(1)
     rows = [(i, rng.standard_normal(24).tolist()) for i in range(2000)]
-    want, got = brute(rows), found(nearest(frame(spark, rows), QUERY))
+    want, got = brute(rows), found(nearest(frame(spark, rows), query()))
     assert set(got) == set(want)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 5 * len(want)
@@ -69,7 +72,7 @@ def test_small_tables_are_exact_with_ties_and_odd_rows(spark):
     rows += [(200, None), (250, []), (300, [0.0] * 4), (350, [1.0, None, 0.0, 0.0])]
     rows += [(400, [float("nan"), 1, 1, 1]), (450, [float("inf"), 1, 1, 1]), (None, vectors[0])]
     rows += [(500, [1.0, 2.0]), (501, [2.0, 1.0]), (550, [1.0, 2.0, 3.0]), (100, rows[100][1])]
-    want, got = brute(rows), found(nearest(frame(spark, rows), QUERY))
+    want, got = brute(rows), found(nearest(frame(spark, rows), query()))
     assert set(got) == set(want)
     for q in want:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
@@ -78,14 +81,14 @@ def test_small_tables_are_exact_with_ties_and_odd_rows(spark):
 
 def test_a_vector_that_many_rows_share(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(1, 700)] + [(i, [float(i), 1.0, 0.0]) for i in range(700, 760)]
-    got = found(nearest(frame(spark, rows), QUERY))
+    got = found(nearest(frame(spark, rows), query()))
     for q in range(50, 700, 50):
         assert [i for i, _ in got[q]] == [i for i in range(1, 7) if i != q][:5]
 
 
 def test_empty(spark):
-    assert nearest(frame(spark, []), QUERY).count() == 0
-    assert nearest(frame(spark, [(50, [1.0])]), QUERY).count() == 0
+    assert nearest(frame(spark, []), query()).count() == 0
+    assert nearest(frame(spark, [(50, [1.0])]), query()).count() == 0
 
 
 def test_forest_goes_up_all_trees_together():
