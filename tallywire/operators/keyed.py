@@ -1,112 +1,129 @@
-"""Pairing by the keys messages name, page by page, and conversations.
+"""Pairing by the keys messages name, over the whole archive, and conversations.
 
-This is stepwise by nature: which request a reply belongs to depends on what earlier replies
-took. It is defined on a page of messages, which bounds every group handed to Python.
+A reply that names a key answers the request that asked for it. For every peer, rule, direction
+and key, requests and replies form a queue: a reply takes the oldest request still waiting, and
+one that finds none is stray. That needs no stepping: with requests counted +1 and replies -1,
+a reply is stray where the running sum falls to a new low, and the n-th reply that is not stray
+takes the n-th request. A queue starts anew when nothing happened on it for longer than the
+rule's window, and what is older than the window when its reply comes is not tied.
+
+A reply may name keys of several requests; it goes to the oldest of them, by time, then rule,
+then position. A request under a rule with a single reply keeps the first of its replies.
+
+Requests that name nothing are paired by order and timing with the replies that no key ties.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywire.functions.payload import detail_text, named_keys
 from tallywire.functions.taxonomy import is_message
+from tallywire.operators.pairing import pair_by_timing
 from tallywire.operators.rules import WIRE_RULES, Rule
 from tallywire.operators.search import page, page_rows
 
-# Requests of one kind followed at once on a page; past this the oldest is forgotten.
-LOCAL_OPEN = 32
-PAGE_ROWS = 500
-PAGES_PER_CALL = 8
+QUEUE = ["peer_id", "rule", "asked_inbound", "key"]
 
-TIES = "page bigint, request_pos bigint, reply_pos bigint, rule int, by_key boolean, elapsed_ms bigint"
 
+def _parts(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per message, rule it plays a part in, and key it names."""
+    parts: dict[str, list] = {}
+    for n, r in enumerate(rules):
+        parts.setdefault(r.request, []).append((n, True, r))
+        for command in r.replies:
+            parts.setdefault(command, []).append((n, False, r))
+    role = None
+    for command, found in sorted(parts.items()):
+        value = F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("rule"),
+                    F.lit(asks).alias("asks"),
+                    F.lit(r.multi).alias("multi"),
+                    F.lit(r.window_ms).cast("bigint").alias("window_ms"),
+                )
+                for n, asks, r in found
+            ]
+        )
+        test = F.col("kind") == command
+        role = F.when(test, value) if role is None else role.when(test, value)
+    named = messages.filter(is_message() & F.col("kind").isin(*sorted(parts)))
+    rows = named.select("peer_id", "pos", "ts_ms", "inbound", "keys", F.explode(role).alias("r"))
+    return rows.select(
+        "peer_id",
+        "r.*",
+        F.when(F.col("r.asks"), F.col("inbound")).otherwise(~F.col("inbound")).alias(
+            "asked_inbound"
+        ),
+        "pos",
+        "ts_ms",
+        F.explode("keys").alias("key"),
+    )
 
-class _Request:
-    """A request on the page, with the keys it still waits for (None: it named none)."""
 
-    __slots__ = ("pos", "ts", "missing")
+def keyed_ties(messages: DataFrame, rules: Sequence[Rule] = WIRE_RULES) -> DataFrame:
+    """Replies tied to requests by what they name: request_pos, reply_pos, rule, elapsed_ms."""
+    in_queue = Window.partitionBy(*QUEUE).orderBy("pos")
+    gap = F.col("ts_ms") - F.lag("ts_ms").over(in_queue) > F.col("window_ms")
+    rows = _parts(messages, rules).withColumn("fresh", F.when(gap, 1).otherwise(0))
+    rows = rows.withColumn("run", F.sum("fresh").over(in_queue))
+    run = [*QUEUE, "run"]
+    so_far = Window.partitionBy(*run).orderBy("pos")
+    rows = rows.withColumns(
+        {
+            "level": F.sum(F.when(F.col("asks"), 1).otherwise(-1)).over(so_far),
+            "asked": F.count_if("asks").over(so_far),
+            "replied": F.count_if(~F.col("asks")).over(so_far),
+        }
+    )
+    rows = rows.withColumn("strays", F.greatest(-F.min("level").over(so_far), F.lit(0)))
+    before = F.coalesce(F.lag("strays").over(so_far), F.lit(0))
+    rows = rows.withColumn(
+        "nth",
+        F.when(F.col("asks"), F.col("asked")).when(
+            F.col("strays") == before, F.col("replied") - F.col("strays")
+        ),
+    )
 
-    def __init__(self, pos: int, ts: int, keys: frozenset):
-        self.pos, self.ts = pos, ts
-        self.missing = set(keys) if keys else None
+    def of(asks: bool, column: str):
+        return F.max(F.when(F.col("asks") == asks, F.col(column)))
 
+    met = rows.filter(F.col("nth").isNotNull()).groupBy(*run, "nth", "multi", "window_ms").agg(
+        of(True, "pos").alias("request_pos"),
+        of(True, "ts_ms").alias("request_ts"),
+        of(False, "pos").alias("reply_pos"),
+        of(False, "ts_ms").alias("reply_ts"),
+    )
+    elapsed = F.greatest(F.col("reply_ts") - F.col("request_ts"), F.lit(0))
+    met = met.filter("request_pos IS NOT NULL AND reply_pos IS NOT NULL")
+    met = met.withColumn("elapsed_ms", elapsed).filter("elapsed_ms <= window_ms")
+    oldest = Window.partitionBy("reply_pos").orderBy("request_ts", "rule", "request_pos")
+    met = met.withColumn("choice", F.row_number().over(oldest)).filter("choice = 1")
+    first = Window.partitionBy("request_pos", "rule").orderBy("reply_pos")
+    met = met.withColumn("turn", F.row_number().over(first)).filter("multi OR turn = 1")
+    return met.select("request_pos", "reply_pos", "rule", "elapsed_ms")
 
-def _best(candidates, keys: frozenset):
-    """The request a reply belongs to: one that wants its key, else the oldest unnamed pairing.
 
-    ``candidates`` come in rule order and, within a rule, in order of sending; ``min`` keeps
-    the first of equals.
-    """
-    ranked = []
-    for rule, request in candidates:
-        wants = request.missing is not None and not request.missing.isdisjoint(keys)
-        by_order = request.missing is None or (bool(request.missing) and not keys)
-        if wants or by_order:
-            ranked.append((not wants, request.ts, rule, request))
-    return min(ranked, key=lambda r: r[:2]) if ranked else None
-
-
-def _pair_pages(rows: pd.DataFrame, rules: Sequence[Rule], local_open: int) -> pd.DataFrame:
-    """Ties on a few pages; every peer of a page is a conversation of its own."""
-    asks = {r.request: n for n, r in enumerate(rules)}
-    answers: dict[str, list[int]] = {}
-    for n, r in enumerate(rules):
-        for command in r.replies:
-            answers.setdefault(command, []).append(n)
-    open_requests: dict[tuple, list[_Request]] = {}
-    ties = []
-    for m in rows.sort_values("pos").itertuples():
-        keys = frozenset(m.keys)
-        talk = (m.page, m.peer_id)
-        candidates = [
-            (n, q)
-            for n in answers.get(m.kind, ())
-            for q in open_requests.get((talk, n, not m.inbound), ())
-            if m.ts_ms - q.ts <= rules[n].window_ms
-        ]
-        hit = _best(candidates, keys)
-        if hit is not None:
-            by_order, _, n, request = hit
-            ties.append((m.page, request.pos, m.pos, n, not by_order, max(m.ts_ms - request.ts, 0)))
-            if not by_order:
-                request.missing -= keys
-            done = request.missing is not None and not request.missing
-            if done or not rules[n].multi:
-                open_requests[talk, n, not m.inbound].remove(request)
-        if m.kind in asks:
-            waiting = open_requests.setdefault((talk, asks[m.kind], m.inbound), [])
-            if len(waiting) >= local_open:
-                del waiting[0]
-            waiting.append(_Request(m.pos, m.ts_ms, keys))
-    names = ["page", "request_pos", "reply_pos", "rule", "by_key", "elapsed_ms"]
-    return pd.DataFrame(ties, columns=names)
-
-
-def pair_by_key(
-    messages: DataFrame,
-    rules: Sequence[Rule] = WIRE_RULES,
-    page_of: Column | None = None,
-    local_open: int = LOCAL_OPEN,
-) -> DataFrame:
-    """Tie replies to the requests that asked for what they name, within each page.
+def pair_by_key(messages: DataFrame, rules: Sequence[Rule] = WIRE_RULES) -> DataFrame:
+    """All ties of the archive: request_pos, reply_pos, rule, by_key, elapsed_ms.
 
-    ``messages`` has a ``keys`` column. ``page_of`` numbers the pages and must keep them
-    small; by default a page is a run of PAGE_ROWS archive positions. A call to Python gets
-    PAGES_PER_CALL whole pages, so what it holds is bounded whoever is busy on them.
+    ``messages`` has a ``keys`` column.
     """
     rules = tuple(rules)
-    page_no = F.expr(f"pos div {PAGE_ROWS}") if page_of is None else page_of
-    commands = sorted({r.request for r in rules} | {c for r in rules for c in r.replies})
-    turns = messages.filter(is_message() & F.col("kind").isin(*commands)).select(
-        page_no.cast("bigint").alias("page"), "peer_id", "pos", "ts_ms", "kind", "inbound", "keys"
-    )
-    return turns.groupBy(F.expr(f"page div {PAGES_PER_CALL}")).applyInPandas(
-        lambda rows: _pair_pages(rows, rules, local_open), TIES
+    by_key = keyed_ties(messages, rules).withColumn("by_key", F.lit(True))
+    tied = by_key.select(F.col("reply_pos").alias("pos"), F.lit(True).alias("tied"))
+    rest = messages.join(tied, "pos", "left").withColumns(
+        {"named": F.size("keys") > 0, "tied": F.coalesce("tied", F.lit(False))}
     )
+    plays = F.when(F.col("asks"), ~F.col("named")).otherwise(~F.col("tied"))
+    by_time = pair_by_timing(rest, rules, keep=["named", "tied"], plays=plays)
+    names = ["request_pos", "reply_pos", "rule", "by_key", "elapsed_ms"]
+    by_time = by_time.withColumn("by_key", F.lit(False)).select(*names)
+    return by_key.select(*names).union(by_time)
 
 
 def conversation(
@@ -118,8 +135,8 @@ def conversation(
 ) -> DataFrame:
     """A page of ``found``, a search in ``df``, with what each message carried and answers.
 
-    ``request_row`` is the place on the page, from 0, of the request a row answers. An
-    exchange that crosses the edge of the page is not tied.
+    ``request_pos`` is the request a row answers, wherever it is in ``df``, and ``request_row``
+    its place on the page, from 0, if it is on it. Only messages of the page's peers are paired.
     """
     cut = page(found, offset, limit)
     if "keys" not in cut.columns:
@@ -127,9 +144,10 @@ def conversation(
     if "detail" not in cut.columns:
         cut = cut.withColumn("detail", detail_text())
     rows = page_rows(df, cut, limit).withColumn("row", F.col("row_index") - offset)
-    ties = pair_by_key(rows, rules, page_of=F.lit(0))
+    talk = df if "keys" in df.columns else df.withColumn("keys", named_keys())
+    mine = rows.filter("peer_id IS NOT NULL").select("peer_id").distinct()
+    ties = pair_by_key(talk.join(mine, "peer_id", "left_semi"), rules)
+    answers = ties.select(F.col("reply_pos").alias("pos"), "request_pos", "elapsed_ms")
     place = rows.select(F.col("pos").alias("request_pos"), F.col("row").alias("request_row"))
-    answers = ties.join(place, "request_pos").select(
-        F.col("reply_pos").alias("pos"), "request_row", "elapsed_ms"
-    )
-    return rows.drop("row_index").join(answers, "pos", "left")
+    rows = rows.drop("row_index").join(answers, "pos", "left")
+    return rows.join(place, "request_pos", "left")

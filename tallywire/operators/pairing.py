@@ -178,7 +178,12 @@ def _with_earlier(
 
 
 def paired_rows(
-    messages: DataFrame, rules: Sequence[Rule], hot_rows: int, bits: int
+    messages: DataFrame,
+    rules: Sequence[Rule],
+    hot_rows: int,
+    bits: int,
+    keep: Sequence[str] = (),
+    plays: Column | None = None,
 ) -> tuple[DataFrame, bool]:
     """Every request and possible reply in one table, with the request a reply is tied to.
 
@@ -186,7 +191,9 @@ def paired_rows(
     which one it is: a request's own place, or the request a reply is tied to. Replies tied
     to none are left out. Also tells whether any key was split.
     """
-    rows = conversation_rows(messages, rules)
+    rows = conversation_rows(messages, rules, keep)
+    if plays is not None:
+        rows = rows.filter(plays).drop(*keep)
     rows, split = skew.with_split(rows, KEYS, hot_rows=hot_rows, bits=bits)
     rows = _with_claims(with_open_requests(rows, split), rules)
     takes = F.lit(False)
@@ -223,13 +230,16 @@ def pair_by_timing(
     rules: Sequence[Rule] = WIRE_RULES,
     hot_rows: int = skew.HOT_ROWS,
     bits: int = skew.SPLIT_BITS,
+    keep: Sequence[str] = (),
+    plays: Column | None = None,
 ) -> DataFrame:
     """Every tied reply with its request, over the whole archive.
 
     ``inbound`` is the reply's direction. ``first_reply`` marks the reply that made the
-    request an answered one.
+    request an answered one. ``plays`` tells, from ``asks`` and the columns ``keep`` of a
+    message, which of its parts count.
     """
-    rows, split = paired_rows(messages, rules, hot_rows, bits)
+    rows, split = paired_rows(messages, rules, hot_rows, bits, keep, plays)
     # A single-reply request has one reply, which is its first.
     rows = rows.withColumn("one_of_many", ~F.col("asks") & F.col("of_multi"))
     marked = _with_earlier(rows, "one_of_many", "request_pos", "again", split)

@@ -183,6 +183,59 @@ ties AS (
   FROM hits WHERE multi OR rn = 1)
 """
 
+# What messages name: the tens of k, the ones of an odd k, and nothing for every third.
+NAMED = """
+km AS (
+  SELECT pos, ts_ms, peer_id, kind, inbound, CASE WHEN k % 3 = 0 THEN []
+    WHEN k % 2 = 1 THEN ['t' || k // 10, 'u' || k % 10] ELSE ['t' || k // 10] END AS keys
+  FROM m WHERE event_group = 'message'),
+kw AS (
+  SELECT rule, multi, window_ms, peer_id, inbound AS dir, pos, ts_ms, true AS asks, unnest(keys) AS key
+  FROM km JOIN rules ON kind = request
+  UNION ALL
+  SELECT rule, multi, window_ms, peer_id, NOT inbound, pos, ts_ms, false, unnest(keys)
+  FROM km JOIN rules ON kind = reply),
+kg AS (
+  SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER q > window_ms THEN 1 ELSE 0 END AS fresh
+  FROM kw WINDOW q AS (PARTITION BY peer_id, rule, dir, key ORDER BY pos)),
+kr AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY peer_id, rule, dir, key ORDER BY pos) AS run FROM kg),
+kl AS (
+  SELECT *, sum(CASE WHEN asks THEN 1 ELSE -1 END) OVER q AS level,
+    count(*) FILTER (asks) OVER q AS a, count(*) FILTER (NOT asks) OVER q AS z
+  FROM kr WINDOW q AS (PARTITION BY peer_id, rule, dir, key, run ORDER BY pos)),
+kd AS (
+  SELECT *, greatest(-min(level) OVER q, 0) AS strays
+  FROM kl WINDOW q AS (PARTITION BY peer_id, rule, dir, key, run ORDER BY pos)),
+kn AS (
+  SELECT *, CASE WHEN asks THEN a WHEN strays = coalesce(lag(strays) OVER q, 0) THEN z - strays END AS nth
+  FROM kd WINDOW q AS (PARTITION BY peer_id, rule, dir, key, run ORDER BY pos)),
+kq AS (
+  SELECT x.rule, x.multi, x.pos AS request_pos, x.ts_ms AS rts, y.pos AS reply_pos,
+         greatest(y.ts_ms - x.ts_ms, 0) AS elapsed_ms
+  FROM kn x JOIN kn y ON x.asks AND NOT y.asks AND x.nth = y.nth AND x.run = y.run AND x.peer_id = y.peer_id
+    AND x.rule = y.rule AND x.dir = y.dir AND x.key = y.key
+  WHERE greatest(y.ts_ms - x.ts_ms, 0) <= x.window_ms),
+kb AS (
+  SELECT * FROM kq QUALIFY row_number() OVER (PARTITION BY reply_pos ORDER BY rts, rule, request_pos) = 1),
+kt AS (
+  SELECT request_pos, reply_pos, CAST(rule AS INTEGER) AS rule, elapsed_ms FROM kb
+  QUALIFY multi OR row_number() OVER (PARTITION BY request_pos, rule ORDER BY reply_pos) = 1)
+"""
+
+# The timing form for requests that name nothing and replies that no key ties.
+REST = TIES.replace("FROM m JOIN rules ON kind = request", "FROM km JOIN rules ON kind = request AND len(keys) = 0")
+REST = REST.replace(
+    "FROM m JOIN rules ON kind = reply",
+    "FROM km JOIN rules ON kind = reply AND pos NOT IN (SELECT reply_pos FROM kt)",
+)
+KEYED = """
+pairs AS (
+  SELECT request_pos, reply_pos, rule, true AS by_key, elapsed_ms FROM kt
+  UNION ALL
+  SELECT request_pos, reply_pos, CAST(rule AS INTEGER), false, elapsed_ms FROM ties)
+"""
+
 FATES = """
 fates AS (
   SELECT o.rule, o.peer_id, o.dir, o.pos, o.ts_ms, coalesce(x.n, 0) AS replies,
@@ -595,6 +648,17 @@ FROM recent JOIN p USING (peer_id), own WHERE peer_id = {PEER}""")
 SELECT peer_id, pos, CAST(least((ts_ms - a) * 40 // span, 39) AS INTEGER) AS col, kind, ts_ms, true AS complete
 FROM m, own WHERE peer_id = {PEER} AND event_group = 'connection'""")
 
+    keyed = [m, ACTIVITY_RULES, NAMED, REST, KEYED]
+    out["keyed_pairs"] = _with(*keyed, body=" SELECT * FROM pairs")
+    out["conversation"] = _with(*keyed, p, body="""
+, f AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS place FROM m WHERE event_group = 'message'),
+g AS MATERIALIZED (SELECT * FROM f WHERE place < 400)
+SELECT g.pos, g.ts_ms, g.category, g.event_group, g.kind, g.label, g.peer_id, g.inbound,
+  coalesce(g.size, 0) AS size, p.addr, CAST(NULL AS VARCHAR) AS detail, g.place AS row,
+  t.request_pos, t.elapsed_ms, h.place AS request_row
+FROM g JOIN p ON p.peer_id = g.peer_id LEFT JOIN pairs t ON t.reply_pos = g.pos
+LEFT JOIN g h ON h.pos = t.request_pos""")
+
     out["peer_networks"] = _with(m, p, NETS, body=" SELECT peer_id, addr, asn, network_label FROM placed")
     out["networks"] = _with(m, p, NETS, body=" SELECT * FROM nets")
     out["networks_total"] = _with(m, p, NETS, body="""

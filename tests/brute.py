@@ -85,34 +85,29 @@ def delivery_items(announced, delivered):
     return out
 
 
-def keyed(turns, rules, local_open):
-    """Ties of (pos, ts, peer, command, inbound, keys), looking at every open request."""
-    waiting = defaultdict(list)
-    ties = []
+def keyed(turns, rules):
+    """Ties by key of (pos, ts, peer, command, inbound, keys), one queue per key at a time."""
+    queues, last, options = defaultdict(list), {}, defaultdict(list)
     for pos, ts, peer, command, inbound, keys in turns:
-        options = []
         for n, rule in enumerate(rules):
-            if command not in rule.replies:
-                continue
-            for place, (rpos, rts, left, named) in enumerate(waiting[peer, n, not inbound]):
-                if ts - rts > rule.window_ms:
+            for asks in (True, False):
+                if command != rule.request if asks else command not in rule.replies:
                     continue
-                shared = bool(named and left & keys)
-                if shared or not named or (left and not keys):
-                    options.append((not shared, rts, n, place))
-        if options:
-            by_order, rts, n, place = min(options)
-            queue = waiting[peer, n, not inbound]
-            rpos, _, left, named = queue[place]
-            ties.append((rpos, pos, max(ts - rts, 0)))
-            if not by_order:
-                left -= keys
-            if not rules[n].multi or (named and not left):
-                queue.pop(place)
-        for n, rule in enumerate(rules):
-            if rule.request == command:
-                queue = waiting[peer, n, inbound]
-                if len(queue) == local_open:
-                    queue.pop(0)
-                queue.append((pos, ts, set(keys), bool(keys)))
+                for key in keys:
+                    name = (peer, n, inbound == asks, key)
+                    if name in last and ts - last[name] > rule.window_ms:
+                        queues[name] = []
+                    last[name] = ts
+                    if asks:
+                        queues[name].append((ts, pos))
+                    elif queues[name]:
+                        rts, rpos = queues[name].pop(0)
+                        if ts - rts <= rule.window_ms:
+                            options[pos].append((rts, n, rpos, ts))
+    ties, taken = [], set()
+    for pos in sorted(options):
+        rts, n, rpos, ts = min(options[pos])
+        if rules[n].multi or (rpos, n) not in taken:
+            ties.append((rpos, pos, n, max(ts - rts, 0)))
+        taken.add((rpos, n))
     return ties

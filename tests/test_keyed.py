@@ -1,108 +1,108 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from tallywire.functions.payload import named_keys
-from tallywire.operators.keyed import LOCAL_OPEN, conversation, pair_by_key
-from tallywire.operators.rules import WIRE_RULES
+from tallywire.operators.keyed import conversation, keyed_ties, pair_by_key
+from tallywire.operators.rules import WIRE_RULES, Rule
 
 from . import brute, wire
 
-S = 1000
+SHOP = (
+    Rule("order", ("parcel", "refusal"), multi=True, window_ms=1000),
+    Rule("question", ("answer", "refusal"), window_ms=500),
+    Rule("parcel", ("thanks",), optional=True, window_ms=200),
+)
+COLUMNS = (
+    "pos long, ts_ms long, peer_id long, event_group string, kind string, inbound boolean, "
+    "keys array<binary>"
+)
 
 
 def turns(spark, rows):
-    """(peer, command, inbound, seconds, keys)"""
+    """(peer, command, inbound, ms, keys)"""
     full = [
-        (i, s * S, p, "message", c, d, [k.to_bytes(8, "little") for k in keys])
-        for i, (p, c, d, s, keys) in enumerate(rows)
+        (i, ms, p, "message", c, d, [k.to_bytes(8, "little") for k in keys])
+        for i, (p, c, d, ms, keys) in enumerate(rows)
     ]
-    return spark.createDataFrame(
-        full, "pos long, ts_ms long, peer_id long, event_group string, kind string, inbound boolean, keys array<binary>"
-    )
-
-
-def test_cases(spark):
-    cases = {
-        1: [("version", True, 0, []), ("version", False, 0, []), ("verack", False, 1, []), ("verack", True, 1, [])],
-        2: [("getdata", False, 0, []), ("getdata", False, 1, []), ("tx", True, 2, [])],
-        3: [("getdata", False, 0, [1]), ("getdata", False, 1, [2]), ("tx", True, 2, [2]), ("tx", True, 3, [1])],
-        4: [("getdata", False, 0, [1, 2]), ("tx", True, 1, [1]), ("tx", True, 2, [2]), ("tx", True, 3, [3])],
-        5: [("getdata", False, 0, [1]), ("tx", True, 1, [9])],
-        6: [("ping", False, 0, [5]), ("ping", False, 1, [6]), ("pong", True, 2, [6]), ("pong", True, 3, [5])],
-        7: [("inv", True, 0, [1, 2]), ("inv", True, 1, [3]), ("getdata", False, 2, [2])],
-        8: [("getaddr", False, 0, []), ("addrv2", True, 1, [])],
-        9: [("getdata", False, i, []) for i in range(LOCAL_OPEN + 1)] + [("tx", True, 100, [])],
-        10: [("ping", False, 0, []), ("pong", True, 1, []), ("pong", True, 2, [])],
-    }
-    want = {
-        1: [(0, 2), (1, 3)], 2: [(0, 2)], 3: [(1, 2), (0, 3)], 4: [(0, 1), (0, 2)], 6: [(1, 2), (0, 3)],
-        7: [(0, 2)], 8: [(0, 1)], 9: [(1, LOCAL_OPEN + 1)], 10: [(0, 1)],
-    }
-    rows, starts = [], {}
-    for peer, case in cases.items():
-        starts[peer] = len(rows)
-        rows += [(peer, *turn) for turn in case]
-    got = pair_by_key(turns(spark, rows), page_of=F.lit(0))
-    expected = sorted((starts[p] + a, starts[p] + b) for p, ties in want.items() for a, b in ties)
-    assert wire.rows(got, "request_pos", "reply_pos") == sorted(expected, key=repr)
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_looking_at_every_open_request(spark, seed):
-    draw = random.Random(seed)
-    commands = sorted({r.request for r in WIRE_RULES} | {c for r in WIRE_RULES for c in r.replies})
-    picked = draw.sample(commands, 9) + ["getdata", "tx", "notfound", "getblocktxn", "inv", "getblocks"]
-    rows = []
-    for i in range(600):
-        keys = draw.sample(range(12), draw.choice([0, 1, 1, 3]))
-        rows.append((draw.randrange(2), draw.choice(picked), draw.random() < 0.5, i * draw.choice([1, 1, 2]), keys))
-    per_page = 200
-    want = []
-    for begin in range(0, 600, per_page):
-        chunk = [(i, s * S, p, c, d, set(k)) for i, (p, c, d, s, k) in enumerate(rows) if begin <= i < begin + per_page]
-        want += brute.keyed(chunk, WIRE_RULES, 4)
-    got = pair_by_key(
-        turns(spark, rows), page_of=F.expr(f"pos div {per_page}"), local_open=4
-    )
-    assert wire.rows(got, "request_pos", "reply_pos", "elapsed_ms") == sorted(want, key=repr)
-
-
-def talk(spark, rows):
-    events = wire.archive(spark, rows)
-    found = conversation(events, events, 0, 100)
-    return found.orderBy("row").collect()
+    return spark.createDataFrame(full, COLUMNS)
+
+
+def ties(spark, rows, rules=SHOP):
+    found = pair_by_key(turns(spark, rows), rules).collect()
+    return sorted((r.request_pos, r.reply_pos, r.by_key) for r in found)
 
 
-def test_conversation_by_order(spark):
+def test_rules_of_queues(spark):
     rows = [
-        wire.message(1000, 1, "inv", True), wire.message(1050, 1, "getdata", False),
-        wire.message(1200, 1, "tx", True), wire.message(1260, 1, "tx", True),
-        wire.message(1300, 1, "addrv2", True), wire.message(1400, 1, "ping", False),
-        wire.message(1512, 1, "pong", True), wire.opened(1600, 1),
+        (1, "order", True, 0, [3, 4]),  # 0
+        (1, "order", True, 10, [4]),  # 1
+        (1, "parcel", False, 20, [4]),  # 2: the older of the two that want 4
+        (1, "parcel", False, 30, [4]),  # 3: the other one
+        (1, "parcel", False, 40, [4]),  # 4: nobody is left
+        (1, "parcel", False, 50, [3]),  # 5
+        (2, "question", False, 0, [7]),  # 6
+        (2, "answer", True, 5, [7]),  # 7
+        (2, "answer", True, 6, [7]),  # 8: answered already
+        (3, "question", False, 0, [7]),  # 9
+        (3, "answer", False, 5, [7]),  # 10: wrong way
+        (3, "answer", True, 900, [7]),  # 11: too late
+        (4, "order", True, 0, [9]),  # 12
+        (4, "question", True, 100, [8]),  # 13
+        (4, "refusal", False, 200, [8, 9]),  # 14: both, the older gets it
+        (5, "question", True, 0, []),  # 15
+        (5, "answer", False, 100, [6]),  # 16: by order, for nothing was named
+        (5, "question", True, 200, [6]),  # 17
+        (5, "answer", False, 300, []),  # 18: names nothing, so it cannot be meant
     ]
-    got = talk(spark, rows)
-    ties = [(r.request_row, r.row, r.elapsed_ms) for r in got if r.request_row is not None]
-    assert ties == [(0, 1, 50), (1, 2, 150), (1, 3, 210), (5, 6, 112)]
+    want = [(0, 2), (1, 3), (0, 5), (6, 7), (12, 14)]
+    assert ties(spark, rows) == sorted([(a, b, True) for a, b in want] + [(15, 16, False)])
+
+
+def test_a_silence_starts_queues_anew(spark):
+    rows = [(1, "question", True, 0, [1]), (1, "question", True, 600, [1]), (1, "answer", False, 650, [1])]
+    assert ties(spark, rows) == [(1, 2, True)]
+
 
+def test_edges_of_former_pages_do_not_matter(spark):
+    rows = [(1, "order", True, i, [i]) for i in range(700)]
+    rows += [(1, "parcel", False, 800, [i]) for i in range(700)]
+    assert ties(spark, rows) == [(i, 700 + i, True) for i in range(700)]
 
-def test_conversation_by_key(spark):
+
+@pytest.mark.parametrize(("seed", "rules"), [(1, SHOP), (2, WIRE_RULES)])
+def test_equals_queues_gone_through_one_by_one(spark, seed, rules):
+    draw = random.Random(seed)
+    commands = sorted({r.request for r in rules} | {c for r in rules for c in r.replies})
+    rows, ms = [], 0
+    for _ in range(900):
+        ms += draw.choice([0, 5, 40, 90, 400 if seed == 1 else 60_000])
+        keys = draw.sample(range(6), draw.choice([0, 1, 1, 3]))
+        rows.append((draw.randrange(3), draw.choice(commands), draw.random() < 0.5, ms - draw.choice([0, 0, 20]), keys))
+    want = brute.keyed([(i, t, p, c, d, set(k)) for i, (p, c, d, t, k) in enumerate(rows)], rules)
+    got = keyed_ties(turns(spark, rows), rules)
+    assert wire.rows(got, "request_pos", "reply_pos", "rule", "elapsed_ms") == sorted(want, key=repr)
+
+
+def test_conversation(spark):
     rows = [
-        wire.naming(1000, 1, "getdata", False, 37, [0xA1]), wire.naming(1010, 1, "getdata", False, 37, [0xB2]),
-        wire.naming(1100, 1, "tx", True, 250, [0xB2]), wire.naming(1200, 1, "tx", True, 250, [0xA1]),
-        wire.naming(1300, 1, "tx", True, 250, [0xCC]),
+        wire.naming(2000, 5, "getdata", False, 37, [0x1C]),
+        wire.naming(2300, 5, "getdata", False, 37, [0x2D]),
+        wire.tx(2700, 5, 0x2D, 300),
+        wire.message(2750, 6, "getaddr", True),
+        wire.tx(2900, 5, 0x1C, 300),
+        wire.message(3000, 6, "addr", False),
+    ]
+    events = wire.archive(spark, rows)
+    found = conversation(events, events, 0, 10).orderBy("row").collect()
+    assert [(r.request_row, r.elapsed_ms) for r in found] == [
+        (None, None), (None, None), (1, 400), (None, None), (0, 900), (3, 250),
     ]
-    got = talk(spark, rows)
-    ties = [(r.request_row, r.row, r.elapsed_ms) for r in got if r.request_row is not None]
-    assert ties == [(1, 2, 90), (0, 3, 200)]
-    assert [r.detail for r in got] == ["1x wtx", "1x wtx", None, None, None]
-
-
-def test_pages_are_apart(spark):
-    rows = [wire.message(1000 + i, 1, "ping" if i % 2 == 0 else "pong", i % 2 == 1) for i in range(6)]
-    events = wire.archive(spark, rows).withColumn("keys", named_keys())
-    whole = pair_by_key(events, page_of=F.lit(0))
-    assert whole.count() == 3
-    cut = pair_by_key(events, page_of=F.expr("(pos + 1) div 2"))
-    assert cut.count() == 0
+    assert found[0].detail == "1x wtx"
+    # On a page that begins after the request, the reply still says what it answers.
+    late = conversation(events, events, 3, 10).orderBy("row").collect()
+    assert [(r.request_row, r.elapsed_ms) for r in late] == [(None, None), (None, 900), (0, 250)]
+    assert late[1].request_pos == found[0].pos
+
+
+def test_nothing(spark):
+    assert ties(spark, [(1, "hello", True, 0, [1])]) == []

@@ -22,8 +22,7 @@ def con():
 
 def test_every_sql_has_its_query():
     assert not set(ORACLES) - set(QUERIES)
-    # Stepwise by nature; checked against brute force in test_keyed.py.
-    assert set(QUERIES) - set(ORACLES) == {"keyed_pairs", "conversation"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -47,7 +46,7 @@ def test_workers_need_no_installed_package(tmp_path):
         "import __spark_entry__ as e\n"
         "from tallywire.session import local_session\n"
         "s = local_session(2, 2)\n"
-        "for n in ('keyed_pairs', 'stream_pairing', 'stream_race'):\n"
+        "for n in ('stream_pairing', 'stream_race'):\n"
         f"    assert e.queries()[n](s, {FOLDER!r}).count() > 0, n\n"
     )
     done = subprocess.run(
