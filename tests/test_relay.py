@@ -12,28 +12,28 @@ def judged(spark, rows, **options):
     return relay.race_of_events(wire.archive(spark, rows), **options)
 
 
-def test_first_announcer_wins_and_the_rest_are_timed(spark):
-    race = judged(spark, [wire.inv(1000, 7, [1]), wire.inv(1250, 8, [1]), wire.inv(1900, 9, [1])])
-    tallies = relay.relay_tallies(race)
+def test_race_and_waste_of_three_items(spark):
+    """Peer 21 hears item 5 first and 6 second, peer 22 the other way round; 23 is always last."""
+    rows = [
+        wire.inv(10_000, 21, [5]), wire.inv(10_040, 22, [5, 6]), wire.inv(10_110, 21, [6]),
+        wire.inv(10_500, 23, [5, 6]), wire.inv(11_000, 23, [4]),
+        wire.tx(12_000, 22, 6, 310), wire.tx(12_300, 21, 5, 170), wire.tx(12_450, 23, 6, 310),
+        wire.tx(12_900, 23, 6, 310),
+    ]
+    tallies = relay.relay_tallies(judged(spark, rows))
     card = {r.peer_id: r for r in relay.relay_scorecard(tallies).collect()}
-    assert [card[p].win_ratio for p in (7, 8, 9)] == [1.0, 0.0, 0.0]
-    assert [card[p].lag_p50_ms for p in (7, 8, 9)] == [None, 250, 900]
-    totals = wire.one(relay.relay_totals(tallies))
-    assert (totals.items, totals.announcements, totals.late_announcements) == (1, 3, 2)
-    assert totals.wasted_share is None and totals.duplicate_factor is None
-
-
-def test_second_delivery_is_wasted(spark):
-    race = judged(spark, [wire.inv(1000, 7, [1]), wire.tx(1100, 7, 1, 400), wire.tx(1500, 8, 1, 400)])
-    tallies = relay.relay_tallies(race)
+    assert [card[p].win_ratio for p in (21, 22, 23)] == [0.5, 0.5, 1 / 3]
+    assert [card[p].first for p in (21, 22, 23)] == [1, 1, 1]
+    assert (card[23].duplicate, card[23].duplicate_bytes) == (2, 620)
+    assert (card[21].duplicate, card[22].duplicate) == (0, 0)
     totals = wire.one(relay.relay_totals(tallies))
-    assert (totals.deliveries, totals.duplicate_deliveries, totals.duplicate_bytes) == (2, 1, 400)
+    assert (totals.items, totals.announcements, totals.late_announcements) == (3, 7, 4)
+    assert (totals.deliveries, totals.duplicate_deliveries, totals.duplicate_bytes) == (4, 2, 620)
     assert totals.duplicate_factor == 2.0
-    card = {r.peer_id: r for r in relay.relay_scorecard(tallies).collect()}
-    assert (card[7].duplicate, card[8].duplicate, card[8].duplicate_bytes) == (0, 1, 400)
-    assert (card[7].held_p50_ms, card[8].held_p50_ms) == (100, None)
     dist = {r.measure: r for r in relay.relay_distributions(tallies).collect()}
-    assert set(dist) == {"heard_to_held"} and dist["heard_to_held"].max_ms == 100
+    assert dist["heard_to_held"].max_ms == 12_300 - 10_000
+    none = relay.relay_tallies(judged(spark, rows[:5]))
+    assert wire.one(relay.relay_totals(none)).wasted_share is None
 
 
 def test_rows_that_say_nothing(spark):
@@ -49,14 +49,14 @@ def test_rows_that_say_nothing(spark):
 
 def test_delivery_under_either_hash(spark):
     rows = [
-        wire.inv(1000, 7, [1]), wire.tx(1040, 7, 99, 250, wtxid=1),  # announced by wtxid
-        wire.tx(2000, 8, 50, 10, wtxid=51), wire.inv(2100, 9, [51]), wire.tx(2200, 8, 50, 10, wtxid=51),
+        wire.inv(300, 31, [70]), wire.tx(365, 31, 71, 90, wtxid=70),  # known by its second hash
+        wire.tx(400, 32, 80, 55, wtxid=81),  # known by neither, so it opens its first
+        wire.inv(410, 33, [81]), wire.tx(480, 34, 80, 55, wtxid=81),  # and stays there
     ]
     got = {r.pos: (r.item, r.held_ms, r.duplicate) for r in judged(spark, rows).collect()}
-    assert got[1] == (wire.hash32(1), 40, False)
-    # Delivered before any announcement: it stays under its txid.
-    assert got[2] == (wire.hash32(50), None, False)
-    assert got[4] == (wire.hash32(50), None, True)
+    assert got[1] == (wire.hash32(70), 65, False)
+    assert got[2] == (wire.hash32(80), None, False)
+    assert got[4] == (wire.hash32(80), None, True)
 
 
 def test_waste_is_a_share_of_what_arrived(spark):
