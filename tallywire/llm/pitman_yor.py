@@ -146,12 +146,14 @@ class Dealer:
     def __init__(self, vocab: Vocabulary, with_texts: bool) -> None:
         self.vocab, self.with_texts = vocab, with_texts
         self.held: list[tuple] = []
+        self.ids: list[pa.Array] = []
         self.n, self.base, self.texts = 0, 0, 0
 
-    def add(self, word, context, text, learn, texts: int) -> Iterator[pa.RecordBatch]:
-        """``text`` counts from 0 in this run, which has ``texts``."""
+    def add(self, word, context, text, learn, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """``text`` counts from 0 in this run, whose texts have ``ids``."""
         self.held.append((word, context, (self.texts + text) * 2 + learn))
-        self.texts += texts
+        self.ids.append(ids)
+        self.texts += len(ids)
         self.n += len(word)
         if self.n >= HELD:
             yield from self.deal()
@@ -192,6 +194,12 @@ class Dealer:
                     text[at].tobytes() if self.with_texts else b"",
                 )
             )
+        if self.with_texts:
+            # The ids of the texts go along, to shards below zero.
+            ids = pa.concat_arrays(self.ids)
+            known = np.array(ids.is_valid().to_pylist(), dtype=np.uint8).tobytes()
+            raw = ids.fill_null(0).to_numpy().astype(np.int64).tobytes()
+            rows.append((-1 - self.base % 1_000_003, self.base, raw, known, b"", b""))
         names = ["shard", "base", "words", "counts", "contexts", "texts"]
         types = [pa.int64(), pa.int64()] + [pa.binary()] * 4
         columns = zip(*rows, strict=True)
@@ -199,7 +207,7 @@ class Dealer:
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
         )
         self.base += self.texts
-        self.held, self.n, self.texts = [], 0, 0
+        self.held, self.ids, self.n, self.texts = [], [], 0, 0
 
 
 DEALT = "shard bigint, base bigint, words binary, counts binary, contexts binary, texts binary"
@@ -218,6 +226,7 @@ def widened(raw: bytes, n: int) -> np.ndarray:
 def undealt(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Words (without shard), contexts and texts (twice the number, and whether learnt)."""
     words, contexts, texts = [], [], []
+    blobs = sorted(blobs, key=lambda b: b[0])
     for base, word, count, context, text in blobs:
         word = np.frombuffer(word, dtype=U)
         count = widened(count, len(word))
@@ -352,11 +361,14 @@ def seat(vocab: Vocabulary, shard: int, word: np.ndarray, context: np.ndarray) -
     return Seating(words, word_of, of, count, *(np.stack(x) for x in zip(*kept, strict=True)), hot)
 
 
+IDS = 4096  # contexts whose sums travel together
+
+
 def total_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Sums over all shards of each sample: kind, id, x0, x1, ...
 
     Kind 0: tables of a context; 1 and 2: customers and tables of the parent, hot words apart;
-    3: the parent's customers of a hot word.
+    3: the parent's customers of a hot word. A shard sends a row for each kind and run of IDS.
     """
     names = [f"x{s}" for s in range(SAMPLES)]
     dealt = _dealt(docs, vocab, learn_only=True)
@@ -366,22 +378,42 @@ def total_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             word, context, _ = undealt(blobs)
             s = seat(vocab, shard, word, context)
             cold = s.hot < 0
-            sums = [np.bincount(s.context, t, len(vocab.contexts)) for t in s.tables]
-            ids = np.flatnonzero(np.bincount(s.context, minlength=len(vocab.contexts)))
-            parts = [(0, ids, [x[ids] for x in sums])]
-            parts.append((1, np.zeros(1, int), [x[cold].sum(keepdims=True) for x in s.customers]))
-            parts.append((2, np.zeros(1, int), [x[cold].sum(keepdims=True) for x in s.top]))
-            parts.append((3, s.hot[~cold], [x[~cold] for x in s.customers]))
-            for kind, ids, xs in parts:
+            sums = np.stack([np.bincount(s.context, t, len(vocab.contexts)) for t in s.tables])
+            parts = [(0, np.unique(s.context), sums)]
+            for kind, x in ((1, s.customers), (2, s.top)):
+                parts.append((kind, np.zeros(1, int), x[:, cold].sum(axis=1, keepdims=True)))
+            hot = np.zeros((SAMPLES, len(vocab.hot)))
+            hot[:, s.hot[~cold]] = s.customers[:, ~cold]
+            parts.append((3, np.unique(s.hot[~cold]), hot))
+            rows = []
+            for kind, ids, x in parts:
+                for run in np.unique(ids // IDS):
+                    at = ids[ids // IDS == run]
+                    held = x[:, at].astype(np.float64)
+                    rows.append((kind, int(run), at.astype(np.int64).tobytes(), held.tobytes()))
+            columns = [pa.array(c) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "run", "ids", "sums"])
+
+    def merge(batches):
+        held: dict = {}
+        for batch in batches:
+            for kind, run, ids, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                total = held.setdefault((kind, run), np.zeros((SAMPLES, IDS)))
+                seen = held.setdefault((kind, run, "seen"), np.zeros(IDS, dtype=bool))
+                at = np.frombuffer(ids, dtype=np.int64) % IDS
+                total[:, at] += np.frombuffer(x).reshape(SAMPLES, -1)
+                seen[at] = True
+        for key, total in held.items():
+            if len(key) == 2:
+                at = np.flatnonzero(held[(*key, "seen")])
+                columns = [np.full(len(at), key[0]), key[1] * IDS + at, *total[:, at]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), kind)), pa.array(ids.astype(np.int64))]
-                    + [pa.array(x.astype(np.float64)) for x in xs],
-                    ["kind", "id", *names],
+                    [pa.array(c) for c in columns], ["kind", "id", *names]
                 )
 
+    sums = dealt.mapInArrow(add, "kind bigint, run bigint, ids binary, sums binary")
     schema = "kind bigint, id bigint, " + ", ".join(f"{x} double" for x in names)
-    rows = dealt.mapInArrow(add, schema)
-    return rows.groupBy("kind", "id").agg(*[F.sum(x).alias(x) for x in names])
+    return sums.repartition("kind", "run").mapInArrow(merge, schema)
 
 
 def with_totals(vocab: Vocabulary, totals: DataFrame) -> Vocabulary:
@@ -448,17 +480,8 @@ def _dealt(docs: DataFrame, vocab: Vocabulary, learn_only: bool) -> DataFrame:
 
         reader, dealer = Reader(), Dealer(held.value, with_texts=not learn_only)
         dealer.base = TaskContext.get().partitionId() << 33
-        names = ["shard", "base", "words", "counts", "contexts", "texts"]
         for batch in batches:
             learn = np.array(batch.column(1).to_pylist(), dtype=bool)
-            if not learn_only:
-                # Documents' own rows go along, to shards below zero.
-                first = dealer.base + dealer.texts
-                ids = batch.column(0)
-                known = np.array(ids.is_valid().to_pylist(), dtype=np.uint8)
-                raw = ids.fill_null(0).to_numpy().astype(np.int64).tobytes()
-                row = (-1 - first % 1_000_003, first, raw, known.tobytes(), b"", b"")
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
             for run in reader.runs(batch.column(2)):
                 word, before, text = tokens_of(run)
                 learnt = learn[run.lo : run.hi]
@@ -466,58 +489,92 @@ def _dealt(docs: DataFrame, vocab: Vocabulary, learn_only: bool) -> DataFrame:
                     use = learnt[text]
                     word, before, text = word[use], before[use], text[use]
                 context = held.value.context_of(before)
-                yield from dealer.add(word, context, text, learnt[text], run.hi - run.lo)
+                ids = batch.column(0).slice(run.lo, run.hi - run.lo)
+                yield from dealer.add(word, context, text, learnt[text], ids)
         yield from dealer.deal()
 
-    # Blobs of a task are many small rows; they are dealt on as they are.
-    return docs.mapInArrow(read, DEALT).repartition(vocab.shards, "shard")
+    return docs.mapInArrow(read, DEALT).repartition(-(-vocab.shards // 2), "shard")
 
 
 def _scores(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Sums per document row and task: row, doc_id, n_tokens, n_known, base_score, score."""
+    """Per document row: doc_id, n_tokens, n_known, base_score, score.
+
+    A shard sends a row for each run of texts that a task dealt, with the texts' sums.
+    """
     held = docs.sparkSession.sparkContext.broadcast(vocab)
     dealt = _dealt(docs, vocab, learn_only=False)
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
-
-    def out(row, doc_id, tokens, known, base, score):
-        sums = [pa.array(x) for x in (tokens, known, base, score)]
-        return pa.RecordBatch.from_arrays([pa.array(row), doc_id, *sums], names)
+    names = ["base", "ids", "known", "texts", "counts", "sums"]
 
     def score(batches):
         vocab = held.value
         shards = by_shard(batches)
         for shard in sorted(shards):
+            rows = []
             if shard < 0:
-                for first, ids, known, _, _ in shards[shard]:
-                    valid = np.frombuffer(known, dtype=np.uint8) > 0
-                    doc = pa.array(np.frombuffer(ids, dtype=np.int64), mask=~valid)
-                    zero = np.zeros(len(valid))
-                    none = zero.astype(np.int64)
-                    yield out(first + np.arange(len(valid)), doc, none, none, zero, zero)
-                continue
-            word, context, text = undealt(shards[shard])
-            learnt = text % 2 > 0
-            s = seat(vocab, shard, word[learnt], context[learnt])
-            chance = predictive(vocab, s, word, context)
-            at = found_in(s.words, word)
-            n = np.append(np.bincount(found_in(s.words, word[learnt]), minlength=len(s.words)), 0)
-            count = n[at]
-            hot_at = found_in(vocab.hot >> U(64 - KEY_BITS), word)
-            if len(vocab.hot):
-                count = np.where(hot_at >= 0, vocab.hot_n[hot_at], count)
-            base = np.log10((count + 1) / (vocab.tokens + vocab.words + 1))
-            row, of = np.unique(text >> 1, return_inverse=True)
-            sums = [np.bincount(of, x, len(row)) for x in (base, np.log10(chance))]
-            tokens = np.bincount(of, minlength=len(row))
-            known = np.bincount(of, count > 0, len(row)).astype(np.int64)
-            none = pa.nulls(len(row), pa.int64())
-            yield out(row, none, tokens, known, *sums)
-
-    schema = (
-        "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, "
-        "base_score double, score double"
+                rows = [(b[0], b[1], b[2], b"", b"", b"") for b in shards[shard]]
+            else:
+                word, context, text = undealt(shards[shard])
+                learnt = text % 2 > 0
+                s = seat(vocab, shard, word[learnt], context[learnt])
+                chance = predictive(vocab, s, word, context)
+                n = np.bincount(found_in(s.words, word[learnt]), minlength=len(s.words))
+                count = np.append(n, 0)[found_in(s.words, word)]
+                hot_at = found_in(vocab.hot >> U(64 - KEY_BITS), word)
+                if len(vocab.hot):
+                    count = np.where(hot_at >= 0, vocab.hot_n[hot_at], count)
+                base_chance = (count + 1) / (vocab.tokens + vocab.words + 1)
+                text, of = np.unique(text >> 1, return_inverse=True)
+                counts = np.stack([np.bincount(of, x, len(text)) for x in (None, count > 0)])
+                logs = (np.log10(base_chance), np.log10(chance))
+                sums = np.stack([np.bincount(of, x, len(text)) for x in logs])
+                bases = np.array(sorted({b[0] for b in shards[shard]}))
+                ends = np.append(np.searchsorted(text, bases[1:]), len(text))
+                begin = 0
+                for base, end in zip(bases.tolist(), ends.tolist(), strict=True):
+                    at = slice(begin, end)
+                    rows.append(
+                        (
+                            base,
+                            b"",
+                            b"",
+                            (text[at] - base).astype(np.uint32).tobytes(),
+                            counts[:, at].astype(np.uint32).tobytes(),
+                            sums[:, at].tobytes(),
+                        )
+                    )
+                    begin = end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in zip(*rows, strict=True)], names
+            )
+
+    def merge(batches):
+        runs: dict[int, list] = {}
+        for batch in batches:
+            for base, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                runs.setdefault(base, []).append(rest)
+        for parts in runs.values():
+            raw, known = next((p[0], p[1]) for p in parts if p[0])
+            n = len(known)
+            counts, sums = np.zeros((2, n), dtype=np.int64), np.zeros((2, n))
+            for _, _, texts, c, x in sorted(parts):
+                at = np.frombuffer(texts, dtype=np.uint32)
+                counts[:, at] += np.frombuffer(c, dtype=np.uint32).reshape(2, -1)
+                sums[:, at] += np.frombuffer(x).reshape(2, -1)
+            valid = np.frombuffer(known, dtype=np.uint8) > 0
+            ids = pa.array(np.frombuffer(raw, dtype=np.int64), mask=~valid)
+            yield pa.RecordBatch.from_arrays(
+                [ids, *[pa.array(x) for x in (*counts, *sums)]],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    sent = dealt.mapInArrow(
+        score,
+        "base bigint, ids binary, known binary, texts binary, counts binary, sums binary",
+    )
+    return sent.repartition("base").mapInArrow(
+        merge,
+        "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double",
     )
-    return dealt.mapInArrow(score, schema)
 
 
 def language_scores(
@@ -538,13 +595,11 @@ def language_scores(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     rows = rows.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), "text")
-    shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Two shards to a partition: a task seats one after the other.
+    shards = 2 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     vocab = vocabulary(settled(word_counts(rows), "word-counts"), min(shards, 1 << 15))
     vocab = with_totals(vocab, settled(total_rows(rows, vocab), "seating-totals"))
-    sums = _scores(rows, vocab).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],
-    )
+    sums = _scores(rows, vocab)
     per_token = -F.col("score") / F.col("n_tokens")
     return sums.select(
         "doc_id",
