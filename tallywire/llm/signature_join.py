@@ -156,7 +156,8 @@ def _digest(sets: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id and its sorted shingles as 64-bit numbers, one after the other."""
+    """Of rows (doc_id, text, family, large): id, family, large, and the text's shingles as
+    sorted 64-bit numbers, one after the other."""
 
     def read(batches):
         reader = Reader()
@@ -165,10 +166,13 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
                 sets, sizes = shingle_sets(run, width)
                 ends = np.cumsum(sizes)
                 raw = [sets[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-                ids = batch.column(0).slice(run.lo, run.hi - run.lo)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], ["id", "set"])
+                kept = [batch.column(i).slice(run.lo, run.hi - run.lo) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(raw, pa.binary())], ["id", "family", "large", "set"]
+                )
 
-    return docs.mapInArrow(read, "id bigint, set binary")
+    rows = docs.select("doc_id", "text", "family", "large")
+    return rows.mapInArrow(read, "id bigint, family bigint, large boolean, set binary")
 
 
 # --- signature trees ---
@@ -318,13 +322,12 @@ def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i, ids[union.root(k)]) for k, i in enumerate(ids) if union.root(k) != k]
 
 
-def _links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links among members (block, task, side, id, part) of one (block, task) each.
+def _links(rows: DataFrame, share: int) -> DataFrame:
+    """Links among sets (block, task, side, id, part, set) of one (block, task) each.
 
     The links of a task join its sets up in all ways that they can be, but not by all links.
     """
-    names = ["block", "task", "side", "id", "part"]
-    rows = members.select(*names).join(sets, "id")
+    rows = rows.select("block", "task", "side", "id", "part", "set")
     rows = rows.repartition("block", "task").sortWithinPartitions("block", "task", "side", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,17 +474,6 @@ def _chunk(parts: Column, *by: str) -> Column:
     return F.pmod(F.xxhash64(*by), F.greatest(parts, F.lit(1)).cast("bigint"))
 
 
-def _whole_families(members: DataFrame) -> DataFrame:
-    """Small families, each one task."""
-    return members.select(
-        F.col("family").alias("block"),
-        F.lit(0).cast("bigint").alias("task"),
-        F.lit(0).alias("side"),
-        "id",
-        F.col("id").alias("part"),
-    )
-
-
 def _mixed_chunks(blocks: DataFrame, large: DataFrame) -> DataFrame:
     """Two blocks of each member of a large family, cut into chunks at random.
 
@@ -586,29 +578,33 @@ def near_duplicates(
         "classes",
     )
 
-    def only(ids: DataFrame) -> DataFrame:
-        ids = broadcast_if_small(ids.select(F.col("id").alias("doc_id")))
-        return rows.join(ids, "doc_id", "left_semi")
-
-    blocks = settled(shared_blocks(only(classes), width, share), "blocks")
+    reps = broadcast_if_small(classes.select(F.col("id").alias("doc_id")))
+    blocks = settled(shared_blocks(rows.join(reps, "doc_id", "left_semi"), width, share), "blocks")
     lowest = blocks.groupBy("block").agg(F.min("id").alias("low"))
     family = components(blocks.join(lowest, "block"), "id", "low").toDF("id", "family")
     family = settled(family, "families")
     held = family.groupBy("family").agg(F.count("*").alias("held"))
     held = settled(held.filter(F.col("held") > CHUNK).coalesce(1), "large-families")
-    small = family.join(held, "family", "left_anti")
-    large = family.join(held, "family", "left_semi")
-    sets = settled(set_rows(only(family), width), "sets")
-    # A small family's task has its components whole: (id, lowest) as links.
-    whole = _links(_whole_families(small), sets, share).toDF("id", "component_id")
+    sized = family.join(broadcast_if_small(held), "family", "left").select(
+        F.col("id").alias("doc_id"), "family", F.col("held").isNotNull().alias("large")
+    )
+    sized = settled(sized, "sized-families")
+    sets = settled(set_rows(rows.join(broadcast_if_small(sized), "doc_id"), width), "sets")
+
+    # A small family is one task, which has its components whole: (id, lowest) as links.
+    one = {"block": F.col("family"), "task": F.lit(0), "side": F.lit(0), "part": F.col("id")}
+    whole = _links(sets.filter("NOT large").withColumns(one), share)
+    whole = whole.toDF("id", "component_id")
     if not held.isEmpty():
-        first = settled(_links(_mixed_chunks(blocks, large), sets, share), "first-links")
+        large = sized.filter("large").select(F.col("doc_id").alias("id"), "family")
+        sets = sets.filter("large").select("id", "set")
+        first = settled(_links(_mixed_chunks(blocks, large).join(sets, "id"), share), "first-links")
         part = settled(components(first).toDF("id", "part"), "first-components")
-        rows = large.join(broadcast_if_small(part), "id", "left").select(
+        members = large.join(broadcast_if_small(part), "id", "left").select(
             "family", "id", F.coalesce("part", "id").alias("part")
         )
-        more = settled(_links(_pair_tasks(_open_families(rows)), sets, share), "more-links")
-        whole = whole.union(components(first.union(more)))
+        more = _links(_pair_tasks(_open_families(members)).join(sets, "id"), share)
+        whole = whole.union(components(first.union(settled(more, "more-links"))))
     whole = settled(whole, "components")
     named = classes.join(whole, "id", "left").select(
         *digest, "size", F.coalesce("component_id", "id").alias("component_id")
