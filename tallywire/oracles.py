@@ -5,6 +5,7 @@ Written independently of the operators: plain windows and joins, no splitting or
 
 from __future__ import annotations
 
+HOUR = 3_600_000
 DAY = 86_400_000
 PEER = 8
 FIRST_DAY = 1_704_067_200_000
@@ -560,6 +561,38 @@ FROM counts c JOIN rules USING (rule) LEFT JOIN td ON td.rule = c.rule LEFT JOIN
 SELECT CAST(rule AS INTEGER) AS rule, request,
        reply IN (SELECT kind FROM m WHERE event_group = 'message') AS replies_captured FROM rules""")
 
+    out["unanswered_meaningful"] = _with(m, ACTIVITY_RULES, TIES, FATES, body=f"""
+, silent AS (SELECT DISTINCT rule FROM fates WHERE fate LIKE 'unanswered%')
+SELECT NOT EXISTS (SELECT 1 FROM silent JOIN rules USING (rule)
+         WHERE reply NOT IN (SELECT kind FROM m WHERE event_group = 'message')) AS unanswered_meaningful,
+       'activity' AS rules
+UNION ALL
+SELECT NOT EXISTS (
+  SELECT 1 FROM (SELECT ts_ms, lead(ts_ms) OVER (PARTITION BY peer_id, inbound ORDER BY pos) AS nts FROM m WHERE kind = 'view')
+  WHERE nts IS NOT NULL OR (SELECT max(ts_ms) FROM m) - ts_ms > {HOUR}), 'unseen'""")
+    out["peer_labels"] = _with(m, p, body="""
+SELECT peer_id, conn_type, coalesce(['unroutable', 'ipv4', 'ipv6', 'onion', 'i2p', 'cjdns', 'internal'][peer_id % 9 + 1],
+         'unknown') AS network,
+       CASE WHEN messages_in + messages_out = 0 THEN 0.0
+            ELSE messages_in::DOUBLE * 100.0 / (messages_in + messages_out)::DOUBLE END AS in_share FROM p""")
+    out["classified"] = """
+WITH e AS (
+  SELECT event_id AS pos,
+    ['ebpf.message', 'ebpf.connection', 'ebpf.mempool', 'ebpf.validation', 'rpc', 'p2p', 'log', 'ipc', 'ebpf.novel',
+     NULL][event_id % 10 + 1] AS arm,
+    ['closed', 'added', 'block_connected', 'uptime', 'ping_duration', 'block_tip', 'novel', NULL][event_id // 10 % 8 + 1] AS sub,
+    CASE WHEN event_id % 30 <> 0 THEN event_type END AS command, event_id % 4 < 2 AS inbound FROM events),
+g AS (
+  SELECT *, CASE WHEN arm IS NULL OR arm = 'ebpf.novel' THEN 'message' ELSE replace(arm, 'ebpf.', '') END AS event_group FROM e),
+h AS (
+  SELECT *, CASE WHEN arm = 'ebpf.message' THEN coalesce(command, '(unknown)')
+    WHEN (event_group, sub) IN (('connection', 'closed'), ('mempool', 'added'), ('validation', 'block_connected'),
+      ('rpc', 'uptime'), ('p2p', 'ping_duration'), ('log', 'block_connected'), ('ipc', 'block_tip'))
+    THEN sub ELSE '(unknown)' END AS kind FROM g)
+SELECT pos, CASE WHEN event_group IN ('rpc', 'p2p', 'log', 'ipc') THEN event_group ELSE 'ebpf' END AS category, event_group, kind,
+  CASE WHEN event_group = 'message' THEN kind ELSE event_group || ' ' || kind END AS label,
+  CASE WHEN arm = 'ebpf.message' THEN inbound END AS inbound FROM h"""
+
     out["relay_race"] = _with(RACE, body="""
 SELECT item, peer_id, ts_ms, pos, item_no, first, late, lag_ms FROM race WHERE NOT delivery""")
     out["relay_waste"] = _with(RACE, body="""

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from tallywire.functions.buckets import bucket_edges, log2_bucket
 from tallywire.functions.jsonview import event_json
+from tallywire.functions.labels import conn_type_name, network_name, share
 from tallywire.functions.payload import ITEM_TYPES, carried_detail, carried_keys
+from tallywire.functions.taxonomy import classify
 from tallywire.operators import networks as net
 from tallywire.operators import pairing, peers, raster, relay, search, timeline
 from tallywire.operators.distribution import (
@@ -24,6 +26,7 @@ from tallywire.operators.distribution import (
     with_percentiles,
 )
 from tallywire.operators.keyed import conversation, pair_by_key
+from tallywire.operators.rules import Rule
 from tallywire.sources import adapters as adapt
 from tallywire.sources import archive as source
 from tallywire.streaming import queries as streams
@@ -355,6 +358,19 @@ def q_replies_captured(spark, folder):
     return pairing.replies_captured(messages(spark, folder), adapt.ACTIVITY_RULES)
 
 
+def q_unanswered_meaningful(spark, folder):
+    """Whether silence means something, for rules with all replies and with one never seen."""
+    m = messages(spark, folder)
+    unseen = [Rule("view", ("whisper",), window_ms=adapt.HOUR)]
+    parts = [
+        pairing.unanswered_is_meaningful(
+            pairing.exchange_report(m, rules), pairing.replies_captured(m, rules)
+        ).withColumn("rules", F.lit(name))
+        for name, rules in (("activity", adapt.ACTIVITY_RULES), ("unseen", unseen))
+    ]
+    return parts[0].union(parts[1])
+
+
 def _keyed_messages(spark, folder) -> DataFrame:
     """Messages that name the tens of their k and, if it is odd, its ones; every third nothing."""
     name = lambda sort, number: F.encode(
@@ -528,6 +544,41 @@ def q_as_names(spark, folder):
     return net.with_as_names(nets, names)
 
 
+def q_peer_labels(spark, folder):
+    p = _peers(spark, folder)
+    return p.select(
+        "peer_id",
+        conn_type_name(F.col("conn_type")).alias("conn_type"),
+        network_name(F.col("peer_id") % 9).alias("network"),
+        share(F.col("messages_in"), F.col("messages_in") + F.col("messages_out")).alias("in_share"),
+    )
+
+
+# --- taxonomy ---
+
+
+ARMS = [
+    "ebpf.message", "ebpf.connection", "ebpf.mempool", "ebpf.validation", "rpc", "p2p", "log",
+    "ipc", "ebpf.novel", None,
+]
+SUBS = ["closed", "added", "block_connected", "uptime", "ping_duration", "block_tip", "novel", None]
+
+
+def q_classified(spark, folder):
+    """The activity table's rows under arms and sub-arms in turn, known and unknown ones."""
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), at.cast("int") + 1)
+    n = F.col("event_id")
+    rows = table(spark, folder, "events").select(
+        n.alias("pos"),
+        pick(ARMS, n % len(ARMS)).alias("arm"),
+        pick(SUBS, F.floor(n / len(ARMS)) % len(SUBS)).alias("sub"),
+        F.when(n % 30 != 0, F.col("event_type")).alias("command"),
+        (n % 4 < 2).alias("inbound"),
+    )
+    found = classify(rows)
+    return found.select("pos", "category", "event_group", "kind", "label", "inbound")
+
+
 # --- sources ---
 
 
