@@ -9,10 +9,11 @@ smaller set is in it. For each level that a set belongs to, its shingles are dea
 agree on at least one part, so they meet in a block of that key, and sets that only share a
 passage hardly ever do.
 
-*Signature trees.* The sets of a task are the leaves of a tree, or of two that meet. A node holds the OR of its sets' bitmaps, the range of their sizes and the most
-shingles that share a bit with another in one set. Two nodes are descended together; a pair of
-nodes is left alone when their sizes do not fit, when even the bits they have in common would
-not make the overlap that a link needs, or when all their sets are already in one component.
+*Signature trees.* The sets of a task are the leaves of a tree, or of two that meet. A node
+holds the OR of its sets' bitmaps, the range of their sizes and the most shingles that share a
+bit with another in one set. Two nodes are descended together; a pair of nodes is left alone
+when their sizes do not fit, when even the bits they have in common would not make the overlap
+that a link needs, or when all their sets are already in one component.
 
 Sets that share blocks, directly or through others, are a family. A small family is compared
 in one task. Of a large one two blocks of each set are cut into chunks at random first, which
