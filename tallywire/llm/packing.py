@@ -9,6 +9,7 @@ end is merged with what other tasks left.
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,9 +22,9 @@ from tallywire.plans.sizes import settled
 WINDOW = 2048
 OPEN = 64  # open windows of a task
 FLUSH = 1000  # pieces of a batch
-MERGED = 32  # tasks whose leftovers are merged together
+MERGED = 8  # tasks whose leftovers are merged together
 FULL = 0.9  # a merged window below this share gives its pieces away to be cut
-WORDS = 500_000  # words whose ids a task remembers
+WORDS = 1_500_000  # words whose ids a task remembers
 END = 1
 
 PIECES = (
@@ -54,30 +55,40 @@ class WordIds(dict):
         letters = "a-zß-öø-ſ"
         pattern = steps[0]["pattern"]["Regex"]
         pattern = pattern.replace("\\p{L}", letters).replace("\\p{N}", "0-9")
-        self.split = re.compile(pattern)
-        self.plain = re.compile(_PLAIN)
+        self.split = re.compile(pattern).findall
+        self.plain = re.compile(_PLAIN).fullmatch
         visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.visible = {
             c: visible.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x180) if c != 0xF7
         }
 
+        self.parts: dict[str, bytes] = {}  # of plain words: letters without signs around them
+
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.plain.fullmatch(text):
-            ids = []
-            for part in self.split.findall(text.lower()):
-                ids += [t.id for t in self.model.tokenize(part.translate(self.visible))]
+        if self.plain(text):
+            text = text.lower()
+            if text.isalpha():
+                found = self.parts.get(text) or self._part(text)
+            else:
+                found = b"".join([self.parts.get(p) or self._part(p) for p in self.split(text)])
         else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
+            found = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) >= WORDS:
             self.clear()
+            self.parts.clear()
         self[word] = found
         return found
 
+    def _part(self, part: str) -> bytes:
+        seen = part if part.isascii() else part.translate(self.visible)
+        found = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        self.parts[part] = found
+        return found
+
     def of(self, text: bytes) -> bytes:
         """Ids of a text. White space parts tokens, so words can be looked up one by one."""
-        return b"".join([self[w] for w in text.split()])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 class Windows:
