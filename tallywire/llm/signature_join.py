@@ -1,13 +1,15 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles, exactly.
+"""Near-duplicate documents by the Jaccard similarity of their word shingles.
 
 Documents with the same set of shingles form a class; links are sought between classes.
 
 *Blocks.* If two sets link, their sizes are within the threshold of each other and at most
 `d` shingles are in one of them only. Sizes fall into levels; a level serves pairs whose
-smaller set is in it. For each level that a set belongs to, its shingles are dealt into
-`d + 1` parts by hash, and every part has a key made of all its shingles. Sets that link
-agree on at least one part, so they meet in a block of that key, and sets that only share a
-passage hardly ever do.
+smaller set is in it. For each level that a set belongs to, its shingles are dealt into parts
+by hash, and a part has a key made of all its shingles. Small sets are dealt into more than
+`d` parts, so sets that link agree on one for certain. Of large sets only parts of several
+shingles count, and so many that 24 of them are expected to agree at the threshold: the hash
+being random, none does with a probability of about 1e-10. Sets that link so meet in a block
+of a key, and sets that only share a passage hardly ever do.
 
 *Signature trees.* The sets of a task are the leaves of a tree, or of two that meet. A node
 holds the OR of its sets' bitmaps, the range of their sizes and the most shingles that share a
@@ -17,8 +19,9 @@ that a link needs, or when all their sets are already in one component.
 
 Sets that share blocks, directly or through others, are a family. A small family is compared
 in one task. Of a large one two blocks of each set are cut into chunks at random first, which
-joins groups of near copies up, chunk by chunk; then the sets outside the family's largest
-component are compared with all others, in pairs of chunks. Copies are one class all along.
+joins groups of near copies up, chunk by chunk; then the sets outside the largest component are
+compared with all others, in pairs of chunks, through the family as a whole or block by block,
+whichever sends fewer sets. Copies are one class all along.
 """
 
 from __future__ import annotations
@@ -72,59 +75,95 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle[new], np.bincount(text_of[new], minlength=len(n))
 
 
+# Parts that linking sets share are expected to be at least so many, where parts are chosen so
+# that none is left out for certain; then they miss a link with a probability of about 1e-10.
+EXPECTED = 24
+PART_SIZES = range(8, 2, -1)  # shingles a part must have, the most first
+
+
 class Levels:
-    """Levels of sizes and the parts of each, for a threshold of ``share`` percent."""
+    """Levels of sizes, and how the sets of each are cut, for a threshold of ``share`` percent.
+
+    ``parts`` counts the parts, ``least`` the shingles that a part needs for a key. Where sets
+    are too small for that, ``least`` is 0 and there are more parts than shingles can differ:
+    then at least ``spare + 1`` parts agree, so empty ones matter only to a set that has more
+    than ``spare`` of them.
+    """
 
     def __init__(self, share: int) -> None:
         self.share = share
-        self.low, self.parts = [1], []
+        self.low, self.parts, self.least, self.spare = [1], [], [], []
 
     def _grow(self, size: int) -> None:
         while self.low[-1] <= size:
-            top = self.low[-1] * 100 // self.share
+            low = self.low[-1]
+            top = low * 100 // self.share
             self.low.append(top + 1)
             # |A| + |B| - 2 |A and B| is at most this share of |A| + |B| for sets that link.
-            both = top + top * 100 // self.share
-            self.parts.append(both * (100 - self.share) // (100 + self.share) + 1)
-
-    def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The level of each size, and the number of parts of all levels."""
+            differ = (top + top * 100 // self.share) * (100 - self.share) // (100 + self.share)
+            parts, least = self._random(differ, 2 * low * self.share / (100 + self.share))
+            if not parts and differ:
+                parts = differ + 1
+                few = 2 * differ + 4
+                while parts < few and parts - differ <= 2 + 1.5 * parts * np.exp(-low / parts):
+                    parts += 1
+            self.parts.append(parts)
+            self.least.append(least)
+            self.spare.append(parts - differ - 1)
+
+    def _random(self, differ: int, common: float) -> tuple[int, int]:
+        """Parts and shingles a part needs, so that EXPECTED parts with them agree; or (0, 0)."""
+        k = np.arange(EXPECTED, max(EXPECTED, 2 * differ) + 1, dtype=float)
+        agree = k * np.exp(-differ / k)
+        mean = common / k
+        term, below = np.exp(-mean), [np.zeros_like(k)]
+        for j in range(1, max(PART_SIZES) + 1):
+            below.append(below[-1] + term)
+            term = term * mean / j
+        for least in PART_SIZES:
+            enough = np.flatnonzero(agree * (1 - below[least]) >= EXPECTED)
+            if len(enough):
+                return int(k[enough[0]]), least
+        return 0, 0
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        """The level of each size."""
         self._grow(int(sizes.max(initial=1)))
-        return np.searchsorted(self.low, sizes, side="right") - 1, np.array(self.parts)
+        return np.searchsorted(self.low, sizes, side="right") - 1
 
 
 def part_keys(
     sets: np.ndarray, sizes: np.ndarray, levels: Levels
-) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Keys and numbers of keys per set: of its own level, and of the one below.
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and the sets they are of: for each set's own level, then for the one below.
 
-    A level of one part needs no keys, for there only equal sets link.
+    A level of no parts needs no keys, for there only equal sets link.
     """
-    level, parts = levels.of(sizes)
+    level = levels.of(sizes)
+    parts, least, spare = (np.array(x) for x in (levels.parts, levels.least, levels.spare))
+    tops = np.array(levels.low[1:]) - 1
     set_of = np.repeat(np.arange(len(sizes)), sizes)
     spread = mix(sets ^ U(0x6A09E667F3BCC909))
-    keys, counts = [], []
     for down in (0, 1):
         at = np.maximum(level - down, 0)
         k = np.where((level >= down) & (sizes > 0), parts[at], 0)
-        top = np.array([levels.low[i + 1] - 1 for i in range(len(parts))])[at] if len(at) else at
         if down:
-            k = np.where(sizes * levels.share <= top * 100, k, 0)
-        k = np.where(k > 1, k, 0)
+            k = np.where(sizes * levels.share <= tops[at] * 100, k, 0)
         base = np.concatenate([[0], np.cumsum(k)])
         use = k[set_of] > 0
         part = ((sets[use] >> U(32)) * k[set_of[use]].astype(U)) >> U(32)
         slot = base[set_of[use]] + part.astype(np.int64)
-        sums = np.zeros(base[-1], dtype=U)
+        sums, held = np.zeros(base[-1], dtype=U), np.bincount(slot, minlength=base[-1])
         if len(slot):
             begins = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
             sums[slot[begins]] = np.add.reduceat(spread[use], begins)
         owner = np.repeat(np.arange(len(sizes)), k)
         number = np.arange(base[-1]) - base[owner]
+        empty = np.bincount(owner[held == 0], minlength=len(sizes))
+        many_empty = (least[at] == 0) & (empty > spare[at])
+        keep = (held >= np.maximum(least[at], 1)[owner]) | ((held == 0) & many_empty[owner])
         salt = mix(at[owner].astype(U) * U(1 << 32) + number.astype(U) + U(1))
-        keys.append(mix(sums + salt))
-        counts.append(k)
-    return keys, counts
+        yield mix(sums + salt)[keep], owner[keep]
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
@@ -459,10 +498,8 @@ def shared_blocks(docs: DataFrame, width: int, share: int) -> DataFrame:
         for batch in batches:
             for run in reader.runs(batch.column(1)):
                 ids = batch.column(0).slice(run.lo, run.hi - run.lo).to_numpy()
-                for keys, counts in zip(
-                    *part_keys(*shingle_sets(run, width), levels), strict=True
-                ):
-                    yield from dealer.add(keys, np.repeat(ids, counts))
+                for keys, owner in part_keys(*shingle_sets(run, width), levels):
+                    yield from dealer.add(keys, ids[owner])
         yield from dealer.deal()
 
     dealt = docs.mapInArrow(
@@ -494,30 +531,58 @@ def _mixed_chunks(blocks: DataFrame, large: DataFrame) -> DataFrame:
     )
 
 
-def _open_families(members: DataFrame) -> DataFrame:
-    """Of members (family, id, part) those of families with several parts.
+def _open(members: DataFrame) -> DataFrame:
+    """Groups, of members (grp, id, part), that have several parts.
 
-    ``main`` tells whether the member's part is the largest of the family; only members of
-    other parts can add links, with each other and with the main part.
+    Only members outside the largest part, ``top``, can add links: with each other and with it.
+    ``cost`` is how many sets that takes to be sent. Groups of the same members count once.
     """
-    tally = members.groupBy("family", "part").agg(F.count("*").alias("n"))
-    families = tally.groupBy("family").agg(
+    tally = members.groupBy("grp", "part").agg(
+        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x")
+    )
+    groups = tally.groupBy("grp").agg(
         F.count("*").alias("parts"),
         F.sum("n").alias("held"),
         F.max(F.struct("n", "part")).alias("top"),
+        F.expr("bit_xor(x)").alias("x"),
     )
-    families = families.filter("parts > 1").select(
-        "family",
+    groups = groups.filter("parts > 1").groupBy("held", "x", "top").agg(F.min("grp").alias("grp"))
+    main, rest = F.col("top.n"), F.col("held") - F.col("top.n")
+    mains, rests = F.ceil(main / CHUNK), F.ceil(rest / CHUNK)
+    return groups.select(
+        "grp",
         F.col("top.part").alias("top"),
-        F.ceil(F.col("top.n") / CHUNK).alias("mains"),
-        F.ceil((F.col("held") - F.col("top.n")) / CHUNK).alias("rests"),
+        mains.alias("mains"),
+        rests.alias("rests"),
+        (main * rests + rest * (mains + rests)).alias("cost"),
+    )
+
+
+def _rest_tasks(blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """Tasks for what may still link in large families, of members (family, id, part).
+
+    A family is gone through as a whole, or block by block if that sends fewer sets.
+    """
+    whole = members.withColumnRenamed("family", "grp")
+    open_families = settled(_open(whole), "open-families")
+    inside = members.join(open_families.select(F.col("grp").alias("family")), "family")
+    by_block = settled(blocks.join(inside, "id").withColumnRenamed("block", "grp"), "open-members")
+    of_family = by_block.select("grp", "family").distinct()
+    open_blocks = settled(_open(by_block).join(of_family, "grp"), "open-blocks")
+    costs = open_blocks.groupBy("family").agg(F.sum("cost").alias("by_block"))
+    choice = open_families.join(costs.withColumnRenamed("family", "grp"), "grp", "left")
+    cheaper = F.coalesce(F.col("by_block") < F.col("cost"), F.col("by_block").isNull())
+    choice = settled(choice.withColumn("cut", cheaper), "ways")
+    cut = choice.filter("cut").select(F.col("grp").alias("family"))
+    rows = whole.join(choice.filter("NOT cut").drop("by_block", "cut", "cost"), "grp")
+    block_rows = by_block.drop("family").join(
+        open_blocks.join(cut, "family", "left_semi").drop("family", "cost"), "grp"
     )
-    rows = members.join(families, "family")
-    return rows.withColumn("main", F.col("part") == F.col("top"))
+    return _pair_tasks(rows.unionByName(block_rows))
 
 
 def _pair_tasks(rows: DataFrame) -> DataFrame:
-    """Members dealt to the pairs of chunks that can add a link.
+    """Members dealt to the pairs of chunks of a group that can add a link.
 
     Chunk r of the rest meets chunk m of the main part, every other chunk of the rest, and
     itself.
@@ -539,9 +604,10 @@ def _pair_tasks(rows: DataFrame) -> DataFrame:
     to_others = F.transform(
         upto(r), lambda i: task(pair(rest, i), F.when(rest <= i, 0).otherwise(1))
     )
-    tasks = F.when(F.col("main"), to_rests).otherwise(F.concat(to_mains, to_others))
+    in_main = F.col("part") == F.col("top")
+    tasks = F.when(in_main, to_rests).otherwise(F.concat(to_mains, to_others))
     return rows.withColumn("t", F.explode(tasks)).select(
-        F.col("family").alias("block"),
+        F.col("grp").alias("block"),
         F.col("t.task").alias("task"),
         F.col("t.side").alias("side"),
         "id",
@@ -604,7 +670,7 @@ def near_duplicates(
         members = large.join(broadcast_if_small(part), "id", "left").select(
             "family", "id", F.coalesce("part", "id").alias("part")
         )
-        more = _links(_pair_tasks(_open_families(members)).join(sets, "id"), share)
+        more = _links(_rest_tasks(blocks, settled(members, "members")).join(sets, "id"), share)
         whole = whole.union(components(first.union(settled(more, "more-links"))))
     whole = settled(whole, "components")
     named = classes.join(whole, "id", "left").select(
