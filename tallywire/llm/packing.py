@@ -24,7 +24,7 @@ OPEN = 64  # open windows of a task
 FLUSH = 1000  # pieces of a batch
 MERGED = 8  # tasks whose leftovers are merged together
 FULL = 0.9  # a merged window below this share gives its pieces away to be cut
-WORDS = 1_500_000  # words whose ids a task remembers
+WORDS = 800_000  # words whose ids a task remembers
 END = 1
 
 PIECES = (

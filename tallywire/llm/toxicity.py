@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywire.llm.words import LOWER, SIGNS, Reader, Words, mix, within
+from tallywire.llm.words import SIGNS, Reader, Words, mix, within
 
 U = np.uint64
 WIDTH, STRIDE = 32, 16  # words of a window, and from one window to the next
@@ -51,15 +51,32 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def trigrams(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Trigram numbers of some words, around each of their bytes, and how many each has."""
-    data = words.data.astype(np.int64)
-    before = np.concatenate([[0], data[:-1]]) if len(data) else data
-    after = np.concatenate([data[1:], [0]]) if len(data) else data
-    before[words.starts] = 256
-    after[words.ends - 1] = 256
     lengths = words.ends[which] - words.starts[which]
-    at = np.repeat(words.starts[which], lengths) + within(lengths)
-    code = (before[at] * 257 + data[at]) * 257 + after[at]
-    return (mix(code.astype(U)) % U(TRIGRAMS)).astype(np.int64), lengths
+    place = within(lengths)
+    at = np.repeat(words.starts[which], lengths) + place
+    last = place == np.repeat(lengths - 1, lengths)
+    data, end = words.data, len(words.data) - 1
+    before = np.where(place == 0, 256, data[np.maximum(at - 1, 0)])
+    after = np.where(last, 256, data[np.minimum(at + 1, end)])
+    code = (before.astype(U) * U(257) + data[at]) * U(257) + after.astype(U)
+    return (mix(code) % U(TRIGRAMS)).astype(np.int64), lengths
+
+
+def words_of(texts: list[str]) -> Words:
+    """The words of all texts as one run."""
+    runs = list(Reader(SIGNS).runs(pa.array(texts, pa.string())))
+    shift = np.cumsum([0] + [len(r.data) for r in runs])
+    count = np.cumsum([0] + [len(r.starts) for r in runs])
+    firsts = [r.first[:-1] + c for r, c in zip(runs, count, strict=False)]
+    return Words(
+        np.concatenate([r.data for r in runs]),
+        np.concatenate([r.starts + s for r, s in zip(runs, shift, strict=False)]),
+        np.concatenate([r.ends + s for r, s in zip(runs, shift, strict=False)]),
+        np.concatenate([r.hashes for r in runs]),
+        np.concatenate([*firsts, count[-1:]]),
+        0,
+        len(texts),
+    )
 
 
 class Lexicon:
@@ -275,9 +292,7 @@ def train(
     if not (toxic.any() and (~toxic).any()):
         return Model(None, nothing, 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
-    words = Reader(SIGNS).words(LOWER[np.frombuffer(b"".join(raw), np.uint8)], offsets, 0)
+    words = words_of(texts)
     pairs = np.unique(np.stack([words.hashes, words.text_of.astype(U)]), axis=1)
     known, held = np.unique(pairs[0], return_counts=True)
     known = known[held >= KNOWN_IN]
@@ -336,6 +351,7 @@ def train(
     fit = apart if apart.any() else ~apart
     prior = toxic.mean() if prior is None else prior
     scale, shift = calibrated(worst[fit], toxic[fit], prior)
+    network.last = None
     return Model(network, known, scale, shift)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are handled in runs of about this many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
