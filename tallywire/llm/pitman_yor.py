@@ -1,10 +1,9 @@
 """Language-model scores by a hierarchical Pitman-Yor model of word pairs.
 
-Every frequent word is the context of a restaurant whose dishes are the words that follow it.
-All these restaurants share one parent, over single words, and words after rarer contexts sit
-down there directly. A customer of a context is a token of the training documents; a table
-opened for a dish sends one customer to the parent, whose own base is uniform over the words
-and one unknown.
+Every word is the context of a restaurant whose dishes are the words that follow it. All these
+restaurants share one parent, over single words. A customer of a context is a token of the
+training documents; a table opened for a dish sends one customer to the parent, whose own base
+is uniform over the words and one unknown.
 
 Seating is sampled by blocked Gibbs: given everything else, how many tables a dish with ``c``
 customers has in a restaurant is drawn from its exact conditional, by generalised Stirling
@@ -13,6 +12,9 @@ shards, so that all restaurants' tables for a word are in one task; a word with
 thousandth of all tokens is dealt on by context. Within a sweep a task takes totals over all
 words from its own share of them. A first job adds the samples' tables up, and a second one
 draws the same samples again and scores with the exact totals, so probabilities add up to 1.
+
+Frequent contexts travel as short numbers and their totals are broadcast. The others travel as
+their hash; which of them a shard meets is asked for by context, and their totals are sent to it.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ U = np.uint64
 DISCOUNT, STRENGTH = 0.8, 1.0  # of context restaurants
 TOP_DISCOUNT, TOP_STRENGTH = 0.8, 1.0  # of the parent
 BURN_IN, SAMPLES = 2, 3
-CONTEXT_SHARE = 1e-5  # of training tokens that makes a word a context: 100,000 at most
+CODED = (1 << 16) - 2  # contexts that have a number, the most frequent ones
 HOT_SHARE = 1e-3  # of training tokens from which a word is dealt on by context
 EXACT = 1024  # customers of a dish up to which Stirling numbers are used as they are
 HELD = 2_000_000  # tokens a task gathers before it deals them
 END = int(mix(np.array([0x454E44], dtype=U))[0])  # the end of a text, as a word
 KEY_BITS = 48
 KEY = U((1 << KEY_BITS) - 1)
+SIGN = U(1 << 63)
 
 
 # --- tokens ---
@@ -96,7 +99,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Totals of the training tokens, the contexts, and the hot words; bounded in size."""
+    """Totals of the training tokens, frequent contexts, and hot words; bounded in size."""
 
     tokens: int
     words: int
@@ -113,7 +116,17 @@ class Vocabulary:
     hot_top: np.ndarray | None = None
 
     def context_of(self, word: np.ndarray) -> np.ndarray:
-        return found_in(self.contexts, word)
+        """Numbers of frequent contexts; of others the hash, with the sign that makes it negative."""
+        return np.where(
+            (at := found_in(self.contexts, word)) >= 0, at, (word | SIGN).view(np.int64)
+        )
+
+    def shard_of(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        place = word
+        if len(self.hot):
+            hot = found_in(self.hot, word) >= 0
+            place = np.where(hot, mix(word ^ mix(context.astype(U))), word)
+        return place % U(self.shards)
 
 
 def found_in(sorted_words: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -126,9 +139,15 @@ def found_in(sorted_words: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def vocabulary(counts: DataFrame, shards: int) -> Vocabulary:
-    """What tasks need of all counts: at most 1 / CONTEXT_SHARE words of them."""
+    """What tasks need of all counts: those of at most CODED words."""
     tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.filter(F.col("n") >= F.lit(CONTEXT_SHARE * tokens)).collect()
+    level = F.floor(F.log2("n") * 64)
+    lowest, room = 1 << 20, CODED
+    for at, held in sorted(counts.groupBy(level).count().collect(), reverse=True):
+        if held > room:
+            break
+        lowest, room = at, room - held
+    rows = counts.filter(level >= lowest).collect()
     word = np.array([r["word"] for r in rows], dtype=np.int64).view(U)
     n = np.array([r["n"] for r in rows], dtype=np.int64)
     order = np.argsort(word)
@@ -162,14 +181,8 @@ class Dealer:
         if not self.n:
             return
         word, context, text = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        shards = U(self.vocab.shards)
-        place = word
-        if len(self.vocab.hot):
-            hot = found_in(self.vocab.hot, word) >= 0
-            # Tokens after no context need no restaurant, so they are dealt by text.
-            by = np.where(context >= 0, context, -1 - (text >> 1))
-            place = np.where(hot, mix(word ^ mix(by.astype(U))), word)
-        key = ((place % shards) << U(KEY_BITS)) | (word >> U(64 - KEY_BITS))
+        shard = self.vocab.shard_of(word, context)
+        key = (shard << U(KEY_BITS)) | (word >> U(64 - KEY_BITS))
         order = np.argsort(key, kind="stable")
         key, context, text = key[order], context[order], text[order]
         new = np.ones(len(key), dtype=bool)
@@ -179,7 +192,7 @@ class Dealer:
         counts = np.diff(np.append(begins, len(key))).astype(np.uint32)
         shard = (kinds >> U(KEY_BITS)).astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-        context = narrowed(context + 1)
+        coded = narrowed(np.maximum(context + 1, 0))
         text = narrowed(text) if self.with_texts else None
         rows = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -190,7 +203,8 @@ class Dealer:
                     self.base,
                     (kinds[lo:hi] & KEY).tobytes(),
                     narrowed(counts[lo:hi]).tobytes(),
-                    context[at].tobytes(),
+                    coded[at].tobytes(),
+                    (few := context[at])[few < 0].tobytes(),
                     text[at].tobytes() if self.with_texts else b"",
                 )
             )
@@ -199,9 +213,9 @@ class Dealer:
             ids = pa.concat_arrays(self.ids)
             known = np.array(ids.is_valid().to_pylist(), dtype=np.uint8).tobytes()
             raw = ids.fill_null(0).to_numpy().astype(np.int64).tobytes()
-            rows.append((-1 - self.base % 1_000_003, self.base, raw, known, b"", b""))
-        names = ["shard", "base", "words", "counts", "contexts", "texts"]
-        types = [pa.int64(), pa.int64()] + [pa.binary()] * 4
+            rows.append((-1 - self.base % 1_000_003, self.base, raw, known, b"", b"", b""))
+        names = ["shard", "base", "words", "counts", "contexts", "rare", "texts"]
+        types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
         columns = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
@@ -210,31 +224,39 @@ class Dealer:
         self.held, self.ids, self.n, self.texts = [], [], 0, 0
 
 
-DEALT = "shard bigint, base bigint, words binary, counts binary, contexts binary, texts binary"
+DEALT = (
+    "shard bigint, base bigint, words binary, counts binary, contexts binary, rare binary, "
+    "texts binary"
+)
+TOLD = -1  # base of rows that bring a shard the totals of contexts
 
 
 def narrowed(x: np.ndarray) -> np.ndarray:
     most = int(x.max(initial=0))
-    return x.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+    kinds = (np.uint8, np.uint16, np.uint32, np.uint64)
+    return x.astype(next(k for k in kinds if most <= np.iinfo(k).max))
 
 
 def widened(raw: bytes, n: int) -> np.ndarray:
-    kind = {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // n]
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // n]
     return np.frombuffer(raw, dtype=kind).astype(np.int64)
 
 
 def undealt(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Words (without shard), contexts and texts (twice the number, and whether learnt)."""
     words, contexts, texts = [], [], []
-    blobs = sorted(blobs, key=lambda b: b[0])
-    for base, word, count, context, text in blobs:
+    blobs = sorted((b for b in blobs if b[0] != TOLD), key=lambda b: b[0])
+    for base, word, count, context, rare, text in blobs:
         word = np.frombuffer(word, dtype=U)
         count = widened(count, len(word))
         n = int(count.sum())
         words.append(np.repeat(word, count))
         contexts.append(widened(context, n) - 1)
+        contexts[-1][contexts[-1] < 0] = np.frombuffer(rare, dtype=np.int64)
         if text:
             texts.append(widened(text, n) + 2 * base)
+    if not words:
+        return np.empty(0, dtype=U), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     both = np.concatenate(words), np.concatenate(contexts)
     return (*both, np.concatenate(texts) if texts else None)
 
@@ -248,6 +270,201 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
     return shards
 
 
+# --- totals of contexts that are not broadcast ---
+
+
+@dataclass
+class Totals:
+    """Training tokens after contexts, and tables of each sample; contexts sorted."""
+
+    context: np.ndarray
+    n: np.ndarray
+    tables: np.ndarray  # (SAMPLES, contexts)
+
+    def of(self, vocab: Vocabulary, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and tables of any contexts; none where nothing was learnt."""
+        n = np.zeros(len(context), dtype=np.int64)
+        tables = np.zeros((SAMPLES, len(context)))
+        coded = np.flatnonzero((context >= 0) & (len(vocab.contexts) > 0))
+        n[coded] = vocab.context_n[context[coded]]
+        if vocab.tables is not None:
+            tables[:, coded] = vocab.tables[:, context[coded]]
+        at = found_in(self.context, context)
+        known = np.flatnonzero(at >= 0)
+        n[known] = self.n[at[known]]
+        tables[:, known] = self.tables[:, at[known]]
+        return n, tables
+
+
+NOTHING = Totals(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((SAMPLES, 0)))
+PARTS = "part bigint, kind int, contexts binary, held binary"
+
+
+def told(blobs: list[tuple]) -> Totals:
+    """What the rows that were sent to a shard say."""
+    found = [b for b in blobs if b[0] == TOLD]
+    if not found:
+        return NOTHING
+    context = [np.frombuffer(b[1], dtype=np.int64) for b in found]
+    n = [widened(b[2], len(c)) for b, c in zip(found, context, strict=True)]
+    tables = [
+        widened(b[3], SAMPLES * len(c)).reshape(SAMPLES, -1)
+        if b[3]
+        else np.zeros((SAMPLES, len(c)), dtype=np.int64)
+        for b, c in zip(found, context, strict=True)
+    ]
+    context = np.concatenate(context)
+    order = np.argsort(context)
+    return Totals(
+        context[order], np.concatenate(n)[order], np.concatenate(tables, axis=1)[:, order]
+    )
+
+
+def part_of(context: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(context.view(U)) % U(shards)).astype(np.int64)
+
+
+def _parted(kind: int, shards: int, context: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the contexts, with what is held of them (rows of ``held``)."""
+    part = part_of(context, shards)
+    order = np.argsort(part, kind="stable")
+    part, context, held = part[order], context[order], held[:, order]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    rows = [
+        (int(part[lo]), kind, context[lo:hi].tobytes(), narrowed(held[:, lo:hi]).tobytes())
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)
+        if hi > lo
+    ]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+        ["part", "kind", "contexts", "held"],
+    )
+
+
+def asked_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Which contexts without a number a shard meets, by parts of the contexts."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def ask(batches):
+        vocab = sent.value
+        reader, held, n = Reader(), [], 0
+
+        def out():
+            context, shard = (np.concatenate(x) for x in zip(*held, strict=True))
+            new = first_of(context, shard)
+            return _parted(0, vocab.shards, context[new], shard[None, new])
+
+        for batch in batches:
+            for run in reader.runs(batch.column(2)):
+                word, before, _ = tokens_of(run)
+                context = vocab.context_of(before)
+                rare = context < 0
+                word, context = word[rare], context[rare]
+                held.append((context, vocab.shard_of(word, context).astype(np.int64)))
+                n += len(word)
+                if n >= HELD:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    return docs.mapInArrow(ask, PARTS)
+
+
+def first_of(*columns: np.ndarray) -> np.ndarray:
+    """Where the distinct rows are, sorted by the last column, then the one before."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= np.diff(column[order]) != 0
+    return order[new]
+
+
+def told_rows(
+    asked: DataFrame, counts: DataFrame, vocab: Vocabulary, totals: DataFrame | None = None
+) -> DataFrame:
+    """Totals of the contexts without a number, as rows for the shards that asked for them.
+
+    ``counts`` has the training tokens, ``totals`` the tables of each sample, if known.
+    """
+    shards, contexts = vocab.shards, vocab.contexts
+
+    def count(batches):
+        for batch in batches:
+            word = batch.column(0).to_numpy().view(U)
+            rare = found_in(contexts, word) < 0
+            yield _parted(
+                1, shards, (word[rare] | SIGN).view(np.int64), batch.column(1).to_numpy()[None, rare]
+            )
+
+    def table(batches):
+        for batch in batches:
+            held = np.stack([c.to_numpy() for c in batch.columns[1:]]).astype(np.int64)
+            yield _parted(2, shards, batch.column(0).to_numpy(), held)
+
+    rows = asked.unionAll(counts.select("word", "n").mapInArrow(count, PARTS))
+    if totals is not None:
+        tables = totals.filter("kind = 4").select("id", *[f"x{s}" for s in range(SAMPLES)])
+        rows = rows.unionAll(tables.mapInArrow(table, PARTS))
+
+    def tell(batches):
+        # All parts of a task together, so that a shard gets one row from each task.
+        asked, counted, seated = found = [], [], []
+        for batch in batches:
+            for kind, *held in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                found[kind].append(held)
+        if asked and counted:
+            context, shard = _gathered(asked, 1)
+            new = first_of(context, shard[0])
+            context, shard = context[new], shard[0][new]
+            of, n = _gathered(counted, 1)
+            order = np.argsort(of)
+            at = found_in(of[order], context)
+            context, shard = context[at >= 0], shard[at >= 0]
+            n = n[0][order][at[at >= 0]]
+            tables = np.zeros((SAMPLES, len(context)), dtype=np.int64)
+            if seated:
+                of, x = _gathered(seated, SAMPLES)
+                order = np.argsort(of)
+                at = found_in(of[order], context)
+                tables = np.where(at >= 0, x[:, order][:, at], 0)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            rows = [
+                (
+                    int(shard[lo]),
+                    TOLD,
+                    context[lo:hi].tobytes(),
+                    narrowed(n[lo:hi]).tobytes(),
+                    narrowed(tables[:, lo:hi]).tobytes() if seated else b"",
+                    b"",
+                    b"",
+                )
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)
+                if hi > lo
+            ]
+            if rows:
+                names = ["shard", "base", "words", "counts", "contexts", "rare", "texts"]
+                types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
+                )
+
+    return rows.repartition(-(-shards // 2), "part").mapInArrow(tell, DEALT)
+
+
+def _gathered(rows: list, height: int) -> tuple[np.ndarray, np.ndarray]:
+    context = [np.frombuffer(c, dtype=np.int64) for c, _ in rows]
+    held = [
+        widened(h, height * len(c)).reshape(height, -1)
+        for c, (_, h) in zip(context, rows, strict=True)
+    ]
+    return np.concatenate(context), np.concatenate(held, axis=1)
+
+
 # --- seating ---
 
 
@@ -281,14 +498,12 @@ def draw_tables(
     out = np.minimum(customers, 1)
     exact = len(table) - 1
     base = np.clip(base, 1e-300, 1 - 1e-9)
-    order = np.argsort(customers, kind="stable")
-    order = order[: np.searchsorted(customers[order], exact, side="right")]
+    order = np.flatnonzero((customers > 1) & (customers <= exact))
+    order = order[np.argsort(customers[order], kind="stable")]
     size = customers[order]
     cuts = np.concatenate([np.flatnonzero(np.diff(size, prepend=-1)), [len(size)]])
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         c = int(size[lo])
-        if c < 2:
-            continue
         step = max(1, 1_000_000 // c)
         for begin in range(lo, hi, step):
             at = order[begin : min(hi, begin + step)]
@@ -308,8 +523,9 @@ class Seating:
     """Samples for a shard: tables of pairs, and the parent's customers and tables of words."""
 
     words: np.ndarray
+    contexts: np.ndarray  # that words of the shard come after, sorted
     word_of: np.ndarray  # of each pair
-    context: np.ndarray  # of each pair
+    context: np.ndarray  # of each pair, where it is among the contexts
     count: np.ndarray  # of each pair
     tables: np.ndarray  # (SAMPLES, pairs)
     customers: np.ndarray  # (SAMPLES, words)
@@ -317,69 +533,79 @@ class Seating:
     hot: np.ndarray  # where a word is among the hot ones, or -1
 
 
-def seat(vocab: Vocabulary, shard: int, word: np.ndarray, context: np.ndarray) -> Seating:
-    """Sample the seating of a shard's training tokens. The same tokens give the same samples."""
+def seat(
+    vocab: Vocabulary, shard: int, word: np.ndarray, context: np.ndarray, known: Totals = NOTHING
+) -> Seating:
+    """Sample the seating of a shard's training tokens. The same tokens give the same samples.
+
+    ``known`` has the training tokens after contexts that have no number.
+    """
     rng = np.random.default_rng([11, shard])
     words, at = np.unique(word, return_inverse=True)
     hot = found_in(vocab.hot >> U(64 - KEY_BITS), words)
-    direct = np.bincount(at[context < 0], minlength=len(words))
-    inside = context >= 0
-    pair = at[inside] * (len(vocab.contexts) + 1) + context[inside]
-    pair, count = np.unique(pair, return_counts=True)
-    word_of, of = pair // (len(vocab.contexts) + 1), pair % (len(vocab.contexts) + 1)
+    contexts, context_at = np.unique(context, return_inverse=True)
+    context_n, _ = known.of(vocab, contexts)
+    pair, count = np.unique(at * (len(contexts) + 1) + context_at, return_counts=True)
+    word_of, of = pair // (len(contexts) + 1), pair % (len(contexts) + 1)
     n = np.bincount(at, minlength=len(words))
     base = 1 / (vocab.words + 1)
     low, top_table = stirling(DISCOUNT, EXACT), stirling(TOP_DISCOUNT, EXACT)
     tables = np.minimum(count, 1)
-    customers, top = direct.copy(), np.minimum(n, 1)
+    top = np.minimum(n, 1)
     cold = hot < 0
     # What a hot word weighs in the parent is only known after the first job.
-    known = np.where(cold, 0, vocab.hot_n[hot] if len(vocab.hot) else 0) / max(1, vocab.tokens)
-    local = np.bincount(of, count, len(vocab.contexts))
+    expected = np.where(cold, 0, vocab.hot_n[hot] if len(vocab.hot) else 0) / max(1, vocab.tokens)
+    scale = context_n / np.maximum(np.bincount(of, count, len(contexts)), 1)
     kept = []
     for sweep in range(BURN_IN + SAMPLES):
-        customers = direct + np.bincount(word_of, tables, len(words)).astype(np.int64)
+        customers = np.bincount(word_of, tables, len(words)).astype(np.int64)
         share = customers[cold].sum() / max(1, n[cold].sum())
         all_customers = max(1.0, share * vocab.tokens)
         all_tables = all_customers * top[cold].sum() / max(1, customers[cold].sum())
         mass = np.maximum(TOP_STRENGTH + TOP_DISCOUNT * (all_tables - top), TOP_STRENGTH)
         top = draw_tables(rng, top_table, customers, mass, np.full(len(words), base), TOP_DISCOUNT)
         chance = customers - TOP_DISCOUNT * top + (TOP_STRENGTH + TOP_DISCOUNT * all_tables) * base
-        chance = np.where(cold, chance / (TOP_STRENGTH + all_customers), known)
+        chance = np.where(cold, chance / (TOP_STRENGTH + all_customers), expected)
         chance = np.maximum(chance, 1e-300)
-        here = np.bincount(of, tables, len(vocab.contexts))
-        scale = vocab.context_n / np.maximum(local, 1)
+        here = np.bincount(of, tables, len(contexts))
         mass = STRENGTH + DISCOUNT * np.maximum(here[of] * scale[of] - tables, 0)
         tables = draw_tables(rng, low, count, mass, chance[word_of], DISCOUNT)
         if sweep >= BURN_IN:
             # The parent's customers are this sample's tables; it is seated for them.
-            customers = direct + np.bincount(word_of, tables, len(words)).astype(np.int64)
+            customers = np.bincount(word_of, tables, len(words)).astype(np.int64)
             mass = np.maximum(TOP_STRENGTH + TOP_DISCOUNT * (all_tables - top), TOP_STRENGTH)
             flat = np.full(len(words), base)
             top = draw_tables(rng, top_table, customers, mass, flat, TOP_DISCOUNT)
             kept.append((tables, customers, top))
-    return Seating(words, word_of, of, count, *(np.stack(x) for x in zip(*kept, strict=True)), hot)
+    samples = (np.stack(x) for x in zip(*kept, strict=True))
+    return Seating(words, contexts, word_of, of, count, *samples, hot)
 
 
 IDS = 4096  # contexts whose sums travel together
 
 
-def total_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+def total_rows(docs: DataFrame, vocab: Vocabulary, known: DataFrame | None = None) -> DataFrame:
     """Sums over all shards of each sample: kind, id, x0, x1, ...
 
     Kind 0: tables of a context; 1 and 2: customers and tables of the parent, hot words apart;
-    3: the parent's customers of a hot word. A shard sends a row for each kind and run of IDS.
+    3: the parent's customers of a hot word; 4: tables of a context without a number. A shard
+    sends a row for each kind and run of IDS, or part of the contexts. ``known`` has told_rows.
     """
     names = [f"x{s}" for s in range(SAMPLES)]
-    dealt = _dealt(docs, vocab, learn_only=True)
+    dealt = _dealt(docs, vocab, known, learn_only=True)
 
     def add(batches):
         for shard, blobs in by_shard(batches).items():
             word, context, _ = undealt(blobs)
-            s = seat(vocab, shard, word, context)
+            if not len(word):
+                continue
+            s = seat(vocab, shard, word, context, told(blobs))
             cold = s.hot < 0
-            sums = np.stack([np.bincount(s.context, t, len(vocab.contexts)) for t in s.tables])
-            parts = [(0, np.unique(s.context), sums)]
+            here = np.stack([np.bincount(s.context, t, len(s.contexts)) for t in s.tables])
+            coded = s.contexts >= 0
+            sums = np.zeros((SAMPLES, len(vocab.contexts)))
+            sums[:, s.contexts[coded]] = here[:, coded]
+            parts = [(0, s.contexts[coded], sums)]
             for kind, x in ((1, s.customers), (2, s.top)):
                 parts.append((kind, np.zeros(1, int), x[:, cold].sum(axis=1, keepdims=True)))
             hot = np.zeros((SAMPLES, len(vocab.hot)))
@@ -391,18 +617,31 @@ def total_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     at = ids[ids // IDS == run]
                     held = x[:, at].astype(np.float64)
                     rows.append((kind, int(run), at.astype(np.int64).tobytes(), held.tobytes()))
+            rare, here = s.contexts[~coded], here[:, ~coded].astype(np.int64)
+            parted = _parted(4, vocab.shards, rare, here).to_pylist()
+            rows += [(4, r["part"], r["contexts"], r["held"]) for r in parted]
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["kind", "run", "ids", "sums"])
 
     def merge(batches):
         held: dict = {}
+        rare: dict = {}
         for batch in batches:
             for kind, run, ids, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if kind == 4:
+                    rare.setdefault(run, []).append((ids, x))
+                    continue
                 total = held.setdefault((kind, run), np.zeros((SAMPLES, IDS)))
                 seen = held.setdefault((kind, run, "seen"), np.zeros(IDS, dtype=bool))
                 at = np.frombuffer(ids, dtype=np.int64) % IDS
                 total[:, at] += np.frombuffer(x).reshape(SAMPLES, -1)
                 seen[at] = True
+        while rare:
+            context, x = _gathered(rare.popitem()[1], SAMPLES)
+            context, at = np.unique(context, return_inverse=True)
+            total = [np.bincount(at, y, len(context)) for y in x]
+            columns = [np.full(len(context), 4), context, *total]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "id", *names])
         for key, total in held.items():
             if len(key) == 2:
                 at = np.flatnonzero(held[(*key, "seen")])
@@ -417,11 +656,11 @@ def total_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 
 def with_totals(vocab: Vocabulary, totals: DataFrame) -> Vocabulary:
-    """The vocabulary with exact totals; rows collected are one per context and hot word."""
+    """The vocabulary with exact totals; rows collected are one per number and hot word."""
     tables = np.zeros((SAMPLES, len(vocab.contexts)))
     sums = np.zeros((3, SAMPLES))
     hot = np.zeros((SAMPLES, len(vocab.hot)))
-    for kind, id_, *x in totals.collect():
+    for kind, id_, *x in totals.filter("kind < 4").collect():
         if kind == 0:
             tables[:, id_] = x
         elif kind == 3:
@@ -440,14 +679,23 @@ def with_totals(vocab: Vocabulary, totals: DataFrame) -> Vocabulary:
     return vocab
 
 
-def predictive(vocab: Vocabulary, s: Seating, word: np.ndarray, context: np.ndarray):
-    """Averaged probabilities of tokens, the training counts of their words, and those words."""
+def predictive(
+    vocab: Vocabulary,
+    s: Seating,
+    word: np.ndarray,
+    context: np.ndarray,
+    known: Totals = NOTHING,
+):
+    """Averaged probabilities of tokens; ``known`` has totals of contexts without a number."""
     at = found_in(s.words, word)
     seen = at >= 0
     base = 1 / (vocab.words + 1)
-    width = len(vocab.contexts) + 1
-    pair = found_in(s.word_of * width + s.context, np.where(seen, at, 0) * width + context)
-    pair = np.where(seen & (context >= 0), pair, -1)
+    width = len(s.contexts) + 1
+    context, of = np.unique(context, return_inverse=True)
+    context_n, context_tables = known.of(vocab, context)
+    local = found_in(s.contexts, context)[of]
+    pair = found_in(s.word_of * width + s.context, np.where(seen, at, 0) * width + local)
+    pair = np.where(seen & (local >= 0), pair, -1)
     total = np.zeros(len(word))
     hot_at = found_in(vocab.hot >> U(64 - KEY_BITS), word)
     for i in range(SAMPLES):
@@ -460,19 +708,18 @@ def predictive(vocab: Vocabulary, s: Seating, word: np.ndarray, context: np.ndar
             # A hot word's customers are in many shards, and may not be in this one.
             own = vocab.hot_customers[i] - TOP_DISCOUNT * vocab.hot_top[i]
             chance = np.where(hot_at >= 0, (own[hot_at] + rest) / all_, chance)
-        if len(vocab.contexts):
-            mass = STRENGTH + DISCOUNT * vocab.tables[i][context]
-            own = np.append(s.count - DISCOUNT * s.tables[i], 0)[pair]
-            inside = (own + mass * chance) / (STRENGTH + vocab.context_n[context])
-            chance = np.where(context >= 0, inside, chance)
-        total += chance
+        mass = STRENGTH + DISCOUNT * context_tables[i]
+        own = np.append(s.count - DISCOUNT * s.tables[i], 0)[pair]
+        total += (own + mass[of] * chance) / (STRENGTH + context_n[of])
     return total / SAMPLES
 
 
 # --- operator ---
 
 
-def _dealt(docs: DataFrame, vocab: Vocabulary, learn_only: bool) -> DataFrame:
+def _dealt(
+    docs: DataFrame, vocab: Vocabulary, known: DataFrame | None, learn_only: bool
+) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def read(batches):
@@ -493,16 +740,18 @@ def _dealt(docs: DataFrame, vocab: Vocabulary, learn_only: bool) -> DataFrame:
                 yield from dealer.add(word, context, text, learnt[text], ids)
         yield from dealer.deal()
 
-    return docs.mapInArrow(read, DEALT).repartition(-(-vocab.shards // 2), "shard")
+    rows = docs.mapInArrow(read, DEALT)
+    rows = rows if known is None else rows.unionAll(known)
+    return rows.repartition(-(-vocab.shards // 2), "shard")
 
 
-def _scores(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+def _scores(docs: DataFrame, vocab: Vocabulary, known: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_tokens, n_known, base_score, score.
 
     A shard sends a row for each run of texts that a task dealt, with the texts' sums.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocab)
-    dealt = _dealt(docs, vocab, learn_only=False)
+    dealt = _dealt(docs, vocab, known, learn_only=False)
     names = ["base", "ids", "known", "texts", "counts", "sums"]
 
     def score(batches):
@@ -510,13 +759,16 @@ def _scores(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         shards = by_shard(batches)
         for shard in sorted(shards):
             rows = []
+            blobs = shards.pop(shard)
             if shard < 0:
-                rows = [(b[0], b[1], b[2], b"", b"", b"") for b in shards[shard]]
+                rows = [(b[0], b[1], b[2], b"", b"", b"") for b in blobs]
             else:
-                word, context, text = undealt(shards[shard])
+                word, context, text = undealt(blobs)
+                totals, bases = told(blobs), np.array(sorted({b[0] for b in blobs} - {TOLD}))
+                del blobs
                 learnt = text % 2 > 0
-                s = seat(vocab, shard, word[learnt], context[learnt])
-                chance = predictive(vocab, s, word, context)
+                s = seat(vocab, shard, word[learnt], context[learnt], totals)
+                chance = predictive(vocab, s, word, context, totals)
                 n = np.bincount(found_in(s.words, word[learnt]), minlength=len(s.words))
                 count = np.append(n, 0)[found_in(s.words, word)]
                 hot_at = found_in(vocab.hot >> U(64 - KEY_BITS), word)
@@ -527,7 +779,6 @@ def _scores(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 counts = np.stack([np.bincount(of, x, len(text)) for x in (None, count > 0)])
                 logs = (np.log10(base_chance), np.log10(chance))
                 sums = np.stack([np.bincount(of, x, len(text)) for x in logs])
-                bases = np.array(sorted({b[0] for b in shards[shard]}))
                 ends = np.append(np.searchsorted(text, bases[1:]), len(text))
                 begin = 0
                 for base, end in zip(bases.tolist(), ends.tolist(), strict=True):
@@ -597,9 +848,13 @@ def language_scores(
     rows = rows.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), "text")
     # Two shards to a partition: a task seats one after the other.
     shards = 2 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    vocab = vocabulary(settled(word_counts(rows), "word-counts"), min(shards, 1 << 15))
-    vocab = with_totals(vocab, settled(total_rows(rows, vocab), "seating-totals"))
-    sums = _scores(rows, vocab)
+    counts = settled(word_counts(rows), "word-counts")
+    vocab = vocabulary(counts, min(shards, 1 << 15))
+    asked = settled(asked_rows(rows, vocab), "contexts-asked")
+    totals = total_rows(rows, vocab, told_rows(asked, counts, vocab))
+    totals = settled(totals, "seating-totals")
+    vocab = with_totals(vocab, totals)
+    sums = _scores(rows, vocab, told_rows(asked, counts, vocab, totals))
     per_token = -F.col("score") / F.col("n_tokens")
     return sums.select(
         "doc_id",

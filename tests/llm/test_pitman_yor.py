@@ -68,6 +68,71 @@ def test_nothing_to_learn_from(spark):
     assert rows[0].score == 0 and rows[0].base_score == 0
 
 
+def test_rare_words_are_contexts(spark):
+    """However long the input is, a word that was seen a few times tells what follows it."""
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    pairs = [f"rare{k} next{k}" for k in range(20)]
+    swapped = [f"rare{k} next{(k + 1) % 20}" for k in range(20)]
+    taught = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 != 2][:61]
+    rows = [(i, pairs[at % 20]) for at, i in enumerate(taught[:60])]
+    rows += [(taught[60], "filler " * 400_000)]
+    rows += [(held[0], " ".join(pairs)), (held[1], " ".join(swapped))]
+    scores = {r.doc_id: r.score for r in check(spark, rows)}
+    assert scores[held[0]] > scores[held[1]] + 20
+
+
+def test_numbers_of_contexts_are_only_a_code(spark, monkeypatch):
+    """Contexts with and without a number give the same scores but for the samples drawn."""
+    rng = random.Random(3)
+    rows = [(i, text(rng, 60)) for i in range(300)]
+    found = []
+    for most in (1000, 20, 0):
+        monkeypatch.setattr(py, "CODED", most)
+        found.append({r.doc_id: r.score for r in check(spark, rows)})
+    for other in found[1:]:
+        assert sum(other.values()) == pytest.approx(sum(found[0].values()), rel=0.01)
+        assert all(other[i] == pytest.approx(found[0][i], rel=0.05) for i in other)
+
+
+def test_probabilities_add_up_after_contexts_without_a_number(spark, monkeypatch):
+    monkeypatch.setattr(py, "CODED", 20)
+    rng = random.Random(2)
+    docs = spark.createDataFrame(
+        [(i, True, text(rng, 30)) for i in range(120)], "doc_id long, learn boolean, text string"
+    )
+    counts = py.word_counts(docs)
+    vocab = py.vocabulary(counts, 3)
+    asked = py.asked_rows(docs, vocab)
+    rows = py.total_rows(docs, vocab, py.told_rows(asked, counts, vocab)).collect()
+    names = "kind long, id long, x0 double, x1 double, x2 double"
+    totals = spark.createDataFrame(rows, names)
+    vocab = py.with_totals(vocab, totals)
+    blobs = py._dealt(docs, vocab, py.told_rows(asked, counts, vocab, totals), True).collect()
+    words = np.array([r.word for r in counts.collect()], dtype=np.int64).view(py.U)
+    rare = words[py.found_in(vocab.contexts, words) < 0]
+    assert len(rare) and len(vocab.contexts)
+    shards: dict = {}
+    for b in blobs:
+        shards.setdefault(b[0], []).append(tuple(b[1:]))
+    held = {}
+    for shard, found in shards.items():
+        word, context, _ = py.undealt(found)
+        known = py.told(found)
+        held[shard] = py.seat(vocab, shard, word, context, known), known
+    contexts = vocab.context_of(np.concatenate([rare[::4], vocab.contexts[:2]]))
+    for context in contexts:
+        total = 0.0
+        for w in [*words, py.U(12345)]:
+            at = int(vocab.shard_of(np.array([w]), np.array([context]))[0])
+            s, known = held[at]
+            key = np.array([w >> py.U(16)])
+            if context < 0 and py.found_in(known.context, np.array([context]))[0] < 0:
+                # Nobody asked this shard's part for the context, so its totals are elsewhere.
+                known = next(k for _, k in held.values() if context in k.context)
+            total += py.predictive(vocab, s, key, np.array([context]), known)[0]
+        assert total == pytest.approx(1, abs=1e-9)
+
+
 @pytest.mark.parametrize("hot", [1e-3, 0.05, 2.0])
 def test_probabilities_add_up(spark, monkeypatch, hot):
     """Over all words and one unknown, after any context; also with words dealt by context."""
