@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywire.plans.sizes import settled
+from tallywire.plans.sizes import settled, small_enough
+from tallywire.plans.skew import salted_join
 
-# Words and tokens with a smaller share of all are treated as unseen, so that a model has
-# 1 / SHARE entries at most, however much there is to read.
-SHARE = 5e-6
+TOKENS_SENT = 200_000  # tokens up to which all their weights go to every task
+HOSTS_SENT = 100_000  # rows by host or label up to which a table goes to every task
 LONGEST = 24  # letters of a word
 HELD = 300_000  # words a task counts before it hands them on
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -84,13 +84,6 @@ def word_counts(pages: DataFrame, text_col: str = "html") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, key: str) -> tuple[dict, int]:
-    """Counts of at least a SHARE of the total, and the total."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") >= F.lit(SHARE * total)).select(key, "n").collect()
-    return {r[0]: r[1] for r in rows}, total
-
-
 class Segmenter:
     """Splits names into the most probable sequence of words."""
 
@@ -129,12 +122,85 @@ class Segmenter:
     def tokens(self, host: str, path: str) -> list[str]:
         """Words of the host's labels, and the path's runs of letters; numbers count as #."""
         found = []
-        for label in host.split("."):
-            for part in re.findall(r"[^\W\d_]+|\d+", label):
-                found += ["h:#"] if part.isdigit() else ["h:" + w for w in self.split(part)]
-        for part in re.findall(r"[^\W\d_]+|\d+", path):
-            found.append("p:#" if part.isdigit() else "p:" + part.lower())
-        return found
+        for part in host_parts(host):
+            found += ["h:#"] if part.isdigit() else ["h:" + w for w in self.split(part)]
+        return found + path_tokens(path)
+
+
+def host_parts(host: str) -> list[str]:
+    """Runs of letters and of digits of the labels."""
+    return [p for label in host.split(".") for p in re.findall(r"[^\W\d_]+|\d+", label)]
+
+
+def path_tokens(path: str) -> list[str]:
+    parts = re.findall(r"[^\W\d_]+|\d+", path)
+    return ["p:#" if part.isdigit() else "p:" + part.lower() for part in parts]
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, salt_by: str) -> DataFrame:
+    """A left join to one row per key: a short table is sent, a long one is shuffled."""
+    if small_enough(lookup, HOSTS_SENT):
+        return rows.join(F.broadcast(lookup), key, "left")
+    return salted_join(rows, lookup, [key], "left", salt_by)
+
+
+def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
+    """Most probable words of distinct names: name, words.
+
+    Each name meets the counts of those words (word, n) that it has in it, whatever their
+    number is in all.
+    """
+    total = words.agg(F.sum("n")).first()[0] or 0
+    names = settled(names.withColumn("id", F.monotonically_increasing_id()), "names")
+    most = names.agg(F.sum(LONGEST * F.length("name"))).first()[0] or 0
+
+    @F.arrow_udf("array<string>")
+    def pieces(batch: pa.Array) -> pa.Array:
+        found = [
+            list({n[i : i + k] for i in range(len(n)) for k in range(1, LONGEST + 1)})
+            for n in batch.to_pylist()
+        ]
+        return pa.array(found, pa.list_(pa.string()))
+
+    @F.arrow_udf("array<string>")
+    def split(batch: pa.Array, known: pa.Array) -> pa.Array:
+        found = [
+            Segmenter({k["word"]: k["n"] for k in ks or ()}, total).split(n)
+            for n, ks in zip(batch.to_pylist(), known.to_pylist(), strict=True)
+        ]
+        return pa.array(found, pa.list_(pa.string()))
+
+    inside = names.select("id", F.explode(pieces("name")).alias("word"))
+    counts = words.filter(F.length("word") <= LONGEST).select("word", "n")
+    known = salted_join(inside, counts, ["word"], "inner", salt_by="id", at_most=most)
+    known = known.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return names.join(known, "id", "left").select("name", split("name", "known").alias("words"))
+
+
+def host_tokens(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """Tokens of distinct hosts: host, host_tokens."""
+
+    @F.arrow_udf("array<string>")
+    def parts(batch: pa.Array) -> pa.Array:
+        return pa.array([host_parts(h) for h in batch.to_pylist()], pa.list_(pa.string()))
+
+    rows = settled(hosts.select("host", F.posexplode(parts("host")).alias("at", "name")), "hosts")
+    # Digits alone are not split; what Python takes for digits has no letter.
+    names = rows.filter(F.col("name").rlike("[^0-9]")).select("name").distinct()
+    found = looked_up(rows, settled(split_names(names, words), "split-names"), "name", "host")
+
+    @F.arrow_udf("array<string>")
+    def labelled(batch: pa.Array, split: pa.Array) -> pa.Array:
+        found = [
+            ["h:#"] if n.isdigit() else ["h:" + w for w in ws]
+            for n, ws in zip(batch.to_pylist(), split.to_pylist(), strict=True)
+        ]
+        return pa.array(found, pa.list_(pa.string()))
+
+    found = found.select("host", "at", labelled("name", "words").alias("tokens"))
+    in_order = F.sort_array(F.collect_list(F.struct("at", "tokens")))
+    tokens = F.flatten(F.transform(in_order, lambda x: x["tokens"]))
+    return settled(found.groupBy("host").agg(tokens.alias("host_tokens")), "host-tokens")
 
 
 # --- classifier ---
@@ -165,6 +231,36 @@ class NaiveBayes:
         return self.prior + sum(self.lift.get(t, self.other) for t in tokens)
 
 
+def with_log_odds(rows: DataFrame, per_token: DataFrame, judged: dict) -> DataFrame:
+    """Log odds of a block by naive Bayes over all tokens (token, n, blocked).
+
+    Many tokens are not sent to tasks; weights are joined to the tokens of rows and added up.
+    """
+    if small_enough(per_token, TOKENS_SENT):
+        counts = {}
+        for token, n, blocked in per_token.collect():
+            counts[token, "block"], counts[token, "allow"] = blocked, n - blocked
+        model = rows.sparkSession.sparkContext.broadcast(NaiveBayes(counts, judged))
+
+        @F.arrow_udf("double")
+        def log_odds(batch: pa.Array) -> pa.Array:
+            return pa.array([model.value.score(t) for t in batch.to_pylist()], pa.float64())
+
+        return rows.withColumn("log_odds", log_odds("tokens"))
+    n, blocked, size = per_token.agg(F.sum("n"), F.sum("blocked"), F.count("*") + 1).first()
+    over = math.log(n - blocked + size) - math.log(blocked + size)
+    blocks, allows = F.col("blocked") + 1, F.col("n") - F.col("blocked") + 1
+    lifts = per_token.select("token", (F.log(blocks) - F.log(allows) + over).alias("lift"))
+    prior = NaiveBayes({}, judged).prior
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    each = each.groupBy("row", "token").agg(F.count("*").alias("times"))
+    each = salted_join(each, lifts, ["token"], "left", salt_by="row")
+    lift = F.col("times") * F.coalesce("lift", F.lit(over))
+    sums = each.groupBy("row").agg(F.sum(lift).alias("sum"))
+    odds = F.lit(prior) + F.coalesce("sum", F.lit(0.0))
+    return rows.join(sums, "row", "left").withColumn("log_odds", odds)
+
+
 def url_verdicts(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
@@ -181,42 +277,30 @@ def url_verdicts(
     without ://, has an empty host and path, and is judged by the prior alone. Rows that repeat
     or lack an id are judged like any other; no rows give no rows.
     """
-    spark = pages.sparkSession
-    words = word_counts(pages, text_col) if words is None else words
-    segmenter = spark.sparkContext.broadcast(Segmenter(*frequent(settled(words, "words"), "word")))
-
-    @F.arrow_udf("array<string>")
-    def tokens(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        split = segmenter.value.tokens
-        pairs = zip(hosts.to_pylist(), paths.to_pylist(), strict=True)
-        return pa.array([split(h, p) for h, p in pairs], pa.list_(pa.string()))
-
+    words = settled(word_counts(pages, text_col) if words is None else words, "words")
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         url_host(F.col(url_col).cast("string")).alias("host"),
         url_path(F.col(url_col).cast("string")).alias("path"),
     )
     rows = rows.withColumn("found", matching_rule(rules, F.col("host"), F.col("path")))
-    rows = rows.withColumn("tokens", tokens("host", "path"))
-    rows = settled(rows, "url-tokens")
+    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
+    rows = looked_up(rows, host_tokens(rows.select("host").distinct(), words), "host", "row")
+
+    @F.arrow_udf("array<string>")
+    def tokens(paths: pa.Array) -> pa.Array:
+        return pa.array([path_tokens(p) for p in paths.to_pylist()], pa.list_(pa.string()))
+
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce("host_tokens", none), tokens("path"))
+    rows = settled(rows.withColumn("tokens", both).drop("host_tokens"), "url-tokens")
 
     learnt = rows.filter("found IS NOT NULL").withColumn("by", F.col("found.verdict"))
     per_token = learnt.select(F.explode("tokens").alias("token"), "by").groupBy("token").agg(
         F.count("*").alias("n"), F.count_if(F.col("by") == "block").alias("blocked")
     )
-    kept = settled(per_token, "tokens")
-    total = kept.agg(F.sum("n")).first()[0] or 0
-    counts = {}
-    for token, n, blocked in kept.filter(F.col("n") >= F.lit(SHARE * total)).collect():
-        counts[token, "block"], counts[token, "allow"] = blocked, n - blocked
     judged = {r["by"]: r["count"] for r in learnt.groupBy("by").count().collect()}
-    model = spark.sparkContext.broadcast(NaiveBayes(counts, judged))
-
-    @F.arrow_udf("double")
-    def log_odds(batch: pa.Array) -> pa.Array:
-        return pa.array([model.value.score(t) for t in batch.to_pylist()], pa.float64())
-
-    rows = rows.withColumn("log_odds", log_odds("tokens"))
+    rows = with_log_odds(rows, settled(per_token, "tokens"), judged)
     guess = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select(
         "page_id",

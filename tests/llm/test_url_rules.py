@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from tallywire.llm import url_rules
 from tallywire.llm.queries import URL_RULES
 from tallywire.llm.url_rules import NaiveBayes, Segmenter, url_verdicts, word_counts
 
@@ -84,6 +85,45 @@ def test_classifier_against_counts(spark):
         assert r.log_odds == pytest.approx(odds)
 
 
+def naive_bayes(rows):
+    counts, docs = {"allow": Counter(), "block": Counter()}, Counter()
+    for r in rows:
+        if r.rule:
+            docs[r.verdict] += 1
+            counts[r.verdict].update(r.tokens)
+    totals = {v: sum(c.values()) for v, c in counts.items()}
+    size = len(set(counts["allow"]) | set(counts["block"])) + 1
+    for r in rows:
+        odds = math.log((docs["block"] + 1) / (docs["allow"] + 1))
+        for t, n in Counter(r.tokens).items():
+            for sign, v in ((n, "block"), (-n, "allow")):
+                odds += sign * math.log((counts[v][t] + 1) / (totals[v] + size))
+        yield pytest.approx(odds)
+
+
+@pytest.mark.parametrize("sent", [url_rules.TOKENS_SENT, 0])
+def test_rare_tokens_and_repeated_rows_count(spark, monkeypatch, sent):
+    """Tokens seen once among hundreds of thousands, sent to tasks or joined."""
+    monkeypatch.setattr(url_rules, "TOKENS_SENT", sent)
+    monkeypatch.setattr(url_rules, "HOSTS_SENT", sent)
+    urls = ["http://a.com/" + "x/" * 300_000, "http://b.net/es/rare/1", "http://b.org/rare"]
+    urls += ["http://b.org/rare", "http://1.org", "http://b٣c.org/", None, ""]
+    rows = url_verdicts(frame(spark, urls), URL_RULES).collect()
+    assert len(rows) == len(urls)
+    assert [r.log_odds for r in rows] == list(naive_bayes(rows))
+
+
+def test_rare_words_split_names(spark):
+    words = [("the", 10**9), ("quagmire", 1000), ("zeppelin", 1000)]
+    words = spark.createDataFrame(words, "word string, n long")
+    urls = ["http://quagmirezeppelin.thequagmire9.org/", "http://thezeppelin.com/a"]
+    rows = url_verdicts(frame(spark, urls), URL_RULES, words).collect()
+    assert {r.page_id: " ".join(r.tokens) for r in rows} == {
+        0: "h:quagmire h:zeppelin h:the h:quagmire h:# h:org",
+        1: "h:the h:zeppelin h:com p:a",
+    }
+
+
 def test_segments_against_all_splits():
     counts = {"the": 50, "cat": 9, "sat": 7, "on": 20, "them": 4, "at": 12, "he": 9, "c": 1}
     cutter = Segmenter(counts, sum(counts.values()))
