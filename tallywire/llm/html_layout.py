@@ -50,14 +50,19 @@ CLOSED_BY_START = {
 ENDS_PARAGRAPH = BLOCK - set("html body option optgroup tr caption legend summary".split())
 SCOPE = {"table", "td", "th", "caption", "button", "html"}
 
+# An attribute by HTML's states: a quote opens a value right after the equals sign alone. One
+# that is never closed counts as a plain character, so that no text is lost to it.
+_ATTRIBUTE = (
+    r"{0}[^\s/>][^\s/>=]*+)(?:\s*+=\s*+{0}\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))?+"
+)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + _ATTRIBUTE.format("(?:") + r")*+)>"
     r"|<",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+ATTRIBUTE = re.compile(_ATTRIBUTE.format("("))
 HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -230,26 +235,45 @@ class Canvas:
 
 
 class Table:
-    """Rows of cells; a cell is its lines, and how many columns it takes."""
+    """Rows of cells; a cell is its lines, and how many columns and rows it takes."""
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.groups: set[int] = set()  # rows before each group of rows
+
+    def placed(self) -> Iterator[list[tuple[int, list[str], int]]]:
+        """Rows of (column, lines, columns taken); cells from rows above keep their columns."""
+        until: dict[int, int] = {}  # the row from which a column is free
+        for i, row in enumerate(self.rows):
+            if i in self.groups:
+                until = {}  # no cell reaches out of its group
+            column, cells = 0, []
+            for lines, across, down in row:
+                while until.get(column, 0) > i:
+                    column += 1
+                cells.append((column, lines, across))
+                if down != 1:
+                    end = i + down if down else len(self.rows)
+                    for k in range(column, column + across):
+                        until[k] = max(until.get(k, 0), end)
+                column += across
+            yield cells
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(lines for lines, _ in r)]
+        rows = [r for r in self.placed() if any(lines for _, lines, _ in r)]
         widths: dict[int, int] = {}
         for row in rows:
-            column = 0
-            for lines, across in row:
+            for column, lines, across in row:
                 if across == 1:
                     widest = max(map(breadth, lines), default=0)
                     widths[column] = max(widths.get(column, 0), widest)
-                column += across
         out = []
         for row in rows:
-            for i in range(max(len(lines) for lines, _ in row)):
+            for i in range(max(len(lines) for _, lines, _ in row)):
                 line, column, place = "", 0, 0
-                for lines, across in row:
+                for start, lines, across in row:
+                    place += sum(widths.get(k, 0) + 2 for k in range(column, start))
+                    column = start
                     line += " " * (place - breadth(line))
                     line += lines[i] if i < len(lines) else ""
                     place += sum(widths.get(column + k, 0) + 2 for k in range(across))
@@ -265,6 +289,12 @@ def _span(node: Node) -> int:
     return min(max(int(raw), 1), 1000) if raw.isdecimal() and len(raw) < 5 else 1
 
 
+def _rows(node: Node) -> int:
+    """Rows that a cell takes; 0 for all that its group has left."""
+    raw = node.attrs.get("rowspan", "1").strip()
+    return min(int(raw), 65534) if raw.isdecimal() and len(raw) < 10 else 1
+
+
 def render(text: str | None) -> str:
     """The visible text of a page; null, empty and markup-only pages give an empty text."""
     if not text:
@@ -317,6 +347,8 @@ def render(text: str | None) -> str:
             elif tag == "table":
                 tables.append(Table())
                 canvases.append(Canvas())  # text between rows and cells is shown before them
+            elif tag in GROUPS and tables:
+                tables[-1].groups.add(len(tables[-1].rows))
             elif tag == "tr" and tables:
                 tables[-1].rows.append([])
             elif tag in CELLS and tables:
@@ -342,8 +374,10 @@ def render(text: str | None) -> str:
             lines = canvases.pop().done()
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((lines, _span(node)))
+            tables[-1].rows[-1].append((lines, _span(node), _rows(node)))
             continue
+        elif tag in GROUPS and tables:
+            tables[-1].groups.add(len(tables[-1].rows))
         elif tag == "table":
             loose = canvases.pop().done()
             canvas = canvases[-1]

@@ -46,6 +46,39 @@ CASES = {
 }
 
 
+MALFORMED = {
+    "<p title=don't>One</p><p title=can't>Two</p>": "One\n\nTwo",
+    """<a href="x"">link</a> visible <a href="y"">two</a>""": "link visible two",
+    """<a href="x"y"z>link</a> <b '>it's</b>""": "link it's",
+    "<a href = 'x>y' title=a'b\">t</a> 'u'": "t 'u'",
+    """<a href="x>never closed</a> more""": "never closed more",
+    "<p =x='>a</p>b": "a\n\nb",
+    "<a href=>x</a><i class= hidden>y</i>": "xy",
+    "<i\nclass='a'hidden>no</i><br/>yes": "yes",
+}
+
+
+@pytest.mark.parametrize("page", MALFORMED)
+def test_stray_quotes_hide_no_text(page):
+    assert render(page) == MALFORMED[page]
+
+
+SPANS = {
+    "<tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e": "a  b\n   c\nd  e",
+    "<tr><td>a<td rowspan=2>bb<td>c<tr><td>d<td>e": "a  bb  c\nd      e",
+    "<tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>x<td>y<td>z": "a     b\n      c\nx  y  z",
+    "<tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e": "a  b\n   c\nd  e",
+    "<thead><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d": "a  b\nc  d",
+    "<tr><td rowspan=3>a<td>b<tr><td><tr><td>c": "a  b\n   c",
+    "<tr><td rowspan=x>a<td>b<tr><td>c": "a  b\nc",
+}
+
+
+@pytest.mark.parametrize("rows", SPANS)
+def test_cells_over_several_rows(rows):
+    assert render(f"<table>{rows}</table>") == SPANS[rows]
+
+
 @pytest.mark.parametrize("page", CASES)
 def test_cases(page):
     assert render(page) == CASES[page]
