@@ -38,19 +38,27 @@ _PLAIN = "[!-~À-ÖØ-öø-įı-ſ]+"
 
 
 class WordIds(dict):
-    """Token ids, as little-endian 32-bit numbers, of words between white space."""
+    """Token ids, as little-endian 32-bit numbers, of words between white space.
 
-    def __init__(self, path: str) -> None:
+    Added tokens in a text are split as any other text is, unless ``added`` is set: then they
+    are their own ids, as the tokenizer has it when nothing is set.
+    """
+
+    def __init__(self, path: str, added: bool = False) -> None:
         import json
         import re
 
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
         self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+            known = json.load(f)
+        steps = known["pre_tokenizer"]["pretokenizers"]
+        # Words that may hold an added token go through the tokenizer itself.
+        marks = [re.escape(t["content"]) for t in known["added_tokens"]] if added else []
+        self.marked = re.compile("|".join(marks) or "(?!)", re.I).search
         # The file's own pattern, with its classes written out for plain characters.
         letters = "a-zß-öø-ſ"
         pattern = steps[0]["pattern"]["Regex"]
@@ -66,7 +74,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.plain(text):
+        if self.plain(text) and not self.marked(text):
             text = text.lower()
             if text.isalpha():
                 found = self.parts.get(text) or self._part(text)
@@ -142,7 +150,7 @@ def _pack_task(batches, path: str, size: int, most: int):
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
-    ids_of = WordIds(path)
+    ids_of = WordIds(path, added=True)
     windows, rows, count = Windows(most, size), [], 0
     end = END.to_bytes(4, "little")
     for batch in batches:
@@ -230,7 +238,7 @@ def pack(
     """One row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
     ``tokenizer`` is the path of a tokenizer file that executors can read. A document is the
-    ids of its text, without special tokens, and END; a null text is empty. ``start`` counts
+    ids of its text, with no special tokens added to it, and END; a null text is empty. ``start`` counts
     the document's ids before the piece, ``ids`` holds the piece's as little-endian 32-bit
     numbers, and pieces of a sequence lie one after the other from ``offset`` 0. A sequence
     holds at most ``size`` ids and is padded to that, unless its length is a power of two.

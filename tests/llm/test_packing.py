@@ -44,6 +44,26 @@ def test_ids_word_by_word(whole):
         assert ids.of(text.encode()) == struct.pack(f"<{len(want)}I", *want), text
 
 
+MARKED = [
+    "a <|endoftext|> b",
+    "a<|endoftext|>b <|startoftext|><|endoftext|>",
+    "<|ENDOFTEXT|> <|endoftext| > <|end",
+    "don't<|startoftext|>Don't é<|endoftext|>日本 \n<|endoftext|>",
+    *ODD,
+]
+
+
+def test_added_tokens_are_as_the_tokenizer_has_them(spark):
+    """Against a tokenizer as it is read from its file."""
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode(MARKED[0], add_special_tokens=False).ids == [320, 49407, 321]
+    ids = WordIds(PATH, added=True)
+    for text in MARKED:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert ids.of(text.encode()) == struct.pack(f"<{len(want)}I", *want), text
+    check(spark, plain, list(enumerate(MARKED)))
+
+
 def check(spark, whole, pairs, size=64, most=4):
     docs = cases.docs(spark, pairs).repartition(3)
     rows = pack(docs, PATH, size=size, open_windows=most).withColumn("crc", F.crc32("ids")).collect()
