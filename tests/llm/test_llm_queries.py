@@ -42,6 +42,12 @@ COLUMNS = {
     "first_doc_id bigint",
     "op9_url_rules": "page_id bigint, host string, path string, rule string, verdict string",
     "op10_mixing": "doc_id bigint, source string, slot bigint, position bigint",
+    "op11_filter_audit": "part string, filter_order string, step int, kept bigint, "
+    "removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, "
+    "toxic_lost bigint, shapley bigint",
+    "op12_merkle_log": "doc_id bigint, leaf string, subroot string, root string, "
+    "proof_sha256 string, folded_root string, verified boolean",
+    "op13_pivot_index": "query_id bigint, rank int, vec_id bigint, score bigint",
 }
 
 
@@ -52,7 +58,7 @@ def test_columns(spark, name):
     for column in COLUMNS[name].split(", "):
         column, kind = column.split()
         assert kinds[column] == kind, column
-    whole = {"op3": 50, "op4": 50, "op9": 50}.get(name.split("_")[0], 200)
+    whole = {"op3": 50, "op4": 50, "op9": 50, "op11": 12_000, "op13": 50}.get(name.split("_")[0], 200)
     if name not in ("op2_packing", "op8_gear_dedup"):
         assert df.count() == whole
 
