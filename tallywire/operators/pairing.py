@@ -195,6 +195,11 @@ def paired_rows(
     if plays is not None:
         rows = rows.filter(plays).drop(*keep)
     rows, split = skew.with_split(rows, KEYS, hot_rows=hot_rows, bits=bits)
+    return paired_turns(rows, rules, split), split
+
+
+def paired_turns(rows: DataFrame, rules: Sequence[Rule], split: bool) -> DataFrame:
+    """The same from the parts that messages play, with their split."""
     rows = _with_claims(with_open_requests(rows, split), rules)
     takes = F.lit(False)
     if any(c.single is not None for c in contests(rules)):
@@ -216,15 +221,23 @@ def paired_rows(
         "pos",
         F.when(~F.col("asks"), F.greatest(F.col("ts_ms") - ts, F.lit(0))).alias("elapsed_ms"),
     )
-    return paired.filter(F.col("request_pos").isNotNull()), split
+    return paired.filter(F.col("request_pos").isNotNull())
 
 
-def _rule_no(rules: Sequence[Rule]) -> Column:
+def rule_number(rules: Sequence[Rule]) -> Column:
     single = _by_contest(rules, lambda c: -1 if c.single is None else c.single)
     multi = _by_contest(rules, lambda c: -1 if c.multi is None else c.multi)
     return F.when(F.col("of_multi"), multi).otherwise(single)
 
 
+def with_first_replies(rows: DataFrame, split: bool) -> DataFrame:
+    """Add to the paired rows whether their request has had a reply before, as ``again``."""
+    # A single-reply request has one reply, which is its first.
+    rows = rows.withColumn("one_of_many", ~F.col("asks") & F.col("of_multi"))
+    marked = _with_earlier(rows, "one_of_many", "request_pos", "again", split)
+    return marked.drop("one_of_many")
+
+
 def pair_by_timing(
     messages: DataFrame,
     rules: Sequence[Rule] = WIRE_RULES,
@@ -240,11 +253,9 @@ def pair_by_timing(
     message, which of its parts count.
     """
     rows, split = paired_rows(messages, rules, hot_rows, bits, keep, plays)
-    # A single-reply request has one reply, which is its first.
-    rows = rows.withColumn("one_of_many", ~F.col("asks") & F.col("of_multi"))
-    marked = _with_earlier(rows, "one_of_many", "request_pos", "again", split)
+    marked = with_first_replies(rows, split)
     return marked.filter(~F.col("asks")).select(
-        _rule_no(rules).alias("rule"),
+        rule_number(rules).alias("rule"),
         "peer_id",
         (~F.col("asked_inbound")).alias("inbound"),
         "request_pos",
@@ -254,7 +265,7 @@ def pair_by_timing(
     )
 
 
-def _with_replies(rows: DataFrame, split: bool, bits: int) -> DataFrame:
+def with_replies(rows: DataFrame, split: bool, bits: int) -> DataFrame:
     """Add to the paired rows how many replies their request has.
 
     A request and its replies are in one split, or the replies are in later ones; then they
@@ -275,7 +286,7 @@ def _with_replies(rows: DataFrame, split: bool, bits: int) -> DataFrame:
     return out.join(later, request, "left").withColumn("replies", total).drop("_later")
 
 
-def _fate(rules: Sequence[Rule], end: Column) -> Column:
+def fate(rules: Sequence[Rule], end: Column) -> Column:
     """What became of a request, from a paired row that is one."""
     optional = F.element_at(F.array(*[F.lit(r.optional) for r in rules]), F.col("rule") + 1)
     window = F.element_at(F.array(*[F.lit(r.window_ms) for r in rules]), F.col("rule") + 1)
@@ -312,9 +323,9 @@ def request_fate(
     """
     rows, split = paired_rows(events, rules, hot_rows, bits)
     return (
-        _with_replies(rows, split, bits)
+        with_replies(rows, split, bits)
         .filter("asks")
-        .withColumn("rule", _rule_no(rules))
+        .withColumn("rule", rule_number(rules))
         .select(
             "rule",
             "peer_id",
@@ -322,7 +333,7 @@ def request_fate(
             "request_pos",
             F.col("request_ts").alias("ts_ms"),
             "replies",
-            _fate(rules, archive_end(events)).alias("fate"),
+            fate(rules, archive_end(events)).alias("fate"),
         )
     )
 
@@ -341,13 +352,13 @@ def exchange_report(
     ``peer_*`` times replies that came in, ``our_*`` replies this node sent.
     """
     rows, split = paired_rows(events, rules, hot_rows, bits)
-    rows = _with_replies(rows, split, bits).withColumn("rule", _rule_no(rules))
+    rows = with_replies(rows, split, bits).withColumn("rule", rule_number(rules))
     asks = F.col("asks")
     side = F.when(F.col("asked_inbound"), "our").otherwise("peer")
     # Requests are counted by fate and replies by side and bucket, in one pass.
     both = rows.groupBy(
         "rule",
-        F.when(asks, _fate(rules, archive_end(events))).alias("fate"),
+        F.when(asks, fate(rules, archive_end(events))).alias("fate"),
         F.when(~asks, side).alias("side"),
         log2_bucket(F.col("elapsed_ms")).alias("bucket"),
     ).agg(

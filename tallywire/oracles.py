@@ -251,6 +251,15 @@ fates AS (
   WHERE asks)
 """
 
+# Where a stream with an hour's patience stands: the first event of the last hour, and the time
+# that no event still to come is older than.
+EDGE = """
+edge AS (
+  SELECT edge_pos, least((SELECT max(ts_ms) FROM m) - 3600000,
+    (SELECT min(ts_ms) FROM m WHERE pos >= edge_pos)) AS edge_ts
+  FROM (SELECT min(pos) AS edge_pos FROM m WHERE ts_ms >= (SELECT max(ts_ms) FROM m) - 3600000))
+"""
+
 # view -> click (single, 12 h) against purchase -> click, view (multi, 48 h), on the same clicks.
 CONTENDED = """
 c AS (
@@ -717,13 +726,18 @@ SELECT ts_ms // 21600000 * 21600000 AS bin_start_ms, event_group, kind, count(*)
 SELECT peer_id, addr, conn_type, first_seen, last_seen, messages_in, messages_out, bytes_in, bytes_out,
        n_inbound, n_outbound, n_closed, n_inbound_evicted, n_misbehaving FROM p""")
     out["stream_pairing"] = out["exchange_pairs"]
-    # The stream has seen the time up to an hour before the last event.
-    out["stream_request_fate"] = _with(m, ACTIVITY_RULES, TIES, FATES, body="""
+    # Released is what comes before the first event of the last hour.
+    out["stream_request_fate"] = _with(m, ACTIVITY_RULES, TIES, FATES, EDGE, body="""
 SELECT CAST(f.rule AS INTEGER) AS rule, f.peer_id, f.dir AS inbound, f.pos AS request_pos, fate
-FROM fates f JOIN o ON o.asks AND o.rule = f.rule AND o.pos = f.pos
-WHERE fate = 'answered' OR nts IS NOT NULL
-  OR (SELECT max(ts_ms) FROM m) - 3600000 > o.ts_ms + window_ms""")
-    out["stream_race"] = _with(RACE, body=" SELECT * FROM race")
+FROM fates f JOIN o ON o.asks AND o.rule = f.rule AND o.pos = f.pos, edge
+WHERE o.pos < edge_pos AND ((fate = 'answered' AND EXISTS (
+        SELECT 1 FROM ties t WHERE t.request_pos = f.pos AND t.rule = f.rule AND t.reply_pos < edge_pos))
+  OR EXISTS (SELECT 1 FROM o n WHERE n.asks AND n.rule = o.rule AND n.peer_id = o.peer_id
+        AND n.dir = o.dir AND n.pos > o.pos AND n.pos < edge_pos)
+  OR edge_ts > o.ts_ms + o.window_ms)""")
+    out["stream_archive"] = out["exchange_pairs"]
+    out["stream_race"] = _with(RACE, body="""
+SELECT * FROM race WHERE ts_ms < (SELECT max(ts_ms) FROM race) - 172800000""")
     out["stream_known_items"] = "SELECT DISTINCT l_partkey AS item FROM lineitem"
     out["files_read"] = """
 SELECT count(*) AS events, CAST(0 AS BIGINT) AS decode_errors, CAST(0 AS BIGINT) AS broken_files,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def epoch_ms(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def messages_from_activity(events: DataFrame) -> DataFrame:
+def messages_from_activity(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """An activity table (users acting over time) as messages and connection events."""
     # One number in a flat object: cheaper to pick out than to parse the text.
     k = F.regexp_extract("props", r'"k"\s*:\s*(-?[0-9]+)', 1).try_cast("bigint")
@@ -62,6 +64,7 @@ def messages_from_activity(events: DataFrame) -> DataFrame:
         k.alias("k"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
         address.alias("address"),
+        *keep,
     ).withColumns(
         {
             "event_group": F.when(message, "message").otherwise("connection"),
@@ -88,6 +91,7 @@ def messages_from_activity(events: DataFrame) -> DataFrame:
         F.when(F.col("kind").isin("inbound", "outbound"), F.col("k")).alias("existing_connections"),
         F.when(~known, F.concat(F.lit("k="), F.col("k").cast("string"))).alias("misbehaviour"),
         "k",
+        *keep,
     )
 
 

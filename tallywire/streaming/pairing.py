@@ -1,138 +1,116 @@
-"""Requests and replies paired as they arrive, with timers for silence."""
+"""Requests and replies paired as they arrive, and silence once a window has passed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tallywire.operators.pairing import KEYS, conversation_rows
-from tallywire.operators.rules import WIRE_RULES, Rule, contests
-
-OUTPUT = (
-    "event string, rule int, peer_id bigint, inbound boolean, request_pos bigint, "
-    "reply_pos bigint, elapsed_ms bigint, first_reply boolean, fate string"
-)
-COLUMNS = [f.split()[0] for f in OUTPUT.split(", ")]
-# The open request of each sort: where, when, and how many replies it has had.
-STATE = (
-    "s_pos bigint, s_ts bigint, s_replies int, m_pos bigint, m_ts bigint, m_replies int"
-)
-
-
-class RequestTracker(StatefulProcessor):
-    """The open requests of one peer, contest and direction.
-
-    A timer at the end of a request's window reports it as unanswered; while the timer has
-    not fired the request is in flight and nothing is said about it.
+from pyspark.sql import functions as F
+
+from tallywire.operators import pairing
+from tallywire.operators.pairing import KEYS
+from tallywire.operators.rules import WIRE_RULES, Rule
+from tallywire.plans import skew
+from tallywire.plans.sizes import settled
+
+COLUMNS = ["peer_id", "pos", "ts_ms", "event_group", "kind", "inbound"]
+TURN = [*KEYS, "pos", "ts_ms", "asks", "of_multi", "to_single", "to_multi"]
+OUT = [
+    "event", "rule", "peer_id", "inbound", "request_pos", "reply_pos", "elapsed_ms",
+    "first_reply", "fate",
+]
+
+
+class PairingStep:
+    """Ties of released messages, and fates of requests as soon as they are certain.
+
+    What is kept are the requests still open, at most two per peer, contest and direction, as
+    rows in their old places. One that has had a reply is followed by a stand-in for it:
+    places are doubled, and the odd ones are for these. The first reply is reported as a tie
+    and as the fate of its request; a request is reported as silent when its window has
+    passed or another takes its place; until then nothing is said about it.
     """
 
-    def __init__(self, rules: Sequence[Rule]):
-        self.rules = tuple(rules)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", STATE)
-        self.contests = contests(self.rules)
-
-    def close(self) -> None:
-        pass
-
-    def _load(self) -> dict[str, tuple | None]:
-        if not self.open.exists():
-            return {"s": None, "m": None}
-        kept = self.open.get()
-        parts = {"s": tuple(kept[:3]), "m": tuple(kept[3:])}
-        return {x: None if v[0] is None else v for x, v in parts.items()}
-
-    def _save(self, requests: dict[str, tuple | None]) -> None:
-        nothing = (None, None, None)
-        if requests["s"] is None and requests["m"] is None:
-            self.open.clear()
-        else:
-            self.open.update((*(requests["s"] or nothing), *(requests["m"] or nothing)))
-
-    def _rule_no(self, contest: int, slot: str) -> int:
-        found = self.contests[contest]
-        return found.single if slot == "s" else found.multi
-
-    def _fits(self, request, n: int | None, answers: bool, ts: int) -> bool:
-        return bool(answers) and request is not None and ts - request[1] <= self.rules[n].window_ms
-
-    def _fate(self, key, slot: str, request: tuple, silent: bool):
-        n = self._rule_no(key[1], slot)
-        if not silent or self.rules[n].optional:
-            fate = "undetermined"
-        else:
-            fate = "unanswered_by_us" if key[2] else "unanswered_by_peers"
-        return ("fate", n, key[0], bool(key[2]), request[0], None, None, None, fate)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        requests = self._load()
-        out = []
-        # One key's rows of one batch; maxFilesPerTrigger sets how many that can be.
-        batch = pd.concat(list(rows)).sort_values("pos")
-        for m in batch.itertuples():
-            if m.asks:
-                slot = "m" if m.of_multi else "s"
-                old = requests[slot]
-                if old is not None and old[2] == 0:
-                    window = self.rules[self._rule_no(key[1], slot)].window_ms
-                    silent = slot == "s" or m.ts_ms - old[1] > window
-                    out.append(self._fate(key, slot, old, silent))
-                requests[slot] = (int(m.pos), int(m.ts_ms), 0)
-            else:
-                out += self._answer(key, requests, m)
-        for slot, request in requests.items():
-            if request is not None:
-                window = self.rules[self._rule_no(key[1], slot)].window_ms
-                self.handle.registerTimer(request[1] + window + 1)
-        self._save(requests)
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    def _answer(self, key, requests, m) -> list[tuple]:
-        found = self.contests[key[1]]
-        single, multi = requests["s"], requests["m"]
-        fits_s = self._fits(single, found.single, m.to_single, m.ts_ms)
-        fits_m = self._fits(multi, found.multi, m.to_multi, m.ts_ms)
-        if not (fits_s or fits_m):
-            return []
-        slot = "s" if not fits_m else "m"
-        if fits_s and fits_m and (single[1], found.single) < (multi[1], found.multi):
-            slot = "s"
-        pos, ts, replies = requests[slot]
-        n = self._rule_no(key[1], slot)
-        inbound = not key[2]
-        waited = max(int(m.ts_ms) - ts, 0)
-        out = [("tie", n, key[0], inbound, pos, int(m.pos), waited, replies == 0, None)]
-        if replies == 0:
-            out.append(("fate", n, key[0], bool(key[2]), pos, None, None, None, "answered"))
-        requests[slot] = None if slot == "s" else (pos, ts, replies + 1)
-        return out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        requests = self._load()
-        out = []
-        for slot, request in list(requests.items()):
-            if request is None:
-                continue
-            if request[1] + self.rules[self._rule_no(key[1], slot)].window_ms < now:
-                if request[2] == 0:
-                    out.append(self._fate(key, slot, request, True))
-                requests[slot] = None
-        self._save(requests)
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-
-def stream_pairing(events: DataFrame, rules: Sequence[Rule] = WIRE_RULES) -> DataFrame:
-    """Ties and fates of requests; ``events`` has an event time ``ts`` with a watermark.
-
-    State is kept per peer, contest and direction, a few numbers each.
-    """
-    turns = conversation_rows(events, rules, keep=["ts"])
-    return turns.groupBy(*KEYS).transformWithStateInPandas(
-        RequestTracker(rules), OUTPUT, "Append", "EventTime"
-    )
+    columns = COLUMNS
+
+    def __init__(
+        self,
+        rules: Sequence[Rule] = WIRE_RULES,
+        hot_rows: int = skew.HOT_ROWS,
+        bits: int = skew.SPLIT_BITS,
+    ) -> None:
+        self.rules, self.hot_rows, self.bits = tuple(rules), hot_rows, bits + 1
+
+    def run(self, ready: DataFrame, kept: DataFrame | None, now: int):
+        return self.of_turns(pairing.conversation_rows(ready, self.rules), kept, now)
+
+    def of_turns(self, turns: DataFrame, kept: DataFrame | None, now: int):
+        rows = turns.withColumn("pos", F.col("pos") * 2).select(*TURN)
+        if kept is not None:
+            rows = rows.unionByName(kept)
+        rows, split = skew.with_split(rows, KEYS, hot_rows=self.hot_rows, bits=self.bits)
+        met = pairing.paired_turns(rows, self.rules, split)
+        met = pairing.with_first_replies(met, split)
+        met = pairing.with_replies(met, split, self.bits)
+        met = met.withColumn("rule", pairing.rule_number(self.rules))
+        met = settled(met, "paired")
+        return self._results(met, now), self._open(met, now)
+
+    def _waited_out(self, now: int):
+        window = F.element_at(
+            F.array(*[F.lit(r.window_ms).cast("bigint") for r in self.rules]), F.col("rule") + 1
+        )
+        return F.lit(now) - F.col("request_ts") > window
+
+    def _results(self, met: DataFrame, now: int) -> DataFrame:
+        nothing = F.lit(None)
+        stand_in = ~F.col("asks") & (F.col("pos") % 2 == 1)
+        ties = met.filter(~F.col("asks") & ~stand_in).select(
+            F.lit("tie").alias("event"),
+            "rule",
+            "peer_id",
+            (~F.col("asked_inbound")).alias("inbound"),
+            F.expr("request_pos div 2").alias("request_pos"),
+            F.expr("pos div 2").alias("reply_pos"),
+            "elapsed_ms",
+            (~F.col("again")).alias("first_reply"),
+            nothing.cast("string").alias("fate"),
+        )
+        key = [*KEYS, "of_multi", "request_pos"]
+        said = met.filter(stand_in).select(*key)
+        certain = (F.col("replies") > 0) | F.col("next_ts").isNotNull() | self._waited_out(now)
+        fates = met.filter(F.col("asks") & certain).join(said, key, "left_anti")
+        fates = fates.select(
+            F.lit("fate").alias("event"),
+            "rule",
+            "peer_id",
+            F.col("asked_inbound").alias("inbound"),
+            F.expr("request_pos div 2").alias("request_pos"),
+            nothing.cast("bigint").alias("reply_pos"),
+            nothing.cast("bigint").alias("elapsed_ms"),
+            nothing.cast("boolean").alias("first_reply"),
+            pairing.fate(self.rules, F.lit(now)).alias("fate"),
+        )
+        return ties.union(fates).select(*OUT)
+
+    def _open(self, met: DataFrame, now: int) -> DataFrame:
+        latest = F.col("asks") & F.col("next_ts").isNull() & ~self._waited_out(now)
+        takes_more = F.col("of_multi") | (F.col("replies") == 0)
+        live = met.filter(latest & takes_more)
+        turn = [F.col(k) for k in KEYS]
+
+        def rows(of, place, asks, of_multi, to_multi):
+            return of.select(
+                *turn,
+                place.alias("pos"),
+                F.col("request_ts").alias("ts_ms"),
+                F.lit(asks).alias("asks"),
+                of_multi.alias("of_multi"),
+                F.lit(False).alias("to_single"),
+                F.lit(to_multi).alias("to_multi"),
+            )
+
+        requests = rows(live, F.col("request_pos"), True, F.col("of_multi"), False)
+        replied = live.filter("replies > 0")
+        stand_ins = rows(replied, F.col("request_pos") + 1, False, F.lit(False), True)
+        return requests.union(stand_ins).select(*TURN)

@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywire.sources import adapters as adapt
 from tallywire.streaming.aggregates import stream_peers, stream_timeline
-from tallywire.streaming.pairing import stream_pairing
-from tallywire.streaming.race import stream_known_items, stream_race
-from tallywire.streaming.run import run_appending, run_updating, stream_table, with_event_time
+from tallywire.streaming.ordered import run_ordered
+from tallywire.streaming.pairing import PairingStep
+from tallywire.streaming.race import RaceStep, stream_known_items
+from tallywire.streaming.run import (
+    run_appending,
+    run_updating,
+    stream_raw,
+    stream_table,
+    with_event_time,
+)
 
 HOUR = 3_600_000
-YEARS = 20 * 365 * 24 * HOUR
+DAY = 24 * HOUR
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,9 +36,7 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _shipments(spark: SparkSession, folder: str) -> DataFrame:
-    # Shipments are in no order of time at all, so nothing may count as late.
-    rows = adapt.race_from_shipments(_stream(spark, folder, "lineitem"))
-    return with_event_time(rows, f"{20 * 365} days")
+    return adapt.race_from_shipments(_stream(spark, folder, "lineitem"))
 
 
 def q_stream_timeline(spark, folder):
@@ -43,22 +49,49 @@ def q_stream_peers(spark, folder):
 
 
 def q_stream_pairing(spark, folder):
-    out = stream_pairing(_messages(spark, folder), adapt.ACTIVITY_RULES)
-    return run_appending(spark, out, "pairing").filter(F.col("event") == "tie").drop("event", "fate")
+    m = adapt.messages_from_activity(_stream(spark, folder, "events"))
+    run = run_ordered(m, PairingStep(adapt.ACTIVITY_RULES), "pairing", HOUR)
+    return run.drained().filter(F.col("event") == "tie").drop("event", "fate")
 
 
 def q_stream_request_fate(spark, folder):
-    out = stream_pairing(_messages(spark, folder), adapt.ACTIVITY_RULES)
-    fates = run_appending(spark, out, "fates").filter(F.col("event") == "fate")
+    """What is certain an hour before the last event."""
+    m = adapt.messages_from_activity(_stream(spark, folder, "events"))
+    run = run_ordered(m, PairingStep(adapt.ACTIVITY_RULES), "fates", HOUR)
+    fates = run.table().filter(F.col("event") == "fate")
     return fates.select("rule", "peer_id", "inbound", "request_pos", "fate")
 
 
 def q_stream_race(spark, folder):
-    return run_appending(spark, stream_race(_shipments(spark, folder), YEARS), "race")
+    """What is certain two days before the last shipment."""
+    step = RaceStep(20 * 365 * DAY, bits=adapt.SHIP_DAY_BITS)
+    return run_ordered(_shipments(spark, folder), step, "race", 2 * DAY).table()
 
 
 def q_stream_known_items(spark, folder):
-    return run_appending(spark, stream_known_items(_shipments(spark, folder)), "items")
+    # Shipments are in no order of time at all, so nothing may count as late.
+    rows = with_event_time(_shipments(spark, folder), f"{20 * 365} days")
+    return run_appending(spark, stream_known_items(rows), "items")
+
+
+RAW = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+
+def q_stream_archive(spark, folder):
+    """Pairing over raw files, whose records get their place from the ledger of files."""
+    raw = stream_raw(spark, f"{folder}/events.parquet", schema=RAW)
+    m = adapt.messages_from_activity(raw, keep=["file_path", "record_no"]).drop("pos")
+    run = run_ordered(m, PairingStep(adapt.ACTIVITY_RULES), "archive", HOUR, numbered=True)
+    return run.drained().filter(F.col("event") == "tie").drop("event", "fate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

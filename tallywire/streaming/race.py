@@ -2,68 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-OUTPUT = (
-    "item {item}, peer_id bigint, ts_ms bigint, pos bigint, item_no bigint, delivery boolean, "
-    "size bigint, first boolean, late boolean, lag_ms bigint, duplicate boolean, held_ms bigint"
-)
-
-
-class ItemRace(StatefulProcessor):
-    """What is known of one item: its first time, announcements and deliveries so far.
+from pyspark.sql import functions as F
 
-    An item is forgotten ``keep_ms`` after its last row, by event time.
-    """
-
-    def __init__(self, keep_ms: int, columns: list[str]):
-        self.keep_ms, self.columns = keep_ms, columns
+from tallywire.operators.relay import ORDER, relay_race
+from tallywire.plans import skew
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "first_ts bigint, a bigint, d bigint, last_ts bigint")
+COLUMNS = ["item", "peer_id", "ts_ms", *ORDER, "delivery", "size"]
 
-    def close(self) -> None:
-        pass
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["pos", "item_no"]).reset_index(drop=True)
-        known = self.seen.get() if self.seen.exists() else None
-        first_ts, a, d, last_ts = known or (int(batch.ts_ms[0]), 0, 0, 0)
-        delivery = batch.delivery.astype(bool)
-        announced = a + (~delivery).cumsum() - (~delivery)
-        delivered = d + delivery.cumsum() - delivery
-        since = (batch.ts_ms - first_ts).clip(lower=0).astype("Int64")
-        opens = (announced + delivered) == 0
-        batch["first"] = ~delivery & opens
-        batch["late"] = ~delivery & ~opens
-        batch["lag_ms"] = since.where(batch["late"])
-        batch["duplicate"] = delivery & (delivered > 0)
-        batch["held_ms"] = since.where(delivery & (delivered == 0) & (announced > 0))
-        last_ts = max(last_ts, int(batch.ts_ms.max()))
-        self.seen.update((first_ts, a + int((~delivery).sum()), d + int(delivery.sum()), last_ts))
-        self.handle.registerTimer(last_ts + self.keep_ms)
-        batch["size"] = batch["size"].astype("Int64")
-        yield batch[self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            if self.seen.get()[3] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
-                self.seen.clear()
-        return iter(())
+class RaceStep:
+    """The race of released rows after what earlier ones made known.
 
+    All that later rows can tell of an item's past is its first time, and whether it was
+    announced and delivered. That is kept as one row per item, and comes back as at most two
+    rows in front of the item's others. An item is forgotten ``keep_ms`` after its last row.
+    """
 
-def stream_race(rows: DataFrame, keep_ms: int) -> DataFrame:
-    """Every relay row with its outcome; ``rows`` has an event time ``ts`` with a watermark."""
-    output = OUTPUT.format(item=rows.schema["item"].dataType.simpleString())
-    columns = [f.split()[0] for f in output.split(", ")]
-    return rows.groupBy("item").transformWithStateInPandas(
-        ItemRace(keep_ms, columns), output, "Append", "EventTime"
-    )
+    columns = COLUMNS
+
+    def __init__(
+        self, keep_ms: int, hot_rows: int = skew.HOT_ROWS, bits: int = skew.SPLIT_BITS
+    ) -> None:
+        self.keep_ms, self.hot_rows, self.bits = keep_ms, hot_rows, bits
+
+    def run(self, ready: DataFrame, kept: DataFrame | None, now: int):
+        known = ready.groupBy("item").agg(
+            F.lit(1).alias("age"),
+            F.min_by("ts_ms", F.struct(*ORDER)).alias("first_ts"),
+            F.bool_or(~F.col("delivery")).alias("announced"),
+            F.bool_or("delivery").alias("delivered"),
+            F.max("ts_ms").alias("last_ts"),
+        )
+        # Places 0 and 1 are for what is known; rows come after them.
+        rows = ready.withColumn("pos", F.col("pos") + 2)
+        if kept is not None:
+            rows = rows.unionByName(self._recalled(kept, ready))
+            known = known.unionByName(kept.withColumn("age", F.lit(0)))
+        race = relay_race(rows, self.hot_rows, self.bits).filter("pos >= 2")
+        known = known.groupBy("item").agg(
+            F.min_by("first_ts", "age").alias("first_ts"),
+            F.bool_or("announced").alias("announced"),
+            F.bool_or("delivered").alias("delivered"),
+            F.max("last_ts").alias("last_ts"),
+        )
+        live = known.filter(F.col("last_ts") + self.keep_ms > now)
+        return race.withColumn("pos", F.col("pos") - 2), live
+
+    def _recalled(self, kept: DataFrame, ready: DataFrame) -> DataFrame:
+        met = kept.join(ready.select("item").distinct(), "item", "left_semi")
+        places = F.array_compact(
+            F.array(F.when(F.col("announced"), F.lit(0)), F.when(F.col("delivered"), F.lit(1)))
+        ).cast("array<bigint>")
+        met = met.select("item", "first_ts", F.explode(places).alias("pos"))
+        return met.select(
+            "item",
+            F.lit(None).cast("bigint").alias("peer_id"),
+            F.col("first_ts").alias("ts_ms"),
+            "pos",
+            F.lit(0).cast("bigint").alias("item_no"),
+            (F.col("pos") == 1).alias("delivery"),
+            F.lit(None).cast("bigint").alias("size"),
+        )
 
 
 def stream_known_items(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tallywire.functions.taxonomy import classify
 from tallywire.schema import WIRE_EVENTS
 from tallywire.session import shared_folder
+from tallywire.sources.archive import CORRUPT, file_path, parse_lines, quarantine
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -21,31 +22,54 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 BYTES_PER_TRIGGER = 1 << 30
 
 
+def _limited(reader, files_per_trigger: int | None):
+    if files_per_trigger:
+        return reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
+
+
 def stream_table(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
     """A Parquet table as a stream of its files. ``path`` may be a folder or a file."""
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    else:
-        reader = reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
+    reader = _limited(spark.readStream.schema(schema), files_per_trigger)
     # The star lets a single file stand where a folder is expected.
     return reader.parquet(path if path.endswith("/") else f"{path}*")
 
 
-def stream_events(
+def stream_raw(
     spark: SparkSession,
     path: str,
-    files_per_trigger: int | None = None,
+    fmt: str = "parquet",
     schema: T.StructType = WIRE_EVENTS,
+    files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Classified events, file by file as they arrive.
+    """The files of an archive as a stream of records, as ``read_raw`` gives them.
 
-    The files themselves must carry ``pos``: a stream does not know how many come before.
+    Every record has the path of its file and its number in it, but no place in the archive
+    yet: that takes the files before it (see ``OrderedRun``).
     """
-    with_pos = T.StructType([*schema.fields, T.StructField("pos", T.LongType())])
-    return classify(stream_table(spark, path, with_pos, files_per_trigger))
+    if fmt == "json":
+        reader = _limited(spark.readStream, files_per_trigger)
+        lines = reader.text(path).select("value", file_path()).filter(F.trim("value") != "")
+        return parse_lines(lines, schema)
+    raw = stream_table(spark, path, schema, files_per_trigger)
+    raw = raw.select("*", file_path(), F.col("_metadata.row_index").alias("_row"))
+    own = F.coalesce("record_no", "_row") if "record_no" in schema.names else F.col("_row")
+    raw = raw.withColumn("record_no", own).drop("_row")
+    return raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+
+
+def stream_events(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: T.StructType = WIRE_EVENTS,
+    files_per_trigger: int | None = None,
+) -> DataFrame:
+    """The readable events of an archive as its files arrive, classified, not yet numbered."""
+    good, _ = quarantine(stream_raw(spark, path, fmt, schema, files_per_trigger))
+    return classify(good)
 
 
 def with_event_time(df: DataFrame, delay: str) -> DataFrame:

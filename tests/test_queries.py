@@ -39,7 +39,7 @@ def test_entry(spark):
 
 
 def test_workers_need_no_installed_package(tmp_path):
-    """Python workers start in a folder from which the package cannot be imported."""
+    """Executors start in a folder from which the package cannot be imported."""
     root = os.path.dirname(os.path.abspath(entry.__file__))
     code = (
         f"import sys; sys.path.insert(0, {root!r})\n"
