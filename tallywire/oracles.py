@@ -735,6 +735,7 @@ WHERE o.pos < edge_pos AND ((fate = 'answered' AND EXISTS (
   OR EXISTS (SELECT 1 FROM o n WHERE n.asks AND n.rule = o.rule AND n.peer_id = o.peer_id
         AND n.dir = o.dir AND n.pos > o.pos AND n.pos < edge_pos)
   OR edge_ts > o.ts_ms + o.window_ms)""")
+    out["stream_keyed_pairs"] = out["keyed_pairs"]
     out["stream_archive"] = out["exchange_pairs"]
     out["stream_race"] = _with(RACE, body="""
 SELECT * FROM race WHERE ts_ms < (SELECT max(ts_ms) FROM race) - 172800000""")

@@ -372,16 +372,8 @@ def q_unanswered_meaningful(spark, folder):
 
 
 def _keyed_messages(spark, folder) -> DataFrame:
-    """Messages that name the tens of their k and, if it is odd, its ones; every third nothing."""
-    name = lambda sort, number: F.encode(
-        F.concat(F.lit(sort), F.lpad(number.cast("string"), 7, "0")), "utf-8"
-    )
-    tens, ones = name("t", F.expr("k div 10")), name("u", F.expr("k % 10"))
-    none = F.array().cast("array<binary>")
-    keys = F.when(F.expr("k % 3 = 0"), none).when(F.expr("k % 2 = 1"), F.array(tens, ones))
-    return messages(spark, folder).withColumns(
-        {"keys": keys.otherwise(F.array(tens)), "detail": F.lit(None).cast("string")}
-    )
+    named = adapt.with_keys(messages(spark, folder))
+    return named.withColumn("detail", F.lit(None).cast("string"))
 
 
 def q_keyed_pairs(spark, folder):

@@ -95,6 +95,17 @@ def messages_from_activity(events: DataFrame, keep: Sequence[str] = ()) -> DataF
     )
 
 
+def with_keys(messages: DataFrame) -> DataFrame:
+    """Let messages name the tens of their k and, if it is odd, its ones; every third nothing."""
+    name = lambda sort, number: F.encode(
+        F.concat(F.lit(sort), F.lpad(number.cast("string"), 7, "0")), "utf-8"
+    )
+    tens, ones = name("t", F.expr("k div 10")), name("u", F.expr("k % 10"))
+    none = F.array().cast("array<binary>")
+    keys = F.when(F.expr("k % 3 = 0"), none).when(F.expr("k % 2 = 1"), F.array(tens, ones))
+    return messages.withColumn("keys", keys.otherwise(F.array(tens)))
+
+
 # A shipment's position is its day above its order and line number.
 SHIP_DAY_BITS = 43
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tallywire.sources import adapters as adapt
 from tallywire.streaming.aggregates import stream_peers, stream_timeline
+from tallywire.streaming.keyed import KeyedStep
 from tallywire.streaming.ordered import run_ordered
 from tallywire.streaming.pairing import PairingStep
 from tallywire.streaming.race import RaceStep, stream_known_items
@@ -54,6 +55,11 @@ def q_stream_pairing(spark, folder):
     return run.drained().filter(F.col("event") == "tie").drop("event", "fate")
 
 
+def q_stream_keyed_pairs(spark, folder):
+    m = adapt.with_keys(adapt.messages_from_activity(_stream(spark, folder, "events")))
+    return run_ordered(m, KeyedStep(adapt.ACTIVITY_RULES), "keyed", HOUR).drained()
+
+
 def q_stream_request_fate(spark, folder):
     """What is certain an hour before the last event."""
     m = adapt.messages_from_activity(_stream(spark, folder, "events"))

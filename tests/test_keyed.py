@@ -4,8 +4,11 @@ import pytest
 
 from tallywire.operators.keyed import conversation, keyed_ties, pair_by_key
 from tallywire.operators.rules import WIRE_RULES, Rule
+from tallywire.streaming.keyed import KeyedStep
+from tallywire.streaming.ordered import run_ordered
 
 from . import brute, wire
+from .test_streaming import SHUFFLED, arriving, files_stream
 
 SHOP = (
     Rule("order", ("parcel", "refusal"), multi=True, window_ms=1000),
@@ -79,8 +82,31 @@ def test_equals_queues_gone_through_one_by_one(spark, seed, rules):
         keys = draw.sample(range(6), draw.choice([0, 1, 1, 3]))
         rows.append((draw.randrange(3), draw.choice(commands), draw.random() < 0.5, ms - draw.choice([0, 0, 20]), keys))
     want = brute.keyed([(i, t, p, c, d, set(k)) for i, (p, c, d, t, k) in enumerate(rows)], rules)
+    names = ("request_pos", "reply_pos", "rule", "elapsed_ms")
     got = keyed_ties(turns(spark, rows), rules)
-    assert wire.rows(got, "request_pos", "reply_pos", "rule", "elapsed_ms") == sorted(want, key=repr)
+    assert wire.rows(got, *names) == sorted(want, key=repr)
+    for hot_rows, bits in ((0, 2), (0, 5), (60, 4)):
+        split = keyed_ties(turns(spark, rows), rules, hot_rows, bits)
+        assert wire.rows(split, *names) == sorted(want, key=repr)
+    names = ("request_pos", "reply_pos", "rule", "by_key", "elapsed_ms")
+    whole = wire.rows(pair_by_key(turns(spark, rows), rules), *names)
+    assert wire.rows(pair_by_key(turns(spark, rows), rules, 0, 3), *names) == whole
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_one_key_in_all_messages(spark, seed):
+    """One queue holds everything; its splits begin and end inside runs, and before silences."""
+    draw = random.Random(seed)
+    rows, ms = [], 0
+    for _ in range(600):
+        ms += draw.choice([1, 5, 20, 20, 450 if draw.random() < 0.3 else 90])
+        asks = draw.random() < (0.5 if seed == 3 else 0.65)
+        rows.append((1, "question" if asks else "answer", asks, ms, [1]))
+    want = brute.keyed([(i, t, p, c, d, set(k)) for i, (p, c, d, t, k) in enumerate(rows)], SHOP)
+    names = ("request_pos", "reply_pos", "rule", "elapsed_ms")
+    for bits in (0, 1, 3, 6, 12):
+        got = keyed_ties(turns(spark, rows), SHOP, 0, bits)
+        assert wire.rows(got, *names) == sorted(want, key=repr)
 
 
 def test_conversation(spark):
@@ -106,3 +132,25 @@ def test_conversation(spark):
 
 def test_nothing(spark):
     assert ties(spark, [(1, "hello", True, 0, [1])]) == []
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_stream_of_files_out_of_order(spark, seed):
+    """The same ties as over the whole archive, with waiting requests carried over batches."""
+    draw = random.Random(seed)
+    commands = sorted({r.request for r in SHOP} | {c for r in SHOP for c in r.replies})
+    rows, ms = [], 0
+    for _ in range(500):
+        ms += draw.choice([0, 5, 40, 90, 400])
+        keys = draw.sample(range(5), draw.choice([0, 1, 1, 3]))
+        rows.append((draw.randrange(3), draw.choice(commands), draw.random() < 0.5, ms, keys))
+    df = turns(spark, rows)
+    folder = arriving(df, spark, 10, SHUFFLED)
+    step = KeyedStep(SHOP, **({"hot_rows": 10, "bits": 3} if seed == 1 else {}))
+    run = run_ordered(files_stream(spark, folder, df.schema), step, "keyed", ms // 3)
+    assert run.last_batch() == 4 and run.late().count() == 0
+    names = ("request_pos", "reply_pos", "rule", "by_key", "elapsed_ms")
+    want = wire.rows(pair_by_key(df, SHOP), *names)
+    assert wire.rows(run.drained(), *names) == want
+    early = wire.rows(run.table(), *names)
+    assert set(early) <= set(want) and len(early) > len(want) // 3
