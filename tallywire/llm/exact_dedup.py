@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywire.llm.tables import broadcast_if_small, join_groups
+from tallywire.llm.tables import broadcast_if_small, join_groups, unused
 from tallywire.plans.sizes import settled
 
 SLOTS = 4
@@ -209,13 +209,14 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.sum("n").alias("n"), F.expr("collect_list(text_sha256) FILTER (WHERE kept)").alias("shas")
     )
     kept = settled(kept.filter("size(shas) > 0"), "kept")
-    once = kept.filter("n = 1").select(F.col("doc_id").alias("_id"))
+    the_id, the_sha = unused("_id", docs), unused("_sha", docs)
+    once = kept.filter("n = 1").select(F.col("doc_id").alias(the_id))
     often = kept.filter("n > 1")
-    often = often.select(F.col("doc_id").alias("_id"), F.explode("shas").alias("_sha"))
-    same_id = docs[id_col].eqNullSafe(F.col("_id"))
+    often = often.select(F.col("doc_id").alias(the_id), F.explode("shas").alias(the_sha))
+    same_id = docs[id_col].eqNullSafe(F.col(the_id))
     single = docs.join(broadcast_if_small(once), same_id, "left_semi")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     text = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), upper, upper.lower())
-    rest = docs.join(broadcast_if_small(often), same_id).filter(F.sha2(text, 256) == F.col("_sha"))
-    rest = rest.dropDuplicates(["_id", "_sha"]).select(*[docs[c] for c in docs.columns])
+    rest = docs.join(broadcast_if_small(often), same_id).filter(F.sha2(text, 256) == F.col(the_sha))
+    rest = rest.dropDuplicates([the_id, the_sha]).select(*[docs[c] for c in docs.columns])
     return single.union(rest)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywire.llm.tables import unused
 from tallywire.plans.sizes import settled
 
 PARTS = 1000  # parts that weights are rounded to
@@ -183,8 +184,9 @@ def in_mixed_order(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat an id, and rows without id, lie where the first of them does.
     """
-    order = mix_sources(docs, **how).groupBy("doc_id").agg(F.min("position").alias("_position"))
-    order = order.withColumnRenamed("doc_id", "_doc_id")
-    rows = docs.join(order, docs["doc_id"].eqNullSafe(order["_doc_id"]))
-    rows = rows.repartitionByRange("_position").sortWithinPartitions("_position")
+    the_id, place = unused("_doc_id", docs), unused("_position", docs)
+    order = mix_sources(docs, **how).groupBy("doc_id").agg(F.min("position").alias(place))
+    order = order.withColumnRenamed("doc_id", the_id)
+    rows = docs.join(order, docs["doc_id"].eqNullSafe(order[the_id]))
+    rows = rows.repartitionByRange(place).sortWithinPartitions(place)
     return rows.select(*[docs[c] for c in docs.columns])

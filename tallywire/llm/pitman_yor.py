@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywire.llm.tables import by_value
 from tallywire.llm.words import Reader, mix, signed
 from tallywire.plans.sizes import settled
 
@@ -345,10 +346,10 @@ def _parted(kind: int, shards: int, context: np.ndarray, held: np.ndarray) -> pa
 
 def asked_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Which contexts without a number a shard meets, by parts of the contexts."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    held_vocab = by_value(docs.sparkSession, vocab)
 
     def ask(batches):
-        vocab = sent.value
+        vocab = held_vocab()
         reader, held, n = Reader(), [], 0
 
         def out():
@@ -720,12 +721,12 @@ def predictive(
 def _dealt(
     docs: DataFrame, vocab: Vocabulary, known: DataFrame | None, learn_only: bool
 ) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    held = by_value(docs.sparkSession, vocab)
 
     def read(batches):
         from pyspark import TaskContext
 
-        reader, dealer = Reader(), Dealer(held.value, with_texts=not learn_only)
+        reader, dealer = Reader(), Dealer(held(), with_texts=not learn_only)
         dealer.base = TaskContext.get().partitionId() << 33
         for batch in batches:
             learn = np.array(batch.column(1).to_pylist(), dtype=bool)
@@ -735,7 +736,7 @@ def _dealt(
                 if learn_only:
                     use = learnt[text]
                     word, before, text = word[use], before[use], text[use]
-                context = held.value.context_of(before)
+                context = held().context_of(before)
                 ids = batch.column(0).slice(run.lo, run.hi - run.lo)
                 yield from dealer.add(word, context, text, learnt[text], ids)
         yield from dealer.deal()
@@ -750,12 +751,12 @@ def _scores(docs: DataFrame, vocab: Vocabulary, known: DataFrame) -> DataFrame:
 
     A shard sends a row for each run of texts that a task dealt, with the texts' sums.
     """
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    held = by_value(docs.sparkSession, vocab)
     dealt = _dealt(docs, vocab, known, learn_only=False)
     names = ["base", "ids", "known", "texts", "counts", "sums"]
 
     def score(batches):
-        vocab = held.value
+        vocab = held()
         shards = by_shard(batches)
         for shard in sorted(shards):
             rows = []

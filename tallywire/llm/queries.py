@@ -30,7 +30,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity_model(docs, table(spark, folder, "labels"))
     return toxicity(docs, model).select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"
+        "doc_id",
+        F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
     )
 
 

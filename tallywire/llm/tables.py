@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Groups above this share of all rows are broadcast; there are fewer than this many.
@@ -21,6 +23,31 @@ def broadcast_if_small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
+def by_value(spark: SparkSession, value) -> Callable:
+    """A function that gives ``value`` in any task, also where this library is not installed.
+
+    A broadcast names classes by the module they are from, which executors may not have; so
+    the object travels as bytes that hold its classes, too.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    read: dict = {}
+
+    def get():
+        if "value" not in read:
+            read["value"] = pickle.loads(held.value)
+        return read["value"]
+
+    return get
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A name for a helper column that no column of ``tables`` has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread: str
 ) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywire.llm.tables import by_value
 from tallywire.llm.words import SIGNS, Reader, Words, mix, within
 
 U = np.uint64
@@ -412,13 +413,13 @@ def toxicity_model(
 
 def toxicity_score(model: Model, docs: DataFrame) -> Callable[[Column | str], Column]:
     """A function from a column of texts to a column of scores."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = by_value(docs.sparkSession, model)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(SIGNS)
         for texts in batches:
-            runs = [held.value.scores(run) for run in reader.runs(texts)]
+            runs = [held().scores(run) for run in reader.runs(texts)]
             yield pa.array(np.concatenate([*runs, np.empty(0)]))
 
     return score

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywire.llm.tables import by_value
 from tallywire.plans.sizes import settled, small_enough
 from tallywire.plans.skew import salted_join
 
@@ -240,11 +241,11 @@ def with_log_odds(rows: DataFrame, per_token: DataFrame, judged: dict) -> DataFr
         counts = {}
         for token, n, blocked in per_token.collect():
             counts[token, "block"], counts[token, "allow"] = blocked, n - blocked
-        model = rows.sparkSession.sparkContext.broadcast(NaiveBayes(counts, judged))
+        model = by_value(rows.sparkSession, NaiveBayes(counts, judged))
 
         @F.arrow_udf("double")
         def log_odds(batch: pa.Array) -> pa.Array:
-            return pa.array([model.value.score(t) for t in batch.to_pylist()], pa.float64())
+            return pa.array([model().score(t) for t in batch.to_pylist()], pa.float64())
 
         return rows.withColumn("log_odds", log_odds("tokens"))
     n, blocked, size = per_token.agg(F.sum("n"), F.sum("blocked"), F.count("*") + 1).first()

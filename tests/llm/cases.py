@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, id string, n long"
 
 
@@ -14,6 +16,12 @@ def docs(spark, pairs):
     return spark.createDataFrame(rows(pairs), DOCS)
 
 
+def clashing(docs):
+    """The same documents with columns called as helpers of the operators are."""
+    names = ["_id", "_ID_", "_position", "_sha", "_doc_id", "component_id", "held", "part", "tree"]
+    return docs.withColumns({name: F.lit(None).cast("bigint") for name in names})
+
+
 def empty(spark):
     return spark.createDataFrame([], DOCS)
 

@@ -1,6 +1,8 @@
 """The registered queries over whole tables, and the pipeline against its parts."""
 
 import os
+import subprocess
+import sys
 import zlib
 
 import pytest
@@ -9,6 +11,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check import connect, difference
 from tallywire.llm import queries as llm
+from tallywire.llm.exact_dedup import exact_dedup
+from tallywire.llm.signature_join import near_duplicates
 
 from . import cases
 from .test_signature_join import brute as near
@@ -87,6 +91,36 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces} == {i for i, _ in distinct}
 
 
+def test_stages_with_clashing_columns(spark):
+    """Extra columns come through the stages as they are, whatever they are called."""
+    docs = cases.clashing(cases.docs(spark, cases.AWKWARD))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, FOLDER)
+        assert found.columns == docs.columns, name
+        assert 0 < found.count() <= docs.count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() > 0
+    assert exact_dedup(docs).count() == docs.count()
+    assert near_duplicates(docs).count() == docs.count()
+
+
+def test_executors_need_no_installed_package(tmp_path):
+    """Executors start in a folder from which the package cannot be imported."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    names = [*llm.queries(), "pipeline"]
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from tallywire.session import local_session\n"
+        "s = local_session(8, 4)\n"
+        f"for n in {names!r}:\n"
+        f"    e.queries()[n](s, {FOLDER!r}).write.format('noop').mode('overwrite').save()\n"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=900
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
 
