@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywire.llm.components import components
-from tallywire.llm.tables import broadcast_if_small, groups_in_order, join_groups
+from tallywire.llm.tables import broadcast_if_small, groups_in_order, join_groups, unused
 from tallywire.llm.words import Reader, Words, mix, signed
 from tallywire.plans.sizes import settled
 
@@ -362,6 +362,18 @@ def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i, ids[union.root(k)]) for k, i in enumerate(ids) if union.root(k) != k]
 
 
+def with_sets(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Tasks (block, task, side, id, part) with the ``set`` of each id.
+
+    The tasks of an id are put together first, so a set meets one row and is copied after.
+    """
+    each = tasks.groupBy("id", "part").agg(
+        F.collect_list(F.struct("block", "task", "side")).alias("tasks")
+    )
+    met = each.join(sets, "id").select("id", "part", "set", F.explode("tasks").alias("t"))
+    return met.select("t.*", "id", "part", "set")
+
+
 def _links(rows: DataFrame, share: int) -> DataFrame:
     """Links among sets (block, task, side, id, part, set) of one (block, task) each.
 
@@ -512,15 +524,14 @@ def _chunk(parts: Column, *by: str) -> Column:
     return F.pmod(F.xxhash64(*by), F.greatest(parts, F.lit(1)).cast("bigint"))
 
 
-def _mixed_chunks(blocks: DataFrame, large: DataFrame) -> DataFrame:
+def _mixed_chunks(large: DataFrame) -> DataFrame:
     """Two blocks of each member of a large family, cut into chunks at random.
 
     Near copies share most of their keys, so they share the lowest and the highest; chunks of
     one are mixed anew in the other.
     """
-    rows = blocks.join(large.select("id"), "id")
-    ends = rows.groupBy("id").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    rows = ends.select("id", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    ends = F.array_distinct(F.array(F.array_min("blocks"), F.array_max("blocks")))
+    rows = large.select("id", F.explode(ends).alias("block"))
     sizes = rows.groupBy("block").agg(F.count("*").alias("held"))
     return rows.join(sizes.filter("held > 1"), "block").select(
         "block",
@@ -558,15 +569,19 @@ def _open(members: DataFrame) -> DataFrame:
     )
 
 
-def _rest_tasks(blocks: DataFrame, members: DataFrame) -> DataFrame:
-    """Tasks for what may still link in large families, of members (family, id, part).
+def _rest_tasks(members: DataFrame) -> DataFrame:
+    """Tasks for what may still link in large families, of members (family, id, part, blocks).
 
     A family is gone through as a whole, or block by block if that sends fewer sets.
     """
-    whole = members.withColumnRenamed("family", "grp")
+    whole = members.select(F.col("family").alias("grp"), "id", "part")
     open_families = settled(_open(whole), "open-families")
-    inside = members.join(open_families.select(F.col("grp").alias("family")), "family")
-    by_block = settled(blocks.join(inside, "id").withColumnRenamed("block", "grp"), "open-members")
+    is_open = open_families.select(F.col("grp").alias("family"), F.lit(True).alias("open"))
+    inside = settled(members.join(broadcast_if_small(is_open), "family", "left"), "told-members")
+    by_block = inside.filter("open").select(
+        "family", "id", "part", F.explode("blocks").alias("grp")
+    )
+    by_block = settled(by_block, "open-members")
     of_family = by_block.select("grp", "family").distinct()
     open_blocks = settled(_open(by_block).join(of_family, "grp"), "open-blocks")
     costs = open_blocks.groupBy("family").agg(F.sum("cost").alias("by_block"))
@@ -663,14 +678,18 @@ def near_duplicates(
     whole = _links(sets.filter("NOT large").withColumns(one), share)
     whole = whole.toDF("id", "component_id")
     if not held.isEmpty():
-        large = sized.filter("large").select(F.col("doc_id").alias("id"), "family")
         sets = sets.filter("large").select("id", "set")
-        first = settled(_links(_mixed_chunks(blocks, large).join(sets, "id"), share), "first-links")
+        # Every set with a row for all its blocks, of which it has a bounded number.
+        of_each = blocks.groupBy("id").agg(F.collect_list("block").alias("blocks"))
+        sized = sized.withColumnRenamed("doc_id", "id")
+        of_each = settled(of_each.join(sized, "id"), "blocks-of-sets")
+        large = of_each.filter("large").select("id", "family", "blocks")
+        first = settled(_links(with_sets(_mixed_chunks(large), sets), share), "first-links")
         part = settled(components(first).toDF("id", "part"), "first-components")
         members = large.join(broadcast_if_small(part), "id", "left").select(
-            "family", "id", F.coalesce("part", "id").alias("part")
+            "family", "id", F.coalesce("part", "id").alias("part"), "blocks"
         )
-        more = _links(_rest_tasks(blocks, settled(members, "members")).join(sets, "id"), share)
+        more = _links(with_sets(_rest_tasks(settled(members, "members")), sets), share)
         whole = whole.union(components(first.union(settled(more, "more-links"))))
     whole = settled(whole, "components")
     named = classes.join(whole, "id", "left").select(
@@ -692,6 +711,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Rows without doc_id stay. Rows that share a doc_id stay or go together.
     """
     found = near_duplicates(docs, **how).filter("doc_id IS NULL OR doc_id = component_id")
-    kept = settled(found.select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    the_id = unused("_id", docs)
+    kept = settled(found.select(F.col("doc_id").alias(the_id)).distinct(), "kept")
     id_col = docs[how.get("id_col", "doc_id")]
-    return docs.join(broadcast_if_small(kept), id_col.eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(broadcast_if_small(kept), id_col.eqNullSafe(F.col(the_id)), "left_semi")
