@@ -722,9 +722,7 @@ SELECT file_name, file_ts, (dense_rank() OVER (ORDER BY file_ts, file_name) - 1)
        ts_ms, event_type AS command FROM lines WHERE NOT damaged""")
     out["stream_timeline"] = _with(m, body="""
 SELECT ts_ms // 21600000 * 21600000 AS bin_start_ms, event_group, kind, count(*) AS cnt FROM m GROUP BY ALL""")
-    out["stream_peers"] = _with(m, p, body="""
-SELECT peer_id, addr, conn_type, first_seen, last_seen, messages_in, messages_out, bytes_in, bytes_out,
-       n_inbound, n_outbound, n_closed, n_inbound_evicted, n_misbehaving FROM p""")
+    out["stream_peers"] = out["peer_table"]
     out["stream_pairing"] = out["exchange_pairs"]
     # Released is what comes before the first event of the last hour.
     out["stream_request_fate"] = _with(m, ACTIVITY_RULES, TIES, FATES, EDGE, body="""

@@ -241,8 +241,13 @@ def test_json_lines_as_a_stream(spark):
 
 def test_peers_and_timeline_over_many_batches(spark):
     rows = talk(2) + [wire.opened(1_700_000_000_000 + 10**7, 1)]
+    # The last word on type, network and address comes from different events.
+    rows += [wire.opened(1_700_000_000_000 + 10**7, 2) | {"network": 2, "conn_type": "feeler"}]
+    rows += [wire.message(1_700_000_000_000 + 10**7, 2, "ping", True) | {"conn_type": None}]
+    rows += [wire.misbehaving(1_700_000_000_000 + 10**7, n, "x") for n in (2, 77)]
     whole = wire.archive(spark, rows)
     got = run_updating(spark, stream_peers(events_stream(spark, rows)), "peers", ["peer_id"])
+    assert set(got.columns) == set(peer_table(whole).columns)
     assert wire.rows(got) == wire.rows(peer_table(whole), *got.columns)
     counts = stream_timeline(events_stream(spark, rows), 60_000)
     keys = ["bin_start_ms", "event_group", "kind"]
