@@ -5,6 +5,11 @@ ignored. What a page does not show is left out. The rest is written in lines: bl
 ones, paragraphs, headings, lists and tables have an empty line around them, list items get a
 bullet or a number and are indented by depth, preformatted text stays as it is, and the cells
 of a table are padded so that its columns line up.
+
+Hidden is what ``hidden`` attributes, ``style`` attributes and the page's own ``<style>`` rules
+say with ``display`` and ``visibility``; the latter is inherited and a descendant may take it
+back. Of the selectors, those of one element are followed (tags, classes, ids); rules in at-rules
+and rules with combinators or states hide nothing.
 """
 
 from __future__ import annotations
@@ -63,7 +68,10 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(_ATTRIBUTE.format("("))
-HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARED = re.compile(r"(?:\A|[;{\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SELECTOR = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
+INSET = 96  # columns that lines are indented by at most, however deep they are nested
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -82,53 +90,76 @@ def attributes(raw: str) -> dict:
     return found
 
 
+class Open:
+    """The open elements, innermost last, and where each tag is among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags: set) -> int:
+        """The place of the innermost open element with one of the tags; 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def close(self, tags: set, upto: set) -> bool:
+        """Close all of these that no element of ``upto`` holds; say whether there was one."""
+        bound, closed = self.last(upto), False
+        while (place := self.last(tags)) > bound:
+            self.cut(place)
+            closed = True
+        return closed
+
+
 def tree(text: str) -> Node:
     """The elements of a page; children are elements and strings."""
     root = Node("#page")
-    stack = [root]
-
-    def close(tags: set, upto: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                # More of them may be open: a row and its cell.
-                return close(tags, upto)
-            if stack[i].tag in upto:
-                return None
-        return None
+    stack = Open(root)
+    last_end = text.rfind(">")
 
     at = 0
     for token in iter(lambda: TOKEN.search(text, at), None):
         if token.start() > at:
-            stack[-1].children.append(html.unescape(text[at : token.start()]))
+            stack.nodes[-1].children.append(html.unescape(text[at : token.start()]))
+        if token.start() > last_end:
+            # No tag ends any more: what is left is text, up to an open comment.
+            rest = re.split(r"<[!?]", text[token.start() :], maxsplit=1)[0]
+            stack.nodes[-1].children.append(html.unescape(rest))
+            return root
         at = token.end()
         ends, tag = token[1], token[2]
         if tag is None:
             if token[0] == "<":
-                stack[-1].children.append("<")
+                stack.nodes[-1].children.append("<")
             continue
         tag = tag.lower()
         if ends:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                stack.nodes[-1].children.append(Node("br"))
                 continue
             # A cell's end may not reach out of its table, nor another's out of its cell.
             upto = {"table"} if tag in CELLS | GROUPS | {"tr", "caption"} else SCOPE - {tag}
             upto = set() if tag in ("table", "html", "body") else upto
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in upto:
-                    break
+            place = stack.last({tag})
+            if place > stack.last(upto):
+                stack.cut(place)
+            elif tag == "p":
+                stack.nodes[-1].children.append(Node("p"))  # an empty one, as HTML has it
             continue
         if tag in CLOSED_BY_START:
-            close(*CLOSED_BY_START[tag])
+            stack.close(*CLOSED_BY_START[tag])
         if tag in ENDS_PARAGRAPH:
-            close({"p"}, SCOPE)
-        if tag in CELLS and stack[-1].tag in GROUPS | {"table"}:
-            stack.append(_child(stack[-1], Node("tr")))
-        node = _child(stack[-1], Node(tag, attributes(token[3])))
+            stack.close({"p"}, SCOPE)
+        if tag in CELLS and stack.nodes[-1].tag in GROUPS | {"table"}:
+            stack.push(_child(stack.nodes[-1], Node("tr")))
+        node = _child(stack.nodes[-1], Node(tag, attributes(token[3])))
         if tag in VOID or token[3].endswith("/") and tag not in BLOCK | CELLS | RAW:
             continue
         if tag in RAW:
@@ -137,9 +168,9 @@ def tree(text: str) -> Node:
             node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             at = end.end() if end else len(text)
             continue
-        stack.append(node)
+        stack.push(node)
     if at < len(text):
-        stack[-1].children.append(html.unescape(text[at:]))
+        stack.nodes[-1].children.append(html.unescape(text[at:]))
     return root
 
 
@@ -148,12 +179,106 @@ def _child(parent: Node, node: Node) -> Node:
     return node
 
 
-def shown(node: Node) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attrs:
-        return False
-    if node.tag == "dialog" and "open" not in node.attrs:
-        return False
-    return not HIDDEN.search(node.attrs.get("style", ""))
+def declared(text: str) -> dict:
+    """``display`` and ``visibility`` among declarations: name to (important, value)."""
+    found: dict = {}
+    for name, value, important in DECLARED.findall(COMMENT.sub(" ", text)):
+        name, said = name.lower(), (bool(important), value.lower())
+        if name not in found or said[0] >= found[name][0]:
+            found[name] = said
+    return found
+
+
+class Sheet:
+    """The rules of a page's ``<style>`` elements that bear on what is seen."""
+
+    def __init__(self) -> None:
+        self.rules: dict[str, list] = {}  # by one class, id or tag that the selector names
+        self.count = 0
+
+    def read(self, text: str) -> None:
+        depth, begin, selectors = 0, 0, ""
+        text = COMMENT.sub(" ", text)
+        for brace in re.finditer(r"[{};]", text):
+            if brace[0] == "{":
+                if not depth:
+                    selectors, begin = text[begin : brace.start()], brace.end()
+                depth += 1
+            elif brace[0] == "}" and depth:
+                depth -= 1
+                if not depth:
+                    if "@" not in selectors:
+                        self._rule(selectors, text[begin : brace.start()])
+                    begin = brace.end()
+            elif not depth:
+                begin = brace.end()  # an at-rule without a block
+
+    def _rule(self, selectors: str, body: str) -> None:
+        said = declared(body)
+        if not said:
+            return
+        for selector in selectors.split(","):
+            match = SELECTOR.match(selector.strip())
+            if not match or not match[0]:
+                continue
+            tag = (match[1] or "*").lower()
+            names = frozenset(re.findall(r"[.#][\w-]+", match[2]))
+            weight = (sum(n[0] == "#" for n in names), len(names), tag != "*")
+            self.count += 1
+            key = min(names, default=tag)
+            self.rules.setdefault(key, []).append((weight, self.count, tag, names, said))
+
+    def said_of(self, node: Node) -> dict:
+        """What rules and the element itself say: by importance, weight, then order."""
+        own = declared(node.attrs["style"]) if "style" in node.attrs else {}
+        if not self.rules:
+            return {name: value for name, (_, value) in own.items()}
+        names = {"." + c for c in node.attrs.get("class", "").split()}
+        if "id" in node.attrs:
+            names.add("#" + node.attrs["id"].strip())
+        best: dict = {}
+        for key in (node.tag, "*", *names):
+            for weight, nth, tag, needed, said in self.rules.get(key, ()):
+                if tag in ("*", node.tag) and needed <= names:
+                    for name, (important, value) in said.items():
+                        rank = (important, False, weight, nth)
+                        if name not in best or rank > best[name][0]:
+                            best[name] = rank, value
+        for name, (important, value) in own.items():
+            rank = (important, True, (), 0)
+            if name not in best or rank[:2] > best[name][0][:2]:
+                best[name] = rank, value
+        return {name: value for name, (_, value) in best.items()}
+
+
+def sheet_of(page: Node) -> Sheet:
+    sheet, todo = Sheet(), [page]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style":
+            sheet.read("".join(c for c in node.children if isinstance(c, str)))
+        elif node.tag not in RAW:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return sheet
+
+
+def seen(node: Node, sheet: Sheet, inherited: bool) -> tuple[bool, bool]:
+    """Whether an element has a place on the page, and whether its text is visible."""
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in node.attrs:
+        return False, False
+    said = sheet.said_of(node)
+    placed = said.get("display") != "none" if "display" in said else "hidden" not in node.attrs
+    visibility = said.get("visibility", "inherit")
+    if visibility in ("hidden", "collapse"):
+        return placed, False
+    return placed, inherited or visibility in ("visible", "initial")
+
+
+def unfolded(node: Node) -> list:
+    """The children that are open to view: of closed details the first summary alone."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    return node.children
 
 
 def breadth(line: str) -> int:
@@ -174,7 +299,7 @@ class Canvas:
         self.line = ""
         self.gap = 0  # empty lines due before the next text
         self.blank = False  # whether a blank is due
-        self.indent: list[str] = []
+        self.indent = [""]  # what lines begin with, by depth
         self.mark = ""  # bullet of an item that has no text yet
 
     def words(self, text: str) -> None:
@@ -196,15 +321,18 @@ class Canvas:
                 self._begin()
                 self.line += part
 
+    def deeper(self, columns: int) -> None:
+        self.indent.append((self.indent[-1] + " " * columns)[:INSET])
+
     def _begin(self) -> None:
         if self.line:
             return
         if self.lines and self.gap:
             self.lines += [""] * self.gap
         self.gap, self.blank = 0, False
-        inset = "".join(self.indent)
+        inset = self.indent[-1]
         if self.mark:
-            inset = inset[: len(inset) - len(self.mark)] + self.mark
+            inset = inset[: max(0, len(inset) - len(self.mark))] + self.mark
             self.mark = ""
         self.line = inset
 
@@ -299,13 +427,17 @@ def render(text: str | None) -> str:
     """The visible text of a page; null, empty and markup-only pages give an empty text."""
     if not text:
         return ""
-    canvases, tables, numbers = [Canvas()], [], []
+    canvases, tables, numbers = [Canvas()], [], []  # numbers: (next, step) of ordered lists
     exact = 0
-    todo: list = [(tree(text), False)]
+    page = tree(text)
+    sheet = sheet_of(page)
+    todo: list = [(page, False, True)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, visible = todo.pop()
         canvas = canvases[-1]
         if isinstance(node, str):
+            if not visible:
+                continue
             if exact:
                 canvas.exactly(node)
             elif not (tables and len(canvases) == len(tables) and not node.strip()):
@@ -313,7 +445,8 @@ def render(text: str | None) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not shown(node):
+            placed, visible = seen(node, sheet, visible)
+            if not placed:
                 continue
             if tag == "br":
                 canvas.end_line(keep=True)
@@ -325,23 +458,23 @@ def render(text: str | None) -> str:
             if tag == "select":
                 options = list(_options(node))
                 picked = [c for c in options if "selected" in c.attrs] or options[:1]
-                todo += [(c, False) for p in picked[::-1] for c in p.children[::-1]]
+                todo += [(c, False, visible) for p in picked[::-1] for c in p.children[::-1]]
                 continue
             if tag in LISTS:
                 if numbers:
                     canvas.gap = 0  # a list in a list is not set apart
-                start = node.attrs.get("start", "1")
-                begin = int(start) if start.isdecimal() and len(start) < 10 else 1
-                numbers.append(begin - 1 if tag == "ol" else None)
+                numbers.append(_numbering(node) if tag == "ol" else None)
             elif tag == "li":
                 mark = "- "
                 if numbers and numbers[-1] is not None:
-                    numbers[-1] += 1
-                    mark = f"{numbers[-1]}. "
-                canvas.mark = mark
-                canvas.indent.append(" " * len(mark))
+                    number, step = numbers[-1]
+                    number = _whole(node.attrs.get("value"), number)
+                    numbers[-1] = number + step, step
+                    mark = f"{number}. "
+                canvas.mark = mark if visible else ""
+                canvas.deeper(len(mark))
             elif tag in ("dd", "blockquote"):
-                canvas.indent.append("    " if tag == "dd" else "  ")
+                canvas.deeper(4 if tag == "dd" else 2)
             elif tag in ("pre", "xmp", "textarea"):
                 exact += 1
             elif tag == "table":
@@ -354,8 +487,8 @@ def render(text: str | None) -> str:
             elif tag in CELLS and tables:
                 canvases.append(Canvas())
                 numbers.append(None)
-            todo.append((node, True))
-            todo += [(c, False) for c in reversed(node.children)]
+            todo.append((node, True, visible))
+            todo += [(c, False, visible) for c in reversed(unfolded(node))]
             continue
         if tag in LISTS:
             numbers.pop()
@@ -389,6 +522,19 @@ def render(text: str | None) -> str:
     return "\n".join(canvases[0].done())
 
 
+def _whole(raw: str | None, otherwise: int) -> int:
+    raw = (raw or "").strip()
+    return int(raw) if re.fullmatch(r"-?[0-9]{1,9}", raw) else otherwise
+
+
+def _numbering(node: Node) -> tuple[int, int]:
+    """The number of the first item of an ordered list, and the step to the next."""
+    if "reversed" not in node.attrs:
+        return _whole(node.attrs.get("start"), 1), 1
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+    return _whole(node.attrs.get("start"), items), -1
+
+
 def _options(select: Node) -> Iterator[Node]:
     for child in select.children:
         if isinstance(child, Node):

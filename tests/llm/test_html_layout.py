@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -84,6 +85,76 @@ def test_cases(page):
     assert render(page) == CASES[page]
 
 
+VISIBILITY = {
+    "<details>no<summary>S</summary>no<p>no</details>z": "S\nz",
+    "<details open><summary>S</summary>yes</details>": "S\nyes",
+    "<details>no</details>z": "z",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>": "yes",
+    "<div style='display:none'>no<b style='display:block;visibility:visible'>no</b></div>z": "z",
+    "<style>.a{display:none}</style><p class='b a'>no</p><p class=b>yes": "yes",
+    "<style>/* p{display:none} */ #x, i.n {color:red;DISPLAY : none}</style><b id=x>no</b><i class=n>no</i><b class=n>yes": "yes",
+    "<style>@media print{p{display:none}} @import 'x'; .h{visibility:hidden}</style><p>yes<b class=h>no</b>": "yes",
+    "<style>.a .b{display:none} .b:hover{display:none}</style><p class=b>yes": "yes",
+    "<style>.a{display:none}.b{display:block}</style><p class='a b'>yes<p class=a>no": "yes",
+    "<style>p{display:none}.b{display:block}</style><p class=b>yes<p>no": "yes",
+    "<style>.a{display:none!important}</style><p class=a style='display:block'>no</p>z": "z",
+    "<style>.a{display:none}</style><p class=a style='display:block'>yes": "yes",
+    "<p style='x-display:none'>yes<p hidden style='display:block'>yes": "yes\n\nyes",
+    "<p style='display:none;display:block'>yes": "yes",
+    "<style>p{display:none": "",
+    "<ol><li>a<li value=7>b<li>c<li value=x>d</ol>": "1. a\n7. b\n8. c\n9. d",
+    "<ol reversed><li>a<li>b</ol>": "2. a\n1. b",
+    "<ol reversed start=5><li>a<li>b</ol>": "5. a\n4. b",
+    "<ol><li style='visibility:hidden'>no<li>b</ol>": "2. b",
+    "a</p>b": "a\n\nb",
+}
+
+
+@pytest.mark.parametrize("page", VISIBILITY)
+def test_what_is_hidden_and_numbered(page):
+    assert render(page) == VISIBILITY[page]
+
+
+def test_words_of_random_trees_by_plain_inheritance():
+    """Random trees with every way of hiding, against a walk that knows how each was made."""
+    rng = random.Random(2)
+    sheet = "<style>.n{display:none} .h{visibility:hidden} .v{visibility:visible}</style>"
+    # Attributes; whether the element has a place; what it makes of the visibility it inherits.
+    ways = [
+        ("", True, None), (" class=x", True, None), (" hidden", False, None),
+        (" class='x n'", False, None), (" class=h", True, False), (" class='v x'", True, True),
+        (" style='visibility : hidden'", True, False), (" style=visibility:visible", True, True),
+        (" class=h style=visibility:visible", True, True), (" class=n style=display:block", True, None),
+    ]
+    count = iter(range(10**9))
+
+    def grow(depth, placed, visible):
+        out, words = [], []
+        for _ in range(rng.randint(1, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                word = f"w{next(count)}"
+                out.append(f" {word} ")
+                words += [word] if placed and visible else []
+            else:
+                more, here, turned = rng.choice(ways)
+                inner, kept = grow(depth - 1, placed and here, visible if turned is None else turned)
+                tag = rng.choice(["div", "span", "section", "b"])
+                out.append(f"<{tag}{more}>{inner}</{tag}>")
+                words += kept
+        return "".join(out), words
+
+    for _ in range(200):
+        body, want = grow(6, True, True)
+        assert re.findall(r"w\d+", render(sheet + body)) == want
+
+
+@pytest.mark.parametrize("part", ["<div>", "<p><b>", "<li>", "<blockquote>", "</i><section>x", "<a b='c' ", "<dd>x "])
+def test_time_grows_with_the_page(part):
+    begun = time.process_time()
+    assert render(part * 100_000 + "<div>end").endswith("end")
+    assert time.process_time() - begun < 8
+
+
 def test_every_visible_word_stays():
     """Random pages: the words shown are those outside hidden parts, in order."""
     rng = random.Random(1)
