@@ -296,7 +296,7 @@ class Canvas:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []  # parts of the line being written
         self.gap = 0  # empty lines due before the next text
         self.blank = False  # whether a blank is due
         self.indent = [""]  # what lines begin with, by depth
@@ -310,7 +310,7 @@ class Canvas:
                 self.blank = bool(self.line)
             if part:
                 self._begin()
-                self.line += (" " if self.blank else "") + part
+                self.line.append(" " + part if self.blank else part)
                 self.blank = False
 
     def exactly(self, text: str) -> None:
@@ -319,7 +319,7 @@ class Canvas:
                 self.end_line(keep=True)
             if part:
                 self._begin()
-                self.line += part
+                self.line.append(part)
 
     def deeper(self, columns: int) -> None:
         self.indent.append((self.indent[-1] + " " * columns)[:INSET])
@@ -334,14 +334,16 @@ class Canvas:
         if self.mark:
             inset = inset[: max(0, len(inset) - len(self.mark))] + self.mark
             self.mark = ""
-        self.line = inset
+        if inset:
+            self.line.append(inset)
 
     def end_line(self, keep: bool = False) -> None:
-        if self.line.strip():
-            self.lines.append(self.line.rstrip())
+        line = "".join(self.line)
+        if line.strip():
+            self.lines.append(line.rstrip())
         elif keep and self.lines:
-            self.gap = min(self.gap + 1, 2) if not self.line else self.gap
-        self.line, self.blank = "", False
+            self.gap = min(self.gap + 1, 2) if not line else self.gap
+        self.line, self.blank = [], False
 
     def space(self) -> None:
         self.end_line()
@@ -352,7 +354,7 @@ class Canvas:
             self.end_line()
             if line:
                 self._begin()
-                self.line += line
+                self.line.append(line)
                 self.end_line()
             else:
                 self.gap = 1
