@@ -742,6 +742,11 @@ SELECT * FROM race WHERE ts_ms < (SELECT max(ts_ms) FROM race) - 172800000""")
 SELECT count(*) AS events, CAST(0 AS BIGINT) AS decode_errors, CAST(0 AS BIGINT) AS broken_files,
        CAST(0 AS BIGINT) AS first_pos, arg_max(epoch_us(ts) // 1000, event_id) AS last_ts_ms,
        count(*) * (count(*) - 1) // 2 AS record_sum FROM events"""
+    # Lines cut short name no number and stay with the sound files.
+    out["damaged_files"] = """
+SELECT NULL AS error, count(*) FILTER (event_id % 97 <> 0) AS events, count(*) FILTER (event_id % 97 = 0) AS decode_errors
+FROM events WHERE event_id % 97 = 0 OR event_id % 3 <> 0
+UNION ALL SELECT 'not readable to its end', 0, 0"""
     out["input_files"] = """
 SELECT 'events.parquet' AS file_name, count(*) AS rows, count(*) - 1 AS last_record FROM events"""
     return out

@@ -27,6 +27,7 @@ from tallywire.operators.distribution import (
 )
 from tallywire.operators.keyed import conversation, pair_by_key
 from tallywire.operators.rules import Rule
+from tallywire.session import shared_folder
 from tallywire.sources import adapters as adapt
 from tallywire.sources import archive as source
 from tallywire.streaming import queries as streams
@@ -647,6 +648,33 @@ def q_files_read(spark, folder):
     return totals.crossJoin(span)  # one row each
 
 
+def _renamed(spark, folder: str, ending: str) -> None:
+    """Let the data files of a folder end their names otherwise."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(here):
+        if status.getPath().getName().startswith("part-"):
+            store.rename(status.getPath(), status.getPath().suffix(ending))
+
+
+def q_damaged_files(spark, folder):
+    """The activity table as gzip files, and every third event in ones that are none."""
+    lines = _raw_lines(spark, folder).withColumn("third", F.get_json_object("value", "$.record_no") % 3 == 0)
+    home = shared_folder(spark, "damaged")
+    sound, cut = f"{home}/sound", f"{home}/cut"
+    kept = lines.filter(~F.coalesce("third", F.lit(False))).select("value")
+    kept.write.option("compression", "gzip").text(sound)
+    lines.filter("third").select("value").write.text(cut)
+    _renamed(spark, cut, ".gz")
+    good, bad = source.quarantine(source.read_raw(spark, [sound, cut], "json", LINE))
+    files = source.list_files(spark, [sound, cut])
+    damaged = source.damaged_files(spark, [sound, cut], "json", files)
+    summary = source.file_summary(good, bad, files, damaged)
+    return summary.groupBy("error").agg(
+        F.sum("events").alias("events"), F.sum("decode_errors").alias("decode_errors")
+    )
+
+
 def q_input_files(spark, folder):
     e = source.with_record_no(spark, f"{folder}/events.parquet")
     return e.groupBy("file_name").agg(

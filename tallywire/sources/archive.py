@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import bz2
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import zstandard
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +22,12 @@ from tallywire.schema import WIRE_EVENTS
 CORRUPT = "_corrupt_record"
 # Archive position = file number * 2**POSITION_BITS + record number.
 POSITION_BITS = 36
+PROBE_BYTES = 128 << 20  # files up to this size are probed whole; a task holds one or two
+PIECE = 1 << 14  # bytes decompressed at once, so that little is held however well they pack
+PROBED = r"\.(gz|bz2|zst)$"  # codecs, by the ends of names, that are gone through
+UNPROBED = r"\.(deflate|lz4|snappy)$"
+# What a failed read names when it is not the file's content that is to blame.
+NO_DAMAGE = ("FILE_NOT_EXIST", "AccessControlException", "BlockMissingException", "OutOfMemory")
 # Rotated files carry their time in the name: <base>.YYYYMMDD-HHMMSS-mmm.<ext>[.<codec>].
 # It is matched from the right because the base may hold dots.
 NAME_TIME = r"\.(\d{8}-\d{6}-\d{3})\.[^.]+(\.[^.]+)?$"
@@ -116,36 +129,106 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def damaged_files(
-    spark: SparkSession, path: str | list[str], fmt: str, files: DataFrame
+    spark: SparkSession,
+    path: str | list[str],
+    fmt: str,
+    files: DataFrame,
+    probe_bytes: int = PROBE_BYTES,
 ) -> DataFrame:
-    """The paths of the files that cannot be read to their end.
+    """The paths of the files that cannot be read to their end; empty files are sound.
 
-    All files are read once without leniency. Only if that fails, halves of the list are,
-    down to the files that fail by themselves; the driver holds the list of paths.
+    Files of at most ``probe_bytes`` are gone through where they are read, a row for each
+    damaged one. Larger files, and those of other codecs than gzip, zstd and bzip2, are read
+    without leniency: all at once, and only if that fails halves of their list. Any failure
+    but a file's own content is an error.
     """
+    if fmt not in ("json", "parquet"):
+        probed = files.limit(0)
+    elif fmt == "json":
+        probed = files.filter(~F.col("file_path").rlike(UNPROBED))
+    else:
+        probed = files
+    probed = probed.filter(F.col("size_bytes") <= probe_bytes).select("file_path")
+    content = (
+        spark.read.format("binaryFile")
+        .load(path)
+        # Without codec, lines of text have no end that could be missing.
+        .filter((F.col("length") <= probe_bytes) & (F.col("length") > 0))
+        .filter(F.col("path").rlike(PROBED) if fmt == "json" else F.lit(True))
+        .select(file_path(), "content")
+    )
+
+    def broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents = batch.columns
+            found = [
+                name.as_py()
+                for name, data in zip(paths, contents)
+                if not _sound(name.as_py(), data.as_buffer(), fmt)
+            ]
+            yield pa.record_batch([pa.array(found, pa.string())], ["file_path"])
+
+    others = files.join(probed, "file_path", "left_anti").select("file_path")
+    found = _unreadable(spark, path, fmt, [r[0] for r in others.collect()])
+    rest = spark.createDataFrame([(f,) for f in found], "file_path string")
+    if fmt not in ("json", "parquet"):
+        return rest
+    return content.mapInArrow(broken, "file_path string").unionByName(rest)
+
+
+def _sound(path: str, data: pa.Buffer, fmt: str) -> bool:
+    """Whether a file's bytes can be decoded to their end, a piece at a time."""
+    try:
+        if fmt == "parquet":
+            opened = pq.ParquetFile(pa.BufferReader(data))
+            for _ in opened.iter_batches(batch_size=4096):
+                pass
+            return True
+        start = {
+            ".gz": lambda: zlib.decompressobj(wbits=31),
+            ".bz2": bz2.BZ2Decompressor,
+            ".zst": lambda: zstandard.ZstdDecompressor().decompressobj(),
+        }[path[path.rindex(".") :]]
+        view, at, stream = memoryview(data), 0, start()
+        # A file may be several streams, one after the other.
+        while at < len(view):
+            if stream.eof:
+                stream = start()
+            piece = view[at : at + PIECE]
+            stream.decompress(bytes(piece))
+            at += len(piece) - len(stream.unused_data)
+        return stream.eof
+    except (pa.ArrowException, OSError, EOFError, ValueError, zlib.error, zstandard.ZstdError):
+        return False
+
+
+def _unreadable(spark: SparkSession, path: str | list[str], fmt: str, paths: list[str]) -> list:
+    """Those of the files that Spark itself cannot read to their end."""
     read = spark.read.option("ignoreCorruptFiles", "false")
 
-    def fails(paths: list[str] | None) -> bool:
+    def fails(some: list[str]) -> bool:
         rows = read.text(path) if fmt == "json" else read.format(fmt).load(path)
-        if paths is not None:
-            rows = rows.filter(F.col("_metadata.file_path").isin(paths))
+        rows = rows.filter(F.col("_metadata.file_path").isin(some))
         try:
             # Every value is read; nothing but one number per task comes back.
             rows.agg(F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}))")).collect()
-        except (PySparkException, Py4JJavaError):
+        except (PySparkException, Py4JJavaError) as error:
+            if not is_damage(str(error)):
+                raise
             return True
         return False
 
-    def among(paths: list[str]) -> list[str]:
-        if not paths or not fails(paths):
-            return []
-        if len(paths) == 1:
-            return paths
-        half = len(paths) // 2
-        return among(paths[:half]) + among(paths[half:])
+    if not paths or not fails(paths):
+        return []
+    if len(paths) == 1:
+        return paths
+    half = len(paths) // 2
+    return _unreadable(spark, path, fmt, paths[:half]) + _unreadable(spark, path, fmt, paths[half:])
+
 
-    found = among([r[0] for r in files.select("file_path").collect()]) if fails(None) else []
-    return spark.createDataFrame([(f,) for f in found], "file_path string")
+def is_damage(message: str) -> bool:
+    """Whether a failed read tells of a file's content, not of a store, a right or an executor."""
+    return "FAILED_READ_FILE" in message and not any(x in message for x in NO_DAMAGE)
 
 
 def number_files(files: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
+import bz2
 import gzip
 import json
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -166,6 +168,56 @@ def test_cut_parquet_and_missing_numbers(spark, tmp_path):
     assert found == {part.name: (50, None), "zcut.parquet": (0, "not readable to its end")}
 
 
+def endings(tmp_path, body: bytes):
+    """Files by name, and whether they can be read to their end."""
+    two = gzip.compress(body) + gzip.compress(body)
+    frame = zstandard.ZstdCompressor(write_checksum=True).compress(body)
+    files = {
+        "a.gz": (two, True), "b.gz": (two[:-9], False), "c.gz": (b"", True), "d.gz": (two + b"x", False),
+        "e.zst": (frame + frame, True), "f.zst": (frame[:-1], False), "g.zst": (frame[:99] + b"?" + frame[100:], False),
+        "h.bz2": (bz2.compress(body), True), "i.bz2": (bz2.compress(body)[:-4], False), "j.json": (body[:-7], True),
+    }
+    for name, (data, _) in files.items():
+        (tmp_path / name).write_bytes(data)
+    return {name for name, (_, sound) in files.items() if not sound}
+
+
+def test_each_file_is_probed_for_its_own_end(spark, tmp_path):
+    draw = random.Random(4)
+    body = "\n".join(f'{{"ts_ms":{draw.getrandbits(60)},"record_no":{i}}}' for i in range(9000)).encode()
+    want = endings(tmp_path, body)
+    files = source.list_files(spark, str(tmp_path))
+    found = source.damaged_files(spark, str(tmp_path), "json", files)
+    assert {r[0].rsplit("/", 1)[1] for r in found.collect()} == want
+    # Read by Spark alone, as files above the size are, damage in the middle is found as well.
+    by_reading = source.damaged_files(spark, str(tmp_path), "json", files, probe_bytes=0)
+    assert {r[0].rsplit("/", 1)[1] for r in by_reading.collect()} >= {"b.gz", "g.zst"}
+
+
+def test_parquet_cut_or_overwritten(spark, tmp_path):
+    spark.range(50_000).selectExpr("id", "uuid() AS u").coalesce(1).write.parquet(str(tmp_path / "one"))
+    whole = next((tmp_path / "one").glob("*.parquet")).read_bytes()
+    home = tmp_path / "all"
+    home.mkdir()
+    half = len(whole) // 2
+    for name, data in {
+        "a": whole, "b": whole[:half], "c": whole[:9] + b"\0" * 400 + whole[409:], "d": whole[:-4] + b"PARX",
+    }.items():
+        (home / f"{name}.parquet").write_bytes(data)
+    files = source.list_files(spark, str(home))
+    found = source.damaged_files(spark, str(home), "parquet", files)
+    assert {r[0].rsplit("/", 1)[1][0] for r in found.collect()} == {"b", "c", "d"}
+
+
+def test_a_lost_file_is_no_damage(spark, folder, tmp_path):
+    assert source.is_damage("[FAILED_READ_FILE.NO_HINT] Encountered error while reading file x")
+    assert not source.is_damage("[FAILED_READ_FILE.FILE_NOT_EXIST] File does not exist")
+    assert not source.is_damage("Job aborted due to stage failure: ExecutorLostFailure")
+    files = source.list_files(spark, folder)
+    with pytest.raises(Exception, match="nowhere"):
+        source.damaged_files(spark, str(tmp_path / "nowhere"), "json", files).collect()
+
+
 def test_an_event_of_an_unlisted_file_is_an_error(spark, folder):
     good, _ = source.quarantine(source.read_raw(spark, folder, "json"))
     some = source.list_files(spark, folder).limit(1)
