@@ -13,6 +13,7 @@ from tallywire.operators import networks as net
 from tallywire.operators import pairing, peers, raster, relay, search, timeline
 from tallywire.operators.keyed import conversation
 from tallywire.operators.rules import WIRE_RULES, Rule
+from tallywire.plans.sizes import settled
 from tallywire.sources import archive as source
 
 
@@ -55,6 +56,11 @@ class Archive:
     def peer_table(self) -> DataFrame:
         return peers.peer_table(self.events)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """The seek index of the events, counted and written at its first use."""
+        return settled(search.seek_index(self.events), "seek-index")
+
     @cached_property
     def agents(self) -> DataFrame:
         return peers.peer_agents(self.events, self.peer_table)
@@ -95,7 +101,10 @@ class Archive:
         return peers.peer_detail(self.events, peer_id, self.agents, card)
 
     def query(self, offset: int = 0, limit: int = 100, **conditions) -> DataFrame:
-        cut = search.page(self.search(**conditions), offset, limit)
+        if set(conditions) <= {"kinds", "groups"}:
+            cut = search.seek(self.events, self.index, offset, limit, **conditions)
+        else:
+            cut = search.page(self.search(**conditions), offset, limit)
         return search.page_rows(self.events, cut, limit)
 
     def search(self, **conditions) -> DataFrame:

@@ -11,6 +11,7 @@ from tallywire.functions.taxonomy import is_lifecycle, is_message, row_size
 from tallywire.operators.peers import last_addresses
 from tallywire.plans import skew
 from tallywire.plans.sizes import settled, small_enough
+from tallywire.sources.archive import POSITION_BITS
 
 # Rows are counted per run of 2**RUN_BITS archive positions to find a page.
 RUN_BITS = 20
@@ -75,21 +76,77 @@ def page(df: DataFrame, offset: int, limit: int, bits: int = RUN_BITS) -> DataFr
     Counting rows per run of positions tells which runs hold the page, so only those are
     sorted, however deep the page lies.
     """
-    run = F.shiftright(F.col("pos"), bits).alias("run")
-    # One row per run of the archive, so this one window sees no events.
-    ahead = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = (
-        df.groupBy(run)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-        .filter((F.col("start") < offset + limit) & (F.col("start") + F.col("n") > offset))
-        .select("run", "start")
+    counts = df.groupBy(*_run(bits)).agg(F.count(F.lit(1)).alias("n"))
+    return _cut(df, _of_page(counts, offset, limit), offset, limit, bits)
+
+
+def seek_index(df: DataFrame, bits: int = RUN_BITS) -> DataFrame:
+    """Rows of every kind per file and run of positions.
+
+    Written once, it serves every page of the archive: of all events, and of kinds and groups.
+    """
+    return df.groupBy(*_run(bits), "event_group", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def seek(
+    df: DataFrame,
+    index: DataFrame,
+    offset: int,
+    limit: int,
+    *,
+    kinds: Sequence[str] = (),
+    groups: Sequence[str] = (),
+    bits: int = RUN_BITS,
+) -> DataFrame:
+    """``page`` of the events ``df`` by their stored ``seek_index``, made with the same ``bits``.
+
+    Events are neither counted nor read but for the runs that hold the page: the bounds of
+    their positions are looked up in the index, a short job, and pushed down to the scan.
+    """
+    counts = search_events(index, kinds=kinds, groups=groups).groupBy("file_no", "run")
+    runs = _of_page(counts.agg(F.sum("n").alias("n")), offset, limit)
+    ends = runs.agg(F.min("run").alias("first"), F.max("run").alias("last")).first()
+    first, last = (0, -1) if ends.first is None else (ends.first, ends.last)
+    near = df.filter((F.col("pos") >= first << bits) & (F.col("pos") < last + 1 << bits))
+    return _cut(search_events(near, kinds=kinds, groups=groups), runs, offset, limit, bits)
+
+
+def _run(bits: int) -> list[Column]:
+    if bits > POSITION_BITS:
+        raise ValueError(f"a run lies within a file: at most {POSITION_BITS} bits")
+    run = F.shiftright(F.col("pos"), bits)
+    return [F.shiftright(F.col("pos"), POSITION_BITS).alias("file_no"), run.alias("run")]
+
+
+def _of_page(counts: DataFrame, offset: int, limit: int) -> DataFrame:
+    """(run, start) of the runs that hold a page; ``counts`` has one row per file and run.
+
+    The one window without a partition sees a row per file. Runs are summed up within theirs.
+    """
+    ahead = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.groupBy("file_no").agg(F.sum("n").alias("in_file"))
+    files = files.select(
+        "file_no", "in_file", F.coalesce(F.sum("in_file").over(ahead), F.lit(0)).alias("file_start")
+    )
+    # Files without a row of the page go before their runs are looked at.
+    files = files.filter(
+        (F.col("file_start") < offset + limit)
+        & (F.col("file_start") + F.col("in_file") > offset)
     )
+    within = Window.partitionBy("file_no").orderBy("run")
+    within = within.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("file_start") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    runs = counts.join(files, "file_no").withColumn("start", start)
+    held = (F.col("start") < offset + limit) & (F.col("start") + F.col("n") > offset)
+    return runs.filter(held).select("run", "start")
+
+
+def _cut(df: DataFrame, runs: DataFrame, offset: int, limit: int, bits: int) -> DataFrame:
     # Every run left holds a row of the page, so there are at most ``limit`` of them.
     small = F.broadcast(runs) if limit <= MAX_BROADCAST_PAGE else runs
     place = F.row_number().over(Window.partitionBy("run").orderBy("pos")) - 1
     return (
-        df.withColumn("run", run)
+        df.withColumn("run", F.shiftright(F.col("pos"), bits))
         .join(small, "run")
         .withColumn("row_index", F.col("start") + place)
         .filter((F.col("row_index") >= offset) & (F.col("row_index") < offset + limit))

@@ -510,6 +510,12 @@ SELECT m.* FROM m JOIN p USING (peer_id) WHERE contains(lower(kind), '2.0.1') OR
     out["event_page"] = _with(m, p, body=f"""
 , f AS (SELECT * EXCLUDE (addr), row_number() OVER (ORDER BY pos) - 1 AS row_index FROM m WHERE event_group = 'message')
 SELECT {rows}, row_index FROM f JOIN p USING (peer_id) WHERE row_index BETWEEN 300 AND 399""")
+    out["event_seek"] = _with(m, body="""
+, f AS (SELECT pos, kind, row_number() OVER (ORDER BY pos) - 1 AS row_index FROM m),
+c AS (SELECT pos, kind, row_number() OVER (ORDER BY pos) - 1 AS row_index FROM m WHERE event_group = 'connection')
+SELECT 0 AS page, * FROM f WHERE row_index BETWEEN 10 AND 49
+UNION ALL SELECT 1, * FROM f WHERE row_index BETWEEN 700 AND 739
+UNION ALL SELECT 2, * FROM c WHERE row_index BETWEEN 250 AND 289""")
     out["event_json"] = _with(m, body="""
 SELECT pos, '{"pos":' || pos || ',"ts_ms":' || ts_ms || ',"kind":"' || kind || '","peer_id":' || peer_id
   || CASE WHEN inbound IS NULL THEN '' ELSE ',"inbound":' || CASE WHEN inbound THEN 'true' ELSE 'false' END END

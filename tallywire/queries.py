@@ -27,6 +27,7 @@ from tallywire.operators.distribution import (
 )
 from tallywire.operators.keyed import conversation, pair_by_key
 from tallywire.operators.rules import Rule
+from tallywire.plans.sizes import settled
 from tallywire.session import shared_folder
 from tallywire.sources import adapters as adapt
 from tallywire.sources import archive as source
@@ -266,6 +267,16 @@ def q_event_page(spark, folder):
     return search.page_rows(m, search.page(found, 300, 100, bits=8), 100)
 
 
+def q_event_seek(spark, folder):
+    """Pages near both ends of the archive and of one group, by one stored index."""
+    m = messages(spark, folder)
+    index = settled(search.seek_index(m, bits=8), "seek-index")
+    cuts = [search.seek(m, index, n, 40, bits=8) for n in (10, 700)]
+    cuts.append(search.seek(m, index, 250, 40, groups=["connection"], bits=8))
+    shown = [c.select(F.lit(n).alias("page"), "row_index", "pos", "kind") for n, c in enumerate(cuts)]
+    return shown[0].unionAll(shown[1]).unionAll(shown[2])
+
+
 def q_event_json(spark, folder):
     m = messages(spark, folder).select(
         "pos", "ts_ms", "kind", "peer_id", "inbound", "size", "misbehaviour",
