@@ -84,3 +84,13 @@ def mask(digits: Column, bits: Column) -> Column:
     kept = value - F.pmod(value, unit)
     last = F.substring(F.lit(HEX), kept.cast("int") + 1, F.lit(1))
     return F.when(rest == 0, whole).otherwise(F.concat(whole, last))
+
+
+def last_address(net: Column, bits: Column, family: Column) -> Column:
+    """The last address of a network that ``mask`` gave, as ``family`` hex digits."""
+    rest = F.pmod(bits, F.lit(4))
+    whole = F.substring(net, F.lit(1), F.floor(bits / 4).cast("int"))
+    value = F.instr(F.lit(HEX), F.substring(net, F.floor(bits / 4).cast("int") + 1, F.lit(1))) - 1
+    unit = F.call_function("shiftleft", F.lit(1), F.lit(4) - rest)
+    last = F.substring(F.lit(HEX), (value + unit).cast("int"), F.lit(1))
+    return F.rpad(F.when(rest == 0, whole).otherwise(F.concat(whole, last)), family, "f")

@@ -2,76 +2,135 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywire.functions.address import ip_hex, mask, peer_ip
+from tallywire.functions.address import ip_hex, last_address, mask, peer_ip
 from tallywire.functions.labels import ratio
 from tallywire.functions.taxonomy import LIFECYCLE
 from tallywire.plans import skew
-from tallywire.plans.sizes import settled
 
 # Labels of the networks that are no autonomous system, in listing order.
 UNMAPPED, ANONYMISING, UNKNOWN = "unmapped IP", "Tor / I2P / CJDNS", "address not seen"
 RANK = {"": 0, UNMAPPED: 1, ANONYMISING: 2, UNKNOWN: 3}
 
 
+# Looking an address up looks at no more than the points of its cell, so many hex digits wide.
+CELL_V4, CELL_V6 = 4, 8
+BEGIN, ROW, END = 0, 1, 2  # what lies at an address, in the order in which it counts there
+
+
 def prefix_keys(prefixes: DataFrame) -> DataFrame:
-    """Network prefixes as (family, bits, masked address)."""
+    """Network prefixes as (family, bits, masked address, asn); what is no prefix is left out.
+
+    Of rows that repeat a prefix the largest number counts.
+    """
     digits = ip_hex(F.substring_index("prefix", "/", 1))
-    bits = F.substring_index("prefix", "/", -1).cast("int")
-    return prefixes.select(
-        F.length(digits).alias("family"), bits.alias("bits"), mask(digits, bits).alias("net"), "asn"
-    ).filter(F.col("net").isNotNull())
+    bits = F.substring_index("prefix", "/", -1).try_cast("int")
+    found = prefixes.select(digits.alias("digits"), bits.alias("bits"), "asn")
+    family = F.length("digits")
+    return (
+        found.filter(family.isNotNull() & F.col("bits").between(0, 4 * family))
+        .groupBy(family.alias("family"), "bits", mask(F.col("digits"), F.col("bits")).alias("net"))
+        .agg(F.max("asn").alias("asn"))
+    )
+
+
+def _cell(digits: Column) -> Column:
+    return F.substring(digits, F.lit(1), F.when(F.length(digits) == 8, CELL_V4).otherwise(CELL_V6))
 
 
-def longest_prefix(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(addr, asn) by the longest prefix that covers the address; only covered ones.
+def segments(nets: DataFrame, cells: DataFrame) -> DataFrame:
+    """Nested prefixes as points (cell, at, side, asn) between which one number holds.
 
-    An address is looked up once per prefix length the table has, with plain equality.
+    Prefixes are nested or apart, so what holds changes where one begins and behind the last
+    address of one, and there to the longest of those that go on. ``cells`` (cell, family) get a
+    point at their first address, so that every cell stands for itself. Points, and not
+    addresses, are looked up once per prefix length: their number follows the prefixes.
     """
-    nets = prefix_keys(prefixes)
-    lengths = (
-        nets.select("family", "bits").distinct()
-        .agg(F.collect_list(F.struct("family", "bits")).alias("all"))
-        .scalar()  # 162 lengths exist in all
+    begin = F.rpad("net", F.col("family"), "0")
+    end = last_address(F.col("net"), F.col("bits"), F.col("family"))
+    edges = nets.select(
+        "family",
+        F.explode(
+            F.array(
+                F.struct(begin.alias("at"), F.lit(BEGIN).alias("side")),
+                F.struct(end.alias("at"), F.lit(END).alias("side")),
+            )
+        ).alias("edge"),
+    ).select("family", "edge.at", "edge.side")
+    first = F.rpad("cell", F.col("family"), "0")
+    starts = cells.select("family", first.alias("at"), F.lit(BEGIN).alias("side"))
+    points = edges.unionByName(starts).distinct()
+    lengths = nets.select("family", "bits").distinct().groupBy("family").agg(
+        F.collect_list("bits").alias("lengths")  # 33 and 129 exist
     )
     tries = (
-        addresses.select("addr", peer_ip(F.col("addr")).alias("ip"))
-        .filter(F.col("ip").isNotNull())
-        .withColumn("try", F.explode(lengths))
-        .filter(F.col("try.family") == F.length("ip"))
-        .select(
-            "addr",
-            F.col("try.family").alias("family"),
-            F.col("try.bits").alias("bits"),
-            mask(F.col("ip"), F.col("try.bits")).alias("net"),
-        )
-    )
-    return (
-        tries.join(nets, ["family", "bits", "net"])
-        .groupBy("addr")
-        .agg(F.max_by("asn", "bits").alias("asn"))
+        points.join(F.broadcast(lengths), "family")  # two rows
+        .select("family", "at", "side", F.explode("lengths").alias("bits"))
+        .withColumn("net", mask(F.col("at"), F.col("bits")))
     )
+    goes_on = (F.col("side") == BEGIN) | (F.col("at") != end)
+    covering = tries.join(nets, ["family", "bits", "net"]).filter(goes_on)
+    longest = covering.groupBy("at", "side").agg(F.max_by("asn", "bits").alias("asn"))
+    known = points.join(longest, ["at", "side"], "left")
+    return known.select(_cell(F.col("at")).alias("cell"), "at", "side", "asn")
 
 
 def with_network(
-    peers: DataFrame, prefixes: DataFrame, hot_rows: int = skew.HOT_ROWS
+    peers: DataFrame,
+    prefixes: DataFrame,
+    hot_rows: int = skew.HOT_ROWS,
+    salts: int = 256,
+    id_col: str = "peer_id",
 ) -> DataFrame:
-    """Add ``asn`` and ``network_label`` (empty for an autonomous system) to a peer table."""
-    peers = settled(peers, "peers")
-    found = longest_prefix(peers.select("addr").distinct(), prefixes)
-    mapped = skew.salted_join(
-        peers, found, ["addr"], "left", "peer_id", hot_rows, at_most=peers.count()
+    """Add ``asn`` and ``network_label`` (empty for an autonomous system) to a peer table.
+
+    An interval join: peers are sorted among the points of their cell and take the number of the
+    last point before them. One row per peer is shuffled, once. Rows of a cell with more than
+    ``hot_rows`` of them are dealt over ``salts`` tasks, with its points in each.
+    """
+    rows = peers.select(F.struct("*").alias("peer"), peer_ip(F.col("addr")).alias("at"))
+    # What has no address needs no point, and lies where its id says.
+    apart = F.concat(F.lit("no "), F.xxhash64(f"peer.{id_col}").cast("string"))
+    rows = rows.withColumn("cell", F.coalesce(_cell(F.col("at")), apart))
+    counts = (
+        rows.filter("at is not null").groupBy("cell", F.length("at").alias("family")).count()
     )
-    asn = F.when(F.col("asn") != 0, F.col("asn"))
+    # At most one number for each hot_rows rows.
+    hot = counts.filter(F.col("count") > hot_rows).agg(F.collect_set("cell")).scalar()
+    is_hot = F.array_contains(hot, F.col("cell"))
+    salt = F.pmod(F.xxhash64(f"peer.{id_col}"), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    points = segments(prefix_keys(prefixes), counts.select("cell", "family")).select(
+        F.lit(None).alias("peer"),
+        "at",
+        "cell",
+        "side",
+        F.struct("asn").alias("told"),
+        F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))).alias("salt"),
+    )
+    told = rows.select(
+        "peer",
+        "at",
+        "cell",
+        F.lit(ROW).alias("side"),
+        F.lit(None).alias("told"),
+        F.when(is_hot, salt).otherwise(F.lit(0)).alias("salt"),
+    )
+    line = Window.partitionBy("cell", "salt").orderBy("at", "side")
+    line = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asn = F.last("told", ignorenulls=True).over(line)["asn"]
+    found = told.unionByName(points).withColumn("asn", F.when(asn != 0, asn))
     label = (
-        F.when(F.col("addr").isNull(), UNKNOWN)
-        .when(peer_ip(F.col("addr")).isNull(), ANONYMISING)
+        F.when(F.col("peer.addr").isNull(), UNKNOWN)
+        .when(F.col("at").isNull(), ANONYMISING)
         .when(F.col("asn").isNull(), UNMAPPED)
         .otherwise("")
     )
-    return mapped.withColumn("asn", asn).withColumn("network_label", label)
+    return found.filter(F.col("side") == ROW).select(
+        "peer.*", "asn", label.alias("network_label")
+    )
 
 
 def networks(placed: DataFrame) -> DataFrame:

@@ -717,6 +717,21 @@ SELECT {PAGE} FROM placed WHERE asn = 64511 ORDER BY events DESC, peer_id LIMIT
 SELECT asn, network_label, peers, lower(n_name) AS handle, n_name AS description, left(n_name, 2) AS country
 FROM nets LEFT JOIN nation ON n_nationkey * 11 + 64500 = asn""")
 
+    out["address_networks"] = """
+WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_custkey * 37 % 65536 AS BIGINT) AS low FROM customer)
+SELECT k AS peer_id, CASE
+    WHEN k % 4 = 0 THEN '[2001:db8:' || printf('%x', k % 7) || '::' || printf('%x', low) || ']:8333'
+    WHEN k % 4 = 1 THEN '2001:DB8:ffff::' || printf('%x', low)
+    WHEN k % 4 = 2 THEN printf('10.%d.%d.%d:8333', k % 5, k // 256 % 256, k % 256)
+    WHEN k % 8 = 3 THEN printf('name%d.onion:8333', k) END AS addr,
+  CAST(CASE
+    WHEN k % 4 = 0 THEN CASE WHEN k % 7 < 6 THEN 65000 + k % 7 ELSE 64999 END
+    WHEN k % 4 = 1 THEN CASE WHEN low < 32768 THEN 64998 ELSE 64997 END
+    WHEN k % 4 = 2 AND k % 5 < 4 THEN 65100 + k % 5 END AS BIGINT) AS asn,
+  CASE WHEN k % 8 = 7 THEN 'address not seen' WHEN k % 8 = 3 THEN 'Tor / I2P / CJDNS'
+    WHEN k % 4 = 2 AND k % 5 = 4 THEN 'unmapped IP' ELSE '' END AS network_label
+FROM c"""
+
     out["quarantine"] = _with(LINES, body=" SELECT file_name, text FROM lines WHERE damaged")
     out["file_summary"] = _with(LINES, body="""
 SELECT file_name, CAST(sum(strlen(text)) AS BIGINT) AS size_bytes, count(*) FILTER (NOT damaged) AS events,

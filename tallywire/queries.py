@@ -548,6 +548,33 @@ def q_as_names(spark, folder):
     return net.with_as_names(nets, names)
 
 
+def q_address_networks(spark, folder):
+    """Customers at IPv6, IPv4 and other addresses, and nested prefixes of nations."""
+    hexed = lambda number: F.lower(F.hex(number))
+    k = F.col("c_custkey").cast("bigint")
+    low = hexed(k * 37 % 65536)
+    addr = (
+        F.when(k % 4 == 0, F.concat(F.lit("[2001:db8:"), hexed(k % 7), F.lit("::"), low, F.lit("]:8333")))
+        .when(k % 4 == 1, F.concat(F.lit("2001:DB8:ffff::"), low))
+        .when(k % 4 == 2, F.format_string("10.%d.%d.%d:8333", k % 5, F.expr("c_custkey div 256 % 256"), k % 256))
+        .when(k % 8 == 3, F.format_string("name%d.onion:8333", k))
+    )
+    n = F.col("n_nationkey").cast("bigint")
+    v6 = F.concat(F.lit("2001:db8:"), hexed(n), F.lit("::/48"))
+    nations = table(spark, folder, "nation").select(
+        F.explode(
+            F.array(
+                F.struct(F.when(n < 6, v6).alias("prefix"), (n + 65000).alias("asn")),
+                F.struct(F.when(n < 4, F.format_string("10.%d.0.0/16", n)).alias("prefix"), (n + 65100).alias("asn")),
+            )
+        ).alias("p")
+    ).select("p.*")
+    outer = [("2001:db8::/32", 64999), ("2001:db8:ffff::/112", 64998), ("2001:db8:ffff::8000/113", 64997)]
+    prefixes = nations.unionByName(spark.createDataFrame(outer, "prefix string, asn bigint"))
+    rows = table(spark, folder, "customer").select(k.alias("peer_id"), addr.alias("addr"))
+    return net.with_network(rows, prefixes)
+
+
 def q_peer_labels(spark, folder):
     p = _peers(spark, folder)
     return p.select(

@@ -74,5 +74,48 @@ def test_longest_prefix_equals_a_full_scan(spark, hot_rows):
     rows = [(n, f"[{ip}]:1" if ip.version == 6 else f"{ip}:1") for n, ip in enumerate(ips)]
     peers = spark.createDataFrame(rows, "peer_id long, addr string")
     prefixes = spark.createDataFrame([(str(x), a) for x, a in nets.items()], "prefix string, asn long")
-    got = net.with_network(peers, prefixes, hot_rows=hot_rows)
+    got = net.with_network(peers, prefixes, hot_rows=hot_rows, salts=4)
     assert {r.peer_id: r.asn for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("hot_rows", [0, 4_000_000])
+def test_edges_of_nested_prefixes(spark, hot_rows):
+    """The first and last addresses of every prefix, and the ones beside them, of both families."""
+    nets = {
+        "10.0.0.0/8": 1, "10.64.0.0/10": 2, "10.64.0.0/16": 3, "10.64.255.0/24": 4, "10.64.255.255/32": 5,
+        "10.65.0.0/16": 6, "172.16.0.0/13": 7, "2001:db8::/29": 8, "2001:db8::/32": 9,
+        "2001:db8:0:ffff::/64": 10, "2001:db8:0:ffff:8000::/65": 11, "2001:dbf:ffff:ffff::/64": 12,
+        "10.65.1.0/24": 0,
+    }
+    parsed = {ipaddress.ip_network(n): a for n, a in nets.items()}
+    ips = set()
+    for n in parsed:
+        for value in (int(n[0]) - 1, int(n[0]), int(n[0]) + 1, int(n[-1]) - 1, int(n[-1]), int(n[-1]) + 1):
+            ips.add(type(n[0])(value))
+    ips = sorted(ips, key=str)
+    want = {}
+    for k, ip in enumerate(ips):
+        covering = [n for n in parsed if n.version == ip.version and ip in n]
+        want[k] = (parsed[max(covering, key=lambda n: n.prefixlen)] or None) if covering else None
+    rows = [(k, f"[{ip}]:8333" if ip.version == 6 else str(ip)) for k, ip in enumerate(ips)]
+    bad = [("10.0.0.0/33", 90), ("10.0.0.0/-1", 91), ("x/8", 92), (None, 93), ("10.0.0.0", 94), ("::/x", 95)]
+    prefixes = spark.createDataFrame([*nets.items(), *bad], "prefix string, asn long")
+    peers = spark.createDataFrame(rows, "peer_id long, addr string")
+    got = net.with_network(peers, prefixes, hot_rows=hot_rows, salts=3).collect()
+    assert {r.peer_id: r.asn for r in got} == want and len(got) == len(want)
+
+
+def test_one_row_per_peer_and_no_job_when_called(spark):
+    """Peers at one address, peers without one, columns named as the join's own; no prefixes."""
+    rows = [(k, "192.0.2.1:1" if k % 3 else None, k, "c", 5) for k in range(300)]
+    peers = spark.createDataFrame(rows, "peer_id long, addr string, at long, cell string, side int")
+    prefixes = spark.createDataFrame([("192.0.2.0/24", 10)], "prefix string, asn long")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = jobs()
+    got = net.with_network(peers, prefixes, hot_rows=50, salts=7)
+    assert jobs() == before
+    assert got.columns == [*peers.columns, "asn", "network_label"]
+    assert sorted(tuple(r)[:6] for r in got.collect()) == [(*r, 10 if r[1] else None) for r in rows]
+    none = net.with_network(peers, prefixes.limit(0)).collect()
+    assert {r.network_label for r in none} == {"unmapped IP", "address not seen"} and len(none) == 300
+    assert net.with_network(peers.limit(0), prefixes).count() == 0
