@@ -21,19 +21,14 @@ BEGIN, ROW, END = 0, 1, 2  # what lies at an address, in the order in which it c
 
 
 def prefix_keys(prefixes: DataFrame) -> DataFrame:
-    """Network prefixes as (family, bits, masked address, asn); what is no prefix is left out.
-
-    Of rows that repeat a prefix the largest number counts.
-    """
+    """Network prefixes as (family, bits, masked address, asn); what is no prefix is left out."""
     digits = ip_hex(F.substring_index("prefix", "/", 1))
     bits = F.substring_index("prefix", "/", -1).try_cast("int")
     found = prefixes.select(digits.alias("digits"), bits.alias("bits"), "asn")
     family = F.length("digits")
-    return (
-        found.filter(family.isNotNull() & F.col("bits").between(0, 4 * family))
-        .groupBy(family.alias("family"), "bits", mask(F.col("digits"), F.col("bits")).alias("net"))
-        .agg(F.max("asn").alias("asn"))
-    )
+    sound = found.filter(family.isNotNull() & F.col("bits").between(0, 4 * family))
+    net = mask(F.col("digits"), F.col("bits"))
+    return sound.select(family.alias("family"), "bits", net.alias("net"), "asn")
 
 
 def _cell(digits: Column) -> Column:
@@ -44,37 +39,43 @@ def segments(nets: DataFrame, cells: DataFrame) -> DataFrame:
     """Nested prefixes as points (cell, at, side, asn) between which one number holds.
 
     Prefixes are nested or apart, so what holds changes where one begins and behind the last
-    address of one, and there to the longest of those that go on. ``cells`` (cell, family) get a
-    point at their first address, so that every cell stands for itself. Points, and not
-    addresses, are looked up once per prefix length: their number follows the prefixes.
+    address of one, and there to the longest of those that go on; of rows that repeat a prefix
+    the largest number counts. ``cells`` get a point at their first address, so that every cell
+    stands for itself. Points, and not addresses, are looked up once per prefix length: their
+    number follows the prefixes.
     """
-    begin = F.rpad("net", F.col("family"), "0")
-    end = last_address(F.col("net"), F.col("bits"), F.col("family"))
+    family = F.col("family")
+    end = last_address(F.col("net"), F.col("bits"), family)
     edges = nets.select(
         "family",
         F.explode(
             F.array(
-                F.struct(begin.alias("at"), F.lit(BEGIN).alias("side")),
+                F.struct(F.rpad("net", family, "0").alias("at"), F.lit(BEGIN).alias("side")),
                 F.struct(end.alias("at"), F.lit(END).alias("side")),
             )
         ).alias("edge"),
     ).select("family", "edge.at", "edge.side")
-    first = F.rpad("cell", F.col("family"), "0")
-    starts = cells.select("family", first.alias("at"), F.lit(BEGIN).alias("side"))
-    points = edges.unionByName(starts).distinct()
-    lengths = nets.select("family", "bits").distinct().groupBy("family").agg(
-        F.collect_list("bits").alias("lengths")  # 33 and 129 exist
-    )
+    wide = F.when(F.length("cell") == CELL_V4, 8).otherwise(32)
+    starts = cells.select(wide.alias("family"), F.rpad("cell", wide, "0").alias("at"), F.lit(BEGIN).alias("side"))
+    lengths = nets.agg(F.collect_set(F.struct("family", "bits"))).scalar()  # 162 exist
+    # The whole address is tried, too, so that a point that nothing covers stays.
+    whole = F.array(F.struct(family, (family * 4).alias("bits")))
     tries = (
-        points.join(F.broadcast(lengths), "family")  # two rows
-        .select("family", "at", "side", F.explode("lengths").alias("bits"))
+        edges.unionByName(starts)
+        .withColumn("lengths", F.coalesce(lengths, F.array().cast("array<struct<family:int,bits:int>>")))
+        .select("family", "at", "side", F.explode(F.array_union("lengths", whole)).alias("try"))
+        .filter(family == F.col("try.family"))
+        .select("family", "at", "side", "try.bits")
         .withColumn("net", mask(F.col("at"), F.col("bits")))
     )
-    goes_on = (F.col("side") == BEGIN) | (F.col("at") != end)
-    covering = tries.join(nets, ["family", "bits", "net"]).filter(goes_on)
-    longest = covering.groupBy("at", "side").agg(F.max_by("asn", "bits").alias("asn"))
-    known = points.join(longest, ["at", "side"], "left")
-    return known.select(_cell(F.col("at")).alias("cell"), "at", "side", "asn")
+    goes_on = F.col("found") & ((F.col("side") == BEGIN) | (F.col("at") != end))
+    longest = F.max(F.when(goes_on, F.struct("bits", "asn")))
+    return (
+        tries.join(nets.withColumn("found", F.lit(True)), ["family", "bits", "net"], "left")
+        .groupBy("at", "side")
+        .agg(longest["asn"].alias("asn"))
+        .select(_cell(F.col("at")).alias("cell"), "at", "side", "asn")
+    )
 
 
 def with_network(
@@ -94,15 +95,13 @@ def with_network(
     # What has no address needs no point, and lies where its id says.
     apart = F.concat(F.lit("no "), F.xxhash64(f"peer.{id_col}").cast("string"))
     rows = rows.withColumn("cell", F.coalesce(_cell(F.col("at")), apart))
-    counts = (
-        rows.filter("at is not null").groupBy("cell", F.length("at").alias("family")).count()
-    )
+    counts = rows.filter("at is not null").groupBy("cell").count()
     # At most one number for each hot_rows rows.
     hot = counts.filter(F.col("count") > hot_rows).agg(F.collect_set("cell")).scalar()
     is_hot = F.array_contains(hot, F.col("cell"))
     salt = F.pmod(F.xxhash64(f"peer.{id_col}"), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    points = segments(prefix_keys(prefixes), counts.select("cell", "family")).select(
+    points = segments(prefix_keys(prefixes), counts).select(
         F.lit(None).alias("peer"),
         "at",
         "cell",
