@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,12 @@ def last_addresses(df: DataFrame) -> DataFrame:
 
 
 def peer_table(df: DataFrame) -> DataFrame:
-    """One row per peer.
+    """One row per peer."""
+    return merged_peers(peer_parts(df))
+
+
+def peer_parts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What a peer table needs of events, per (peer, address) and ``by``.
 
     A peer is seen with few addresses, so events are reduced per (peer, address) first. That
     pass keeps fixed-width numbers only, which lets it aggregate in place, without sorting,
@@ -72,9 +79,9 @@ def peer_table(df: DataFrame) -> DataFrame:
     }
     for kind in LIFECYCLE:
         counters[f"n_{kind}"] = F.count_if(is_lifecycle() & (F.col("kind") == kind))
-    seen = (
+    return (
         of_peers(df)
-        .groupBy("peer_id", F.when(_identity(), F.col("addr")).alias("addr"))
+        .groupBy(*by, "peer_id", F.when(_identity(), F.col("addr")).alias("addr"))
         .agg(
             F.min("ts_ms").alias("first_seen"),
             F.max("ts_ms").alias("last_seen"),
@@ -87,10 +94,18 @@ def peer_table(df: DataFrame) -> DataFrame:
             *[c.alias(n) for n, c in counters.items()],
         )
     )
+
+
+COUNTERS = ("messages_in", "messages_out", "bytes_in", "bytes_out", *[f"n_{k}" for k in LIFECYCLE])
+POSITIONS = ("first_pos", "last_pos", "conn_pos", "network_pos")
+
+
+def merged_peers(parts: DataFrame) -> DataFrame:
+    """The peer table from parts of any stretches of the archive, each event in one of them."""
     labels = F.array(*[F.lit(c) for c in CONN_TYPES])
     lifecycle = sum((F.col(f"n_{k}") for k in LIFECYCLE[1:]), F.col(f"n_{LIFECYCLE[0]}"))
     return (
-        seen.groupBy("peer_id")
+        parts.groupBy("peer_id")
         .agg(
             F.max_by("addr", F.when(F.col("addr").isNotNull(), F.col("last_pos"))).alias("addr"),
             F.max_by("conn_code", "conn_pos").alias("conn_code"),
@@ -98,7 +113,7 @@ def peer_table(df: DataFrame) -> DataFrame:
             F.min("first_seen").alias("first_seen"),
             F.max("last_seen").alias("last_seen"),
             F.min("first_pos").alias("first_pos"),
-            *[F.sum(n).alias(n) for n in counters],
+            *[F.sum(n).alias(n) for n in COUNTERS],
         )
         .withColumns(
             {
@@ -255,10 +270,25 @@ def agent_totals(peers: DataFrame) -> DataFrame:
 
 def connection_durations(df: DataFrame, ending: str = "all") -> DataFrame:
     """How long connections lasted, per connection type and for one way of ending or both."""
-    ended = (
+    per_bucket = (
+        _ended(df)
+        .withColumn("ms", F.when(_chosen(ending), F.col("lifetime_ms")))
+        .groupBy("conn_type", log2_bucket(F.col("lifetime_ms")).alias("bucket"))
+        .agg(
+            *[c.alias(n) for n, c in tally("ms").items()],
+            F.count_if(~F.col("was_evicted")).alias("closed"),
+            F.count_if("was_evicted").alias("evicted"),
+        )
+    )
+    return _durations(per_bucket)
+
+
+def _ended(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return (
         with_lifetime(df)
         .filter(F.col("lifetime_ms").isNotNull())
         .select(
+            *keep,
             F.when(F.col("conn_type").isin(*CONN_TYPES), F.col("conn_type"))
             .otherwise("unknown")
             .alias("conn_type"),
@@ -266,18 +296,38 @@ def connection_durations(df: DataFrame, ending: str = "all") -> DataFrame:
             "lifetime_ms",
         )
     )
-    chosen = {"closed": ~F.col("was_evicted"), "evicted": F.col("was_evicted")}.get(
-        ending, F.lit(True)
+
+
+def _chosen(ending: str) -> Column:
+    ways = {"closed": ~F.col("was_evicted"), "evicted": F.col("was_evicted")}
+    return ways.get(ending, F.lit(True))
+
+
+def duration_tallies(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bucket tallies of ended connections, per type, way of ending and ``by``."""
+    bucket = log2_bucket(F.col("lifetime_ms")).alias("bucket")
+    return (
+        _ended(df, by)
+        .groupBy(*by, "conn_type", "was_evicted", bucket)
+        .agg(*[c.alias(n) for n, c in tally("lifetime_ms").items()])
     )
-    per_bucket = (
-        ended.withColumn("ms", F.when(chosen, F.col("lifetime_ms")))
-        .groupBy("conn_type", log2_bucket(F.col("lifetime_ms")).alias("bucket"))
-        .agg(
-            *[c.alias(n) for n, c in tally("ms").items()],
-            F.count_if(~F.col("was_evicted")).alias("closed"),
-            F.count_if("was_evicted").alias("evicted"),
-        )
+
+
+def merged_durations(tallies: DataFrame, ending: str = "all") -> DataFrame:
+    """``connection_durations`` from tallies, of which a bucket may have several."""
+    mine, gone = _chosen(ending), F.col("was_evicted")
+    per_bucket = tallies.groupBy("conn_type", "bucket").agg(
+        F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias("n"),
+        F.sum(F.when(mine, F.col("total"))).alias("total"),
+        F.min(F.when(mine, F.col("low"))).alias("low"),
+        F.max(F.when(mine, F.col("high"))).alias("high"),
+        F.coalesce(F.sum(F.when(~gone, F.col("n"))), F.lit(0)).alias("closed"),
+        F.coalesce(F.sum(F.when(gone, F.col("n"))), F.lit(0)).alias("evicted"),
     )
+    return _durations(per_bucket)
+
+
+def _durations(per_bucket: DataFrame) -> DataFrame:
     folds = per_bucket.groupBy("conn_type").agg(
         *folded(), F.sum("closed").alias("closed"), F.sum("evicted").alias("evicted")
     )

@@ -176,3 +176,22 @@ def timeline_group(df: DataFrame, group: str, max_bins: int) -> DataFrame:
         .groupBy("bin_start_ms", series.alias("series"))
         .agg(F.sum("cnt").alias("cnt"))
     )
+
+
+def ticks(df: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of kinds per tick of MIN_BIN_MS and ``by``, with the first and last time in it.
+
+    Every grid starts at a tick and has bins of whole ticks, so any timeline can be made of them.
+    """
+    tick = F.col("ts_ms") - F.pmod("ts_ms", F.lit(MIN_BIN_MS))
+    return df.groupBy(*by, tick.alias("bin_start_ms"), "category", "event_group", "kind", "label").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("ts_ms").alias("low"), F.max("ts_ms").alias("high")
+    )
+
+
+def timeline_of_ticks(tl: DataFrame, by: str = "kind", max_bins: int | None = None) -> DataFrame:
+    """``timeline`` from ticks, of which a kind may have several at one time."""
+    keys = ["event_group", "kind"] if by == "kind" else [by]
+    found = grid(tl.select(F.explode(F.array("low", "high")).alias("ts_ms")))
+    # A grid has MAX_BINS bins at most: with as many allowed none are merged.
+    return downsample(tl, found, MAX_BINS + 1 if max_bins is None else max_bins, keys)

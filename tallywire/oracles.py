@@ -743,6 +743,9 @@ SELECT file_name, file_ts, (dense_rank() OVER (ORDER BY file_ts, file_name) - 1)
        ts_ms, event_type AS command FROM lines WHERE NOT damaged""")
     out["stream_timeline"] = _with(m, body="""
 SELECT ts_ms // 21600000 * 21600000 AS bin_start_ms, event_group, kind, count(*) AS cnt FROM m GROUP BY ALL""")
+    out["stored_totals"], out["stored_breakdown"] = out["totals"], out["breakdown"]
+    out["stored_timeline"], out["stored_peers"] = out["timeline_kind"], out["peer_table"]
+    out["stored_durations"] = out["connection_durations_evicted"]
     out["stream_peers"] = out["peer_table"]
     out["stream_pairing"] = out["exchange_pairs"]
     # Released is what comes before the first event of the last hour.

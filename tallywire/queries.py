@@ -31,6 +31,7 @@ from tallywire.plans.sizes import settled
 from tallywire.session import shared_folder
 from tallywire.sources import adapters as adapt
 from tallywire.sources import archive as source
+from tallywire.sources.tallies import TallyStore
 from tallywire.streaming import queries as streams
 
 DAY = 86_400_000
@@ -720,6 +721,47 @@ def q_input_files(spark, folder):
     )
 
 
+# --- stored tallies ---
+
+
+def _stored(spark, folder) -> TallyStore:
+    """The activity table as files of 2,000 events, added out of order and some of them twice."""
+    m = messages(spark, folder)
+    file_no = F.expr("pos div 2000")
+    path = F.concat(F.lit("file:/archive/node."), F.lpad(file_no.cast("string"), 12, "0"))
+    rows = m.withColumns({"file_path": path, "record_no": F.col("pos"), "of_file": file_no})
+    sizes = rows.groupBy("file_path", "of_file").agg(F.count(F.lit(1)).alias("size_bytes"))
+    store = TallyStore(spark, shared_folder(spark, "tallies"))
+    # Files 1, 4, ... are added without their last events first, as if they had grown since.
+    early = F.expr("of_file % 3 = 1")
+    store.add(rows.filter(early & F.expr("pos % 2000 < 900")), sizes.filter(early).withColumn("size_bytes", F.lit(0).cast("bigint")))
+    store.add(rows.filter("of_file % 2 = 1"), sizes.filter("of_file % 2 = 1"))
+    rest = store.pending(sizes)
+    store.add(rows.join(rest.select("file_path"), "file_path", "left_semi"), rest)
+    return store
+
+
+def q_stored_totals(spark, folder):
+    return _stored(spark, folder).totals()
+
+
+def q_stored_breakdown(spark, folder):
+    return _stored(spark, folder).breakdown()
+
+
+def q_stored_timeline(spark, folder):
+    return _stored(spark, folder).timeline()
+
+
+def q_stored_peers(spark, folder):
+    own = F.col("first_pos").bitwiseAND(F.lit((1 << source.POSITION_BITS) - 1))
+    return _stored(spark, folder).peer_table().withColumn("first_pos", own)
+
+
+def q_stored_durations(spark, folder):
+    return _with_text(_stored(spark, folder).connection_durations("evicted"), "buckets")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
     return found | streams.queries()
