@@ -610,6 +610,22 @@ SELECT pos, CASE WHEN event_group IN ('rpc', 'p2p', 'log', 'ipc') THEN event_gro
 
     out["relay_race"] = _with(RACE, body="""
 SELECT item, peer_id, ts_ms, pos, item_no, first, late, lag_ms FROM race WHERE NOT delivery""")
+    wire = """
+w AS (
+  SELECT l_partkey, l_suppkey AS peer_id, epoch_us(l_shipdate) // 1000 AS ts_ms, l_returnflag = 'R' AS delivery,
+         (epoch_us(l_shipdate) // 86400000000) * 8796093022208 + l_orderkey * 8 + l_linenumber AS pos
+  FROM lineitem),
+opened AS (
+  SELECT l_partkey, min(pos) FILTER (NOT delivery) AS announced, min(pos) FILTER (delivery) AS delivered
+  FROM w GROUP BY 1),
+r AS (
+  SELECT CASE WHEN l_partkey % 3 = 0 AND (NOT delivery OR coalesce(announced < delivered, false)) THEN 'w' ELSE 't' END
+           || lpad(CAST(l_partkey AS VARCHAR), 40, '0') AS item,
+         peer_id, ts_ms, pos, 0 AS item_no, delivery, NULL AS size
+  FROM w JOIN opened USING (l_partkey)),
+q AS""" + RACE.split("\nq AS")[1]
+    out["wire_race"] = _with(wire, body="""
+SELECT item, peer_id, ts_ms, pos, delivery, first, late, lag_ms, duplicate, held_ms FROM race""")
     out["relay_waste"] = _with(RACE, body="""
 SELECT item, peer_id, ts_ms, pos, item_no, size, duplicate, CASE WHEN duplicate THEN size ELSE 0 END AS wasted, held_ms
 FROM race WHERE delivery""")

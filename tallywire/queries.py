@@ -415,6 +415,13 @@ def q_relay_race(spark, folder):
     return relay.announcement_race(_race(spark, folder))
 
 
+def q_wire_race(spark, folder):
+    """The race of shipments as wire messages, whose items go by two hashes."""
+    race = relay.race_of_events(adapt.wire_from_shipments(table(spark, folder, "lineitem")))
+    outcome = ["first", "late", "lag_ms", "duplicate", "held_ms"]
+    return race.select(F.decode("item", "utf-8").alias("item"), "peer_id", "ts_ms", "pos", "delivery", *outcome)
+
+
 def q_relay_waste(spark, folder):
     return relay.delivery_waste(_race(spark, folder))
 

@@ -129,6 +129,34 @@ def race_from_shipments(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def wire_from_shipments(lineitem: DataFrame) -> DataFrame:
+    """Shipments as wire messages: an inventory of one item, or for returns the transaction.
+
+    A part is known by two hashes, and every third part is announced by its second one.
+    """
+    race = race_from_shipments(lineitem)
+    number = F.lpad(F.col("item").cast("string"), 40, "0")
+    first, second = (F.encode(F.concat(F.lit(x), number), "utf-8") for x in "tw")
+    by_second = F.col("item") % 3 == 0
+    entry = F.struct(
+        F.when(by_second, "wtx").otherwise("tx").alias("type"),
+        F.when(by_second, second).otherwise(first).alias("hash"),
+    )
+    delivery = F.col("delivery")
+    return race.select(
+        "pos",
+        "ts_ms",
+        "peer_id",
+        F.lit("message").alias("event_group"),
+        F.when(delivery, "tx").otherwise("inv").alias("kind"),
+        F.lit(True).alias("inbound"),
+        F.when(~delivery, F.array(entry)).alias("items"),
+        F.when(delivery, first).alias("txid"),
+        F.when(delivery, second).alias("wtxid"),
+        "size",
+    )
+
+
 def agents_from_customers(messages: DataFrame, customer: DataFrame) -> DataFrame:
     """Client names per peer, in the form ``peer_agents`` gives: the customer's segment."""
     named = customer.select(
