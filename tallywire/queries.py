@@ -703,14 +703,20 @@ def _renamed(spark, folder: str, ending: str) -> None:
             store.rename(status.getPath(), status.getPath().suffix(ending))
 
 
+EVENTS_A_FILE = 50_000  # each of the written files has readable events
+
+
 def q_damaged_files(spark, folder):
     """The activity table as gzip files, and every third event in ones that are none."""
     lines = _raw_lines(spark, folder).withColumn("third", F.get_json_object("value", "$.record_no") % 3 == 0)
     home = shared_folder(spark, "damaged")
     sound, cut = f"{home}/sound", f"{home}/cut"
-    kept = lines.filter(~F.coalesce("third", F.lit(False))).select("value")
+    # Lines are dealt to files evenly: a part of the scan may hold no row, and when it is the
+    # first, Spark writes a file without records for it.
+    count = max(1, table(spark, folder, "events").count() // EVENTS_A_FILE)
+    kept = lines.filter(~F.coalesce("third", F.lit(False))).select("value").repartition(count)
     kept.write.option("compression", "gzip").text(sound)
-    lines.filter("third").select("value").write.text(cut)
+    lines.filter("third").select("value").repartition(count).write.text(cut)
     _renamed(spark, cut, ".gz")
     good, bad = source.quarantine(source.read_raw(spark, [sound, cut], "json", LINE))
     files = source.list_files(spark, [sound, cut])

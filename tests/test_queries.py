@@ -34,6 +34,18 @@ def test_query(spark, con, name):
         assert df.count() > 0
 
 
+def test_damaged_files_when_the_first_part_of_the_scan_is_empty(spark, con):
+    """One row group is read by the part that holds its middle; the parts before it have no row."""
+    name, most = "damaged_files", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "4k")
+    try:
+        df = entry.queries()[name](spark, FOLDER)
+    finally:
+        spark.conf.set(most, before)
+    assert difference(df, con, ORACLES[name]) is None
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
