@@ -15,9 +15,9 @@ from __future__ import annotations
 import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallywire.llm.tables import unused
 from tallywire.plans.sizes import settled
@@ -87,15 +87,15 @@ def phases(parts: dict, blocks: dict) -> list[tuple]:
     return rows
 
 
-PHASES = T.StructType(
+PHASES = pa.schema(
     [
-        T.StructField("of_source", T.StringType()),
-        T.StructField("first_block", T.LongType()),
-        T.StructField("blocks", T.LongType()),
-        T.StructField("first_slot", T.LongType()),
-        T.StructField("parts", T.LongType()),
-        T.StructField("whole", T.LongType()),
-        T.StructField("slots", T.ArrayType(T.LongType())),
+        ("of_source", pa.string()),
+        ("first_block", pa.int64()),
+        ("blocks", pa.int64()),
+        ("first_slot", pa.int64()),
+        ("parts", pa.int64()),
+        ("whole", pa.int64()),
+        ("slots", pa.list_(pa.int64())),
     ]
 )
 
@@ -142,7 +142,9 @@ def mix_sources(
     least = min(weights.values(), default=1)
     parts = whole_parts({s: weights.get(s, least) for s in sizes}) if sizes else {}
     blocks = {s: -(-n // block) for s, n in sizes.items()}
-    table = spark.createDataFrame(phases(parts, blocks), PHASES)
+    # A list of rows would go through Python workers, which every executor then keeps.
+    rows = [dict(zip(PHASES.names, r, strict=True)) for r in phases(parts, blocks)]
+    table = spark.createDataFrame(pa.Table.from_pylist(rows, PHASES))
 
     upto = "sum(n) OVER (PARTITION BY source ORDER BY run) - n"
     before = runs.select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import bisect
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,11 +21,12 @@ from tallywire.plans.sizes import settled
 
 WINDOW = 2048
 OPEN = 64  # open windows of a task
-FLUSH = 1000  # pieces of a batch
+FLUSH = 1 << 20  # bytes of ids of a batch
 MERGED = 8  # tasks whose leftovers are merged together
 FULL = 0.9  # a merged window below this share gives its pieces away to be cut
 WORDS = 800_000  # words whose ids a task remembers
 END = 1
+ROW_BYTES = 64  # of the numbers beside the ids
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, "
@@ -138,6 +139,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches that end when their ids take FLUSH bytes, so that a task holds little."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4]) + ROW_BYTES
+        if size >= FLUSH:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
 def _laid(pieces: list[tuple], sequence: int | None, task: int) -> Iterator[tuple]:
     """Rows of a sequence; a piece is (doc_id, start, length, doc_tokens, ids)."""
     offset = 0
@@ -149,9 +163,12 @@ def _laid(pieces: list[tuple], sequence: int | None, task: int) -> Iterator[tupl
 def _pack_task(batches, path: str, size: int, most: int):
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId()
+    yield from _batches(_packed_rows(batches, TaskContext.get().partitionId(), path, size, most))
+
+
+def _packed_rows(batches, task: int, path: str, size: int, most: int) -> Iterator[tuple]:
     ids_of = WordIds(path, added=True)
-    windows, rows, count = Windows(most, size), [], 0
+    windows, count = Windows(most, size), 0
     end = END.to_bytes(4, "little")
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
@@ -164,18 +181,10 @@ def _pack_task(batches, path: str, size: int, most: int):
                 piece = (doc_id, start, length, n, part)
                 full = [piece] if length == size else windows.place(piece)
                 if full:
-                    rows += _laid(full, (task << 32) + count, task)
+                    yield from _laid(full, (task << 32) + count, task)
                     count += 1
-                if len(rows) >= FLUSH:
-                    yield _batch(rows)
-                    rows = []
     for _, _, pieces in windows.open:
-        rows += _laid(pieces, None, task)
-        if len(rows) >= FLUSH:
-            yield _batch(rows)
-            rows = []
-    if rows:
-        yield _batch(rows)
+        yield from _laid(pieces, None, task)
 
 
 def merge_left(pieces: list[tuple], size: int) -> list[list[tuple]]:
@@ -217,14 +226,9 @@ def _merge_tasks(batches, size: int):
     for group in groups_in_order(batches, ["merged"]):
         merged = group.column("merged")[0].as_py()
         pieces = list(zip(*[group.column(n).to_pylist() for n in names], strict=True))
-        rows = []
-        for count, held in enumerate(merge_left(pieces, size)):
-            rows += _laid(held, (1 << 62) + (merged << 32) + count, -1)
-            if len(rows) >= FLUSH:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
+        done = enumerate(merge_left(pieces, size))
+        first = (1 << 62) + (merged << 32)
+        yield from _batches(r for n, held in done for r in _laid(held, first + n, -1))
 
 
 def pack(

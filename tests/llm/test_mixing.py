@@ -86,6 +86,12 @@ def test_layout_and_awkward_rows(spark):
     assert [r.doc_id for r in in_mixed_order(once).collect()] == [r.doc_id for r in order]
 
 
+def test_the_schedule_takes_no_python_worker(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(9)], "doc_id long, source string")
+    plan = mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "of_source" in plan and "ExistingRDD" not in plan
+
+
 def test_empty(spark):
     assert mix_sources(cases.empty(spark)).count() == 0
     assert in_mixed_order(cases.empty(spark)).count() == 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallywire.llm import packing
 from tallywire.llm.packing import WordIds, merge_left, pack
 
 from . import cases
@@ -116,6 +117,13 @@ def test_empty(spark):
     assert pack(cases.empty(spark), PATH).count() == 0
 
 
+def test_batches_end_by_bytes():
+    rows = [(i, 0, 2048, 2048, bytes(8192), i, 0, 0) for i in range(900)]
+    batches = list(packing._batches(rows))
+    assert max(b.nbytes for b in batches) < 2 << 20
+    assert [i for b in batches for i in b.column(0).to_pylist()] == list(range(900))
+
+
 def test_leftovers_are_cut_to_powers_of_two():
     pieces = [(i, 0, n, n, bytes(4 * n)) for i, n in enumerate([3, 5, 30, 7, 64, 20])]
     done = merge_left(pieces, 64)
